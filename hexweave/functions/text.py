@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +20,7 @@ def general_double(c: Column | str) -> Column:
     v = as_column(c).cast("double")
     sci = F.format_string(f"%.{SIGNIFICANT_DIGITS - 1}e", F.abs(v))
     mantissa = F.split_part(sci, F.lit("e"), F.lit(1))
-    exponent = F.split_part(sci, F.lit("e"), F.lit(2)).cast("int")
+    exponent = F.split_part(sci, F.lit("e"), F.lit(2)).try_cast("int")
     digits = F.replace(mantissa, F.lit("."), F.lit(""))
     split = F.concat(
         F.substring(digits, F.lit(1), exponent + 1), F.lit("."),
@@ -97,11 +97,5 @@ def preview(df: DataFrame, n: int = 50) -> DataFrame:
     at most.
     """
     probe = df.limit(n + 1)
-    seen = F.count(F.lit(1)).over(_whole())
+    seen = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
     return probe.withColumn("truncated", seen > n).limit(n)
-
-
-def _whole():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(1))

@@ -20,13 +20,19 @@ def clip_length(
 
     Shared cells give the candidate pairs; each pair adds the line's own length
     times the clipped share of its planar length, so no unit conversion is needed.
-    Geometry joins last, by id, on the deduplicated pairs.
+    Geometry joins last, by id, on the deduplicated pairs, and only pairs whose
+    boxes overlap are clipped.
     """
     pairs = assign_features(line_cells, region_cells, res, line_id, region_id)
-    shapes = pairs.join(lines.select(line_id, length, line), line_id).join(
-        regions.select(region_id, ring), region_id
+    lines = lines.select(line_id, length, line, bounds(line).alias("_a"), planar_length(line).alias("_whole"))
+    regions = regions.select(region_id, ring, bounds(ring).alias("_b"))
+    shapes = pairs.join(lines, line_id).join(regions, region_id)
+    overlap = (
+        (F.col("_a.west") <= F.col("_b.east")) & (F.col("_b.west") <= F.col("_a.east"))
+        & (F.col("_a.south") <= F.col("_b.north")) & (F.col("_b.south") <= F.col("_a.north"))
     )
-    share = F.try_divide(length_inside(line, ring), planar_length(line))
+    inside = F.when(overlap, length_inside(line, ring)).otherwise(F.lit(0.0))
+    share = F.try_divide(inside, F.col("_whole"))
     return shapes.groupBy(region_id).agg(F.sum(F.col(length) * share).alias(out))
 
 

@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hexweave.functions.cells import as_column, cell_parent, column_name
+from hexweave.functions.cells import cell_parent, column_name
 from hexweave.operators.filters import is_valid
 from hexweave.operators.joins import clip_to_mask, hex_join, keys, unique_cells, with_h0
 from hexweave.operators.sizing import global_rank
+from hexweave.session import materialize
 
 # Rough mean cell area in square kilometres per resolution.
 ROUGH_KM2 = {5: 252.9, 6: 36.13, 7: 5.161, 8: 0.7373, 9: 0.1053, 10: 0.01505}
@@ -276,9 +277,12 @@ def coverage_report(
 
 
 def correlate(df: DataFrame, count: str, value: str) -> DataFrame:
-    """Pearson correlation of log counts with a value, and Spearman's on ranks."""
-    df = df.select(count, value).where(F.col(value).isNotNull() & (F.col(count) > 0))
+    """Pearson correlation of log counts with a value, and Spearman's on ranks.
+
+    The per-region table is written once, as ranking reads it several times.
+    """
     df = df.select(F.col(count).cast("double").alias("_c"), F.col(value).cast("double").alias("_v"))
+    df = materialize(df.where(F.col("_v").isNotNull() & (F.col("_c") > 0)))
     ranked = global_rank(global_rank(df, "_c", "_rc"), "_v", "_rv")
     return ranked.agg(
         F.corr(F.log10("_c"), F.col("_v")).alias("pearson_log"),

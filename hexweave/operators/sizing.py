@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Two bigint key columns at this many rows are some tens of megabytes.
@@ -71,15 +71,13 @@ def salted_join(
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
-def global_rank(df: DataFrame, col: str, out: str, buckets: int = 64) -> DataFrame:
+def global_rank(df: DataFrame, col: str, out: str, buckets: int = 32) -> DataFrame:
     """Average rank of every row of ``df`` by ``col``, without a single-task sort.
 
     Equal values are counted together first, so a hot value is one row. Values
     fall into ranges cut at approximate quantiles; a row's rank is the number of
     rows in lower ranges plus its position inside its own.
     """
-    from pyspark.sql import Window
-
     values = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
     cuts = sorted(set(values.approxQuantile(col, [i / buckets for i in range(1, buckets)], 0.005)))
     bucket = F.lit(0)

@@ -102,9 +102,9 @@ def _located(spark, sf):
 def value_at(spark, sf):
     spots = t.boxes(spark, sf).select("aoi_id", F.col("ring")[0]["x"].alias("lng"), F.col("ring")[0]["y"].alias("lat"))
     layer = m.aggregate_cells(
-        pl.index_points(t.points(spark, sf), 2), 2, F.avg("value").alias("mean_value"), count()
+        pl.index_points(t.points(spark, sf), 1), 1, F.avg("value").alias("mean_value"), count()
     )
-    return pl.value_at(layer, spots, 2).select("aoi_id", "h2", "mean_value", "n")
+    return pl.value_at(layer, spots, 1).select("aoi_id", "h1", "mean_value", "n")
 
 
 @query("scope_by_points")
@@ -151,7 +151,7 @@ def pyramid_bounds(spark, sf):
 @query("tile_cells_pruned")
 def tile_cells_pruned(spark, sf):
     level = with_centers(py.finest_level(_located(spark, sf), "COUNT", h="h5"), "h")
-    return tl.tile_cells(level, 5, 4, 11, 6, pl.tile_base_cells(spark, 4, 11, 6, 5))
+    return tl.tile_cells(level, 5, 3, 5, 4, pl.tile_base_cells(spark, 3, 5, 4, 5))
 
 
 @query("tile_features_cells")

@@ -37,14 +37,20 @@ def base_cell(h: Column | str) -> Column:
     return F.shiftright(as_column(h), 45).bitwiseAND(F.lit(127)).cast("int")
 
 
-def cell_parent(h: Column | str, res: int) -> Column:
-    """Ancestor of ``h`` at ``res``; NULL when ``h`` is coarser than ``res``."""
+def cell_parent(h: Column | str, res: int, from_res: int | None = None) -> Column:
+    """Ancestor of ``h`` at ``res``; NULL when ``h`` is coarser than ``res``.
+
+    Where the column's resolution is known, ``from_res`` saves the test per row and
+    keeps the expression free of NULLs, so joins infer no filter from it.
+    """
     if not 0 <= res <= MAX_RES:
         raise ValueError(f"resolution must be 0..{MAX_RES}, got {res}")
+    if from_res is not None and from_res < res:
+        raise ValueError(f"resolution {from_res} has no ancestor at {res}")
     h = as_column(h)
     tail = (res << 52) | ((1 << (3 * (MAX_RES - res))) - 1)
     up = h.bitwiseAND(F.lit(~_RES_MASK)).bitwiseOR(F.lit(tail))
-    return F.when(cell_resolution(h) >= res, up)
+    return up if res == 0 or from_res is not None else F.when(cell_resolution(h) >= res, up)
 
 
 def is_pentagon(h: Column | str) -> Column:

@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hexweave.functions.cells import cell_from_string, cell_parent, column_name
-from hexweave.operators.sizing import salted_join, small_side
+from hexweave.functions.cells import BASE_CELL_COUNT, cell_from_string, cell_parent, column_name
+from hexweave.operators.sizing import BROADCAST_ROWS, salted_join
+from hexweave.session import materialize
 
 
 def keys(res: int) -> list[str]:
@@ -28,7 +29,7 @@ def with_parent(df: DataFrame, from_res: int, to_res: int) -> DataFrame:
     large features) the parent is computed from the finer cell.
     """
     name = column_name(to_res)
-    computed = cell_parent(column_name(from_res), to_res)
+    computed = cell_parent(column_name(from_res), to_res, from_res)
     value = F.coalesce(F.col(name), computed) if name in df.columns else computed
     return df.withColumn(name, value)
 
@@ -64,13 +65,30 @@ def clip_to_mask(
 ) -> DataFrame:
     """Rows of ``df`` inside the mask, before any aggregation.
 
+    The mask's distinct cells are written once. Their base cells, at most 122,
+    become a literal filter that prunes the directories of ``df`` at planning time;
+    the cells themselves are the boundary, in a semi join that broadcasts them only
+    when their counted number allows.
+
     The base cell alone is a storage key as large as a continent, so a mask at
     resolution 0 is refused.
     """
     if res == 0:
         raise ValueError("h0 is a storage key, not a boundary: clip at a finer resolution")
-    cells = small_side(mask_cells(mask, res, where))
-    return with_h0(df, res).join(cells, keys(res), "left_semi")
+    cells = materialize(mask_cells(mask, res, where).dropna())
+    per_base = _base_cell_counts(cells)
+    if sum(per_base.values()) <= BROADCAST_ROWS:
+        cells = F.broadcast(cells)
+    near = with_h0(df, res).where(F.col("h0").isin(sorted(per_base)))
+    return near.join(cells, keys(res), "left_semi")
+
+
+def _base_cell_counts(df: DataFrame) -> dict[int, int]:
+    """Rows per h0: 122 numbers at most, or the column is not a base cell."""
+    rows = df.where("h0 is not null").groupBy("h0").count().limit(BASE_CELL_COUNT + 1).collect()
+    if len(rows) > BASE_CELL_COUNT:
+        raise ValueError("more distinct h0 values than base cells")
+    return {r["h0"]: r["count"] for r in rows}
 
 
 def join_resolutions(
@@ -138,13 +156,6 @@ def features_in_mask(df: DataFrame, mask: DataFrame, res: int, feature_id: str,
     return inside.groupBy(by).agg(F.count_distinct(feature_id).alias("n_features"))
 
 
-def static_partitions(mask: DataFrame, limit: int = 122) -> list[int]:
-    """The mask's base cells as literals for a static partition filter.
-
-    There are 122 base cells, which bounds what reaches the driver; a larger
-    answer means the column is not a base cell.
-    """
-    rows = mask.select("h0").distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError("more distinct h0 values than base cells")
-    return sorted(r["h0"] for r in rows if r["h0"] is not None)
+def static_partitions(mask: DataFrame) -> list[int]:
+    """The mask's base cells, sorted, as literals for a static partition filter."""
+    return sorted(_base_cell_counts(mask))

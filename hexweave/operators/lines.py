@@ -72,14 +72,14 @@ def points_in_polygons(
 ) -> DataFrame:
     """Join points to the polygons that contain them.
 
-    Candidates come from an equi-join on grid squares, followed by the exact
-    even-odd test. A point in several polygons gives several rows.
+    Candidates come from an equi-join on grid squares, then pass the polygon's box
+    and the exact even-odd test. A point in several polygons gives several rows.
     """
     binned = polygon_bins(polygons.select(polygon_id, ring), ring)
     levels = [r["_level"] for r in binned.select("_level").distinct().collect()]
     if not levels:
         levels = [0]
-    side = small_side(binned.select(polygon_id, ring, "_level", "_bx", "_by"), 100_000)
+    side = small_side(binned.select(polygon_id, ring, "_box", "_level", "_bx", "_by"), 100_000)
     located = (
         points.withColumn("_level", F.explode(F.array(*[F.lit(v) for v in sorted(levels)])))
         .withColumn("_bx", F.floor((F.col(x) + 180.0) / _span(F.col("_level"))))
@@ -87,8 +87,10 @@ def points_in_polygons(
     )
     return (
         located.join(side, ["_level", "_bx", "_by"])
+        .where(F.col(x).between(F.col("_box.west"), F.col("_box.east")))
+        .where(F.col(y).between(F.col("_box.south"), F.col("_box.north")))
         .where(point_in_ring(ring, x, y))
-        .drop("_level", "_bx", "_by", ring)
+        .drop("_level", "_bx", "_by", "_box", ring)
     )
 
 

@@ -155,7 +155,7 @@ def presence_share(
     group = _cols(by)
     cells = with_h0(feature, coarse).select(*dict.fromkeys([*group, *keys(coarse)])).distinct()
     if column_name(coarse) not in land.columns:
-        land = land.withColumn(column_name(coarse), cell_parent(column_name(fine), coarse))
+        land = land.withColumn(column_name(coarse), cell_parent(column_name(fine), coarse, fine))
     grid = with_h0(land, fine).select(*dict.fromkeys([column_name(coarse), *keys(fine)])).distinct()
     here = unique_cells(presence, fine).withColumn("_here", F.lit(1.0))
     children = hex_join(hex_join(cells, grid, coarse), here, fine, "left")
@@ -183,10 +183,10 @@ def rollup_fraction(
     cells = with_h0(fractions, fine).select(*keys(fine), value)
     if land is None:
         return (
-            cells.withColumn(parent, cell_parent(child, coarse))
+            cells.withColumn(parent, cell_parent(child, coarse, fine))
             .groupBy(parent, "h0").agg((F.sum(value) / F.lit(7.0 ** (fine - coarse))).alias(value))
         )
-    grid = unique_cells(land, fine).withColumn(parent, cell_parent(child, coarse))
+    grid = unique_cells(land, fine).withColumn(parent, cell_parent(child, coarse, fine))
     joined = hex_join(grid, cells, fine, "left")
     return joined.groupBy(parent, "h0").agg(F.avg(F.coalesce(F.col(value), F.lit(0.0))).alias(value))
 

@@ -16,7 +16,7 @@ from hexweave.functions.geodesy import cell_area, cell_center, grid_disk, latlng
 from hexweave.functions.geometry import bounds, point_in_ring
 from hexweave.operators.joins import keys, static_partitions, with_h0
 from hexweave.operators.measures import ACRES_PER_KM2
-from hexweave.operators.sizing import small_side
+from hexweave.operators.sizing import shuffle_width, small_side
 from hexweave.session import materialize
 
 
@@ -117,7 +117,7 @@ def polygons_to_cells(
         reach = 1.6 * tm.EDGE_KM[r] / tm.KM_PER_DEGREE if r < res else 0.0
         level = level.withColumn("_c", cell_center("_h")).where(_near_box(F.col("_c"), F.col("_box"), reach))
         if r in spread_at:
-            level = level.repartition(polygon_id, "_h")
+            level = level.repartition(shuffle_width(level.sparkSession), polygon_id, "_h")
     rings = small_side(polygons.select(polygon_id, ring), 10_000)
     inside = level.join(rings, polygon_id).where(point_in_ring(ring, F.col("_c.lng"), F.col("_c.lat")))
     return inside.select(polygon_id, F.col("_h").alias(column_name(res)), cell_parent("_h", 0).alias("h0"))
@@ -161,58 +161,83 @@ def tile_base_cells(spark: SparkSession, z: int, x: int, y: int, res: int, sampl
     return static_partitions(grid.select(latlng_to_cell("lat", "lng", 0).alias("h0")))
 
 
-def _node_level(points: DataFrame, res: int) -> DataFrame:
-    """Occupied cells with their centre and the distance of their farthest point."""
+def _nodes(points: DataFrame, res: int, side: str) -> DataFrame:
+    """Occupied cells of one side with their centre and their farthest point."""
     located = points.withColumn("_h", cell_parent("_cell", res)).withColumn("_c", cell_center("_h"))
-    far = F.max(great_circle("_c.lat", "_c.lng", "_rlat", "_rlng"))
-    return located.groupBy("_h", "_c").agg(far.alias("_reach"))
+    far = F.max(great_circle("_c.lat", "_c.lng", "_lat", "_lng"))
+    return located.groupBy("_h", "_c").agg(far.alias("_reach")).select(
+        F.col("_h").alias(f"{side}_h"), F.col("_c").alias(f"{side}_c"), F.col("_reach").alias(f"{side}_reach")
+    )
+
+
+def _finest_needed(points: DataFrame, levels: Sequence[int], few: int = 64) -> list[int]:
+    """The levels down to the first whose fullest cell holds few points."""
+    cells = F.explode(F.array(*[F.struct(F.lit(r).alias("res"), cell_parent("_cell", r).alias("h")) for r in levels]))
+    counts = points.select(cells.alias("p")).groupBy("p.res", "p.h").count()
+    fullest = {r["res"]: r["n"] for r in counts.groupBy("res").agg(F.max("count").alias("n")).collect()}
+    for i, res in enumerate(levels):
+        if fullest.get(res, 0) <= few:
+            return list(levels[: i + 1])
+    return list(levels)
+
+
+def _closest(pairs: DataFrame, key: Sequence[str], d: Column, slack: Column) -> DataFrame:
+    """Pairs of every key that can still hold its nearest point."""
+    upper = F.min(F.col("_d") + F.col("_r")).over(Window.partitionBy(*key))
+    bounded = pairs.withColumn("_d", d).withColumn("_r", slack).withColumn("_upper", upper)
+    return bounded.where(F.col("_d") - F.col("_r") <= F.col("_upper") + _SLACK_KM)
 
 
 def nearest(
     left: DataFrame, right: DataFrame, left_id: str, right_id: str, lat: str = "lat", lng: str = "lng",
-    levels: Sequence[int] = (0, 2, 4, 6, 8, 10),
+    levels: Sequence[int] = (0, 2, 4, 6, 8, 10, 12),
 ) -> DataFrame:
     """The nearest right point of every left point, with its distance in km.
 
-    Descends the occupied cells of the right side. A cell's points are between
-    ``d - reach`` and ``d + reach`` away, ``d`` being the distance to its centre
-    and ``reach`` measured on the data, so a cell whose lower bound exceeds the
-    smallest upper bound of the point holds no answer. The few cells that remain
-    bring in their actual points at the last level. Equal positions are searched
-    once; the smallest id wins a tie.
+    Both sides are described by their occupied cells. Two cells' points are between
+    ``d - r`` and ``d + r`` apart, ``d`` being the distance of the centres and ``r``
+    the sum of the cells' farthest points, measured on the data. Going down level
+    by level, a left cell keeps only the right cells whose lower bound does not
+    exceed its smallest upper bound, so whole regions are settled at once. The few
+    cells that remain bring in their points. Equal positions are searched once; the
+    smallest id wins a tie.
     """
     left = left.select(F.col(left_id), F.col(lat).alias("_lat"), F.col(lng).alias("_lng"))
-    right = right.select(F.col(right_id), F.col(lat).alias("_rlat"), F.col(lng).alias("_rlng")).dropna()
-    right = right.groupBy("_rlat", "_rlng").agg(F.min(right_id).alias(right_id))
-    right = materialize(right.withColumn("_cell", latlng_to_cell("_rlat", "_rlng", levels[-1])))
+    right = right.select(F.col(right_id), F.col(lat).alias("_lat"), F.col(lng).alias("_lng")).dropna()
+    right = right.groupBy("_lat", "_lng").agg(F.min(right_id).alias(right_id))
+    right = materialize(right.withColumn("_cell", latlng_to_cell("_lat", "_lng", levels[-1])))
     spots = left.select("_lat", "_lng").dropna().distinct()
-
-    # at most 122 base cells: a literal array, pruned inside each row
-    top = _node_level(right, levels[0]).limit(BASE_CELL_COUNT).collect()
-    nodes = F.array(*[
-        F.struct(F.lit(r["_h"]).alias("_h"), F.lit(r["_c"]["lat"]).alias("lat"), F.lit(r["_c"]["lng"]).alias("lng"), F.lit(r["_reach"]).alias("reach"))
+    spots = materialize(spots.withColumn("_cell", latlng_to_cell("_lat", "_lng", levels[-1])))
+    levels = _finest_needed(right, levels)
+
+    # at the top at most 122 cells a side: the right ones as a literal array
+    top = [r.asDict(True) for r in _nodes(right, levels[0], "b").limit(BASE_CELL_COUNT).collect()]
+    others = F.array(*[
+        F.struct(
+            F.lit(r["b_h"]).alias("b_h"), F.struct(F.lit(r["b_c"]["lat"]).alias("lat"), F.lit(r["b_c"]["lng"]).alias("lng")).alias("b_c"),
+            F.lit(r["b_reach"]).alias("b_reach"),
+        )
         for r in top
     ])
-    bound = F.transform(nodes, lambda n: F.struct(
-        n["_h"].alias("_h"), great_circle("_lat", "_lng", n["lat"], n["lng"]).alias("d"), n["reach"].alias("reach")
-    ))
-    open_cells = spots.withColumn("_n", bound).withColumn("_upper", F.array_min(F.transform("_n", lambda n: n["d"] + n["reach"])))
-    open_cells = open_cells.withColumn("_n", F.filter("_n", lambda n: n["d"] - n["reach"] <= F.col("_upper") + _SLACK_KM))
-    open_cells = open_cells.select("_lat", "_lng", F.explode(F.transform("_n", lambda n: n["_h"])).alias("_up"))
-
-    spot = Window.partitionBy("_lat", "_lng")
+    between = great_circle("a_c.lat", "a_c.lng", "b_c.lat", "b_c.lng")
+    both = F.col("a_reach") + F.col("b_reach")
+    pairs = _nodes(spots, levels[0], "a").withColumn("_o", F.explode(others)).select("*", "_o.*")
+    pairs = _closest(pairs, ["a_h"], between, both)
     for up, res in zip(levels, levels[1:]):
-        level = _node_level(right, res).withColumn("_up", cell_parent("_h", up))
-        d = great_circle("_lat", "_lng", "_c.lat", "_c.lng")
-        open_cells = (
-            open_cells.join(level, "_up").withColumn("_d", d)
-            .withColumn("_upper", F.min(F.col("_d") + F.col("_reach")).over(spot))
-            .where(F.col("_d") - F.col("_reach") <= F.col("_upper") + _SLACK_KM)
-            .select("_lat", "_lng", F.col("_h").alias("_up"))
-        )
+        pairs = pairs.select(F.col("a_h").alias("a_up"), F.col("b_h").alias("b_up"))
+        a = _nodes(spots, res, "a").withColumn("a_up", cell_parent("a_h", up))
+        b = _nodes(right, res, "b").withColumn("b_up", cell_parent("b_h", up))
+        pairs = _closest(pairs.join(a, "a_up").join(b, "b_up"), ["a_h"], between, both)
+
+    last = levels[-1]
+    cells = pairs.select("a_h", "b_h", "b_c", "b_reach")
+    here = spots.select("_lat", "_lng", cell_parent("_cell", last).alias("a_h")).join(cells, "a_h")
+    here = _closest(here, ["_lat", "_lng"], great_circle("_lat", "_lng", "b_c.lat", "b_c.lng"), F.col("b_reach"))
+    there = right.select(cell_parent("_cell", last).alias("b_h"), F.col("_lat").alias("_rlat"), F.col("_lng").alias("_rlng"), right_id)
     km = great_circle("_lat", "_lng", "_rlat", "_rlng")
-    pairs = open_cells.withColumnRenamed("_up", "_cell").join(right, "_cell").withColumn("_km", km)
-    best = pairs.groupBy("_lat", "_lng").agg(F.min(F.struct("_km", right_id)).alias("_b"))
+    best = here.select("_lat", "_lng", "b_h").join(there, "b_h").groupBy("_lat", "_lng").agg(
+        F.min(F.struct(km.alias("_km"), F.col(right_id))).alias("_b")
+    )
     found = best.select("_lat", "_lng", F.col(f"_b.{right_id}").alias(right_id), F.col("_b._km").alias("distance_km"))
     return left.join(found, ["_lat", "_lng"]).select(left_id, right_id, "distance_km")
 

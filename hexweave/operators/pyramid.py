@@ -71,7 +71,7 @@ def parent_level(level: DataFrame, res: int, agg: str, values: Sequence[str] = (
     take the largest child."""
     agg = _check(agg, values)
     return (
-        level.withColumn("h", cell_parent("h", res)).groupBy("h", "h0").agg(*_next_level(agg, values))
+        level.withColumn("h", cell_parent("h", res, res + 1)).groupBy("h", "h0").agg(*_next_level(agg, values))
     )
 
 
@@ -83,7 +83,7 @@ def distinct_levels(df: DataFrame, h: str, key: str, finest: int, min_res: int,
     pairs = df.select(F.col(h).alias("h"), F.col(key).alias("_key")).distinct()
     levels = []
     for res in range(finest, min_res - 1, -1):
-        pairs = pairs.select(cell_parent("h", res).alias("h"), "_key").distinct()
+        pairs = pairs.select(cell_parent("h", res, finest).alias("h"), "_key").distinct()
         levels.append(
             pairs.groupBy("h").agg(F.count("_key").alias(out)).withColumn("res", F.lit(res))
         )
@@ -97,7 +97,7 @@ def sketch_levels(df: DataFrame, h: str, key: str, finest: int, min_res: int, ou
     """Approximate distinct counts at every level from mergeable sketches, one scan."""
     sketches = df.groupBy(F.col(h).alias("h")).agg(F.hll_sketch_agg(key).alias("_s"))
     parents = F.array(*[
-        F.struct(F.lit(r).alias("res"), cell_parent("h", r).alias("h")) for r in range(min_res, finest + 1)
+        F.struct(F.lit(r).alias("res"), cell_parent("h", r, finest).alias("h")) for r in range(min_res, finest + 1)
     ])
     return (
         sketches.select(F.explode(parents).alias("p"), "_s")

@@ -4,22 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hexweave.session import materialize
+
 # Two bigint key columns at this many rows are some tens of megabytes.
 BROADCAST_ROWS = 1_000_000
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; stops counting beyond that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Write ``df`` to the shared folder, count it, and broadcast it if small.
 
+    Writing first means the count does not run the lineage a second time. A larger
+    table is returned as it was written and meets the other side in a shuffle join,
+    whose skewed partitions AQE splits.
+    """
+    df = materialize(df)
+    return F.broadcast(df) if df.count() <= max_rows else df
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` when its counted size allows; otherwise leave the choice
-    between shuffle joins to the planner."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
+
+def shuffle_width(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(scan: DataFrame, *on: str) -> DataFrame:
+    """A scan with fewer splits than cores, spread over the cores.
+
+    For work that is heavy per row on a table of few files; a table with enough
+    splits is returned as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *on)
 
 
 def hot_keys(df: DataFrame, on: Sequence[str], share: float = 0.001) -> DataFrame:
@@ -63,7 +79,7 @@ def salted_join(
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.lit(salts)).cast("int")
     left = (
         left.join(hot, on, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0)))
+        .withColumn("_salt", F.coalesce(F.when(F.col("_hot"), spread), F.lit(0)))
         .drop("_hot")
     )
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))

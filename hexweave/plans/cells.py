@@ -33,7 +33,7 @@ def cell_resolution(spark, sf):
     SELECT {cell_sql('p_partkey', 8)} AS h8, {cell_sql('(p_partkey * 49 + j)', 10)} AS h10
     FROM part CROSS JOIN range(49) t(j)""")
 def cell_children(spark, sf):
-    parts = t.table(spark, sf, "part").select(t.cell("p_partkey", 8).alias("h8"))
+    parts = t.table(spark, sf, "part", "p_partkey").select(t.cell("p_partkey", 8).alias("h8"))
     return c.explode_children(parts, "h8", 8, 10, "h10")
 
 

@@ -12,30 +12,33 @@ from pyspark.sql import functions as F
 
 from hexweave.functions.cells import as_column, cell_parent
 from hexweave.functions.geometry import vertex
+from hexweave.operators.sizing import spread
 
 # --- cell ids ----------------------------------------------------------------
 
 
-def _terms(res: int) -> tuple[int, list[tuple[int, int]]]:
-    """Constant part, and (divisor, bit weight) of every base-7 digit."""
-    fixed = 2**59 + res * 2**52 + 5 * 2**45 + (2 ** (3 * (15 - res)) - 1)
-    digits = [(7 ** (res - r), 2 ** (3 * (15 - r))) for r in range(1, res + 1)]
-    return fixed, [(7 ** (res - 5), 2**45), *digits]
+def _fixed(res: int) -> int:
+    """The bits that do not depend on the key: mode, resolution, base 5, unused digits."""
+    return 2**59 + res * 2**52 + 5 * 2**45 + (2 ** (3 * (15 - res)) - 1)
 
 
 def cell(k: Column | str, res: int) -> Column:
-    k = as_column(k).cast("bigint")
-    fixed, digits = _terms(res)
-    out = F.lit(fixed)
-    for div, weight in digits:
-        out = out + (F.floor(k / F.lit(div)).cast("bigint") % 7) * F.lit(weight)
-    return out
+    """Cell of a key: its base-7 digits, read as octal, are the id's 3-bit digits.
+
+    Like a stored cell column the result is never NULL, and the expression is short,
+    since Spark repeats it in every filter it infers.
+    """
+    digits = F.conv((as_column(k).cast("bigint") % 7**res).cast("string"), 10, 7)
+    octal = F.conv(digits, 8, 10).cast("bigint")
+    fifth = F.shiftright(octal, 3 * (res - 5)).bitwiseAND(F.lit(7))
+    out = F.shiftleft(octal, 3 * (15 - res)) + fifth * F.lit(2**45) + F.lit(_fixed(res))
+    return F.coalesce(out, F.lit(0))
 
 
 def cell_sql(k: str, res: int) -> str:
-    fixed, digits = _terms(res)
-    parts = [f"(CAST({k} AS BIGINT) // {div}) % 7 * {weight}" for div, weight in digits]
-    return f"CAST({fixed} + " + " + ".join(parts) + " AS BIGINT)"
+    weights = [(7 ** (res - 5), 2**45)] + [(7 ** (res - r), 2 ** (3 * (15 - r))) for r in range(1, res + 1)]
+    parts = [f"(CAST({k} AS BIGINT) // {div}) % 7 * {weight}" for div, weight in weights]
+    return f"CAST({_fixed(res)} + " + " + ".join(parts) + " AS BIGINT)"
 
 
 def parent_sql(h: str, res: int) -> str:
@@ -46,8 +49,10 @@ def parent_sql(h: str, res: int) -> str:
 # --- layers ------------------------------------------------------------------
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+def table(spark: SparkSession, sf: str, name: str, spread_on: str | None = None) -> DataFrame:
+    """A benchmark table, spread over the cores where the work per row is heavy."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return df if spread_on is None else spread(df, spread_on)
 
 
 def _with_h0(df: DataFrame, h: str) -> DataFrame:
@@ -129,17 +134,17 @@ def land_hex(spark, sf) -> DataFrame:
 def land_grid(spark, sf) -> DataFrame:
     """Dense fine land grid; every fifth child is missing, as at a coast."""
     df = (
-        table(spark, sf, "part").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(48))).alias("j"))
+        table(spark, sf, "part", "p_partkey").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(48))).alias("j"))
         .where("j % 5 <> 4")
         .select(cell(F.col("p_partkey") * 49 + F.col("j"), 10).alias("h10"))
     )
-    df = df.withColumn("h9", cell_parent("h10", 9)).withColumn("h8", cell_parent("h10", 8))
+    df = df.withColumn("h9", cell_parent("h10", 9, 10)).withColumn("h8", cell_parent("h10", 8, 10))
     return _with_h0(df, "h10")
 
 
 def presence_hex(spark, sf) -> DataFrame:
     """Fine cells where something occurs; no fraction column."""
-    df = table(spark, sf, "lineitem").select(
+    df = table(spark, sf, "lineitem", "l_orderkey").select(
         cell(F.col("l_partkey") * 49 + F.col("l_quantity").cast("bigint") % 49, 10).alias("h10")
     )
     return _with_h0(df.distinct(), "h10")
@@ -154,7 +159,7 @@ def coarse_feature(spark, sf) -> DataFrame:
 
 def points(spark, sf) -> DataFrame:
     """Occurrences with coordinates."""
-    return table(spark, sf, "events").select(
+    return table(spark, sf, "events", "event_id").select(
         "event_id", (F.col("event_id") % 1600 / 10.0 - 80.0).alias("lat"),
         (F.col("user_id") * 37 % 3599 / 10.0 - 179.9).alias("lng"),
         F.col("user_id").alias("species"), F.col("event_type").alias("class"), "value",
@@ -184,7 +189,7 @@ def blocks_hex(spark, sf) -> DataFrame:
 def pixels(spark, sf) -> DataFrame:
     """Raster pixels in eight rasters; some hold the no-data value."""
     band = F.when(F.col("event_id") % 13 == 0, -9999.0).otherwise(F.col("value"))
-    return table(spark, sf, "events").select(
+    return table(spark, sf, "events", "event_id").select(
         (F.col("event_id") % 8).alias("raster"), F.col("event_id").alias("pixel_id"),
         (F.col("user_id") * 7 % 3000 / 10.0 - 150.03).alias("x"),
         (F.col("event_id") * 11 % 1400 / 10.0 - 70.07).alias("y"), band.alias("band_1"),
@@ -211,7 +216,7 @@ def polylines(spark, sf) -> DataFrame:
     line = F.array(
         vertex(x0, y0), vertex(x0 + 12, y0 + 9), vertex(x0 + 20, y0 - 6), vertex(x0 + 31, y0 + 3)
     )
-    return table(spark, sf, "part").select(
+    return table(spark, sf, "part", "p_partkey").select(
         k.alias("line_id"), F.col("p_size").cast("double").alias("length_km"),
         F.col("p_brand").alias("class"), line.alias("line"),
     )
@@ -227,7 +232,7 @@ def boxes(spark, sf) -> DataFrame:
         vertex(west, south), vertex(west + width, south), vertex(west + width, south + height),
         vertex(west, south + height), vertex(west, south),
     )
-    return table(spark, sf, "supplier").select(k.alias("aoi_id"), ring.alias("ring"))
+    return table(spark, sf, "supplier", "s_suppkey").select(k.alias("aoi_id"), ring.alias("ring"))
 
 
 def line_cells(spark, sf) -> DataFrame:
@@ -244,7 +249,7 @@ def aoi_cells(spark, sf) -> DataFrame:
 
 def centers(spark, sf) -> DataFrame:
     """A level of cells with given centres, one per event."""
-    return table(spark, sf, "events").select(
+    return table(spark, sf, "events", "event_id").select(
         cell("event_id", 8).alias("h"), cell_parent(cell("event_id", 8), 0).alias("h0"),
         (F.col("event_id") * 7 % 1700 / 10.0 - 85.0).alias("lat"),
         (F.col("event_id") * 13 % 3600 / 10.0 - 180.0).alias("lng"), "value",

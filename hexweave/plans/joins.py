@@ -7,6 +7,7 @@ from hexweave.operators import joins as j
 from hexweave.operators import lines as ln
 from hexweave.operators import measures as m
 from hexweave.operators.filters import valid_values
+from hexweave.operators.sizing import small_side
 from hexweave.plans import inputs as t
 from hexweave.plans.inputs import parent_sql
 from hexweave.plans.registry import query
@@ -155,7 +156,7 @@ def cross_header(spark, sf):
     headers = t.raster_headers(spark, sf).select(
         "raster", F.get_json_object("transform", "$[1]").cast("double").alias("step")
     )
-    pixels = t.pixels(spark, sf).join(j.small_side(headers, 100_000), "raster")
+    pixels = t.pixels(spark, sf).join(small_side(headers, 100_000), "raster")
     return pixels.groupBy("raster").agg(F.round(F.avg(F.col("y") / F.col("step")), 4).alias("mean_row"), count())
 
 
@@ -170,12 +171,12 @@ def points_in_polygons(spark, sf):
 
 
 @query("zonal_stats", "pixels boxes", f"""
-    SELECT aoi_id, COUNT(*) AS n_pixels, ROUND(AVG(band_1), 6) AS mean_value
+    SELECT aoi_id, COUNT(*) AS n_pixels, ROUND(AVG(band_1), 10) AS mean_value
     FROM (SELECT * FROM pixels WHERE band_1 <> -9999) LEFT JOIN boxes ON {_INSIDE} GROUP BY 1""")
 def zonal_stats(spark, sf):
     valid = valid_values(t.pixels(spark, sf), "band_1", [-9999])
     stats = ln.zonal_stats(valid, t.boxes(spark, sf), "aoi_id", "pixel_id")
-    return stats.withColumn("mean_value", F.round("mean_value", 6))
+    return stats.withColumn("mean_value", F.round("mean_value", 10))
 
 
 @query("pixel_area", "pixels raster_headers", """
@@ -184,7 +185,7 @@ def zonal_stats(spark, sf):
 def pixel_area(spark, sf):
     meta = F.concat(F.lit('{"transform":'), "transform", F.lit("}"))
     headers = t.raster_headers(spark, sf).select("raster", meta.alias("metadata"))
-    pixels = valid_values(t.pixels(spark, sf), "band_1", [-9999]).join(j.small_side(headers, 100_000), "raster")
+    pixels = valid_values(t.pixels(spark, sf), "band_1", [-9999]).join(small_side(headers, 100_000), "raster")
     return pixels.groupBy("raster").agg(
         F.round(F.sum(ln.pixel_area("y", "metadata")) / 10000, 4).alias("hectares")
     )

@@ -168,7 +168,7 @@ def preview_(spark, sf):
 def render(spark, sf):
     n = F.col("l_linenumber")
     tiny = F.when(n == 1, float("nan")).when(n != 2, F.col("l_extendedprice") / 7e9 / n)
-    df = t.table(spark, sf, "lineitem").select(
+    df = t.table(spark, sf, "lineitem", "l_orderkey").select(
         "l_orderkey", n, (F.col("l_extendedprice") * F.col("l_discount")).alias("price"), tiny.alias("tiny"),
         "l_shipdate", F.col("l_shipdate").cast("date").alias("day"), F.col("l_quantity").cast("decimal(12,3)").alias("quantity"),
         F.when(n != 3, F.col("l_partkey")).alias("part"), F.encode(F.lit("x"), "utf-8").alias("geom"),

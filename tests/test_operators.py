@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,10 +28,24 @@ def test_masks_prune_partitions(spark, sf):
     stored = hexio.read_hex(spark, root)
     assert dict(stored.dtypes)["h0"] == "bigint"
     mask = inputs.mask_hex(spark, sf).where("STUSPS = 'NATION_3'")
-    clipped = joins.clip_to_mask(stored, mask, 8).groupBy("h8").count()
-    assert "dynamicpruning" in plan(clipped).lower()
-    static = stored.where(F.col("h0").isin(joins.static_partitions(mask)))
-    assert "PartitionFilters: [isnotnull(h0" in plan(static) or "PartitionFilters: [h0" in plan(static)
+    # all cells of the mask in one base cell: one directory is read
+    one = mask.where(F.col("h0") == mask.agg(F.min("h0")).first()[0])
+    clipped = joins.clip_to_mask(stored, one, 8).groupBy("h8").count()
+    assert re.search(r"PartitionFilters: \[.*\(?h0#\d+L = \d+", plan(clipped))
+    scanned = joins.clip_to_mask(stored, one, 8).select(F.input_file_name().alias("f")).distinct().collect()
+    assert len({re.search(r"h0=(\d+)", r.f).group(1) for r in scanned}) == 1
+    # a plain join on both keys prunes at run time
+    joined = stored.join(mask.select("h8", "h0"), ["h8", "h0"], "left_semi")
+    assert "dynamicpruning" in plan(joined).lower()
+
+
+def test_a_mask_too_large_to_broadcast_gives_the_same(spark, sf, monkeypatch):
+    values, mask = inputs.value_hex(spark, sf), inputs.mask_hex(spark, sf)
+    small = joins.clip_to_mask(values, mask, 8, F.col("region") == "ASIA")
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 1)
+    large = joins.clip_to_mask(values, mask, 8, F.col("region") == "ASIA")
+    assert "broadcast" in plan(small).lower() and "ResolvedHint" not in plan(large)
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
 
 
 def test_column_pruning_and_pushdown(spark, sf):
@@ -54,9 +69,8 @@ def test_salted_join_equals_plain_join(spark, how):
 
 def test_small_side_checks_its_size(spark):
     df = spark.range(100)
-    assert sizing.is_small(df, 100) and not sizing.is_small(df, 99)
-    assert "broadcast" in plan(sizing.small_side(df, 100)).lower()
-    assert "broadcast" not in plan(sizing.small_side(df, 99)).lower()
+    assert "strategy=broadcast" in plan(sizing.small_side(df, 100))
+    assert "strategy=broadcast" not in plan(sizing.small_side(df, 99))
 
 
 def test_global_rank_averages_ties(spark):

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hexweave.functions import icosahedron as ico
-from hexweave.functions.cells import as_column
+from hexweave.functions.cells import BASE_CELL_COUNT, PENTAGON_BASE_CELLS, as_column
+from hexweave.functions.tilemath import HALF_WORLD_M
 
 AREA_UNITS = {
     "km^2": ico.EARTH_RADIUS_KM**2,
@@ -85,19 +86,23 @@ def cell_area(h: Column | str, unit: str = "km^2") -> Column:
     return run(as_column(h))
 
 
+def _rings(h: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Closed boundary (n, 13, 3), mask of its real points, mask of NULL cells."""
+    cells, missing = _cells(h)
+    vectors, real = ico.ring(cells)
+    # a pentagon has no point in some slots, so its first corner is looked up
+    first = np.take_along_axis(vectors, real.argmax(axis=1)[:, None, None], axis=1)
+    vectors = np.concatenate([vectors, first], axis=1)
+    real = np.concatenate([real, np.ones((len(cells), 1), dtype=bool)], axis=1)
+    return vectors, real & ~missing[:, None], missing
+
+
 def cell_boundary(h: Column | str) -> Column:
     """Closed ring of the cell as ``array<struct<x, y>>`` in lon/lat order."""
 
     @F.arrow_udf("array<struct<x:double,y:double>>")
     def run(h: pa.Array) -> pa.Array:
-        cells, missing = _cells(h)
-        vectors, real = ico.ring(cells)
-        vectors = np.concatenate([vectors, vectors[:, :2]], axis=1)
-        # close the ring with its first corner, which is slot 1 or 2 at a pentagon
-        first = np.zeros((len(cells), 2), dtype=bool)
-        vectors[:, 12] = np.take_along_axis(vectors, real.argmax(axis=1)[:, None, None], axis=1)[:, 0]
-        first[:, 0] = True
-        real = np.concatenate([real, first], axis=1) & ~missing[:, None]
+        vectors, real, missing = _rings(h)
         lat, lng = ico.to_latlng(vectors[real])
         points = pa.StructArray.from_arrays([pa.array(lng), pa.array(lat)], ["x", "y"])
         return _lists(points, real, missing)
@@ -105,28 +110,46 @@ def cell_boundary(h: Column | str) -> Column:
     return run(as_column(h))
 
 
+def _boundary_wkt(h: pa.Array) -> pa.Array:
+    vectors, real, missing = _rings(h)
+    lat, lng = ico.to_latlng(vectors)
+    texts = [
+        None if skip else "POLYGON ((" + ", ".join(f"{x:.6f} {y:.6f}" for x, y in zip(xs[keep], ys[keep])) + "))"
+        for xs, ys, keep, skip in zip(lng, lat, real, missing)
+    ]
+    return pa.array(texts, pa.string())
+
+
+def cell_boundary_wkt(h: Column | str) -> Column:
+    """The closed ring as POLYGON text with six decimals."""
+    return F.arrow_udf(_boundary_wkt, "string")(as_column(h))
+
+
 def grid_disk(h: Column | str, k: int = 1) -> Column:
     """Array of the cells within ``k`` steps of a cell, itself included, ascending."""
 
     @F.arrow_udf("array<bigint>")
     def run(h: pa.Array) -> pa.Array:
-        cells, missing = _cells(h)
-        row = np.arange(len(cells))
-        found = np.stack([row, cells], axis=1)
-        edge = found
-        for _ in range(k):
-            near, real = ico.neighbours(edge[:, 1])
-            step = np.stack([np.repeat(edge[:, 0], 6), near.reshape(-1)], axis=1)[real.reshape(-1)]
-            edge = np.unique(step, axis=0)
-            found = np.unique(np.concatenate([found, edge]), axis=0)
-        found = found[~missing[found[:, 0]]]
-        sizes = np.bincount(found[:, 0], minlength=len(cells))
-        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(found[:, 1]), mask=pa.array(missing))
+        return _disk(h, k)
 
     return run(as_column(h))
 
 
+def _disk(h: pa.Array, k: int) -> pa.Array:
+    cells, missing = _cells(h)
+    found = np.stack([np.arange(len(cells)), cells], axis=1)
+    edge = found
+    for _ in range(k):
+        near, real = ico.neighbours(edge[:, 1])
+        step = np.stack([np.repeat(edge[:, 0], 6), near.reshape(-1)], axis=1)[real.reshape(-1)]
+        edge = np.unique(step, axis=0)
+        found = np.unique(np.concatenate([found, edge]), axis=0)
+    found = found[~missing[found[:, 0]]]
+    sizes = np.bincount(found[:, 0], minlength=len(cells))
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(found[:, 1]), mask=pa.array(missing))
+
+
 def with_centers(df: DataFrame, h: str) -> DataFrame:
     """``df`` with ``lat`` and ``lng`` of its cells, from one geometry call per row."""
     return (
@@ -140,12 +163,27 @@ def register(spark: SparkSession) -> None:
 
     Bit functions become SQL functions, which Spark inlines as expressions.
     """
+    pentagons = ", ".join(f"{b}L" for b in PENTAGON_BASE_CELLS)
     sql = {
         "h3_get_resolution(h BIGINT) RETURNS INT": "CAST(shiftright(h, 52) & 15 AS INT)",
         "h3_cell_to_parent(h BIGINT, res INT) RETURNS BIGINT": (
             f"CASE WHEN (shiftright(h, 52) & 15) >= res THEN (h & {~(15 << 52)}L) | shiftleft(CAST(res AS BIGINT), 52)"
             " | (shiftleft(1L, 3 * (15 - res)) - 1L) END"
         ),
+        "h3_cell_to_children(h BIGINT, res INT) RETURNS ARRAY<BIGINT>": (
+            "reduce(IF(res > (shiftright(h, 52) & 15), sequence(CAST(shiftright(h, 52) & 15 AS INT) + 1, res), array()),"
+            " array(h), (found, r) -> flatten(transform(found, c -> transform("
+            f" IF(array_contains(array({pentagons}), shiftright(c, 45) & 127)"
+            " AND (c & 35184372088831L) = shiftleft(1L, 3 * (16 - r)) - 1L, array(0, 2, 3, 4, 5, 6), array(0, 1, 2, 3, 4, 5, 6)),"
+            " d -> c + 4503599627370496L - (7 - d) * shiftleft(1L, 3 * (15 - r))))))"
+        ),
+        "h3_get_res0_cells() RETURNS ARRAY<BIGINT>": (
+            f"transform(sequence(0L, {BASE_CELL_COUNT - 1}L), b -> {_ANY_CELL}L + b * 35184372088832L)"
+        ),
+        "mercator_x(lng DOUBLE) RETURNS DOUBLE": f"lng * {HALF_WORLD_M / 180.0!r}D",
+        "mercator_y(lat DOUBLE) RETURNS DOUBLE": (
+            f"ln(tan((90.0D + lat) * pi() / 360.0D)) / (pi() / 180.0D) * {HALF_WORLD_M / 180.0!r}D"
+        ),
         "h3_string_to_h3(s STRING) RETURNS BIGINT": "CAST(conv(s, 16, 10) AS BIGINT)",
         "h3_h3_to_string(h BIGINT) RETURNS STRING": "lower(hex(h))",
         "h3_great_circle_distance(lat1 DOUBLE, lng1 DOUBLE, lat2 DOUBLE, lng2 DOUBLE, unit STRING) RETURNS DOUBLE": (
@@ -198,9 +236,25 @@ def _sql_area(h: pa.Array, unit: pa.Array) -> pa.Array:
     return pa.array(out * scale, mask=missing)
 
 
+def _sql_disk(h: pa.Array, k: pa.Array) -> pa.Array:
+    parts, order = [], []
+
+    def fill(rows, steps):
+        parts.append(_disk(h.take(pa.array(rows)), int(steps)))
+        order.append(rows)
+
+    _per_value(k, fill)
+    rest = np.flatnonzero(np.asarray(k.is_null()))
+    parts.append(pa.nulls(len(rest), pa.list_(pa.int64())))
+    order.append(rest)
+    return pa.concat_arrays(parts).take(pa.array(np.argsort(np.concatenate(order), kind="stable")))
+
+
 _SQL_UDFS = [
     ("h3_latlng_to_cell", "bigint", _sql_index),
     ("h3_cell_to_lat", "double", _sql_lat),
     ("h3_cell_to_lng", "double", _sql_lng),
     ("h3_cell_area", "double", _sql_area),
+    ("h3_grid_disk", "array<bigint>", _sql_disk),
+    ("h3_cell_to_boundary_wkt", "string", _boundary_wkt),
 ]

@@ -6,7 +6,7 @@ known values and brute force instead of SQL.
 
 from pyspark.sql import functions as F
 
-from hexweave.functions.geodesy import cell_area, cell_boundary, grid_disk, register, with_centers
+from hexweave.functions.geodesy import cell_area, cell_boundary, cell_boundary_wkt, grid_disk, register, with_centers
 from hexweave.operators import measures as m
 from hexweave.operators import places as pl
 from hexweave.operators import pyramid as py
@@ -44,6 +44,11 @@ def cell_boundary_(spark, sf):
     return cells(spark, sf).withColumn("ring", cell_boundary("h8"))
 
 
+@query("cell_boundary_wkt")
+def cell_boundary_wkt_(spark, sf):
+    return cells(spark, sf).withColumn("wkt", cell_boundary_wkt("h8"))
+
+
 @query("grid_disk")
 def grid_disk_(spark, sf):
     return cells(spark, sf).select("h8", F.explode(grid_disk("h8", 2)).alias("near"))

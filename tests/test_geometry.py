@@ -116,6 +116,24 @@ def test_sql_functions(spark):
     assert row.p == (row.h & ~(15 << 52)) | (5 << 52) | ((1 << 30) - 1)
 
 
+def test_sql_families(spark):
+    gd.register(spark)
+    row = spark.sql("""
+        SELECT COUNT(*) AS n, SUM(size(h3_cell_to_children(h, 2))) AS kids, MAX(h3_cell_to_children(577762574070710271, 1)) AS one,
+               MAX(size(h3_cell_to_children(h, 0))) AS self, MAX(mercator_x(180.0D)) AS x, MAX(mercator_y(0.0D)) AS y
+        FROM (SELECT explode(c) AS h FROM (SELECT h3_get_res0_cells() AS c))""").first()
+    assert (row.n, row.kids, row.self) == (122, 2 + 120 * 49, 1) and len(row.one) == 7
+    assert row.x == pytest.approx(20037508.34) and row.y == pytest.approx(0.0, abs=1e-6)
+    rows = spark.sql("""
+        SELECT k, h3_grid_disk(h, k) AS d, h3_cell_to_boundary_wkt(h) AS wkt FROM VALUES
+        (577762574070710271, 1), (577762574070710271, 0), (CAST(NULL AS BIGINT), 1), (577762574070710271, NULL) AS t(h, k)""").collect()
+    got = {(r.k, r.d is None, r.wkt is None): r for r in rows}
+    assert len(got[(1, False, False)].d) == 7 and got[(0, False, False)].d == [577762574070710271]
+    assert (1, True, True) in got and (None, True, False) in got
+    wkt = got[(1, False, False)].wkt
+    assert wkt.startswith("POLYGON ((") and len(wkt.split(",")) == 7
+
+
 def test_dateline_cells_unwrap(spark):
     df = spark.createDataFrame([(0.0, 179.95, 5), (0.0, -179.97, 7)], "lat double, lng double, res int")
     for res in (5, 7):

@@ -110,9 +110,11 @@ def unique_cells(df: DataFrame, res: int) -> DataFrame:
 def driver_chain(
     scope: DataFrame, layer: DataFrame, values: DataFrame, res: int, aggs: Sequence[Column]
 ) -> DataFrame:
-    """Totals of ``values`` on the cells of ``layer`` that lie in a small ``scope``."""
-    cells = clip_to_mask(unique_cells(layer, res), scope, res)
-    return clip_to_mask(values, cells, res).agg(*aggs)
+    """Totals of ``values`` on the cells of ``layer`` that lie in a small ``scope``.
+
+    The scope clips the layer, and only what is left becomes the mask of the values.
+    """
+    return clip_to_mask(values, clip_to_mask(layer, scope, res), res).agg(*aggs)
 
 
 def assign_features(

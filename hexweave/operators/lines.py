@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +69,37 @@ def polygon_bins(polygons: DataFrame, ring: str) -> DataFrame:
     )
 
 
+def _candidates(polygons: DataFrame, polygon_id: str, ring: str) -> tuple[DataFrame, list[int]]:
+    """Polygons by grid square, broadcast if few, and the levels that occur (17 at most)."""
+    binned = polygon_bins(polygons.select(polygon_id, ring), ring)
+    side = small_side(binned.select(polygon_id, ring, "_box", "_level", "_bx", "_by"), 100_000)
+    return side, sorted(r["_level"] for r in side.select("_level").distinct().collect())
+
+
+def _to_square(points: DataFrame, x: str, y: str) -> DataFrame:
+    return points.withColumn("_bx", F.floor((F.col(x) + 180.0) / _span(F.col("_level")))).withColumn(
+        "_by", F.floor((F.col(y) + 90.0) / _span(F.col("_level")))
+    )
+
+
+def _inside(x: Column, y: Column, side: str, ring: str) -> Column:
+    """The polygon's box first, then the exact even-odd test."""
+    box = f"{side}._box"
+    near = x.between(F.col(f"{box}.west"), F.col(f"{box}.east")) & y.between(F.col(f"{box}.south"), F.col(f"{box}.north"))
+    return near & point_in_ring(f"{side}.{ring}", x, y)
+
+
+def _on_square(points: str, side: str) -> Column:
+    return reduce(and_, [F.col(f"{points}.{c}") == F.col(f"{side}.{c}") for c in ("_level", "_bx", "_by")])
+
+
+def _hits(points, side, levels, polygon_id, ring, x, y) -> DataFrame:
+    every = F.explode(F.array(*[F.lit(v) for v in levels]).cast("array<int>"))
+    located = _to_square(points.withColumn("_level", every), x, y).alias("p")
+    met = located.join(side.alias("s"), _on_square("p", "s") & _inside(F.col(f"p.{x}"), F.col(f"p.{y}"), "s", ring))
+    return met.select(*[F.col(f"p.`{c}`") for c in points.columns], F.col(f"s.{polygon_id}"))
+
+
 def points_in_polygons(
     points: DataFrame, polygons: DataFrame, polygon_id: str, ring: str = "ring",
     x: str = "x", y: str = "y",
@@ -75,40 +109,36 @@ def points_in_polygons(
     Candidates come from an equi-join on grid squares, then pass the polygon's box
     and the exact even-odd test. A point in several polygons gives several rows.
     """
-    binned = polygon_bins(polygons.select(polygon_id, ring), ring)
-    levels = [r["_level"] for r in binned.select("_level").distinct().collect()]
-    if not levels:
-        levels = [0]
-    side = small_side(binned.select(polygon_id, ring, "_box", "_level", "_bx", "_by"), 100_000)
-    located = (
-        points.withColumn("_level", F.explode(F.array(*[F.lit(v) for v in sorted(levels)])))
-        .withColumn("_bx", F.floor((F.col(x) + 180.0) / _span(F.col("_level"))))
-        .withColumn("_by", F.floor((F.col(y) + 90.0) / _span(F.col("_level"))))
-    )
-    return (
-        located.join(side, ["_level", "_bx", "_by"])
-        .where(F.col(x).between(F.col("_box.west"), F.col("_box.east")))
-        .where(F.col(y).between(F.col("_box.south"), F.col("_box.north")))
-        .where(point_in_ring(ring, x, y))
-        .drop("_level", "_bx", "_by", "_box", ring)
-    )
+    side, levels = _candidates(polygons, polygon_id, ring)
+    return _hits(points, side, levels, polygon_id, ring, x, y)
+
+
+def points_outside(
+    points: DataFrame, side: DataFrame, levels: list[int], ring: str, x: str, y: str
+) -> DataFrame:
+    """Points in none of the binned polygons: one anti-join per level of size."""
+    for level in levels:
+        located = _to_square(points.withColumn("_level", F.lit(level)), x, y).alias("p")
+        here = side.where(F.col("_level") == level).alias("s")
+        test = _on_square("p", "s") & _inside(F.col(f"p.{x}"), F.col(f"p.{y}"), "s", ring)
+        points = located.join(here, test, "left_anti").select(*points.columns)
+    return points
 
 
 def zonal_stats(
-    pixels: DataFrame, polygons: DataFrame, polygon_id: str, pixel_id: str, band: str = "band_1",
+    pixels: DataFrame, polygons: DataFrame, polygon_id: str, band: str = "band_1",
     ring: str = "ring", x: str = "x", y: str = "y",
 ) -> DataFrame:
     """Pixel count and mean per polygon; pixels outside all fall in a NULL group.
 
-    No-data pixels should be filtered before the call. The outside group is the
-    pixels that never appear among the matches, found by id.
+    No-data pixels should be filtered before the call.
     """
-    hits = points_in_polygons(pixels.select(pixel_id, x, y, band), polygons, polygon_id, ring, x, y)
-    missed = pixels.join(hits.select(pixel_id), pixel_id, "left_anti")
-    every = hits.select(polygon_id, band).unionByName(
-        missed.select(F.lit(None).cast(hits.schema[polygon_id].dataType).alias(polygon_id), band)
-    )
-    return every.groupBy(polygon_id).agg(
+    side, levels = _candidates(polygons, polygon_id, ring)
+    pixels = pixels.select(x, y, band)
+    hits = _hits(pixels, side, levels, polygon_id, ring, x, y).select(polygon_id, band)
+    nowhere = F.lit(None).cast(side.schema[polygon_id].dataType).alias(polygon_id)
+    missed = points_outside(pixels, side, levels, ring, x, y).select(nowhere, band)
+    return hits.unionByName(missed).groupBy(polygon_id).agg(
         F.count(F.lit(1)).alias("n_pixels"), F.avg(band).alias("mean_value")
     )
 

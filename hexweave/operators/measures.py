@@ -91,8 +91,7 @@ def unique_cells_sum(features, regions, values, res: int, by: str, col: str) ->
     Values are summed per cell and regions reduced to (cell, region) before the
     join, so no hot cell meets another one row by row.
     """
-    cells = unique_cells(features, res)
-    per_cell = aggregate_cells(clip_to_mask(values, cells, res), res, F.sum(col).alias(col))
+    per_cell = aggregate_cells(clip_to_mask(values, features, res), res, F.sum(col).alias(col))
     owned = with_h0(regions, res).select(by, *keys(res)).distinct()
     return hex_join(owned, per_cell, res).groupBy(by).agg(F.sum(col).alias(col))
 

@@ -71,13 +71,13 @@ def value_hex(spark, sf) -> DataFrame:
 def feature_hex(spark, sf) -> DataFrame:
     """Vector features tiled over overlapping cells."""
     orders = table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("_cng_fid"), F.col("o_totalprice").alias("amount"),
+        F.col("o_orderkey").alias("fid"), F.col("o_totalprice").alias("amount"),
         F.col("o_orderstatus").alias("status"),
     )
     lines = table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("_cng_fid"), cell("l_partkey", 8).alias("h8")
+        F.col("l_orderkey").alias("fid"), cell("l_partkey", 8).alias("h8")
     )
-    return _with_h0(orders.join(lines, "_cng_fid"), "h8")
+    return _with_h0(orders.join(lines, "fid"), "h8")
 
 
 def mask_hex(spark, sf) -> DataFrame:
@@ -95,13 +95,13 @@ def mask_hex(spark, sf) -> DataFrame:
 def line_hex(spark, sf) -> DataFrame:
     """Lines: full length repeated on every cell the line crosses."""
     part = table(spark, sf, "part").select(
-        F.col("p_partkey").alias("_cng_fid"), F.col("p_size").cast("double").alias("length_km"),
+        F.col("p_partkey").alias("fid"), F.col("p_size").cast("double").alias("length_km"),
         F.col("p_brand").alias("class"),
     )
     lines = table(spark, sf, "lineitem").select(
-        F.col("l_partkey").alias("_cng_fid"), cell("l_suppkey", 8).alias("h8")
+        F.col("l_partkey").alias("fid"), cell("l_suppkey", 8).alias("h8")
     )
-    return _with_h0(part.join(lines, "_cng_fid").distinct(), "h8")
+    return _with_h0(part.join(lines, "fid").distinct(), "h8")
 
 
 def fraction_hex(spark, sf) -> DataFrame:
@@ -232,7 +232,9 @@ def boxes(spark, sf) -> DataFrame:
         vertex(west, south), vertex(west + width, south), vertex(west + width, south + height),
         vertex(west, south + height), vertex(west, south),
     )
-    return table(spark, sf, "supplier", "s_suppkey").select(k.alias("aoi_id"), ring.alias("ring"))
+    return table(spark, sf, "supplier", "s_suppkey").select(
+        k.alias("aoi_id"), ring.alias("ring"), F.col("s_name").alias("name")
+    )
 
 
 def line_cells(spark, sf) -> DataFrame:
@@ -345,7 +347,7 @@ def builtin_sources(spark, sf) -> DataFrame:
         F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("http://int"), F.col("n_nationkey").cast("string"), F.lit("/")))
         .alias("metadata_url_prefix"),
     )
-    store = n.where("n_nationkey = 0").select(
+    store = n.agg(F.count(F.lit(1))).select(
         F.lit("store").alias("name"), F.lit(100).cast("bigint").alias("priority"),
         F.lit("https://data.example.org/").alias("https_prefix"), F.lit("s3://").alias("s3_prefix"),
         F.lit(None).cast("string").alias("metadata_url_prefix"),
@@ -392,8 +394,8 @@ VIEWS: dict[str, str] = {
           SELECT {cell_sql('l_partkey', 8)} AS h8, l_extendedprice AS carbon, l_linenumber AS lc_class,
                  l_suppkey AS species FROM lineitem)""",
     "feature_hex": f"""
-        SELECT _cng_fid, amount, status, h8, {_h0('h8')} FROM (
-          SELECT o_orderkey AS _cng_fid, o_totalprice AS amount, o_orderstatus AS status,
+        SELECT fid, amount, status, h8, {_h0('h8')} FROM (
+          SELECT o_orderkey AS fid, o_totalprice AS amount, o_orderstatus AS status,
                  {cell_sql('l_partkey', 8)} AS h8
           FROM orders JOIN lineitem ON o_orderkey = l_orderkey)""",
     "mask_hex": f"""
@@ -401,8 +403,8 @@ VIEWS: dict[str, str] = {
           SELECT n_name AS STUSPS, r_name AS region, {cell_sql('c_custkey', 8)} AS h8
           FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)""",
     "line_hex": f"""
-        SELECT DISTINCT _cng_fid, length_km, class, h8, {_h0('h8')} FROM (
-          SELECT p_partkey AS _cng_fid, CAST(p_size AS DOUBLE) AS length_km, p_brand AS class,
+        SELECT DISTINCT fid, length_km, class, h8, {_h0('h8')} FROM (
+          SELECT p_partkey AS fid, CAST(p_size AS DOUBLE) AS length_km, p_brand AS class,
                  {cell_sql('l_suppkey', 8)} AS h8
           FROM part JOIN lineitem ON p_partkey = l_partkey)""",
     "fraction_hex": f"""

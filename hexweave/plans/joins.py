@@ -121,12 +121,12 @@ def driver_chain(spark, sf):
 
 @query("assign_then_sum", "feature_hex mask_hex", """
     SELECT STUSPS, ROUND(SUM(o_totalprice), 2) AS o_totalprice FROM (
-      SELECT DISTINCT f._cng_fid, m.STUSPS FROM feature_hex f JOIN mask_hex m ON f.h8 = m.h8 AND f.h0 = m.h0) p
-    JOIN orders ON o_orderkey = _cng_fid GROUP BY 1""")
+      SELECT DISTINCT f.fid, m.STUSPS FROM feature_hex f JOIN mask_hex m ON f.h8 = m.h8 AND f.h0 = m.h0) p
+    JOIN orders ON o_orderkey = fid GROUP BY 1""")
 def assign_then_sum(spark, sf):
-    flat = t.table(spark, sf, "orders").withColumnRenamed("o_orderkey", "_cng_fid")
+    flat = t.table(spark, sf, "orders").withColumnRenamed("o_orderkey", "fid")
     out = j.assign_then_sum(
-        t.feature_hex(spark, sf), t.mask_hex(spark, sf), flat, 8, "_cng_fid", "STUSPS", "o_totalprice"
+        t.feature_hex(spark, sf), t.mask_hex(spark, sf), flat, 8, "fid", "STUSPS", "o_totalprice"
     )
     return out.withColumn("o_totalprice", F.round("o_totalprice", 2))
 
@@ -175,7 +175,7 @@ def points_in_polygons(spark, sf):
     FROM (SELECT * FROM pixels WHERE band_1 <> -9999) LEFT JOIN boxes ON {_INSIDE} GROUP BY 1""")
 def zonal_stats(spark, sf):
     valid = valid_values(t.pixels(spark, sf), "band_1", [-9999])
-    stats = ln.zonal_stats(valid, t.boxes(spark, sf), "aoi_id", "pixel_id")
+    stats = ln.zonal_stats(valid, t.boxes(spark, sf), "aoi_id")
     return stats.withColumn("mean_value", F.round("mean_value", 10))
 
 

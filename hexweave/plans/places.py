@@ -89,7 +89,7 @@ def overlay_share_area(spark, sf):
 
 @query("feature_centroid")
 def feature_centroid(spark, sf):
-    return pl.feature_centroid(t.line_hex(spark, sf), 8, "_cng_fid")
+    return pl.feature_centroid(t.line_hex(spark, sf), 8, "fid")
 
 
 @query("pixels_to_cells")
@@ -114,7 +114,7 @@ def value_at(spark, sf):
 
 @query("scope_by_points")
 def scope_by_points(spark, sf):
-    spots = t.boxes(spark, sf).where("aoi_id <= 3").select(F.col("ring")[0]["x"].alias("lng"), F.col("ring")[0]["y"].alias("lat"))
+    spots = t.boxes(spark, sf).select(F.col("ring")[0]["x"].alias("lng"), F.col("ring")[0]["y"].alias("lat"))
     return pl.scope_by_points(_located(spark, sf), spots, F.col("class") == "click").groupBy("h0").agg(count())
 
 
@@ -122,7 +122,7 @@ def scope_by_points(spark, sf):
 def scope_by_name(spark, sf):
     flat = t.boxes(spark, sf)
     tagged = pl.polygons_to_cells(flat, "aoi_id", 3)
-    return pl.scope_by_name(tagged, flat, "aoi_id", F.col("aoi_id").isin(7, 11), "ring").groupBy("aoi_id").agg(count("cells"))
+    return pl.scope_by_name(tagged, flat, "aoi_id", F.col("name") == "Supplier#000000007", "ring").groupBy("aoi_id").agg(count("cells"))
 
 
 @query("cell_distance")
@@ -156,7 +156,7 @@ def pyramid_bounds(spark, sf):
 @query("tile_cells_pruned")
 def tile_cells_pruned(spark, sf):
     level = with_centers(py.finest_level(_located(spark, sf), "COUNT", h="h5"), "h")
-    return tl.tile_cells(level, 5, 3, 5, 4, pl.tile_base_cells(spark, 3, 5, 4, 5))
+    return tl.tile_cells(level, 5, 3, 0, 4, pl.tile_base_cells(spark, 3, 0, 4, 5))
 
 
 @query("tile_features_cells")

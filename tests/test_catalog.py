@@ -20,28 +20,28 @@ def write_docs(spark, docs):
 
 def test_partial_catalogue(spark):
     docs = write_docs(spark, {
-        "census": {"id": "census", "title": "Census", "links": [
+        "lakes": {"id": "lakes", "title": "Lakes", "links": [
             {"rel": "child", "href": "https://x.example.org/upper.json"},
             {"rel": "child", "href": "https://x.example.org/gone.json", "title": "Lost"},
-            {"rel": "self", "href": "https://x.example.org/census.json"}]},
-        "upper": {"id": "upper", "links": [], "table:columns": [{"name": "SLDUST", "type": "string"}, {"name": "geom", "type": "binary"}],
+            {"rel": "self", "href": "https://x.example.org/lakes.json"}]},
+        "upper": {"id": "upper", "links": [], "table:columns": [{"name": "CODE", "type": "string"}, {"name": "geom", "type": "binary"}],
                   "assets": {"hex": {"href": "https://x.example.org/upper/hex/", "type": "application/x-parquet"}}},
         "broken": "{\"id\": \"bro",
     })
     table = {row.id: row for row in c.collections(docs).collect()}
-    assert set(table) == {"census", "upper"} and table["upper"].parent_id == "census" and table["upper"].title == "upper"
+    assert set(table) == {"lakes", "upper"} and table["upper"].parent_id == "lakes" and table["upper"].title == "upper"
     assert {(e.identifier, e.reason) for e in c.load_errors(docs).collect()} == {
         ("broken", "unreadable document"), ("gone (Lost)", "missing document")
     }
     columns = c.fallback_columns(c.collection_columns(docs), c.asset_columns(docs))
-    assert [row.name for row in columns.collect()] == ["SLDUST"]
+    assert [row.name for row in columns.collect()] == ["CODE"]
 
 
 def test_lookup_order(spark):
-    table = spark.createDataFrame([("census-2024-state", "a"), ("state", "b"), ("us-census", "c")], "id string, title string")
-    assert c.lookup(table, "state").first().id == "state"
-    assert c.lookup(table, "CENSUS").first().id == "census-2024-state"
-    assert c.lookup(table, "s-cen").first().id == "us-census"
+    table = spark.createDataFrame([("rivers-2020-large", "a"), ("large", "b"), ("all-rivers", "c")], "id string, title string")
+    assert c.lookup(table, "large").first().id == "large"
+    assert c.lookup(table, "RIVERS").first().id == "rivers-2020-large"
+    assert c.lookup(table, "l-riv").first().id == "all-rivers"
     assert c.lookup(table, "absent").count() == 0
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from hexweave.functions import cells as c
 from hexweave.functions import icosahedron as ico
 
-# Integer and text forms of the same base cells, in the same order.
+# Integer and text forms of the same base cells, in the same order.
 H0_INT = [
     576531121047601151, 576707042908045311, 576742227280134143, 576812596024311807, 576882964768489471,
     576953333512667135, 576988517884755967, 577094071001022463, 577164439745200127, 577199624117288959,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hexweave.functions.cells import cell_parent
 from hexweave.functions.text import geometry_columns, preview, render_columns
-from hexweave.operators import filters, joins, measures, pyramid, sizing, tiles
+from hexweave.operators import filters, joins, lines, measures, pyramid, sizing, tiles
 from hexweave.operators.places import area, index_points
 from hexweave.plans import inputs
 from hexweave.session import fresh_dir
@@ -223,3 +223,35 @@ def test_csv_and_profile(spark, sf):
     assert spark.read.option("header", True).csv(path).count() == 5
     row = hexio.dataset_profile(spark.read.parquet(f"{sf}/lineitem.parquet")).first()
     assert row.n_files == 1 and row.n_bytes > 0
+
+
+def test_points_meet_polygons_of_every_size(spark):
+    def box(w, s, e, n):
+        return [(w, s), (e, s), (e, n), (w, n), (w, s)]
+
+    shapes = [(1, box(-180.0, -90.0, 180.0, 90.0)), (2, box(0.0, 0.0, 10.0, 10.0)), (3, box(9.999, 9.999, 10.001, 10.001)), (4, box(-0.5, -0.5, 0.5, 0.5))]
+    polygons = spark.createDataFrame(shapes, "id int, ring array<struct<x:double,y:double>>")
+    points = spark.createDataFrame([(1, 10.0, 9.9995, 4.0), (2, 0.2, 0.2, 8.0), (3, -50.0, 3.0, 1.0)], "pid int, x double, y double, band_1 double")
+    got = {(r.pid, r.id) for r in lines.points_in_polygons(points, polygons, "id").collect()}
+    assert got == {(1, 1), (1, 3), (2, 1), (2, 2), (2, 4), (3, 1)}
+    stats = {r.id: (r.n_pixels, r.mean_value) for r in lines.zonal_stats(points, polygons.where("id > 1"), "id").collect()}
+    assert stats == {2: (1, 8.0), 3: (1, 4.0), 4: (1, 8.0), None: (1, 1.0)}
+    nothing = lines.zonal_stats(points, polygons.where("id > 9"), "id").collect()
+    assert [(r.id, r.n_pixels) for r in nothing] == [(None, 3)]
+
+
+def test_hot_cell_measures(spark):
+    """A third of the rows in one cell: every measure still counts all of them."""
+    rows = spark.range(30000).select(
+        inputs.cell(F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") % 700), 8).alias("h8"),
+        (F.col("id") % 4).alias("kind"), F.lit(1.0).alias("v"), F.col("id").alias("fid"),
+    )
+    mask = rows.select("h8").distinct().withColumn("name", F.lit("all"))
+    kept = joins.clip_to_mask(rows, mask, 8)
+    assert kept.count() == 30000
+    assert measures.aggregate_cells(kept, 8, F.sum("v").alias("v")).agg(F.sum("v"), F.max("v")).first()[0:2] == (30000.0, 10029.0)
+    assert measures.dominant_class(rows, 8, "kind").agg(F.max("n_rows")).first()[0] >= 2500
+    pairs = joins.assign_features(rows, mask, 8, "fid", "name")
+    assert pairs.count() == 30000
+    salted = joins.hex_join(rows, mask, 8, salts=8)
+    assert salted.count() == 30000

@@ -114,11 +114,11 @@ def _sum_levels(spark, sf):
 
 
 @query("value_stats", "value_hex", f"""{_STATS}
-    SELECT res, 'carbon' AS "column", ROUND(low, 2) AS min, ROUND(high, 2) AS max, ROUND(mean, 7) AS mean FROM stats""")
+    SELECT res, 'carbon' AS "column", ROUND(low, 2) AS min, ROUND(high, 2) AS max, ROUND(mean, 3) AS mean FROM stats""")
 def value_stats(spark, sf):
     stats = p.value_stats(_sum_levels(spark, sf), ["carbon"])
     return stats.select(
-        "res", "column", F.round("min", 2).alias("min"), F.round("max", 2).alias("max"), F.round("mean", 7).alias("mean")
+        "res", "column", F.round("min", 2).alias("min"), F.round("max", 2).alias("max"), F.round("mean", 3).alias("mean")
     )
 
 

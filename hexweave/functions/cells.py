@@ -79,10 +79,14 @@ def direct_children(h: Column) -> Column:
     )
 
 
+def _check_descent(from_res: int, to_res: int) -> None:
+    if not 0 <= from_res <= to_res <= MAX_RES:
+        raise ValueError(f"no descent from resolution {from_res} to {to_res}")
+
+
 def cell_children(h: Column | str, from_res: int, to_res: int) -> Column:
     """Array of descendants at ``to_res`` of a column of ``from_res`` cells."""
-    if to_res < from_res:
-        raise ValueError("children are finer than their parent")
+    _check_descent(from_res, to_res)
     cells = F.array(as_column(h))
     for _ in range(to_res - from_res):
         cells = F.flatten(F.transform(cells, direct_children))
@@ -91,6 +95,7 @@ def cell_children(h: Column | str, from_res: int, to_res: int) -> Column:
 
 def explode_children(df: DataFrame, h: str, from_res: int, to_res: int, out: str) -> DataFrame:
     """One row per descendant; one generator per level keeps each array at seven."""
+    _check_descent(from_res, to_res)
     df = df.withColumn(out, F.col(h))
     for _ in range(to_res - from_res):
         df = df.withColumn(out, F.explode(direct_children(F.col(out))))

@@ -61,7 +61,8 @@ def cell_center(h: Column | str) -> Column:
     def run(h: pa.Array) -> pa.Array:
         cells, missing = _cells(h)
         lat, lng = ico.to_latlng(ico.center(cells))
-        return pa.StructArray.from_arrays([pa.array(lat, mask=missing), pa.array(lng, mask=missing)], ["lat", "lng"])
+        parts = [pa.array(lat, mask=missing), pa.array(lng, mask=missing)]
+        return pa.StructArray.from_arrays(parts, ["lat", "lng"])
 
     return run(as_column(h))
 
@@ -167,8 +168,8 @@ def register(spark: SparkSession) -> None:
     sql = {
         "h3_get_resolution(h BIGINT) RETURNS INT": "CAST(shiftright(h, 52) & 15 AS INT)",
         "h3_cell_to_parent(h BIGINT, res INT) RETURNS BIGINT": (
-            f"CASE WHEN (shiftright(h, 52) & 15) >= res THEN (h & {~(15 << 52)}L) | shiftleft(CAST(res AS BIGINT), 52)"
-            " | (shiftleft(1L, 3 * (15 - res)) - 1L) END"
+            f"CASE WHEN (shiftright(h, 52) & 15) >= res THEN (h & {~(15 << 52)}L)"
+            " | shiftleft(CAST(res AS BIGINT), 52) | (shiftleft(1L, 3 * (15 - res)) - 1L) END"
         ),
         "h3_cell_to_children(h BIGINT, res INT) RETURNS ARRAY<BIGINT>": (
             "reduce(IF(res > (shiftright(h, 52) & 15), sequence(CAST(shiftright(h, 52) & 15 AS INT) + 1, res), array()),"

@@ -238,11 +238,11 @@ def check_shares(df: DataFrame, share: str, limit: float = 1.0, by: Sequence[str
 
 
 def check_invariance(f, first: int, second: int, on: Sequence[str], value: str) -> DataFrame:
-    """Difference of a measure computed at two resolutions; zero when the
+    """A measure at one resolution and its difference from another; zero when the
     coarsening is right. ``f(res)`` returns the measure per ``on``."""
-    a = f(first).withColumnRenamed(value, "_a")
-    b = f(second).withColumnRenamed(value, "_b")
-    return a.join(b, list(on)).withColumn("difference", F.col("_a") - F.col("_b")).drop("_a", "_b")
+    other = f(second).withColumnRenamed(value, "_other")
+    both = f(first).join(other, list(on))
+    return both.withColumn("difference", F.col(value) - F.col("_other")).drop("_other")
 
 
 def check_partition_key(df: DataFrame, h: str, h0: str = "h0", by: Sequence[str] = ()) -> DataFrame:

@@ -154,10 +154,9 @@ def tile_base_cells(spark: SparkSession, z: int, x: int, y: int, res: int, sampl
     dy = tm.EDGE_KM[res] / tm.KM_PER_DEGREE
     dx = dy / max(0.01, math.cos(math.radians(max(abs(north), abs(south)))))
     steps = [i / (samples - 1) for i in range(samples)]
-    grid = spark.range(samples * samples).select(
-        F.element_at(F.array(*[F.lit(south - dy + s * (north - south + 2 * dy)) for s in steps]), (F.col("id") % samples + 1).cast("int")).alias("lat"),
-        F.element_at(F.array(*[F.lit(west - dx + s * (east - west + 2 * dx)) for s in steps]), (F.floor(F.col("id") / samples) + 1).cast("int")).alias("lng"),
-    )
+    lats = F.array(*[F.lit(south - dy + s * (north - south + 2 * dy)) for s in steps])
+    lngs = F.array(*[F.lit(west - dx + s * (east - west + 2 * dx)) for s in steps])
+    grid = spark.range(1).select(F.explode(lats).alias("lat"), lngs.alias("lngs")).select("lat", F.explode("lngs").alias("lng"))
     return static_partitions(grid.select(latlng_to_cell("lat", "lng", 0).alias("h0")))
 
 
@@ -172,8 +171,8 @@ def _nodes(points: DataFrame, res: int, side: str) -> DataFrame:
 
 def _finest_needed(points: DataFrame, levels: Sequence[int], few: int = 64) -> list[int]:
     """The levels down to the first whose fullest cell holds few points."""
-    cells = F.explode(F.array(*[F.struct(F.lit(r).alias("res"), cell_parent("_cell", r).alias("h")) for r in levels]))
-    counts = points.select(cells.alias("p")).groupBy("p.res", "p.h").count()
+    cells = F.array(*[F.struct(F.lit(r).alias("res"), cell_parent("_cell", r).alias("h")) for r in levels])
+    counts = points.select(F.explode(cells).alias("p")).groupBy("p.res", "p.h").count()
     fullest = {r["res"]: r["n"] for r in counts.groupBy("res").agg(F.max("count").alias("n")).collect()}
     for i, res in enumerate(levels):
         if fullest.get(res, 0) <= few:
@@ -181,6 +180,10 @@ def _finest_needed(points: DataFrame, levels: Sequence[int], few: int = 64) -> l
     return list(levels)
 
 
+def _point(center: dict) -> Column:
+    return F.struct(F.lit(center["lat"]).alias("lat"), F.lit(center["lng"]).alias("lng"))
+
+
 def _closest(pairs: DataFrame, key: Sequence[str], d: Column, slack: Column) -> DataFrame:
     """Pairs of every key that can still hold its nearest point."""
     upper = F.min(F.col("_d") + F.col("_r")).over(Window.partitionBy(*key))
@@ -200,7 +203,7 @@ def nearest(
     by level, a left cell keeps only the right cells whose lower bound does not
     exceed its smallest upper bound, so whole regions are settled at once. The few
     cells that remain bring in their points. Equal positions are searched once; the
-    smallest id wins a tie.
+    smallest id wins a tie. ``levels`` starts at 0.
     """
     left = left.select(F.col(left_id), F.col(lat).alias("_lat"), F.col(lng).alias("_lng"))
     right = right.select(F.col(right_id), F.col(lat).alias("_lat"), F.col(lng).alias("_lng")).dropna()
@@ -210,18 +213,17 @@ def nearest(
     spots = materialize(spots.withColumn("_cell", latlng_to_cell("_lat", "_lng", levels[-1])))
     levels = _finest_needed(right, levels)
 
-    # at the top at most 122 cells a side: the right ones as a literal array
-    top = [r.asDict(True) for r in _nodes(right, levels[0], "b").limit(BASE_CELL_COUNT).collect()]
+    # the base cells of the right side, 122 at most, as a literal array
+    top = [r.asDict(True) for r in _nodes(right, 0, "b").collect()]
+    if not top:
+        return left.join(right, F.lit(False)).select(left_id, right_id, F.lit(None).cast("double").alias("distance_km"))
     others = F.array(*[
-        F.struct(
-            F.lit(r["b_h"]).alias("b_h"), F.struct(F.lit(r["b_c"]["lat"]).alias("lat"), F.lit(r["b_c"]["lng"]).alias("lng")).alias("b_c"),
-            F.lit(r["b_reach"]).alias("b_reach"),
-        )
+        F.struct(F.lit(r["b_h"]).alias("b_h"), _point(r["b_c"]).alias("b_c"), F.lit(r["b_reach"]).alias("b_reach"))
         for r in top
     ])
     between = great_circle("a_c.lat", "a_c.lng", "b_c.lat", "b_c.lng")
     both = F.col("a_reach") + F.col("b_reach")
-    pairs = _nodes(spots, levels[0], "a").withColumn("_o", F.explode(others)).select("*", "_o.*")
+    pairs = _nodes(spots, 0, "a").withColumn("_o", F.explode(others)).select("*", "_o.*")
     pairs = _closest(pairs, ["a_h"], between, both)
     for up, res in zip(levels, levels[1:]):
         pairs = pairs.select(F.col("a_h").alias("a_up"), F.col("b_h").alias("b_up"))
@@ -233,7 +235,9 @@ def nearest(
     cells = pairs.select("a_h", "b_h", "b_c", "b_reach")
     here = spots.select("_lat", "_lng", cell_parent("_cell", last).alias("a_h")).join(cells, "a_h")
     here = _closest(here, ["_lat", "_lng"], great_circle("_lat", "_lng", "b_c.lat", "b_c.lng"), F.col("b_reach"))
-    there = right.select(cell_parent("_cell", last).alias("b_h"), F.col("_lat").alias("_rlat"), F.col("_lng").alias("_rlng"), right_id)
+    there = right.select(
+        cell_parent("_cell", last).alias("b_h"), F.col("_lat").alias("_rlat"), F.col("_lng").alias("_rlng"), right_id
+    )
     km = great_circle("_lat", "_lng", "_rlat", "_rlng")
     best = here.select("_lat", "_lng", "b_h").join(there, "b_h").groupBy("_lat", "_lng").agg(
         F.min(F.struct(km.alias("_km"), F.col(right_id))).alias("_b")

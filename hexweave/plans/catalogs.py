@@ -141,8 +141,9 @@ def parent_index(spark, sf):
 
 @query("collection_record", "kids", """
     SELECT 'group-' || s_suppkey AS id, s_name AS title, 0 AS n_assets, 4 AS n_children, 1 AS n_links,
-           CAST(NULL AS VARCHAR) AS first_href FROM supplier
-    UNION ALL SELECT id, s_name || ' part ' || j, 4, 0, 0, CASE WHEN k % 2 = 0 THEN storage ELSE root END || '/flat.parquet'
+           CAST(NULL AS VARCHAR) AS first_href, CAST(NULL AS VARCHAR) AS first_endpoint, 0 AS n_columns FROM supplier
+    UNION ALL SELECT id, s_name || ' part ' || j, 4, 0, 0, CASE WHEN k % 2 = 0 THEN storage ELSE root END || '/flat.parquet',
+           CASE WHEN k % 2 = 1 THEN 'minio.example.edu' END, CASE WHEN j <> 2 THEN 4 ELSE 0 END
     FROM kids WHERE NOT broken""")
 def collection_record(spark, sf):
     records = c.collection_records(t.documents(spark, sf), t.builtin_sources(spark, sf))
@@ -154,6 +155,8 @@ def collection_record(spark, sf):
         "id", F.get_json_object("record", "$.title").alias("title"), size("$.assets").alias("n_assets"),
         size("$.children").alias("n_children"), size("$.links").alias("n_links"),
         F.get_json_object("record", "$.assets[0].href").alias("first_href"),
+        F.get_json_object("record", "$.assets[0].s3_endpoint").alias("first_endpoint"),
+        size("$.assets[0]['table:columns']").alias("n_columns"),
     )
 
 

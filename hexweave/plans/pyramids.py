@@ -82,9 +82,15 @@ def pyramid_distinct_exact(spark, sf):
     return p.distinct_levels(t.value_hex(spark, sf), "h8", "species", 8, 5)
 
 
-@query("pyramid_distinct_sketch")
+@query("pyramid_distinct_sketch", "value_hex", " UNION ALL ".join(
+    f"SELECT {r} AS res, {parent_sql('h8', r)} AS h, COUNT(DISTINCT species) AS n_distinct, TRUE AS sketch_is_close "
+    "FROM value_hex GROUP BY 1, 2" for r in (5, 6, 7, 8)))
 def pyramid_distinct_sketch(spark, sf):
-    return p.sketch_levels(t.value_hex(spark, sf), "h8", "species", 8, 5)
+    values = t.value_hex(spark, sf)
+    sketch = p.sketch_levels(values, "h8", "species", 8, 5, "sketch")
+    both = p.distinct_levels(values, "h8", "species", 8, 5).join(sketch, ["res", "h"])
+    close = F.abs(F.col("sketch") / F.col("n_distinct") - 1) < 0.1
+    return both.select("res", "h", "n_distinct", close.alias("sketch_is_close"))
 
 
 @query("detect_resolution", "value_hex land_grid", """

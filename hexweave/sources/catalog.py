@@ -239,6 +239,7 @@ def refresh(previous: DataFrame, current: DataFrame) -> DataFrame:
 def collection_records(docs: DataFrame, sources: DataFrame) -> DataFrame:
     """Every collection as one JSON record with storage paths instead of hrefs.
 
+    Queryable assets on unknown hosts keep their href and get a route hint.
     Assets are regrouped by the document they came from, so a group is never
     larger than one input row.
     """
@@ -246,7 +247,13 @@ def collection_records(docs: DataFrame, sources: DataFrame) -> DataFrame:
     each = parsed.select("path", F.posexplode("doc.assets").alias("position", "asset_id", "a"))
     flat = each.select(F.col("path").alias("doc_path"), "position", "asset_id", "a.*")
     paths = rewrite(flat, "href", sources, out="storage")
-    entry = F.struct("position", "asset_id", F.col("storage").alias("href"), "type", "title", "description")
+    unknown = F.col("storage").startswith("http") & is_queryable("href", F.coalesce("type", F.lit("")))
+    paths = paths.withColumn("hint", F.when(unknown, route_hint("storage")))
+    entry = F.struct(
+        "position", "asset_id", F.col("storage").alias("href"), "type", "title", "description",
+        F.col("hint.path").alias("s3_href"), F.col("hint.endpoint").alias("s3_endpoint"),
+        F.col("hint.scope").alias("s3_scope"), "file:size", "h3:native_resolution", "table:columns",
+    )
     grouped = paths.groupBy(F.col("doc_path").alias("path")).agg(F.sort_array(F.collect_list(entry)).alias("assets"))
     links = F.filter("doc.links", lambda l: ~l["rel"].isin(NAVIGATION))
     children = F.transform(F.filter("doc.links", lambda l: l["rel"] == "child"), lambda l: l["href"])
@@ -257,6 +264,7 @@ def collection_records(docs: DataFrame, sources: DataFrame) -> DataFrame:
         F.col("doc.providers").alias("providers"), F.col("doc.extent").alias("extent"),
         links.alias("links"),
         F.transform("assets", lambda a: a.dropFields("position")).alias("assets"),
+        F.col("doc.`table:columns`").alias("table:columns"),
         children.alias("children"),
     )
     return parsed.join(grouped, "path", "left").select(F.col("doc.id").alias("id"), F.to_json(record).alias("record"))

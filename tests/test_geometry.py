@@ -198,3 +198,9 @@ def test_nearest_matches_brute_force(spark):
         v = ico.from_latlng(np.array([lat]), np.array([lng]))[0]
         d = 2 * np.arcsin(np.linalg.norm(vb - v, axis=1) / 2) * c.EARTH_RADIUS_KM
         assert got[i][1] == pytest.approx(d.min(), abs=1e-6)
+
+
+def test_nearest_of_nothing(spark):
+    left = spark.createDataFrame([(1, 0.0, 0.0)], "aid int, lat double, lng double")
+    right = spark.createDataFrame([], "bid int, lat double, lng double")
+    assert pl.nearest(left, right, "aid", "bid").collect() == []

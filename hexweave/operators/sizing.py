@@ -45,13 +45,8 @@ def hot_keys(df: DataFrame, on: Sequence[str], share: float = 0.001) -> DataFram
     task. NULL keys match nothing and are left out.
     """
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).dropna(subset=list(on))
-    total = df.agg((F.count(F.lit(1)) * share).alias("_floor"))
-    return (
-        counts.withColumn("_k", F.lit(1))
-        .join(F.broadcast(total.withColumn("_k", F.lit(1))), "_k")
-        .where("_n > _floor")
-        .select(*on)
-    )
+    floor = df.agg(F.count(F.lit(1)) * share)
+    return counts.where(F.col("_n") > floor.scalar()).select(*on)
 
 
 def salted_join(

@@ -171,7 +171,6 @@ def ramp_stops(spark, sf):
     , sums AS (SELECT h8, SUM(carbon) AS c FROM value_hex GROUP BY 1), s AS (SELECT MIN(c) AS low, MAX(c) AS high FROM sums)
     SELECT CAST(greatest(0, least(5, floor((c - low) / (high - low) * 5))) AS INT) AS bin, COUNT(*) AS n FROM sums, s GROUP BY 1""")
 def ramp_bin(spark, sf):
-    sums = t.value_hex(spark, sf).groupBy("h8").agg(F.sum("carbon").alias("c")).withColumn("_k", F.lit(1))
-    ends = sums.groupBy("_k").agg(F.min("c").alias("low"), F.max("c").alias("high"))
-    binned = sums.join(F.broadcast(ends), "_k").select(p.ramp_bin(F.col("c"), F.col("low"), F.col("high")).alias("bin"))
-    return binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    sums = t.value_hex(spark, sf).groupBy("h8").agg(F.sum("carbon").alias("c"))
+    low, high = sums.agg(F.min("c")).scalar(), sums.agg(F.max("c")).scalar()
+    return sums.groupBy(p.ramp_bin(F.col("c"), low, high).alias("bin")).agg(F.count(F.lit(1)).alias("n"))

@@ -203,12 +203,9 @@ def fallback_columns(collection_cols: DataFrame, columns: DataFrame) -> DataFram
 
 def list_collections(collection_table: DataFrame, errors: DataFrame) -> DataFrame:
     """Every collection with its kind, and the number that failed to load."""
-    failed = errors.agg(F.count(F.lit(1)).alias("n_failed")).withColumn("_k", F.lit(1))
+    failed = errors.agg(F.count(F.lit(1)))
     kind = F.when(F.col("parent_id").isNull(), "parent").otherwise("child")
-    return (
-        collection_table.select("id", "title", kind.alias("kind"), F.lit(1).alias("_k"))
-        .join(F.broadcast(failed), "_k").drop("_k")
-    )
+    return collection_table.select("id", "title", kind.alias("kind"), failed.scalar().alias("n_failed"))
 
 
 def lookup(collection_table: DataFrame, key: str) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +33,26 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per application.
+
+    Functions that run in tasks refer to their module by name, so a worker that was not started in
+    this folder could not import them otherwise.
+    """
+    context, package = spark.sparkContext, Path(__file__).resolve().parent
+    name = f"{package.name}-{context.applicationId}.zip"
+    if any(str(path).endswith(name) for path in context._python_includes):
+        return spark
+    content = io.BytesIO()
+    with zipfile.ZipFile(content, "w", zipfile.ZIP_DEFLATED) as archive:
+        for path in sorted(package.rglob("*.py")):
+            archive.write(path, path.relative_to(package.parent))
+    target = Path(tempfile.mkdtemp(prefix="hexweave-ship-")) / name
+    target.write_bytes(content.getvalue())
+    context.addPyFile(str(target))  # the driver serves it to every executor
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
 

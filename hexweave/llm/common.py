@@ -37,14 +37,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_trust(docs: DataFrame, labels: DataFrame, columns: Sequence[str], limit: int) -> DataFrame:
     """``columns`` of every document and ``_trusted``: labelled good and not toxic.
 
-    At most ``limit`` trusted ids are taken, those with the smallest hashes, so that the side
-    that is broadcast has a bound (8 bytes an id) whatever the corpus.
+    About ``limit`` trusted ids are taken at most, a share of them by hash, so that the side that is
+    broadcast has a bound (8 bytes an id) whatever the corpus.
     """
     good = (
         labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0))
         .select(F.col("doc_id").alias("_id")).where("_id is not null").distinct()
-        .orderBy(F.xxhash64("_id"), "_id").limit(limit).withColumn("_trusted", F.lit(True))
     )
+    total = good.count()
+    if total > limit:
+        good = good.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(1_000_000 * limit / total))
+    good = good.withColumn("_trusted", F.lit(True))
     docs = pick(docs, *columns)
     return (
         docs.join(F.broadcast(good), F.col("doc_id") == F.col("_id"), "left")

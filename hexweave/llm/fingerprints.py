@@ -58,11 +58,11 @@ def fingerprint(text: Column) -> Column:
         hashes = F.transform(paragraphs, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b")))
 
         def whole(h: Column) -> Column:
-            lanes = [
-                F.aggregate(h, F.lit(0).cast("long"), lambda s, x, k=k: s + _mask(F.xxhash64(x["a"], x["b"], F.lit(k)), 32))
-                for k in range(WHOLE)
-            ]
-            return F.array(*[_mask(x, 32) for x in lanes])
+            def lane(k: int) -> Column:
+                values = F.transform(h, lambda x: _mask(F.xxhash64(x["a"], x["b"], F.lit(k)), 32))
+                return _mask(F.aggregate(values, F.lit(0).cast("long"), lambda s, x: s + x), 32)
+
+            return F.array(*[lane(k) for k in range(WHOLE)])
 
         def parts(runs: Column) -> Column:
             # The low bits choose the stratum, further bits the lane and the value.

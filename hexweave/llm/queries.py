@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexweave.llm import fingerprints, kneser_ney, packing, pieces
+from hexweave.llm import fingerprints, kneser_ney, packing, pieces, suffixes
 from hexweave.llm import private_data as pii
 from hexweave.llm.common import pick, table
 from hexweave.llm.line_dedup import line_dedup, line_dedup_sql
@@ -51,6 +51,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@query
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.suffix_dedup(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 @query
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fingerprints.with_edits(table(spark, sf_dir, "documents"))

@@ -14,6 +14,7 @@ of pieces, so a length that a third of all pieces share is spread over many task
 from __future__ import annotations
 
 import os
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,16 +38,37 @@ END = np.array([0], "<u4").tobytes()
 # --- pieces ------------------------------------------------------------------
 
 
+# Words of these letters are lower case and composed already, and one pre-token each.
+PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+# Marks that part from an ASCII letter before them, whatever follows; none is in a special token.
+PARTING = np.zeros(256, bool)
+PARTING[list(b".,;:!?$#*%&")] = True
+
+
 @lru_cache(maxsize=1)
 def _coder(path: str) -> Coder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
-
-    def encode(chunks: list[str]) -> list[bytes]:
-        coded = tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.array(c.ids, "<u4").tobytes() for c in coded]
+    merge = tokenizer.model.tokenize
+    spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+    letters = {ord(c): spell(c)[0][0] for c in map(chr, range(0xDF, 0x100)) if c != "÷"}
+
+    def encode(chunks: list[str]) -> list[list[int]]:
+        words = [c.strip(" ") for c in chunks]
+        out: list[list[int]] = [[]] * len(words)
+        rest = []
+        for i, word in enumerate(words):
+            if PLAIN(word):
+                out[i] = [t.id for t in merge(word if word.isascii() else word.translate(letters))]
+            else:
+                rest.append(i)
+        for i, coded in zip(rest, tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = coded.ids
+        return out
 
     return Coder(encode)
 
@@ -54,19 +76,25 @@ def _coder(path: str) -> Coder:
 def _encode(coder: Coder, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after the other, and where each text's begin.
 
-    The tokenizer drops white space and never joins over it, so texts are cut there.
+    The tokenizer drops white space and never joins over it, so texts are cut there. It lowers case, but
+    for special tokens, which it looks for first: case is lowered here where none can be.
     """
     content, offsets = raw(texts)
     if not len(content):
         return np.zeros(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
     blank = (content == 32) | ((content >= 9) & (content <= 13))
     content = np.where(blank, np.uint8(32), content)
+    if b"<|" not in content.tobytes():
+        content = LOWER[content]
+    low = content | 32
     begins = blank.copy()
     begins[1:] &= ~blank[:-1]
+    begins[1:] |= PARTING[content[1:]] & (low[:-1] >= 97) & (low[:-1] <= 122)
     begins[offsets[:-1][np.diff(offsets) > 0]] = True
     starts = np.flatnonzero(begins)
     chunks, codes = chunked(content, starts)
-    flat, ends = ragged(*coder.table(chunks), codes)
+    table, places, numbers = coder.table(chunks)
+    flat, ends = ragged(table, places, numbers[codes])
     return flat, ends[np.searchsorted(starts, offsets)]
 
 

@@ -51,28 +51,51 @@ class Vocabulary:
         self.id = {self.text[i]: i for i in plain}
         # Runs of spaces share the lowest score, so their merges come last, from the left.
         self.runs = {i: len(self.text[i]) for i in plain if set(self.text[i]) == {SPACE}}
-        self.longest_run = max(self.runs.values(), default=1)
+        self.rank |= dict.fromkeys(self.runs, len(order))
         self.split = {}
         self.usable = [i for i in plain if self._resolve(i)]
-        self.alphabet_has_newline = any("\n" in self.text[i] for i in plain)
+        self.joins = self._joins()
 
-    def _resolve(self, i: int) -> bool:
-        """Find the last merge of a piece by merging its characters; whether they give the piece."""
-        if i in self.runs or len(self.text[i]) == 1:
-            return True
-        parts = list(self.text[i])
-        while len(parts) > 1:
+    def merged(self, parts: list[str], until: int = 1) -> list[str]:
+        """The symbols left when the best merge, the leftmost of equals, is done again and again."""
+        parts = list(parts)
+        while len(parts) > until:
             best, at = None, -1
             for k in range(len(parts) - 1):
                 j = self.id.get(parts[k] + parts[k + 1])
                 if j is not None and (best is None or self.rank[j] < best):
                     best, at = self.rank[j], k
             if best is None:
-                return False
-            if len(parts) == 2:
-                self.split[i] = (self.id[parts[0]], self.id[parts[1]])
+                break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return True
+        return parts
+
+    def _resolve(self, i: int) -> bool:
+        """Find the last merge of a piece from its characters; whether they give the piece."""
+        if i in self.runs or len(self.text[i]) == 1:
+            return True
+        parts = self.merged(list(self.text[i]), 2)
+        if len(parts) == 2:
+            self.split[i] = (self.id[parts[0]], self.id[parts[1]])
+        return len(parts) == 2
+
+    def _joins(self) -> np.ndarray:
+        """Whether a piece may reach over two neighbouring bytes; only ASCII pairs and blanks are looked into."""
+        out = np.ones((256, 256), bool)
+        out[:128, :128] = False
+        inside = set()
+        for i in self.usable:
+            text = self.text[i].replace(SPACE, " ")
+            for a, b in zip(text, text[1:], strict=False):
+                inside |= {(a, b), (a, ""), ("", b)}
+                if a.isascii() and b.isascii():
+                    out[ord(a), ord(b)] = True
+        for c in range(128):
+            if not any(not a.isascii() for a, b in inside if a and b == chr(c)):
+                out[128:, c] = False
+            if not any(not b.isascii() for a, b in inside if b and a == chr(c)):
+                out[c, 128:] = False
+        return out
 
 
 class _Pairs:
@@ -93,7 +116,7 @@ class _Pairs:
         v = self.v
         if a in v.runs:
             if b in v.runs:
-                return v.runs[a] == v.longest_run
+                return v.merged([SPACE] * (v.runs[a] + v.runs[b])) == [v.text[a], v.text[b]]
             if v.text[b][0] == SPACE:
                 return True
             a = self.space
@@ -156,8 +179,8 @@ class Encoder:
                 at -= self.length[i]
         return out[::-1]
 
-    def many(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(self.chunk(c.replace(" ", SPACE)), "<u4").tobytes() for c in chunks]
+    def many(self, chunks: list[str]) -> list[list[int]]:
+        return [self.chunk(c.replace(" ", SPACE)) for c in chunks]
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text's begin; no begin or end ids."""
@@ -168,17 +191,13 @@ class Encoder:
         content, offsets = raw(texts)
         if not len(content):
             return np.zeros(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
-        space = content == 32
-        begins = space.copy()
-        begins[1:] &= ~space[:-1]
-        if not self.v.alphabet_has_newline:
-            line = content == 10
-            begins |= line
-            begins[1:] |= line[:-1]
+        begins = np.zeros(len(content), bool)
+        begins[1:] = ~self.v.joins[content[:-1], content[1:]]
         begins[offsets[:-1][np.diff(offsets) > 0]] = True
         starts = np.flatnonzero(begins)
         chunks, codes = chunked(content, starts)
-        flat, ends = ragged(*self.coder.table(chunks), codes)
+        table, places, numbers = self.coder.table(chunks)
+        flat, ends = ragged(table, places, numbers[codes])
         return flat, ends[np.searchsorted(starts, offsets)]
 
 

@@ -8,6 +8,7 @@ Python code; all else is array work on the batch.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ import pyarrow.compute as pc
 
 # Bytes of text worked on at once, and distinct chunks kept per worker: bounds on memory, not on work.
 SLICE_BYTES = 4 << 20
-MEMO = 300_000
+MEMO = 700_000
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
@@ -63,17 +64,25 @@ def ragged(flat: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np
 class Coder:
     """Ids of chunks, each distinct one computed once as long as it is remembered."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self.encode, self.known = encode, {}
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
+        self.encode = encode
+        self.forget()
 
-    def table(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all chunks one after the other, and offsets."""
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.offsets = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def table(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all remembered chunks one after the other, offsets, and the number of each given chunk."""
+        if len(self.known) > MEMO:
+            self.forget()
         known = self.known
         new = [c for c in chunks if c not in known]
-        if len(known) + len(new) > MEMO:
-            known.clear()
-            new = chunks
-        known.update(zip(new, self.encode(new), strict=True))
-        coded = [known[c] for c in chunks]
-        offsets = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int64)
-        return np.frombuffer(b"".join(coded), "<u4"), offsets
+        if new:
+            coded = self.encode(new)
+            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+            lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+            ids = np.fromiter(chain.from_iterable(coded), np.uint32, int(lengths.sum()))
+            self.flat = np.concatenate([self.flat, ids])
+            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(lengths)])
+        return self.flat, self.offsets, np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))

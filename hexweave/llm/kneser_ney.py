@@ -22,7 +22,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hexweave.llm.common import with_trust
+from hexweave.llm.common import whole_row, with_trust
 from hexweave.llm.subwords import raw, slices
 from hexweave.session import fresh_dir
 
@@ -209,13 +209,13 @@ def classify(
     thresholds(scored, quantile, margin).write.parquet(folder)
     limits = spark.read.schema("lang string, limit double").parquet(folder)
     overall = limits.where("lang is null").agg(F.max("limit").alias("limit"))
-    out = docs.withColumn("_entropy", entropy(F.col("text"), table)).join(
-        limits.where("lang is not null").select(F.col("lang").alias("_lang"), F.col("limit").alias("_limit")),
-        F.col("lang") == F.col("_lang"), "left",
+    rows = docs.select(whole_row(docs), F.col("lang").alias("_lang"), entropy(F.col("text"), table).alias("entropy"))
+    out = rows.join(
+        limits.where("lang is not null").select("lang", F.col("limit").alias("own")), F.col("_lang") == F.col("lang"), "left"
     )
-    limit = F.coalesce("_limit", overall.scalar())
-    kept = F.col("_entropy").isNotNull() & F.coalesce(F.col("_entropy") <= limit, F.lit(True))
+    limit = F.coalesce("own", overall.scalar())
+    kept = F.col("entropy").isNotNull() & F.coalesce(F.col("entropy") <= limit, F.lit(True))
     return out.select(
-        *[F.col(f"`{c}`") for c in docs.columns], F.round(F.exp("_entropy"), 4).alias("perplexity"),
+        *[F.col(f"row.`{c}`") for c in docs.columns], F.round(F.exp("entropy"), 4).alias("perplexity"),
         F.round(F.exp(limit), 4).alias("threshold"), kept.alias("kept"),
     )

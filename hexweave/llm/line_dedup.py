@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hexweave.llm.common import let
+from hexweave.llm.common import let, whole_row
 from hexweave.session import fresh_dir
 
 RATIO = 0.05
@@ -59,25 +59,28 @@ def line_dedup(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_
     boilerplate(docs, host, ratio, min_pages).write.parquet(path)
     table = docs.sparkSession.read.schema("_host string, _drop array<binary>").parquet(path)
 
+    text, drop = F.col("row.text"), F.col("_drop")
+
     def cut(lines: Column) -> Column:
         worded = F.size(F.filter(lines, _has_word))
-        kept = F.filter(lines, lambda x: ~(_has_word(x) & F.array_contains(F.col("_drop"), F.unhex(F.md5(x)))))
+        kept = F.filter(lines, lambda x: ~(_has_word(x) & F.array_contains(drop, F.unhex(F.md5(x)))))
 
         def chosen(k: Column) -> Column:
             left = F.size(F.filter(k, _has_word))
-            spare = F.col("_drop").isNull() | (left == 0) | (left == worded)
+            spare = drop.isNull() | (left == 0) | (left == worded)
             return F.struct(
-                F.when(spare, F.col("text")).otherwise(F.array_join(k, "\n")).alias("text"),
+                F.when(spare, text).otherwise(F.array_join(k, "\n")).alias("text"),
                 worded.cast("long").alias("n_lines"),
                 F.when(spare, F.lit(0)).otherwise(worded - left).cast("long").alias("n_dropped"),
             )
 
-        return F.when(F.col("_drop").isNull(), chosen(lines)).otherwise(let(kept, chosen))
+        return F.when(drop.isNull(), chosen(lines)).otherwise(let(kept, chosen))
 
-    joined = docs.withColumn("_host", F.coalesce(F.col(f"`{host}`"), F.lit(""))).join(table, "_host", "left")
-    cut_docs = joined.withColumn("_cut", let(_lines(F.col("text")), cut))
-    columns = [F.col("_cut.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return cut_docs.select(*columns, "_cut.n_lines", "_cut.n_dropped")
+    # The row travels as one struct: no name of its columns can clash.
+    rows = docs.select(whole_row(docs), F.coalesce(F.col(f"`{host}`"), F.lit("")).alias("_host"))
+    cut_rows = rows.join(table, "_host", "left").withColumn("cut", let(_lines(text), cut))
+    columns = [F.col("cut.text").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]
+    return cut_rows.select(*columns, "cut.n_lines", "cut.n_dropped")
 
 
 def line_dedup_sql(ratio: float = RATIO, min_pages: int = MIN_PAGES) -> str:

@@ -194,6 +194,12 @@ def find_private(
     The base spans are written once to the shared folder, since three later steps read them; a text is
     written only where it holds an entity, unless ``carry`` asks for it.
     """
+    out = _spans(docs, carry, disclosure, support, near)
+    return out.select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(carry)], "_text", "spans")
+
+
+def _spans(docs: DataFrame, carry: Sequence[str], disclosure: float, support: int, near: int) -> DataFrame:
+    """``find_private`` with the carried columns as c_0, c_1, ..."""
     carried = [F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(carry)]
     base = docs.select(
         F.xxhash64("doc_id", "text").alias("_key"), *carried, base_spans(F.col("text"), near).alias("spans"), "text"
@@ -212,8 +218,7 @@ def find_private(
     added = found(F.col("_text"), TERM, KINDS.index("term"), lambda v: F.array_contains(F.col("_terms"), F.lower(v)))
     spans = F.when(F.col("_terms").isNotNull(), F.sort_array(F.concat("spans", added))).otherwise(F.col("spans"))
     with_entity = base.where(F.size("spans") > 0).join(revealed, "_key", "left").withColumn("spans", spans)
-    out = with_entity.select(*base.columns).unionByName(base.where(F.size("spans") == 0))
-    return out.select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(carry)], "_text", "spans")
+    return with_entity.select(*base.columns).unionByName(base.where(F.size("spans") == 0))
 
 
 def spelled(spans: Column) -> Column:
@@ -246,8 +251,13 @@ def _piece(text: Column, span: Column, before: Column) -> Column:
     return F.when(span["start"] >= before, F.concat(plain, mark)).otherwise(F.lit(""))
 
 
-def sanitise(docs: DataFrame, **settings: float) -> DataFrame:
+def sanitise(
+    docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, near: int = NEAR
+) -> DataFrame:
     """``docs`` with the spans of ``find_private`` generalised in ``text``; all columns and rows stay."""
-    out = find_private(docs, docs.columns, **settings)
-    text = sanitised(F.col("_text"), F.col("spans"))
-    return out.withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text"))).select(*docs.columns)
+    out = _spans(docs, docs.columns, disclosure, support, near)
+    clean = F.when(F.size("spans") > 0, sanitised(F.col("_text"), F.col("spans")))
+    return out.select(*[
+        (F.coalesce(clean, F.col(f"c_{i}")) if c == "text" else F.col(f"c_{i}")).alias(c)
+        for i, c in enumerate(docs.columns)
+    ])

@@ -110,10 +110,17 @@ def cell_to_string(h: Column | str) -> Column:
     return F.lower(F.hex(as_column(h)))
 
 
+_RES0_FIXED = _MODE | ((1 << 45) - 1)
+
+
 def res0_cell(base: Column | str) -> Column:
     """Id of a resolution-0 cell from its base-cell number (0..121)."""
-    fixed = _MODE | ((1 << 45) - 1)
-    return as_column(base).cast("bigint") * F.lit(1 << 45) + F.lit(fixed)
+    return as_column(base).cast("bigint") * F.lit(1 << 45) + F.lit(_RES0_FIXED)
+
+
+def res0_id(base: int) -> int:
+    """The same for a number in Python."""
+    return base * (1 << 45) + _RES0_FIXED
 
 
 def great_circle(lat1, lng1, lat2, lng2, unit: str = "km") -> Column:

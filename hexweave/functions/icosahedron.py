@@ -38,17 +38,30 @@ FACES = np.array([
     [-1.307747883455638156, -0.604647643711872080, 3.664438879055192436],
     [-1.054751253523952054, 1.794075294689396615, 2.361378999196363184],
 ])
-# Fixed values of the grid. Per base cell 0..121: home face and the cell's i, j, k
-# coordinates on it.
-HOMES = """
-1100 2110 1000 2100 0200 1110 1001 2000 0100 2010 1010 1011 3100 3110 11200 4100 0000 6010 0001 2011
-7001 2001 0110 6001 10200 6000 3000 11100 4110 3010 0011 4000 5010 0010 7010 11110 7000 10100 12200 6101
-7101 4001 3001 3011 4010 6100 11000 8001 5001 14200 5000 12100 10110 4011 12110 7100 11010 10000 13200 10001
-11001 9010 8010 6200 8000 9001 14100 5101 16011 8101 5100 12000 7200 12010 10010 9000 13100 16001 15011 15010
-16010 14110 13110 5200 8100 14000 9101 14001 17001 12001 16000 17011 15001 16101 9100 15000 13000 8200 13010 17101
-19010 14010 19011 17010 13001 17000 16100 9200 15101 15100 18011 18001 19001 17100 19000 18010 18101 19200 19100 18000
-19101 18100
-""".split()
+# Fixed values of the grid. Per base cell 0..121: home face and the cell's i, j, k coordinates on it.
+HOMES = np.array([
+    (1, 1, 0, 0), (2, 1, 1, 0), (1, 0, 0, 0), (2, 1, 0, 0), (0, 2, 0, 0), (1, 1, 1, 0),
+    (1, 0, 0, 1), (2, 0, 0, 0), (0, 1, 0, 0), (2, 0, 1, 0), (1, 0, 1, 0), (1, 0, 1, 1),
+    (3, 1, 0, 0), (3, 1, 1, 0), (11, 2, 0, 0), (4, 1, 0, 0), (0, 0, 0, 0), (6, 0, 1, 0),
+    (0, 0, 0, 1), (2, 0, 1, 1), (7, 0, 0, 1), (2, 0, 0, 1), (0, 1, 1, 0), (6, 0, 0, 1),
+    (10, 2, 0, 0), (6, 0, 0, 0), (3, 0, 0, 0), (11, 1, 0, 0), (4, 1, 1, 0), (3, 0, 1, 0),
+    (0, 0, 1, 1), (4, 0, 0, 0), (5, 0, 1, 0), (0, 0, 1, 0), (7, 0, 1, 0), (11, 1, 1, 0),
+    (7, 0, 0, 0), (10, 1, 0, 0), (12, 2, 0, 0), (6, 1, 0, 1), (7, 1, 0, 1), (4, 0, 0, 1),
+    (3, 0, 0, 1), (3, 0, 1, 1), (4, 0, 1, 0), (6, 1, 0, 0), (11, 0, 0, 0), (8, 0, 0, 1),
+    (5, 0, 0, 1), (14, 2, 0, 0), (5, 0, 0, 0), (12, 1, 0, 0), (10, 1, 1, 0), (4, 0, 1, 1),
+    (12, 1, 1, 0), (7, 1, 0, 0), (11, 0, 1, 0), (10, 0, 0, 0), (13, 2, 0, 0), (10, 0, 0, 1),
+    (11, 0, 0, 1), (9, 0, 1, 0), (8, 0, 1, 0), (6, 2, 0, 0), (8, 0, 0, 0), (9, 0, 0, 1),
+    (14, 1, 0, 0), (5, 1, 0, 1), (16, 0, 1, 1), (8, 1, 0, 1), (5, 1, 0, 0), (12, 0, 0, 0),
+    (7, 2, 0, 0), (12, 0, 1, 0), (10, 0, 1, 0), (9, 0, 0, 0), (13, 1, 0, 0), (16, 0, 0, 1),
+    (15, 0, 1, 1), (15, 0, 1, 0), (16, 0, 1, 0), (14, 1, 1, 0), (13, 1, 1, 0), (5, 2, 0, 0),
+    (8, 1, 0, 0), (14, 0, 0, 0), (9, 1, 0, 1), (14, 0, 0, 1), (17, 0, 0, 1), (12, 0, 0, 1),
+    (16, 0, 0, 0), (17, 0, 1, 1), (15, 0, 0, 1), (16, 1, 0, 1), (9, 1, 0, 0), (15, 0, 0, 0),
+    (13, 0, 0, 0), (8, 2, 0, 0), (13, 0, 1, 0), (17, 1, 0, 1), (19, 0, 1, 0), (14, 0, 1, 0),
+    (19, 0, 1, 1), (17, 0, 1, 0), (13, 0, 0, 1), (17, 0, 0, 0), (16, 1, 0, 0), (9, 2, 0, 0),
+    (15, 1, 0, 1), (15, 1, 0, 0), (18, 0, 1, 1), (18, 0, 0, 1), (19, 0, 0, 1), (17, 1, 0, 0),
+    (19, 0, 0, 0), (18, 0, 1, 0), (18, 1, 0, 1), (19, 2, 0, 0), (19, 1, 0, 0), (18, 0, 0, 0),
+    (19, 1, 0, 1), (18, 1, 0, 0),
+])
 PLANE_UNIT = 0.38196601125010500003
 TURN = math.asin(math.sqrt(3.0 / 28.0))
 EARTH_RADIUS_KM = 6371.007180918475
@@ -134,9 +147,9 @@ def unfold(face: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return face, p
 
 
-_HOME_FACE = np.array([int(s[:-3]) for s in HOMES])
-_HOME_A = np.array([int(s[-3]) - int(s[-1]) for s in HOMES])
-_HOME_B = np.array([int(s[-2]) - int(s[-1]) for s in HOMES])
+_HOME_FACE = HOMES[:, 0]
+_HOME_A = HOMES[:, 1] - HOMES[:, 3]
+_HOME_B = HOMES[:, 2] - HOMES[:, 3]
 _HOME_POS = _HOME_A + _HOME_B * W
 PENTAGONS = np.flatnonzero(np.abs(_HOME_POS) > 1.5)
 _IS_PENTAGON = np.zeros(122, dtype=bool)

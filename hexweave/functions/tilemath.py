@@ -31,7 +31,9 @@ def mercator_x(lng) -> Column:
 
 
 def mercator_y(lat) -> Column:
-    half_angle = (F.lit(90.0) + as_column(lat)) * F.lit(math.pi / 360.0)
+    """Mercator metres; latitudes beyond the projection's limit count as the limit."""
+    lat = F.greatest(F.lit(-LAT_LIMIT), F.least(F.lit(LAT_LIMIT), as_column(lat)))
+    half_angle = (F.lit(90.0) + lat) * F.lit(math.pi / 360.0)
     return F.ln(F.tan(half_angle)) / F.lit(math.pi / 180.0) * F.lit(HALF_WORLD_M / 180.0)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hexweave.functions.cells import BASE_CELL_COUNT, cell_from_string, cell_parent, column_name
-from hexweave.operators.sizing import BROADCAST_ROWS, salted_join
+from hexweave.operators.sizing import salted_join
 from hexweave.session import materialize
 
 
@@ -65,32 +65,21 @@ def clip_to_mask(
 ) -> DataFrame:
     """Rows of ``df`` inside the mask, before any aggregation.
 
-    The mask's distinct cells are written once. Their base cells, at most 122,
-    become a literal filter that prunes the directories of ``df`` at planning time;
-    the cells themselves are the boundary, in a semi join that broadcasts them only
-    when their counted number allows.
+    One aggregate finds the mask's base cells, at most 122, which become a literal filter that prunes the
+    directories of ``df`` at planning time. The cells themselves are the boundary, in a semi join on the
+    mask as it is: Spark broadcasts them if it knows that they are few. Give a mask that is costly to
+    compute as a written table (`hexweave.session.materialize`).
 
     The base cell alone is a storage key as large as a continent, so a mask at
     resolution 0 is refused.
     """
     if res == 0:
         raise ValueError("h0 is a storage key, not a boundary: clip at a finer resolution")
-    cells = materialize(mask_cells(mask, res, where).dropna())
-    per_base = _base_cell_counts(cells)
-    if sum(per_base.values()) <= BROADCAST_ROWS:
-        cells = F.broadcast(cells)
-    near = with_h0(df, res).where(F.col("h0").isin(sorted(per_base)))
+    cells = mask_cells(mask, res, where).dropna()
+    near = with_h0(df, res).where(F.col("h0").isin(static_partitions(cells)))
     return near.join(cells, keys(res), "left_semi")
 
 
-def _base_cell_counts(df: DataFrame) -> dict[int, int]:
-    """Rows per h0: 122 numbers at most, or the column is not a base cell."""
-    rows = df.where("h0 is not null").groupBy("h0").count().limit(BASE_CELL_COUNT + 1).collect()
-    if len(rows) > BASE_CELL_COUNT:
-        raise ValueError("more distinct h0 values than base cells")
-    return {r["h0"]: r["count"] for r in rows}
-
-
 def join_resolutions(
     fine: DataFrame, coarse: DataFrame, fine_res: int, coarse_res: int, aggs: Sequence[Column]
 ) -> DataFrame:
@@ -112,9 +101,10 @@ def driver_chain(
 ) -> DataFrame:
     """Totals of ``values`` on the cells of ``layer`` that lie in a small ``scope``.
 
-    The scope clips the layer, and only what is left becomes the mask of the values.
+    The scope clips the layer, and only what is left becomes the mask of the values. That mask is
+    written once, since its base cells are needed before the values are read.
     """
-    return clip_to_mask(values, clip_to_mask(layer, scope, res), res).agg(*aggs)
+    return clip_to_mask(values, materialize(mask_cells(clip_to_mask(layer, scope, res), res), "chain"), res).agg(*aggs)
 
 
 def assign_features(
@@ -159,5 +149,8 @@ def features_in_mask(df: DataFrame, mask: DataFrame, res: int, feature_id: str,
 
 
 def static_partitions(mask: DataFrame) -> list[int]:
-    """The mask's base cells, sorted, as literals for a static partition filter."""
-    return sorted(_base_cell_counts(mask))
+    """The mask's base cells, sorted, as literals for a static partition filter: 122 at most."""
+    rows = mask.where("h0 is not null").select("h0").distinct().limit(BASE_CELL_COUNT + 1).collect()
+    if len(rows) > BASE_CELL_COUNT:
+        raise ValueError("more distinct h0 values than base cells")
+    return sorted(r["h0"] for r in rows)

@@ -72,7 +72,7 @@ def polygon_bins(polygons: DataFrame, ring: str) -> DataFrame:
 def _candidates(polygons: DataFrame, polygon_id: str, ring: str) -> tuple[DataFrame, list[int]]:
     """Polygons by grid square, broadcast if few, and the levels that occur (17 at most)."""
     binned = polygon_bins(polygons.select(polygon_id, ring), ring)
-    side = small_side(binned.select(polygon_id, ring, "_box", "_level", "_bx", "_by"), 100_000)
+    side = small_side(binned.select(polygon_id, ring, "_box", "_level", "_bx", "_by"))
     return side, sorted(r["_level"] for r in side.select("_level").distinct().collect())
 
 

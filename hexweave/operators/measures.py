@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hexweave.functions.cells import cell_parent, column_name
 from hexweave.operators.filters import is_valid
-from hexweave.operators.joins import clip_to_mask, hex_join, keys, unique_cells, with_h0
+from hexweave.operators.joins import clip_to_mask, hex_join, keys, unique_cells, with_h0, with_parent
 from hexweave.operators.sizing import global_rank
 from hexweave.session import materialize
 
@@ -132,14 +132,18 @@ def overlay_share(
 ) -> DataFrame:
     """Share of a layer, in percent, that a partial-coverage layer covers.
 
-    Both fractions and the area stay inside one sum: ``sum(frac * weight * area) /
+    A cell that the land grid has more than once counts once, with the largest of its values. Both
+    fractions and the area stay inside one sum: ``sum(frac * weight * area) /
     sum(frac * area)`` over the cells of the land grid. ``land`` may carry the area
     as a column; ``area`` may use any column of it or of the cell.
     """
     group = _cols(by)
     part = F.sum(frac) if frac else F.max(F.lit(1.0))
     cells = with_h0(feature, res).groupBy(*group, *keys(res)).agg(part.alias("_frac"))
-    bounded = hex_join(cells, with_h0(land, res).dropDuplicates(keys(res)), res)
+    land = with_h0(land, res)
+    rest = [c for c in land.columns if c not in keys(res)]
+    land = land.groupBy(*keys(res)).agg(*[F.max(c).alias(c) for c in rest]) if rest else land.select(*keys(res)).distinct()
+    bounded = hex_join(cells, land, res)
     covered = hex_join(bounded, with_h0(weights, res).withColumn("_w", weight).select(*keys(res), "_w"), res, "left")
     base = F.col("_frac") * area
     total = F.sum(base * F.coalesce(F.col("_w"), F.lit(0.0)))
@@ -153,9 +157,7 @@ def presence_share(
     """Mean presence, in percent, over the land children of a coarser feature's cells."""
     group = _cols(by)
     cells = with_h0(feature, coarse).select(*dict.fromkeys([*group, *keys(coarse)])).distinct()
-    if column_name(coarse) not in land.columns:
-        land = land.withColumn(column_name(coarse), cell_parent(column_name(fine), coarse, fine))
-    grid = with_h0(land, fine).select(*dict.fromkeys([column_name(coarse), *keys(fine)])).distinct()
+    grid = with_h0(with_parent(land, fine, coarse), fine).select(*dict.fromkeys([column_name(coarse), *keys(fine)])).distinct()
     here = unique_cells(presence, fine).withColumn("_here", F.lit(1.0))
     children = hex_join(hex_join(cells, grid, coarse), here, fine, "left")
     flag = F.avg(F.coalesce(F.col("_here"), F.lit(0.0)))

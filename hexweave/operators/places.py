@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hexweave.functions import icosahedron as ico
 from hexweave.functions import tilemath as tm
 from hexweave.functions.cells import (
-    BASE_CELL_COUNT, cell_parent, column_name, direct_children, great_circle, res0_cell,
+    BASE_CELL_COUNT, cell_parent, column_name, direct_children, great_circle, res0_id,
 )
 from hexweave.functions.geodesy import cell_area, cell_center, grid_disk, latlng_to_cell, with_centers
 from hexweave.functions.geometry import bounds, point_in_ring
@@ -69,24 +70,35 @@ def scope_by_points(df: DataFrame, points: DataFrame, where: Column, lat: str =
     return df.where(F.col("h0").isin(nearby_base_cells(points, lat, lng)) & where)
 
 
+def base_cell_centers() -> Column:
+    """The 122 base cells with their centres, as a literal array."""
+    cells = [res0_id(b) for b in range(BASE_CELL_COUNT)]
+    lats, lngs = ico.to_latlng(ico.center(np.array(cells, np.int64)))
+    return F.array(*[
+        F.struct(F.lit(h).cast("bigint").alias("h0"), F.lit(float(lat)).alias("lat"), F.lit(float(lng)).alias("lng"))
+        for h, lat, lng in zip(cells, lats, lngs, strict=True)
+    ])
+
+
+def base_cells_of_boxes(boxes: DataFrame, box: str) -> list[int]:
+    """Base cells that hold a cell whose centre can lie in one of the boxes.
+
+    All 122 centres are tested against every box, widened by the reach of a base cell, so a box of any size is
+    covered whole. ``box`` has west, south, east and north.
+    """
+    b = F.col(box)
+    hit = F.filter(base_cell_centers(), lambda c: _near_box(c, b, _reach(0)))
+    return static_partitions(boxes.select(F.explode(F.transform(hit, lambda c: c["h0"])).alias("h0")))
+
+
 def scope_by_name(df: DataFrame, flat: DataFrame, feature_id: str, where: Column, line: str) -> DataFrame:
     """Rows of the features a predicate on the flat table selects.
 
-    The corners and the middle of the features' boxes give the partitions to read;
-    the ids give the rows.
+    The features' boxes give the partitions to read; the ids give the rows.
     """
     found = flat.where(where).select(feature_id, bounds(line).alias("b"))
-    spots = F.array(*[
-        F.struct(y.alias("lat"), x.alias("lng"))
-        for x, y in [
-            (F.col("b.west"), F.col("b.south")), (F.col("b.west"), F.col("b.north")),
-            (F.col("b.east"), F.col("b.south")), (F.col("b.east"), F.col("b.north")),
-            ((F.col("b.west") + F.col("b.east")) / 2, (F.col("b.south") + F.col("b.north")) / 2),
-        ]
-    ])
-    points = found.select(F.explode(spots).alias("s")).select("s.lat", "s.lng")
-    near = df.where(F.col("h0").isin(nearby_base_cells(points)))
-    return near.join(small_side(found.select(feature_id).distinct()), feature_id, "left_semi")
+    near = df.where(F.col("h0").isin(base_cells_of_boxes(found, "b")))
+    return near.join(found.select(feature_id).distinct(), feature_id, "left_semi")
 
 
 def cell_distance(df: DataFrame, a: str, b: str, unit: str = "km", out: str = "distance") -> DataFrame:
@@ -108,21 +120,26 @@ def polygons_to_cells(
     planar in lon/lat and must not cross the antimeridian.
     """
     boxes = polygons.select(polygon_id, bounds(ring).alias("_box"))
-    every = F.array(*[res0_cell(F.lit(b)) for b in range(BASE_CELL_COUNT)])
-    level = boxes.withColumn("_h", F.explode(every))
-    for r in range(res + 1):
-        if r:
-            level = level.withColumn("_h", F.explode(direct_children(F.col("_h"))))
-        # descendants' centres lie within about 1.1 edges, and cells stretch by 1.3
-        reach = 1.6 * tm.EDGE_KM[r] / tm.KM_PER_DEGREE if r < res else 0.0
-        level = level.withColumn("_c", cell_center("_h")).where(_near_box(F.col("_c"), F.col("_box"), reach))
+    box = F.col("_box")
+    start = F.filter(base_cell_centers(), lambda c: _near_box(c, box, _reach(0) if res else 0.0))
+    level = boxes.withColumn("_h", F.explode(F.transform(start, lambda c: c["h0"])))
+    for r in range(1, res + 1):
+        level = level.withColumn("_h", F.explode(direct_children(F.col("_h"))))
+        level = level.withColumn("_c", cell_center("_h")).where(_near_box(F.col("_c"), box, _reach(r) if r < res else 0.0))
         if r in spread_at:
             level = level.repartition(shuffle_width(level.sparkSession), polygon_id, "_h")
-    rings = small_side(polygons.select(polygon_id, ring), 10_000)
+    if not res:
+        level = level.withColumn("_c", cell_center("_h"))
+    rings = small_side(polygons.select(polygon_id, ring))
     inside = level.join(rings, polygon_id).where(point_in_ring(ring, F.col("_c.lng"), F.col("_c.lat")))
     return inside.select(polygon_id, F.col("_h").alias(column_name(res)), cell_parent("_h", 0).alias("h0"))
 
 
+def _reach(res: int) -> float:
+    """Degrees within which a cell's descendants have their centres: about 1.1 edges, and cells stretch by 1.3."""
+    return 1.6 * tm.EDGE_KM[res] / tm.KM_PER_DEGREE
+
+
 def _near_box(c: Column, box: Column, reach: float) -> Column:
     """Centre within ``reach`` degrees of a box, measured along the sphere."""
     lat_ok = c["lat"].between(box["south"] - reach, box["north"] + reach)
@@ -135,29 +152,16 @@ def _near_box(c: Column, box: Column, reach: float) -> Column:
     return lat_ok & (within(0.0) | within(360.0) | within(-360.0))
 
 
-def tile_base_cells(spark: SparkSession, z: int, x: int, y: int, res: int, samples: int = 8) -> list[int]:
-    """Base cells that a tile's padded box can touch.
-
-    All of them up to zoom 2; beyond that a grid of sample points is enough, since
-    a tile is then no wider than a few base cells.
-    """
-    base = spark.range(BASE_CELL_COUNT).select(res0_cell("id").alias("h0"))
-    if z <= 2:
-        return static_partitions(base)
-    n = 2.0**z
-
-    def lat(row: float) -> float:
-        return math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * row / n))))
-
-    west, east = x / n * 360.0 - 180.0, (x + 1) / n * 360.0 - 180.0
-    north, south = lat(y), lat(y + 1)
-    dy = tm.EDGE_KM[res] / tm.KM_PER_DEGREE
-    dx = dy / max(0.01, math.cos(math.radians(max(abs(north), abs(south)))))
-    steps = [i / (samples - 1) for i in range(samples)]
-    lats = F.array(*[F.lit(south - dy + s * (north - south + 2 * dy)) for s in steps])
-    lngs = F.array(*[F.lit(west - dx + s * (east - west + 2 * dx)) for s in steps])
-    grid = spark.range(1).select(F.explode(lats).alias("lat"), lngs.alias("lngs")).select("lat", F.explode("lngs").alias("lng"))
-    return static_partitions(grid.select(latlng_to_cell("lat", "lng", 0).alias("h0")))
+def tile_base_cells(spark: SparkSession, z: int, x: int, y: int, res: int) -> list[int]:
+    """Base cells with a cell in the tile's padded box: the cover of that box, on any zoom."""
+    box = tm.tile_bounds(F.lit(z), F.lit(x), F.lit(y))
+    dy = tm.pad_lat(F.lit(res))
+    dx = tm.pad_lng(F.lit(res), F.greatest(F.abs(box["north"]), F.abs(box["south"])))
+    padded = F.struct(
+        (box["west"] - dx).alias("west"), (box["south"] - dy).alias("south"),
+        (box["east"] + dx).alias("east"), (box["north"] + dy).alias("north"),
+    )
+    return base_cells_of_boxes(spark.range(1).select(padded.alias("b")), "b")
 
 
 def _nodes(points: DataFrame, res: int, side: str) -> DataFrame:
@@ -203,7 +207,8 @@ def nearest(
     by level, a left cell keeps only the right cells whose lower bound does not
     exceed its smallest upper bound, so whole regions are settled at once. The few
     cells that remain bring in their points. Equal positions are searched once; the
-    smallest id wins a tie. ``levels`` starts at 0.
+    smallest id wins a tie. A left row without coordinates, and every row if the right side has none,
+    gets NULL. ``levels`` starts at 0.
     """
     left = left.select(F.col(left_id), F.col(lat).alias("_lat"), F.col(lng).alias("_lng"))
     right = right.select(F.col(right_id), F.col(lat).alias("_lat"), F.col(lng).alias("_lng")).dropna()
@@ -216,7 +221,8 @@ def nearest(
     # the base cells of the right side, 122 at most, as a literal array
     top = [r.asDict(True) for r in _nodes(right, 0, "b").collect()]
     if not top:
-        return left.join(right, F.lit(False)).select(left_id, right_id, F.lit(None).cast("double").alias("distance_km"))
+        nobody = F.lit(None).cast(right.schema[right_id].dataType)
+        return left.select(left_id, nobody.alias(right_id), F.lit(None).cast("double").alias("distance_km"))
     others = F.array(*[
         F.struct(F.lit(r["b_h"]).alias("b_h"), _point(r["b_c"]).alias("b_c"), F.lit(r["b_reach"]).alias("b_reach"))
         for r in top
@@ -243,7 +249,7 @@ def nearest(
         F.min(F.struct(km.alias("_km"), F.col(right_id))).alias("_b")
     )
     found = best.select("_lat", "_lng", F.col(f"_b.{right_id}").alias(right_id), F.col("_b._km").alias("distance_km"))
-    return left.join(found, ["_lat", "_lng"]).select(left_id, right_id, "distance_km")
+    return left.join(found, ["_lat", "_lng"], "left").select(left_id, right_id, "distance_km")
 
 
 # Covers rounding in the distance bounds.

@@ -9,35 +9,19 @@ from pyspark.sql import functions as F
 
 from hexweave.session import materialize
 
-# Two bigint key columns at this many rows are some tens of megabytes.
-BROADCAST_ROWS = 1_000_000
+def small_side(df: DataFrame) -> DataFrame:
+    """``df`` as a written table, whose bytes Spark knows when it plans the join.
 
-
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Write ``df`` to the shared folder, count it, and broadcast it if small.
-
-    Writing first means the count does not run the lineage a second time. A larger
-    table is returned as it was written and meets the other side in a shuffle join,
-    whose skewed partitions AQE splits.
+    Below ``spark.sql.autoBroadcastJoinThreshold`` it is broadcast; a larger table meets the other side in
+    a shuffle join, whose skewed partitions AQE splits. Writing also keeps its lineage from running twice.
     """
-    df = materialize(df)
-    return F.broadcast(df) if df.count() <= max_rows else df
+    return materialize(df, "side")
 
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread(scan: DataFrame, *on: str) -> DataFrame:
-    """A scan with fewer splits than cores, spread over the cores.
-
-    For work that is heavy per row on a table of few files; a table with enough
-    splits is returned as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *on)
-
-
 def hot_keys(df: DataFrame, on: Sequence[str], share: float = 0.001) -> DataFrame:
     """Keys that hold more than ``share`` of the rows: at most ``1 / share`` of them.
 
@@ -59,19 +43,25 @@ def salted_join(
 ) -> DataFrame:
     """Equi-join whose hot left keys are spread over ``salts`` tasks.
 
-    Rows of a hot key get a salt from a hash of the row, and only the matching
-    right rows are copied per salt, so the result is exactly the plain join's.
-    The list of hot keys is bounded by ``1 / share`` and is broadcast.
+    Equal rows of a hot key are first counted together, since they would share one salt; each of the
+    rows that are left gets a salt from its hash, and only the matching right rows are copied per salt, so
+    the result is exactly the plain join's. The list of hot keys is made once, is bounded by
+    ``1 / share`` and is broadcast.
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError("salted_join spreads the left side: inner, left or left_semi")
     on = list(on)
-    hot = F.broadcast(hot_keys(left, on, share).withColumn("_hot", F.lit(True)))
+    hot = F.broadcast(materialize(hot_keys(left, on, share).withColumn("_hot", F.lit(True)), "hot"))
     plain = [
         f.name for f in left.schema.fields
         if f.dataType.typeName() not in ("map", "variant")
     ]
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.lit(salts)).cast("int")
+    columns = left.columns
+    if len(plain) == len(columns):
+        left = left.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.count(F.lit(1)).cast("int").alias("_copies"))
+    else:  # maps cannot be grouped by
+        left = left.withColumn("_copies", F.lit(1))
     left = (
         left.join(hot, on, "left")
         .withColumn("_salt", F.coalesce(F.when(F.col("_hot"), spread), F.lit(0)))
@@ -79,7 +69,9 @@ def salted_join(
     )
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     right = right.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    joined = left.join(right, [*on, "_salt"], how).drop("_salt")
+    once = F.sequence(F.lit(1), F.col("_copies"))
+    return joined.withColumn("_copy", F.explode(once)).drop("_copies", "_copy")
 
 
 def global_rank(df: DataFrame, col: str, out: str, buckets: int = 32) -> DataFrame:

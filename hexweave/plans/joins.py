@@ -156,7 +156,7 @@ def cross_header(spark, sf):
     headers = t.raster_headers(spark, sf).select(
         "raster", F.get_json_object("transform", "$[1]").cast("double").alias("step")
     )
-    pixels = t.pixels(spark, sf).join(small_side(headers, 100_000), "raster")
+    pixels = t.pixels(spark, sf).join(small_side(headers), "raster")
     return pixels.groupBy("raster").agg(F.round(F.avg(F.col("y") / F.col("step")), 4).alias("mean_row"), count())
 
 
@@ -185,7 +185,7 @@ def zonal_stats(spark, sf):
 def pixel_area(spark, sf):
     meta = F.concat(F.lit('{"transform":'), "transform", F.lit("}"))
     headers = t.raster_headers(spark, sf).select("raster", meta.alias("metadata"))
-    pixels = valid_values(t.pixels(spark, sf), "band_1", [-9999]).join(small_side(headers, 100_000), "raster")
+    pixels = valid_values(t.pixels(spark, sf), "band_1", [-9999]).join(small_side(headers), "raster")
     return pixels.groupBy("raster").agg(
         F.round(F.sum(ln.pixel_area("y", "metadata")) / 10000, 4).alias("hectares")
     )

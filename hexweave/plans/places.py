@@ -127,9 +127,9 @@ def scope_by_name(spark, sf):
 
 @query("cell_distance")
 def cell_distance(spark, sf):
-    pairs = t.coarse_feature(spark, sf).join(t.value_hex(spark, sf).select("h8", "h0").distinct(), "h0")
-    first = pairs.groupBy("h6").agg(F.min("h8").alias("h8"))
-    return pl.cell_distance(first, "h6", "h8")
+    first = t.value_hex(spark, sf).groupBy("h0").agg(F.min("h8").alias("h8"))  # one row per base cell
+    pairs = t.coarse_feature(spark, sf).select("h6", "h0").distinct().join(first, "h0")
+    return pl.cell_distance(pairs.select("h6", "h8"), "h6", "h8")
 
 
 @query("nearest", "points boxes", """
@@ -161,7 +161,7 @@ def tile_cells_pruned(spark, sf):
 
 @query("tile_features_cells")
 def tile_features_cells(spark, sf):
-    level = with_centers(py.finest_level(_located(spark, sf), "COUNT", h="h5"), "h").where("abs(lat) < 85")
+    level = with_centers(py.finest_level(_located(spark, sf), "COUNT", h="h5"), "h")
     tiles = tl.build_tiles(level.withColumn("outline", cell_boundary("h")), 5, [3, 5])
     return tiles.select("z", "x", "y", "h", "count", tl.mercator_ring("outline", "lng").alias("ring"))
 

@@ -124,13 +124,14 @@ def values_scope(spark, sf):
 
 
 @query("int_range", sql="""
-    SELECT i, COUNT(o_orderkey) AS n FROM (SELECT unnest(range(0, 61)) AS i) LEFT JOIN orders
+    SELECT i, COUNT(o_orderkey) AS n FROM (SELECT unnest(range(0, (SELECT CAST(floor(MAX(o_totalprice) / 10000) AS BIGINT) + 1 FROM orders))) AS i) LEFT JOIN orders
     ON i = CAST(floor(o_totalprice / 10000) AS BIGINT) GROUP BY i""")
 def int_range(spark, sf):
     prices = t.table(spark, sf, "orders").groupBy(F.floor(F.col("o_totalprice") / 10000).alias("i")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    return spark.range(61).withColumnRenamed("id", "i").join(prices, "i", "left").select(
+    top = prices.agg(F.max("i")).first()[0]
+    return spark.range(0 if top is None else int(top) + 1).withColumnRenamed("id", "i").join(prices, "i", "left").select(
         "i", F.coalesce("n", F.lit(0)).alias("n")
     )
 
@@ -168,7 +169,7 @@ def preview_(spark, sf):
 def render(spark, sf):
     n = F.col("l_linenumber")
     tiny = F.when(n == 1, float("nan")).when(n != 2, F.col("l_extendedprice") / 7e9 / n)
-    df = t.table(spark, sf, "lineitem", "l_orderkey").select(
+    df = t.table(spark, sf, "lineitem").select(
         "l_orderkey", n, (F.col("l_extendedprice") * F.col("l_discount")).alias("price"), tiny.alias("tiny"),
         "l_shipdate", F.col("l_shipdate").cast("date").alias("day"), F.col("l_quantity").cast("decimal(12,3)").alias("quantity"),
         F.when(n != 3, F.col("l_partkey")).alias("part"), F.encode(F.lit("x"), "utf-8").alias("geom"),

@@ -6,7 +6,10 @@ from hexweave.functions import cells as c
 from hexweave.functions import geodesy as gd
 from hexweave.functions import icosahedron as ico
 from hexweave.functions.geometry import length_inside, planar_length, point_in_ring, to_wkt, unwrap_dateline, vertex
+from hexweave.functions.cells import cell_parent, direct_children, res0_cell
+from hexweave.functions.geodesy import with_centers
 from hexweave.operators import places as pl
+from hexweave.operators import tiles as tl
 
 BASE = np.array([(1 << 59) | (b << 45) | ((1 << 45) - 1) for b in range(122)])
 
@@ -203,4 +206,37 @@ def test_nearest_matches_brute_force(spark):
 def test_nearest_of_nothing(spark):
     left = spark.createDataFrame([(1, 0.0, 0.0)], "aid int, lat double, lng double")
     right = spark.createDataFrame([], "bid int, lat double, lng double")
-    assert pl.nearest(left, right, "aid", "bid").collect() == []
+    assert [tuple(r) for r in pl.nearest(left, right, "aid", "bid").collect()] == [(1, None, None)]
+
+
+def test_nearest_keeps_rows_without_coordinates(spark):
+    left = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 1.0)], "aid int, lat double, lng double")
+    right = spark.createDataFrame([(7, 0.0, 1.0)], "bid int, lat double, lng double")
+    found = {r["aid"]: (r["bid"], r["distance_km"]) for r in pl.nearest(left, right, "aid", "bid").collect()}
+    assert found[2] == (None, None) and found[1][0] == 7
+
+
+def _all_cells(spark, res):
+    cells = spark.range(122).select(res0_cell("id").alias("h"))
+    for _ in range(res):
+        cells = cells.select(F.explode(direct_children(F.col("h"))).alias("h"))
+    return with_centers(cells.withColumn("h0", cell_parent("h", 0)), "h").cache()
+
+
+@pytest.mark.parametrize("box", [(-100, -55, 20, 55), (60, -30, 150, 30), (30, 42, 179, 78), (-10, 35, 40, 70), (170, -20, 190, 5)])
+def test_cover_of_large_boxes_loses_no_cell(spark, box):
+    west, south, east, north = box
+    cells = _all_cells(spark, 3)
+    lng = F.when(F.col("lng") + 360 <= east, F.col("lng") + 360).otherwise(F.col("lng")) if east > 180 else F.col("lng")
+    inside = cells.where(lng.between(west, east) & F.col("lat").between(south, north))
+    spot = spark.range(1).select(F.struct(*[F.lit(float(v)).alias(n) for v, n in zip(box, ("west", "south", "east", "north"))]).alias("b"))
+    near = pl.base_cells_of_boxes(spot, "b")
+    assert inside.count() == inside.where(F.col("h0").isin(near)).count() > 0
+
+
+@pytest.mark.parametrize("z", [3, 4])
+def test_tiles_pruned_equal_unpruned(spark, z):
+    cells = _all_cells(spark, 3)
+    for x, y in [(0, 0), (1, 2**z - 1), (2, 3), (2**z - 1, 4), (5, 5), (3, 1), (6, 2)]:
+        near = pl.tile_base_cells(spark, z, x, y, 3)
+        assert tl.tile_cells(cells, 3, z, x, y).count() == tl.tile_cells(cells, 3, z, x, y, near).count()

@@ -32,20 +32,25 @@ def test_masks_prune_partitions(spark, sf):
     one = mask.where(F.col("h0") == mask.agg(F.min("h0")).first()[0])
     clipped = joins.clip_to_mask(stored, one, 8).groupBy("h8").count()
     assert re.search(r"PartitionFilters: \[.*\(?h0#\d+L = \d+", plan(clipped))
-    scanned = joins.clip_to_mask(stored, one, 8).select(F.input_file_name().alias("f")).distinct().collect()
+    named = stored.withColumn("f", F.col("_metadata.file_path"))
+    scanned = joins.clip_to_mask(named, one, 8).select("f").distinct().collect()
     assert len({re.search(r"h0=(\d+)", r.f).group(1) for r in scanned}) == 1
     # a plain join on both keys prunes at run time
     joined = stored.join(mask.select("h8", "h0"), ["h8", "h0"], "left_semi")
     assert "dynamicpruning" in plan(joined).lower()
 
 
-def test_a_mask_too_large_to_broadcast_gives_the_same(spark, sf, monkeypatch):
+def test_a_mask_too_large_to_broadcast_gives_the_same(spark, sf):
     values, mask = inputs.value_hex(spark, sf), inputs.mask_hex(spark, sf)
-    small = joins.clip_to_mask(values, mask, 8, F.col("region") == "ASIA")
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", 1)
-    large = joins.clip_to_mask(values, mask, 8, F.col("region") == "ASIA")
-    assert "broadcast" in plan(small).lower() and "ResolvedHint" not in plan(large)
-    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
+    small = sorted(map(tuple, joins.clip_to_mask(values, mask, 8, F.col("region") == "ASIA").collect()))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = joins.clip_to_mask(values, mask, 8, F.col("region") == "ASIA")
+        assert "Broadcast" not in plan(large)
+        assert sorted(map(tuple, large.collect())) == small
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_column_pruning_and_pushdown(spark, sf):
@@ -67,10 +72,27 @@ def test_salted_join_equals_plain_join(spark, how):
     assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
 
 
-def test_small_side_checks_its_size(spark):
-    df = spark.range(100)
-    assert "strategy=broadcast" in plan(sizing.small_side(df, 100))
-    assert "strategy=broadcast" not in plan(sizing.small_side(df, 99))
+def test_small_side_is_broadcast_by_its_bytes(spark):
+    big = spark.range(1000)
+    assert "BroadcastHashJoin" in plan(big.join(sizing.small_side(spark.range(100)), "id"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100")
+    try:
+        assert "SortMergeJoin" in plan(big.join(sizing.small_side(spark.range(100)), "id"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_salted_join_spreads_equal_rows(spark):
+    left = spark.range(10_000).select(F.lit(1).alias("k"), F.lit("x").alias("v")).unionByName(
+        spark.range(20).select(F.col("id").cast("int").alias("k"), F.lit("y").alias("v"))
+    )
+    right = spark.range(5).select(F.col("id").cast("int").alias("k"), (F.col("id") * 2).alias("w"))
+    for how in ("inner", "left", "left_semi"):
+        salted = sizing.salted_join(left, right, ["k"], how, salts=4)
+        want = left.join(right, ["k"], how)
+        assert salted.columns == want.columns
+        assert sorted(map(repr, salted.collect())) == sorted(map(repr, want.collect()))
 
 
 def test_global_rank_averages_ties(spark):

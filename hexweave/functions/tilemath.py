@@ -18,6 +18,7 @@ EDGE_KM = [
 ]
 KM_PER_DEGREE = 111.195
 LAT_LIMIT = 85.0511
+WORLD_EDGE = math.degrees(math.atan(math.sinh(math.pi)))
 HALF_WORLD_M = 20037508.34
 TARGET_CELLS_PER_TILE = 4000
 APERTURE = 7.0
@@ -31,8 +32,8 @@ def mercator_x(lng) -> Column:
 
 
 def mercator_y(lat) -> Column:
-    """Mercator metres; latitudes beyond the projection's limit count as the limit."""
-    lat = F.greatest(F.lit(-LAT_LIMIT), F.least(F.lit(LAT_LIMIT), as_column(lat)))
+    """Mercator metres; latitudes beyond the edge of the square world count as the edge."""
+    lat = F.greatest(F.lit(-WORLD_EDGE), F.least(F.lit(WORLD_EDGE), as_column(lat)))
     half_angle = (F.lit(90.0) + lat) * F.lit(math.pi / 360.0)
     return F.ln(F.tan(half_angle)) / F.lit(math.pi / 180.0) * F.lit(HALF_WORLD_M / 180.0)
 

@@ -119,7 +119,7 @@ def build_tiles(spark, sf):
 @query("tile_features", "centers", f"""
     , px AS (SELECT h, CAST(z AS INT) AS z, x, y,
         CAST(round(((lng + 180) / 360 * n - x) * 4096) AS INT) AS px, my, n FROM (
-        SELECT *, ln(tan((90.0 + greatest(-85.0511, least(85.0511, lat))) * pi() / 360.0)) / (pi() / 180.0) AS my FROM centers)
+        SELECT *, ln(tan((90.0 + greatest(-{tm.WORLD_EDGE!r}, least({tm.WORLD_EDGE!r}, lat))) * pi() / 360.0)) / (pi() / 180.0) AS my FROM centers)
         JOIN {_TILES} ON {_in_tile(3, 'n', 'x', 'y')})
     SELECT h, z, x, y, px, py, px BETWEEN -256 AND 4352 AND py BETWEEN -256 AND 4352 AS in_buffer FROM (
       SELECT *, CAST(round(((180 - my) / 360 * n - y) * 4096) AS INT) AS py FROM px)""")
@@ -160,7 +160,7 @@ def dateline_unwrap(spark, sf):
 
 @query("mercator_ring", "centers", f"""
     SELECT h, ROUND((lng - 3) * {tm.HALF_WORLD_M / 180.0!r}, 3) AS west,
-           ROUND(ln(tan((90.0 + greatest(-85.0511, least(85.0511, lat + 1))) * pi() / 360.0)) / (pi() / 180.0) * {tm.HALF_WORLD_M / 180.0!r}, 3) AS north FROM centers""")
+           ROUND(ln(tan((90.0 + greatest(-{tm.WORLD_EDGE!r}, least({tm.WORLD_EDGE!r}, lat + 1))) * pi() / 360.0)) / (pi() / 180.0) * {tm.HALF_WORLD_M / 180.0!r}, 3) AS north FROM centers""")
 def mercator_ring(spark, sf):
     ring = tl.mercator_ring(_ring(3.0), "lng")
     return t.centers(spark, sf).select(

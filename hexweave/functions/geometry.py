@@ -50,6 +50,32 @@ def line_length_m(line) -> Column:
     )
 
 
+# The WGS84 ellipsoid, as its semi-major axis in metres and its flattening.
+WGS84_AXIS_M, WGS84_FLATTENING = 6378137.0, 1 / 298.257223563
+
+
+def spheroid_distance_m(lat1, lng1, lat2, lng2) -> Column:
+    """Metres between two points on the ellipsoid, by Lambert's flattening correction of the great circle.
+
+    Good to some metres over thousands of kilometres; antipodal points take the uncorrected half circle.
+    """
+    f = WGS84_FLATTENING
+    b1, b2 = (F.atan((1 - f) * F.tan(F.radians(as_column(v)))) for v in (lat1, lat2))
+    p, q = (b1 + b2) / 2, (b2 - b1) / 2
+    across = F.radians(as_column(lng2) - as_column(lng1)) / 2
+    # half of the central angle on the auxiliary sphere
+    s = F.least(F.lit(1.0), F.pow(F.sin(q), 2) + F.cos(b1) * F.cos(b2) * F.pow(F.sin(across), 2))
+    angle = 2 * F.asin(F.sqrt(s))
+    x = F.try_divide((angle - F.sin(angle)) * F.pow(F.sin(p) * F.cos(q), 2), 1 - s)
+    y = F.try_divide((angle + F.sin(angle)) * F.pow(F.cos(p) * F.sin(q), 2), s)
+    return WGS84_AXIS_M * (angle - f / 2 * (F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0))))
+
+
+def line_length_spheroid_m(line) -> Column:
+    """Length in metres of a lon/lat line on the ellipsoid."""
+    return array_sum(over_segments(line, lambda a, b: spheroid_distance_m(a["y"], a["x"], b["y"], b["x"])))
+
+
 def point_in_ring(ring, x, y) -> Column:
     """Even-odd test, half-open so that a point on a shared edge is in one ring."""
     x, y = as_column(x), as_column(y)

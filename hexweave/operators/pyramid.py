@@ -37,25 +37,39 @@ def _first_level(agg: str, values: Sequence[str]) -> list[Column]:
         return [F.count(F.lit(1)).alias("count")]
     f = {"SUM": F.sum, "MIN": F.min, "MAX": F.max, "AVG": F.avg, "COUNT_DISTINCT": F.count_distinct}[agg]
     out = [f(c).alias(c) for c in values]
-    return out + ([F.count(F.lit(1)).alias(WEIGHT)] if agg == "AVG" else [])
+    if agg == "AVG":  # the row count is the layout's weight; each column's mean has its own
+        out += [F.count(F.lit(1)).alias(WEIGHT), *[F.count(c).alias(own_weight(c)) for c in values]]
+    return out
+
+
+def own_weight(column: str) -> str:
+    """Name of the column that counts the rows with a value."""
+    return f"__n_{column}"
 
 
 def _next_level(agg: str, values: Sequence[str]) -> list[Column]:
     if agg == "COUNT":
         return [F.sum("count").alias("count")]
     if agg == "AVG":
-        w = F.sum(WEIGHT)
-        return [(F.sum(F.col(c) * F.col(WEIGHT)) / w).alias(c) for c in values] + [w.alias(WEIGHT)]
+        def mean(c: str) -> Column:
+            n = F.col(own_weight(c))
+            return F.try_divide(F.sum(F.col(c) * n), F.sum(n)).alias(c)
+
+        own = [F.sum(own_weight(c)).alias(own_weight(c)) for c in values]
+        return [mean(c) for c in values] + [F.sum(WEIGHT).alias(WEIGHT), *own]
     f = {"SUM": F.sum, "MIN": F.min, "MAX": F.max, "COUNT_DISTINCT": F.max}[agg]
     return [f(c).alias(c) for c in values]
 
 
 def detect_resolution(df: DataFrame, h: str) -> int:
-    """Resolution of the first cell of ``df``."""
-    row = df.select(cell_resolution(h).alias("r")).limit(1).collect()
-    if not row or row[0]["r"] is None:
+    """The one resolution of the cells of ``df``; a mix of resolutions is refused."""
+    r = cell_resolution(h)
+    low, high = df.agg(F.min(r), F.max(r)).first()
+    if low is None:
         raise ValueError(f"cannot detect a resolution: no rows, or {h!r} is not a cell column")
-    return row[0]["r"]
+    if low != high:
+        raise ValueError(f"{h!r} holds cells of resolutions {low} to {high}")
+    return low
 
 
 def finest_level(df: DataFrame, agg: str, values: Sequence[str] = (), h: str | None = None) -> DataFrame:
@@ -249,6 +263,10 @@ RAMP = [
     (0.6, "#22a884"), (0.8, "#7ad151"), (1.0, "#fde725"),
 ]
 
+# A logarithmic ramp without a positive minimum starts at this part of the maximum, and
+# one without a range ends at this multiple of its start.
+LOG_DEPTH, LOG_SPAN = 1000.0, 10.0
+
 
 def _ramp_domain(low: Column, high: Column, log: bool) -> tuple[Column, Column]:
     low = F.coalesce(low, F.lit(0.0))
@@ -256,8 +274,8 @@ def _ramp_domain(low: Column, high: Column, log: bool) -> tuple[Column, Column]:
     high = F.when(high == low, low + 1).otherwise(high)
     if not log:
         return low, high
-    floor = F.when(low > 0, low).when(high > 0, high / 1000.0).otherwise(F.lit(1.0))
-    return floor, F.when(high > floor, high).otherwise(floor * 10.0)
+    floor = F.when(low > 0, low).when(high > 0, high / LOG_DEPTH).otherwise(F.lit(1.0))
+    return floor, F.when(high > floor, high).otherwise(floor * LOG_SPAN)
 
 
 def ramp_stops(stats: DataFrame, low: str, high: str, scale: str = "linear") -> DataFrame:
@@ -276,8 +294,9 @@ def ramp_stops(stats: DataFrame, low: str, high: str, scale: str = "linear") ->
     )
 
 
-def ramp_bin(value, low, high) -> Column:
-    """Index (0..5) of the last linear ramp stop at or below a value."""
-    lo, hi = _ramp_domain(low, high, False)
-    at = F.floor((value - lo) / (hi - lo) * (len(RAMP) - 1))
+def ramp_bin(value, low, high, scale: str = "linear") -> Column:
+    """Index (0..5) of the last ramp stop at or below a value."""
+    lo, hi = _ramp_domain(low, high, scale == "log")
+    part = F.ln(F.greatest(value, lo) / lo) / F.ln(hi / lo) if scale == "log" else (value - lo) / (hi - lo)
+    at = F.floor(part * (len(RAMP) - 1))
     return F.greatest(F.lit(0), F.least(F.lit(len(RAMP) - 1), at)).cast("int")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hexweave.functions import tilemath as tm
 from hexweave.functions.geometry import unwrap_dateline, vertex
+from hexweave.operators.pyramid import read_level, read_manifest
 
 
 def in_padded_tile(lat, lng, res, z, x, y) -> Column:
@@ -61,6 +62,44 @@ def build_tiles(level: DataFrame, res: int, zooms: Iterable[int]) -> DataFrame:
     return rows.where(in_padded_tile(lat, lng, F.lit(res), z, F.col("x"), F.col("y")))
 
 
+def tiles_of(
+    spark: SparkSession, path: str, zooms: Iterable[int], centers: Callable[[DataFrame, str], DataFrame],
+    adaptive: bool = False,
+) -> DataFrame:
+    """Tiles of a built pyramid: one row per (z, x, y, cell), from the level that each zoom shows.
+
+    The manifest gives the levels that exist; a zoom shows resolution ``z - zoom_offset`` within them, or,
+    ``adaptive`` and with bounds in the manifest, the finest one whose cells per tile stay below the
+    target. Levels have a common set of columns; ``res`` tells which one a row is from.
+    ``centers(df, h)`` adds ``lat`` and ``lng``.
+    """
+    manifest = read_manifest(spark, path)
+    if manifest is None:
+        raise ValueError(f"no finished pyramid at {path}")
+    zooms = sorted({int(z) for z in zooms})
+    level_of = _levels_shown(spark, manifest, zooms, adaptive)
+    out = None
+    for res in sorted(set(level_of.values())):
+        level = centers(read_level(spark, path, res), "h")
+        tiles = build_tiles(level, res, [z for z in zooms if level_of[z] == res]).withColumn("res", F.lit(res))
+        out = tiles if out is None else out.unionByName(tiles, allowMissingColumns=True)
+    return out
+
+
+def _levels_shown(spark: SparkSession, manifest: dict, zooms: list[int], adaptive: bool) -> dict[int, int]:
+    """Resolution shown at each zoom."""
+    z = F.col("z")
+    count = tiles = None
+    if adaptive and manifest["bounds"]:
+        west, south, east, north = (F.lit(v) for v in manifest["bounds"])
+        count, tiles = F.lit(manifest["feature_count_finest"]), tm.tiles_covering(z, west, south, east, north)
+    res = tm.zoom_resolution(
+        z, F.lit(manifest["min_res"]), F.lit(manifest["finest_res"]), F.lit(manifest["zoom_offset"]), count, tiles
+    )
+    rows = spark.range(max(zooms) + 1).select(F.col("id").cast("int").alias("z")).where(z.isin(zooms)).select("z", res.alias("r"))
+    return {r["z"]: r["r"] for r in rows.collect()}
+
+
 def mercator_ring(ring, center_lng) -> Column:
     """Cell boundary in mercator metres, kept in one piece across the dateline."""
     return F.transform(

@@ -15,8 +15,8 @@ _FORMS = {
     "MIN": ("carbon", "MIN(carbon) AS carbon", "MIN(carbon) AS carbon"),
     "MAX": ("carbon", "MAX(carbon) AS carbon", "MAX(carbon) AS carbon"),
     "AVG": (
-        "carbon", "AVG(carbon) AS carbon, COUNT(*) AS w",
-        "SUM(carbon * w) / SUM(w) AS carbon, CAST(SUM(w) AS BIGINT) AS w",
+        "carbon", "AVG(carbon) AS carbon, COUNT(*) AS w, COUNT(carbon) AS m",
+        "SUM(carbon * m) / SUM(m) AS carbon, CAST(SUM(w) AS BIGINT) AS w, CAST(SUM(m) AS BIGINT) AS m",
     ),
     "COUNT_DISTINCT": ("species", "COUNT(DISTINCT species) AS species", "MAX(species) AS species"),
 }
@@ -26,7 +26,7 @@ _DIGITS = {"SUM": 2, "AVG": 8}
 def _shown(agg: str) -> str:
     value = _FORMS[agg][0] or "count"
     shown = f"ROUND({value}, {_DIGITS[agg]}) AS {value}" if agg in _DIGITS else value
-    return shown + (f", w AS {p.WEIGHT}" if agg == "AVG" else "")
+    return shown + (f", w AS {p.WEIGHT}, m AS {p.own_weight('carbon')}" if agg == "AVG" else "")
 
 
 def _finest_sql(agg: str) -> str:
@@ -140,7 +140,7 @@ def suggest_scale(spark, sf):
 
 
 @query("pyramid_masked", "value_hex mask_hex", """
-    SELECT h8 AS h, h0, ROUND(AVG(carbon), 8) AS carbon, COUNT(*) AS __pyramid_weight FROM value_hex v WHERE EXISTS (
+    SELECT h8 AS h, h0, ROUND(AVG(carbon), 8) AS carbon, COUNT(*) AS __pyramid_weight, COUNT(carbon) AS __n_carbon FROM value_hex v WHERE EXISTS (
       SELECT 1 FROM mask_hex m WHERE m.h8 = v.h8 AND m.h0 = v.h0 AND region = 'ASIA') GROUP BY 1, 2""")
 def pyramid_masked(spark, sf):
     inside = clip_to_mask(t.value_hex(spark, sf), t.mask_hex(spark, sf), 8, F.col("region") == "ASIA")
@@ -174,3 +174,12 @@ def ramp_bin(spark, sf):
     sums = t.value_hex(spark, sf).groupBy("h8").agg(F.sum("carbon").alias("c"))
     low, high = sums.agg(F.min("c")).scalar(), sums.agg(F.max("c")).scalar()
     return sums.groupBy(p.ramp_bin(F.col("c"), low, high).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("ramp_bin_log", "value_hex", """
+    , sums AS (SELECT h8, SUM(carbon) + 1 AS c FROM value_hex GROUP BY 1), s AS (SELECT MIN(c) AS low, MAX(c) AS high FROM sums)
+    SELECT CAST(greatest(0, least(5, floor(ln(c / low) / ln(high / low) * 5))) AS INT) AS bin, COUNT(*) AS n FROM sums, s GROUP BY 1""")
+def ramp_bin_log(spark, sf):
+    sums = t.value_hex(spark, sf).groupBy("h8").agg((F.sum("carbon") + 1).alias("c"))
+    low, high = sums.agg(F.min("c")).scalar(), sums.agg(F.max("c")).scalar()
+    return sums.groupBy(p.ramp_bin(F.col("c"), low, high, "log").alias("bin")).agg(F.count(F.lit(1)).alias("n"))

@@ -5,8 +5,11 @@ from pyspark.sql import functions as F
 from hexweave.functions import tilemath as tm
 from hexweave.functions.geometry import unwrap_dateline, vertex
 from hexweave.operators import tiles as tl
+from hexweave.operators.pyramid import build_pyramid
 from hexweave.plans import inputs as t
+from hexweave.plans.inputs import parent_sql
 from hexweave.plans.registry import query
+from hexweave.session import fresh_dir
 
 
 def count():
@@ -167,3 +170,29 @@ def mercator_ring(spark, sf):
         "h", F.round(F.array_min(F.transform(ring, lambda v: v["x"])), 3).alias("west"),
         F.round(F.array_max(F.transform(ring, lambda v: v["y"])), 3).alias("north"),
     )
+
+
+def _placed(df, h):
+    """Given places for cells of any level."""
+    part = F.shiftright(F.col(h), 23)
+    return df.withColumn("lat", (part % 1601) / 10.0 - 80.0).withColumn("lng", (part % 3499) / 10.0 - 175.0)
+
+
+def _level_tiles(z: int, res: int) -> str:
+    level = f"SELECT {parent_sql('h8', res)} AS h, COUNT(*) AS count FROM value_hex GROUP BY 1"
+    placed = f"SELECT *, ((h >> 23) % 1601) / 10.0 - 80.0 AS lat, ((h >> 23) % 3499) / 10.0 - 175.0 AS lng FROM ({level})"
+    return (
+        f"SELECT {z} AS z, x, y, {res} AS res, COUNT(*) AS cells, CAST(SUM(count) AS BIGINT) AS n FROM ({placed}) CROSS JOIN "
+        f"(SELECT a.x AS x, b.y AS y, {2.0 ** z} AS n FROM range({2 ** z}) a(x) CROSS JOIN range({2 ** z}) b(y)) WHERE {_in_tile(res, 'n', 'x', 'y')} GROUP BY 2, 3"
+    )
+
+
+@query("pyramid_tiles", "value_hex", " UNION ALL ".join(_level_tiles(z, r) for z, r in ((2, 5), (4, 5))))
+def pyramid_tiles(spark, sf):
+    built = build_pyramid(t.value_hex(spark, sf).select("h8"), fresh_dir(spark, "pyramid"), "value_hex", "COUNT", min_res=5)
+    folder = fresh_dir(spark, "tiles")
+    tl.write_tiles(tl.tiles_of(spark, built["path"], [2, 4], _placed), folder)
+    tiles = spark.read.parquet(folder)
+    return tiles.groupBy("z", "x", "y", "res").agg(
+        F.count(F.lit(1)).alias("cells"), F.sum("count").alias("n")
+    ).select(F.col("z").cast("int").alias("z"), F.col("x").cast("bigint").alias("x"), "y", "res", "cells", "n")

@@ -47,20 +47,54 @@ def with_defaults(parsed: DataFrame) -> DataFrame:
     return parsed.withColumn("doc", doc)
 
 
-def child_links(parsed: DataFrame) -> DataFrame:
-    """``(parent_id, href, title)`` of every child link."""
-    return (
+def address(path: Column) -> Column:
+    """One spelling of a document's address: ``.`` and ``..`` resolved, one slash after ``file:``."""
+    scheme = F.regexp_extract(path, r"^([a-z0-9+.-]+:/*)", 1)
+    parts = F.split(F.substring(path, F.char_length(scheme) + 1, F.char_length(path)), "/", -1)
+    kept = F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda done, s: F.when(s == ".", done).when(
+            s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        ).otherwise(F.concat(done, F.array(s))),
+    )
+    return F.concat(F.regexp_replace(scheme, "^file:/+$", "file:/"), F.array_join(kept, "/"))
+
+
+def resolve(base: Column, href: Column) -> Column:
+    """Address of a link in the document at ``base``: absolute, from the host's root, or relative."""
+    host = F.regexp_extract(base, r"^([a-z0-9+.-]+:/*[^/]*)", 1)
+    folder = F.regexp_replace(base, "[^/]*$", "")
+    full = F.when(href.rlike(r"^[a-z0-9+.-]+:"), href).when(href.startswith("/"), F.concat(host, href))
+    return address(F.coalesce(full, F.concat(folder, href)))
+
+
+def _is_root(doc: str = "doc") -> Column:
+    return F.coalesce(F.col(f"{doc}.type") == "Catalog", F.lit(False))
+
+
+def child_links(parsed: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """``(parent_id, href, title, from_root)`` of every child link, with the address it leads to.
+
+    ``sources`` is the source registry: where it has a ``metadata_url_prefix``, an https link leads to
+    the place the catalogue's documents are read from. Links of the root catalogue are marked.
+    """
+    links = (
         parsed.where(F.col("doc.id").isNotNull())
-        .select(F.col("doc.id").alias("parent_id"), F.explode("doc.links").alias("l"))
+        .select("path", F.col("doc.id").alias("parent_id"), _is_root().alias("from_root"), F.explode("doc.links").alias("l"))
         .where("l.rel = 'child'")
-        .select("parent_id", F.col("l.href").alias("href"), F.col("l.title").alias("title"))
+        .select("parent_id", resolve(F.col("path"), F.col("l.href")).alias("href"), F.col("l.title").alias("title"), "from_root")
     )
+    if sources is None:
+        return links
+    stored = rewrite(links, "href", sources, "metadata_url_prefix", "stored")
+    return stored.select("parent_id", address(F.col("stored")).alias("href"), "title", "from_root")
 
 
-def collections(docs: DataFrame) -> DataFrame:
-    parsed = parse(docs).where(F.col("doc.id").isNotNull())
-    links = child_links(parsed).select("parent_id", F.col("href").alias("path"))
-    return parsed.join(links, "path", "left").select(
+def collections(docs: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Every collection with its parent. The root catalogue is no collection, and what it lists has no parent."""
+    parsed = parse(docs).where(F.col("doc.id").isNotNull()).withColumn("address", address(F.col("path")))
+    links = child_links(parsed, sources).where(~F.col("from_root")).select("parent_id", F.col("href").alias("address"))
+    return parsed.where(~_is_root()).join(links, "address", "left").select(
         F.col("doc.id").alias("id"),
         F.coalesce("doc.title", "doc.id").alias("title"),
         F.col("doc.description").alias("description"),
@@ -121,14 +155,14 @@ def child_identifier(href: Column | str, title: Column | None = None) -> Column:
     )
 
 
-def load_errors(docs: DataFrame) -> DataFrame:
+def load_errors(docs: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """Documents that gave no collection, and child links that lead nowhere."""
     parsed = parse(docs)
     bad = parsed.where(F.col("doc.id").isNull()).select(
         child_identifier("path").alias("identifier"), F.lit("unreadable document").alias("reason")
     )
-    links = child_links(parsed)
-    missing = links.join(docs.select(F.col("path").alias("href")), "href", "left_anti").select(
+    links = child_links(parsed, sources)
+    missing = links.join(docs.select(address(F.col("path")).alias("href")), "href", "left_anti").select(
         child_identifier("href", F.col("title")).alias("identifier"), F.lit("missing document").alias("reason")
     )
     return bad.unionByName(missing)

@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hexweave.functions.cells import cell_from_string
+
 
 def read_hex(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     """A dataset partitioned by h0, with h0 as a bigint column.
 
-    With a glob the base path must be given, or Spark would drop the partition
+    Folders may name the base cell as a number or in its text form. With a glob the base path must be given, or Spark would drop the partition
     column without notice.
     """
     reader = spark.read.option("basePath", root)
     df = reader.parquet(f"{root}/{glob}" if glob else root)
-    return df.withColumn("h0", F.col("h0").cast("bigint")) if dict(df.dtypes).get("h0") != "bigint" else df
+    kind = dict(df.dtypes).get("h0")
+    if kind in (None, "bigint"):
+        return df
+    return df.withColumn("h0", cell_from_string("h0") if kind == "string" else F.col("h0").cast("bigint"))
 
 
 def write_hex(df: DataFrame, root: str, max_records: int = 0) -> None:

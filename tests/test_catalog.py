@@ -87,3 +87,55 @@ def test_child_identifiers(spark):
     }
     rows = spark.createDataFrame([(k,) for k in cases], "href string").select("href", c.child_identifier("href").alias("n")).collect()
     assert {row.href: row.n for row in rows} == cases
+
+
+def test_links_of_stored_documents(spark):
+    """Relative and https links lead to the files the documents were read from; the root catalogue is no parent."""
+    root = fresh_dir(spark, "stored")
+    web = "https://meta.example.org/c/"
+    docs = {
+        "catalog": {"type": "Catalog", "id": "all", "links": [{"rel": "child", "href": "./lakes/"}]},
+        "lakes": {"id": "lakes", "links": [{"rel": "child", "href": "../kid"}, {"rel": "child", "href": f"{web}far"}]},
+        "kid": {"id": "kid"}, "far": {"id": "far"},
+    }
+    for name, doc in docs.items():
+        spark.createDataFrame([(json.dumps(doc),)], "value string").coalesce(1).write.text(f"{root}/{name}")
+    at = c.read_documents(spark, f"{root}/*")
+    folder = F.regexp_replace("path", r"/part-[^/]*$", "")
+    docs = at.withColumn("path", F.when(folder.endswith("lakes"), F.concat(folder, F.lit("/"))).otherwise(folder))
+    sources = spark.createDataFrame(
+        [("meta", 1, web, None, f"{root}/")], "name string, priority int, https_prefix string, s3_prefix string, metadata_url_prefix string"
+    ).withColumn("metadata_url_prefix", F.concat(F.lit("file:"), F.regexp_replace("metadata_url_prefix", "^file:/*", "/")))
+    parents = {row.id: row.parent_id for row in c.collections(docs, sources).collect()}
+    assert parents == {"lakes": None, "kid": "lakes", "far": "lakes"}
+    assert c.load_errors(docs, sources).collect() == []
+
+
+def test_addresses(spark):
+    cases = [
+        ("file:///a/b/c.json", "./kid/x.json", "file:/a/b/kid/x.json"), ("s3a://b/k/c.json", "../x.json", "s3a://b/x.json"),
+        ("https://h/a/c.json", "/root.json", "https://h/root.json"), ("https://h/a/", "https://o/z.json", "https://o/z.json"),
+    ]
+    rows = spark.createDataFrame(cases, "b string, h string, want string").select(c.resolve(F.col("b"), F.col("h")).alias("got"), "want")
+    assert all(row.got == row.want for row in rows.collect())
+
+
+def test_prefixes_that_end_inside_a_host(spark):
+    sources = spark.createDataFrame(
+        [("a", 2, "https://data.", "s3://any/"), ("b", 1, "https://data.example.org/x/", "s3://x/")],
+        "name string, priority int, https_prefix string, s3_prefix string",
+    )
+    hrefs = spark.createDataFrame([("https://data.example.org/k",), ("https://data.example.org/x/k",), ("https://other/k",)], "href string")
+    got = {row.href: row.path for row in r.rewrite(hrefs, "href", sources).collect()}
+    assert got == {
+        "https://data.example.org/k": "s3://any/example.org/k", "https://data.example.org/x/k": "s3://x/k", "https://other/k": "https://other/k",
+    }
+
+
+def test_dual_stack_hosts(spark):
+    cases = {
+        "https://b.s3.dualstack.eu-west-1.amazonaws.com/k": "s3.dualstack.eu-west-1.amazonaws.com",
+        "https://a.b.s3-us-west-2.amazonaws.com/k": "s3-us-west-2.amazonaws.com",
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "href string").select("href", r.route_hint("href").alias("h")).collect()
+    assert {row.href: row.h.endpoint for row in rows} == cases

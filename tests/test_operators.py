@@ -277,3 +277,43 @@ def test_hot_cell_measures(spark):
     assert pairs.count() == 30000
     salted = joins.hex_join(rows, mask, 8, salts=8)
     assert salted.count() == 30000
+
+
+def test_means_weigh_values_not_rows(spark):
+    """Two children of one parent, one with NULL values: the parent's mean is that of the values."""
+    from hexweave.functions.cells import direct_children, res0_cell
+
+    two = F.slice(direct_children(res0_cell(F.lit(20))), 1, 2)
+    cells = spark.range(1).select(F.explode(two).alias("h"))
+    rows = cells.crossJoin(spark.createDataFrame([(10.0,), (10.0,), (None,)], "val double"))
+    level = pyramid.parent_level(pyramid.finest_level(rows, "AVG", ["val"], "h"), 0, "AVG", ["val"])
+    row = level.first()
+    assert row.val == 10.0 and row[pyramid.WEIGHT] == 6 and row[pyramid.own_weight("val")] == 4
+
+
+def test_mixed_resolutions_are_refused(spark):
+    from hexweave.functions.cells import direct_children, res0_cell
+
+    mixed = spark.range(2).select(res0_cell("id").alias("h"))
+    mixed = mixed.unionByName(mixed.select(F.explode(direct_children(F.col("h"))).alias("h")))
+    with pytest.raises(ValueError, match="resolutions 0 to 1"):
+        pyramid.detect_resolution(mixed, "h")
+
+
+def test_text_partitions(spark):
+    root = fresh_dir(spark, "text")
+    df = spark.createDataFrame([("8029fffffffffff", 1), ("802bfffffffffff", 2)], "h0 string, v int")
+    df.write.partitionBy("h0").parquet(root)
+    got = hexio.read_hex(spark, root)
+    assert dict(got.dtypes)["h0"] == "bigint"
+    assert got.where(F.col("h0") == int("802bfffffffffff", 16)).select("v").collect() == [(2,)]
+
+
+def test_spheroid_length(spark):
+    from hexweave.functions.geometry import spheroid_distance_m
+
+    # geodesics published for the WGS84 ellipsoid: a degree of the equator, a quarter meridian, London to Paris
+    cases = [(0.0, 0.0, 0.0, 1.0, 111319.491, 0.01), (0.0, 0.0, 90.0, 0.0, 10001965.729, 60.0), (5.0, 5.0, 5.0, 5.0, 0.0, 1e-9)]
+    for a, b, c_, d, want, off in cases:
+        got = spark.range(1).select(spheroid_distance_m(F.lit(a), F.lit(b), F.lit(c_), F.lit(d))).first()[0]
+        assert abs(got - want) < off

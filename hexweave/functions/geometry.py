@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from hexweave.functions.cells import as_column, great_circle
 
@@ -76,19 +77,39 @@ def line_length_spheroid_m(line) -> Column:
     return array_sum(over_segments(line, lambda a, b: spheroid_distance_m(a["y"], a["x"], b["y"], b["x"])))
 
 
-def point_in_ring(ring, x, y) -> Column:
-    """Even-odd test, half-open so that a point on a shared edge is in one ring."""
-    x, y = as_column(x), as_column(y)
-
+def _crossings(ring, x: Column, y: Column) -> Column:
+    """How many of a ring's edges lie east of a point, each half-open."""
     def crosses(a: Column, b: Column) -> Column:
         spans = (a["y"] > y) != (b["y"] > y)
         at = a["x"] + F.try_divide((y - a["y"]) * (b["x"] - a["x"]), b["y"] - a["y"])
         return F.when(spans & (x < at), F.lit(1)).otherwise(F.lit(0))
 
-    hits = F.aggregate(over_segments(ring, crosses), F.lit(0), lambda acc, v: acc + v)
+    return F.aggregate(over_segments(ring, crosses), F.lit(0), lambda acc, v: acc + v)
+
+
+def point_in_ring(ring, x, y) -> Column:
+    """Even-odd test, half-open so that a point on a shared edge is in one ring."""
+    return _crossings(ring, as_column(x), as_column(y)) % 2 == 1
+
+
+def point_in_rings(rings, x, y) -> Column:
+    """The same over all rings of a shape: parts add, holes take away."""
+    x, y = as_column(x), as_column(y)
+    hits = F.aggregate(as_column(rings), F.lit(0), lambda acc, ring: acc + _crossings(ring, x, y))
     return hits % 2 == 1
 
 
+def rings_of(df: DataFrame, shape: str) -> Column:
+    """Column ``shape`` of ``df`` as an array of rings, whatever it holds: a ring, the rings of a polygon, or polygons."""
+    depth, kind = 0, df.schema[shape].dataType
+    while isinstance(kind, ArrayType):
+        depth, kind = depth + 1, kind.elementType
+    column = F.col(f"`{shape}`")
+    if depth not in (1, 2, 3):
+        raise ValueError(f"{shape!r} is no ring, polygon or multipolygon")
+    return F.array(column) if depth == 1 else column if depth == 2 else F.flatten(column)
+
+
 def _crossing(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Where along a-b it meets c-d, as 0..1; NULL when parallel or apart."""
     rx, ry = b["x"] - a["x"], b["y"] - a["y"]
@@ -100,22 +121,28 @@ def _crossing(a: Column, b: Column, c: Column, d: Column) -> Column:
 
 
 def length_inside(line, ring) -> Column:
-    """Planar length of the part of ``line`` inside ``ring``.
+    """Planar length of the part of ``line`` inside ``ring``."""
+    return length_inside_rings(line, F.array(as_column(ring)))
+
 
-    Each segment is cut where it meets the ring; a piece counts when its midpoint
+def length_inside_rings(line, rings) -> Column:
+    """Planar length of the part of ``line`` inside a shape of several rings.
+
+    Each segment is cut where it meets a ring; a piece counts when its midpoint
     is inside, which settles touching vertices and collinear edges.
     """
-    ring = as_column(ring)
+    rings = as_column(rings)
 
     def inside(a: Column, b: Column) -> Column:
-        cuts = F.filter(over_segments(ring, lambda c, d: _crossing(a, b, c, d)), lambda t: t.isNotNull())
+        met = F.flatten(F.transform(rings, lambda ring: over_segments(ring, lambda c, d: _crossing(a, b, c, d))))
+        cuts = F.filter(met, lambda t: t.isNotNull())
         stops = F.array_sort(F.concat(F.array(F.lit(0.0)), cuts, F.array(F.lit(1.0))))
         n = F.size(stops) - 1
 
         def piece(t0: Column, t1: Column) -> Column:
             mid = (t0 + t1) / 2
-            hit = point_in_ring(
-                ring, a["x"] + mid * (b["x"] - a["x"]), a["y"] + mid * (b["y"] - a["y"])
+            hit = point_in_rings(
+                rings, a["x"] + mid * (b["x"] - a["x"]), a["y"] + mid * (b["y"] - a["y"])
             )
             return F.when(hit, t1 - t0).otherwise(F.lit(0.0))
 
@@ -125,6 +152,15 @@ def length_inside(line, ring) -> Column:
     return array_sum(over_segments(line, inside))
 
 
+def polygon_wkt(rings) -> Column:
+    """Well-known text of a polygon's rings, the outer one first."""
+    def text(ring: Column) -> Column:
+        points = F.transform(ring, lambda v: F.concat_ws(" ", v["x"].cast("string"), v["y"].cast("string")))
+        return F.concat(F.lit("("), F.array_join(points, ", "), F.lit(")"))
+
+    return F.concat(F.lit("POLYGON ("), F.array_join(F.transform(as_column(rings), text), ", "), F.lit(")"))
+
+
 def to_wkt(line, kind: str = "LINESTRING") -> Column:
     """Well-known text of a line (or of a ring, with ``kind='POLYGON'``)."""
     body = F.array_join(

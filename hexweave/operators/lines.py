@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hexweave.functions.cells import as_column
-from hexweave.functions.geometry import bounds, length_inside, planar_length, point_in_ring
+from hexweave.functions.geometry import bounds, length_inside_rings, planar_length, point_in_rings, rings_of
 from hexweave.operators.joins import assign_features
 from hexweave.operators.sizing import small_side
 
@@ -24,17 +24,17 @@ def clip_length(
     Shared cells give the candidate pairs; each pair adds the line's own length
     times the clipped share of its planar length, so no unit conversion is needed.
     Geometry joins last, by id, on the deduplicated pairs, and only pairs whose
-    boxes overlap are clipped.
+    boxes overlap are clipped. Regions may be rings, polygons with holes or multipolygons.
     """
     pairs = assign_features(line_cells, region_cells, res, line_id, region_id)
     lines = lines.select(line_id, length, line, bounds(line).alias("_a"), planar_length(line).alias("_whole"))
-    regions = regions.select(region_id, ring, bounds(ring).alias("_b"))
+    regions = regions.select(region_id, rings_of(regions, ring).alias(ring)).withColumn("_b", bounds(F.flatten(ring)))
     shapes = pairs.join(lines, line_id).join(regions, region_id)
     overlap = (
         (F.col("_a.west") <= F.col("_b.east")) & (F.col("_b.west") <= F.col("_a.east"))
         & (F.col("_a.south") <= F.col("_b.north")) & (F.col("_b.south") <= F.col("_a.north"))
     )
-    inside = F.when(overlap, length_inside(line, ring)).otherwise(F.lit(0.0))
+    inside = F.when(overlap, length_inside_rings(line, ring)).otherwise(F.lit(0.0))
     share = F.try_divide(inside, F.col("_whole"))
     return shapes.groupBy(region_id).agg(F.sum(F.col(length) * share).alias(out))
 
@@ -53,12 +53,13 @@ def _bins(low, high, origin: float, level: Column) -> Column:
 
 
 def polygon_bins(polygons: DataFrame, ring: str) -> DataFrame:
-    """One row per grid square a polygon's box touches, at the level of its size.
+    """One row per grid square a polygon's box touches, at the level of its size; ``ring`` becomes its rings.
 
     The level is the finest whose squares are at least as wide as the box, so a
     polygon of any size touches at most four squares.
     """
-    box = bounds(ring)
+    polygons = polygons.withColumn(ring, rings_of(polygons, ring))
+    box = bounds(F.flatten(ring))
     side = F.greatest(F.col("_box.east") - F.col("_box.west"), F.col("_box.north") - F.col("_box.south"))
     level = F.floor(F.log2(F.lit(360.0) / F.greatest(side, F.lit(1e-9))))
     level = F.least(F.lit(MAX_LEVEL), F.greatest(F.lit(0), level)).cast("int")
@@ -86,7 +87,7 @@ def _inside(x: Column, y: Column, side: str, ring: str) -> Column:
     """The polygon's box first, then the exact even-odd test."""
     box = f"{side}._box"
     near = x.between(F.col(f"{box}.west"), F.col(f"{box}.east")) & y.between(F.col(f"{box}.south"), F.col(f"{box}.north"))
-    return near & point_in_ring(f"{side}.{ring}", x, y)
+    return near & point_in_rings(f"{side}.{ring}", x, y)
 
 
 def _on_square(points: str, side: str) -> Column:
@@ -107,7 +108,8 @@ def points_in_polygons(
     """Join points to the polygons that contain them.
 
     Candidates come from an equi-join on grid squares, then pass the polygon's box
-    and the exact even-odd test. A point in several polygons gives several rows.
+    and the exact even-odd test. A point in several polygons gives several rows. Polygons may
+    be rings, polygons with holes or multipolygons.
     """
     side, levels = _candidates(polygons, polygon_id, ring)
     return _hits(points, side, levels, polygon_id, ring, x, y)

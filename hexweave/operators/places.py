@@ -14,7 +14,7 @@ from hexweave.functions.cells import (
     BASE_CELL_COUNT, cell_parent, column_name, direct_children, great_circle, res0_id,
 )
 from hexweave.functions.geodesy import cell_area, cell_center, grid_disk, latlng_to_cell, with_centers
-from hexweave.functions.geometry import bounds, point_in_ring
+from hexweave.functions.geometry import bounds, point_in_rings, rings_of
 from hexweave.operators.joins import keys, static_partitions, with_h0
 from hexweave.operators.measures import ACRES_PER_KM2
 from hexweave.operators.sizing import shuffle_width, small_side
@@ -117,9 +117,10 @@ def polygons_to_cells(
     the polygon's box for a descendant to be inside, one level at a time. The last
     level takes the exact test. The open cells are spread over the tasks again at
     the ``spread_at`` levels, so a huge polygon does not stay in one. Rings are
-    planar in lon/lat and must not cross the antimeridian.
+    planar in lon/lat and must not cross the antimeridian; holes and further parts count.
     """
-    boxes = polygons.select(polygon_id, bounds(ring).alias("_box"))
+    polygons = polygons.select(polygon_id, rings_of(polygons, ring).alias(ring))
+    boxes = polygons.select(polygon_id, bounds(F.flatten(ring)).alias("_box"))
     box = F.col("_box")
     start = F.filter(base_cell_centers(), lambda c: _near_box(c, box, _reach(0) if res else 0.0))
     level = boxes.withColumn("_h", F.explode(F.transform(start, lambda c: c["h0"])))
@@ -131,7 +132,7 @@ def polygons_to_cells(
     if not res:
         level = level.withColumn("_c", cell_center("_h"))
     rings = small_side(polygons.select(polygon_id, ring))
-    inside = level.join(rings, polygon_id).where(point_in_ring(ring, F.col("_c.lng"), F.col("_c.lat")))
+    inside = level.join(rings, polygon_id).where(point_in_rings(ring, F.col("_c.lng"), F.col("_c.lat")))
     return inside.select(polygon_id, F.col("_h").alias(column_name(res)), cell_parent("_h", 0).alias("h0"))
 
 

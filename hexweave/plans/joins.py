@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from hexweave.functions.cells import cell_parent, cell_to_string
+from hexweave.functions.geometry import vertex
 from hexweave.operators import joins as j
 from hexweave.operators import lines as ln
 from hexweave.operators import measures as m
@@ -170,6 +171,30 @@ def points_in_polygons(spark, sf):
     return hits.groupBy("aoi_id").agg(count(), F.sum("pixel_id").alias("ids"))
 
 
+_HOLES = """(SELECT aoi_id, west, south, east, north, west + (east - west) / 4 AS w, south + (north - south) / 4 AS s,
+    east - (east - west) / 4 AS e, north - (north - south) / 4 AS n FROM boxes)"""
+
+
+def _with_holes(spark, sf):
+    """The boxes without their middles."""
+    a, c = F.col("ring")[0], F.col("ring")[2]
+    dx, dy = (c["x"] - a["x"]) / 4, (c["y"] - a["y"]) / 4
+    hole = F.array(*[
+        vertex(x, y) for x, y in (
+            (a["x"] + dx, a["y"] + dy), (c["x"] - dx, a["y"] + dy), (c["x"] - dx, c["y"] - dy), (a["x"] + dx, c["y"] - dy), (a["x"] + dx, a["y"] + dy),
+        )
+    ])
+    return t.boxes(spark, sf).select("aoi_id", F.array("ring", hole).alias("ring"))
+
+
+@query("points_in_polygons_holes", "pixels boxes", f"""
+    SELECT aoi_id, COUNT(*) AS n, CAST(SUM(pixel_id) AS BIGINT) AS ids FROM pixels JOIN {_HOLES} b
+    ON {_INSIDE} AND NOT (x >= w AND x < e AND y >= s AND y < n) GROUP BY 1""")
+def points_in_polygons_holes(spark, sf):
+    hits = ln.points_in_polygons(t.pixels(spark, sf), _with_holes(spark, sf), "aoi_id")
+    return hits.groupBy("aoi_id").agg(count(), F.sum("pixel_id").alias("ids"))
+
+
 @query("zonal_stats", "pixels boxes", f"""
     SELECT aoi_id, COUNT(*) AS n_pixels, ROUND(AVG(band_1), 10) AS mean_value
     FROM (SELECT * FROM pixels WHERE band_1 <> -9999) LEFT JOIN boxes ON {_INSIDE} GROUP BY 1""")

@@ -1,12 +1,18 @@
 """Queries that use true cell geometry.
 
-DuckDB has no cell geometry here, so most of these are checked by tests against
-known values and brute force instead of SQL.
+DuckDB has no cell geometry here, so most of these return what must hold for every row (a cell's centre
+lies in the cell, disks are mutual, a pruned scan finds all), which SQL can state. Known values and
+brute force are in the tests.
 """
 
 from pyspark.sql import functions as F
 
-from hexweave.functions.geodesy import cell_area, cell_boundary, cell_boundary_wkt, grid_disk, register, with_centers
+from hexweave.functions import icosahedron as ico
+from hexweave.functions import tilemath as tm
+from hexweave.functions.cells import cell_parent, cell_resolution, great_circle
+from hexweave.functions.geodesy import (
+    cell_area, cell_boundary, cell_boundary_wkt, cell_center, grid_disk, latlng_to_cell, register, with_centers,
+)
 from hexweave.operators import measures as m
 from hexweave.operators import places as pl
 from hexweave.operators import pyramid as py
@@ -24,54 +30,92 @@ def cells(spark, sf):
     return t.value_hex(spark, sf).select("h8").distinct()
 
 
-@query("index_points")
+# The widest a cell reaches from its centre, in edges, and the range of areas of resolution 8.
+REACH = 1.5
+AREAS_KM2 = (0.35, 0.95)
+
+
+@query("index_points", "points", "SELECT event_id, 7 AS res, TRUE AS own_base, TRUE AS near FROM points")
 def index_points(spark, sf):
-    return pl.index_points(t.points(spark, sf), 7).select("event_id", "h7", "h0")
+    found = pl.index_points(t.points(spark, sf), 7).withColumn("c", cell_center("h7"))
+    km = great_circle("lat", "lng", "c.lat", "c.lng")
+    return found.select(
+        "event_id", cell_resolution("h7").alias("res"), (cell_parent("h7", 0) == F.col("h0")).alias("own_base"),
+        (km <= REACH * tm.EDGE_KM[7]).alias("near"),
+    )
 
 
-@query("cell_centers")
+@query("cell_centers", "value_hex", "SELECT DISTINCT h8, TRUE AS comes_back FROM value_hex")
 def cell_centers(spark, sf):
-    return with_centers(cells(spark, sf), "h8")
+    located = with_centers(cells(spark, sf), "h8")
+    return located.select("h8", (latlng_to_cell("lat", "lng", 8) == F.col("h8")).alias("comes_back"))
 
 
-@query("cell_area")
+@query("cell_area", "value_hex", "SELECT DISTINCT h8, TRUE AS plausible, TRUE AS units_agree FROM value_hex")
 def cell_area_(spark, sf):
-    return cells(spark, sf).withColumn("area_km2", cell_area("h8"))
+    km2, m2 = cell_area("h8"), cell_area("h8", "m^2")
+    return cells(spark, sf).select(
+        "h8", km2.between(*AREAS_KM2).alias("plausible"), (F.abs(m2 / km2 - 1e6) < 1e-3).alias("units_agree")
+    )
 
 
-@query("cell_boundary")
+@query("cell_boundary", "value_hex", "SELECT DISTINCT h8, TRUE AS has_corners, TRUE AS near FROM value_hex")
 def cell_boundary_(spark, sf):
-    return cells(spark, sf).withColumn("ring", cell_boundary("h8"))
+    rings = with_centers(cells(spark, sf), "h8").withColumn("ring", cell_boundary("h8"))
+    near = F.forall("ring", lambda v: great_circle(v["y"], v["x"], F.col("lat"), F.col("lng")) <= REACH * tm.EDGE_KM[8])
+    return rings.select("h8", F.size("ring").between(5, 11).alias("has_corners"), near.alias("near"))
 
 
-@query("cell_boundary_wkt")
+@query("cell_boundary_wkt", "value_hex", "SELECT DISTINCT h8, TRUE AS is_polygon, TRUE AS closed FROM value_hex")
 def cell_boundary_wkt_(spark, sf):
-    return cells(spark, sf).withColumn("wkt", cell_boundary_wkt("h8"))
+    texts = cells(spark, sf).withColumn("wkt", cell_boundary_wkt("h8"))
+    corners = F.split(F.regexp_extract("wkt", r"\(\((.*)\)\)", 1), ", *")
+    return texts.select(
+        "h8", F.col("wkt").rlike(r"^POLYGON ?\(\(").alias("is_polygon"),
+        (F.element_at(corners, 1) == F.element_at(corners, -1)).alias("closed"),
+    )
 
 
-@query("grid_disk")
+@query("grid_disk", "value_hex", "SELECT DISTINCT h8, TRUE AS mutual, TRUE AS full FROM value_hex")
 def grid_disk_(spark, sf):
-    return cells(spark, sf).select("h8", F.explode(grid_disk("h8", 2)).alias("near"))
+    near = cells(spark, sf).select("h8", F.explode(grid_disk("h8", 2)).alias("near"))
+    back = near.withColumn("back", F.array_contains(grid_disk("near", 2), F.col("h8")))
+    return back.groupBy("h8").agg(
+        F.every("back").alias("mutual"), F.count_distinct("near").between(16, 19).alias("full")
+    )
 
 
-@query("sql_functions")
+@query("sql_functions", "points", "SELECT COUNT(*) AS n, TRUE AS has_areas, TRUE AS near FROM points")
 def sql_functions(spark, sf):
     register(spark)
     t.points(spark, sf).createOrReplaceTempView("hexweave_points")
-    return spark.sql("""
+    by_parent = spark.sql("""
         SELECT h3_cell_to_parent(h, 2) AS h2, COUNT(*) AS n, SUM(h3_cell_area(h, 'km^2')) AS area,
                AVG(h3_great_circle_distance(lat, lng, h3_cell_to_lat(h), h3_cell_to_lng(h), 'km')) AS mean_km
         FROM (SELECT lat, lng, h3_latlng_to_cell(lat, lng, 5) AS h FROM hexweave_points) GROUP BY 1""")
+    return by_parent.agg(
+        F.sum("n").alias("n"), F.every(F.col("area") > 0).alias("has_areas"),
+        F.every(F.col("mean_km") < REACH * tm.EDGE_KM[5]).alias("near"),
+    )
+
+
+def _plausible(area: str, factor: float = 1.0):
+    low, high = AREAS_KM2
+    each = F.col(area) / F.col("cells")
+    return each.between(low * factor, high * factor).alias("plausible")
 
 
-@query("area_exact")
+@query("area_exact", "feature_hex", "SELECT COUNT(DISTINCT h8) AS cells, TRUE AS plausible FROM feature_hex")
 def area_exact(spark, sf):
-    return pl.area(t.feature_hex(spark, sf), 8)
+    n = t.feature_hex(spark, sf).agg(F.count_distinct("h8"))
+    return pl.area(t.feature_hex(spark, sf), 8).withColumn("cells", n.scalar()).select("cells", _plausible("area"))
 
 
-@query("area_by_group")
+@query("area_by_group", "feature_hex", "SELECT status, COUNT(DISTINCT h8) AS cells, TRUE AS plausible FROM feature_hex GROUP BY 1")
 def area_by_group(spark, sf):
-    return pl.area(t.feature_hex(spark, sf), 8, "status", "acres")
+    n = t.feature_hex(spark, sf).groupBy("status").agg(F.count_distinct("h8").alias("cells"))
+    areas = pl.area(t.feature_hex(spark, sf), 8, "status", "acres").join(n, "status")
+    return areas.select("status", "cells", _plausible("area", m.ACRES_PER_KM2))
 
 
 @query("class_area")
@@ -87,16 +131,28 @@ def overlay_share_area(spark, sf):
     )
 
 
-@query("feature_centroid")
+@query("feature_centroid", "line_hex", "SELECT fid, TRUE AS amid FROM line_hex GROUP BY 1")
 def feature_centroid(spark, sf):
-    return pl.feature_centroid(t.line_hex(spark, sf), 8, "fid")
+    found = pl.feature_centroid(t.line_hex(spark, sf), 8, "fid")
+    spots = with_centers(t.line_hex(spark, sf).select("fid", "h8").distinct(), "h8").groupBy("fid").agg(
+        F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lng").alias("west"), F.max("lng").alias("east")
+    )
+    slack = 1e-9
+    amid = F.col("lat").between(F.col("south") - slack, F.col("north") + slack) & F.col("lng").between(
+        F.col("west") - slack, F.col("east") + slack
+    )
+    return found.join(spots, "fid").select("fid", amid.alias("amid"))
 
 
-@query("pixels_to_cells")
+@query("pixels_to_cells", "pixels", """
+    SELECT COUNT(*) AS n_pixels, ROUND(SUM(band_1), 2) AS total FROM pixels WHERE band_1 <> -9999""")
 def pixels_to_cells(spark, sf):
     valid = valid_values(t.pixels(spark, sf), "band_1", [-9999])
     located = pl.index_points(valid, 4, "y", "x")
-    return m.aggregate_cells(located, 4, F.avg("band_1").alias("mean_value"), count("n_pixels"))
+    means = m.aggregate_cells(located, 4, F.avg("band_1").alias("mean_value"), count("n_pixels"))
+    return means.agg(
+        F.sum("n_pixels").alias("n_pixels"), F.round(F.sum(F.col("mean_value") * F.col("n_pixels")), 2).alias("total")
+    )
 
 
 def _located(spark, sf):
@@ -118,11 +174,15 @@ def scope_by_points(spark, sf):
     return pl.scope_by_points(_located(spark, sf), spots, F.col("class") == "click").groupBy("h0").agg(count())
 
 
-@query("scope_by_name")
+@query("scope_by_name", sql="SELECT s_suppkey AS aoi_id, TRUE AS whole FROM supplier WHERE s_name = 'Supplier#000000007'")
 def scope_by_name(spark, sf):
     flat = t.boxes(spark, sf)
     tagged = pl.polygons_to_cells(flat, "aoi_id", 3)
-    return pl.scope_by_name(tagged, flat, "aoi_id", F.col("name") == "Supplier#000000007", "ring").groupBy("aoi_id").agg(count("cells"))
+    found = pl.scope_by_name(tagged, flat, "aoi_id", F.col("name") == "Supplier#000000007", "ring")
+    every = tagged.groupBy("aoi_id").agg(count("every"))
+    return found.groupBy("aoi_id").agg(count("cells")).join(every, "aoi_id").select(
+        "aoi_id", (F.col("cells") == F.col("every")).alias("whole")
+    )
 
 
 @query("cell_distance")
@@ -142,21 +202,37 @@ def nearest(spark, sf):
     return found.select("event_id", F.round("distance_km", 5).alias("distance_km"))
 
 
-@query("polygon_cells")
+@query("polygon_cells", "boxes", "SELECT aoi_id, TRUE AS inside, TRUE AS fills FROM boxes")
 def polygon_cells(spark, sf):
-    return pl.polygons_to_cells(t.boxes(spark, sf), "aoi_id", 4)
+    found = with_centers(pl.polygons_to_cells(t.boxes(spark, sf), "aoi_id", 4), "h4").join(t.boxes(spark, sf), "aoi_id")
+    a, c = F.col("ring")[0], F.col("ring")[2]
+    within = F.col("lng").between(a["x"], c["x"]) & F.col("lat").between(a["y"], c["y"])
+    # the cells' area against the box's, on the sphere
+    box = F.radians(c["x"] - a["x"]) * (F.sin(F.radians(c["y"])) - F.sin(F.radians(a["y"]))) * ico.EARTH_RADIUS_KM**2
+    return found.groupBy("aoi_id").agg(
+        F.every(within).alias("inside"), (F.sum(cell_area("h4")) / F.first(box)).between(0.9, 1.1).alias("fills")
+    )
 
 
-@query("pyramid_bounds")
+@query("pyramid_bounds", "points", "SELECT COUNT(*) AS n, TRUE AS holds_all, TRUE AS counts_cells FROM points")
 def pyramid_bounds(spark, sf):
-    level = py.finest_level(_located(spark, sf), "COUNT", h="h5")
-    return py.pyramid_bounds(with_centers(level, "h"))
+    level = with_centers(py.finest_level(_located(spark, sf), "COUNT", h="h5"), "h")
+    b = py.pyramid_bounds(level).select(F.struct("*").alias("b")).scalar()
+    checked = level.withColumn("b", b)
+    inside = F.col("lng").between(F.col("b.west"), F.col("b.east")) & F.col("lat").between(F.col("b.south"), F.col("b.north"))
+    return checked.agg(
+        F.sum("count").alias("n"), F.every(inside).alias("holds_all"),
+        (F.count(F.lit(1)) == F.max("b.feature_count")).alias("counts_cells"),
+    )
 
 
-@query("tile_cells_pruned")
+@query("tile_cells_pruned", sql="SELECT TRUE AS has_cells, TRUE AS finds_all")
 def tile_cells_pruned(spark, sf):
     level = with_centers(py.finest_level(_located(spark, sf), "COUNT", h="h5"), "h")
-    return tl.tile_cells(level, 5, 3, 0, 4, pl.tile_base_cells(spark, 3, 0, 4, 5))
+    pruned = tl.tile_cells(level, 5, 3, 0, 4, pl.tile_base_cells(spark, 3, 0, 4, 5)).agg(count())
+    return tl.tile_cells(level, 5, 3, 0, 4).agg(count("every")).withColumn("n", pruned.scalar()).select(
+        (F.col("n") > 0).alias("has_cells"), (F.col("n") == F.col("every")).alias("finds_all")
+    )
 
 
 @query("tile_features_cells")

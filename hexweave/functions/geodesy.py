@@ -122,8 +122,9 @@ def _boundary_wkt(h: pa.Array) -> pa.Array:
 
 
 def cell_boundary_wkt(h: Column | str) -> Column:
-    """The closed ring as POLYGON text with six decimals."""
-    return F.arrow_udf(_boundary_wkt, "string")(as_column(h))
+    """The closed ring as POLYGON text with six decimals, spelled from `cell_boundary` in the JVM."""
+    corners = F.transform(cell_boundary(h), lambda v: F.format_string("%.6f %.6f", v["x"], v["y"]))
+    return F.concat(F.lit("POLYGON (("), F.array_join(corners, ", "), F.lit("))"))
 
 
 def grid_disk(h: Column | str, k: int = 1) -> Column:

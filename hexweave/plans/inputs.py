@@ -48,9 +48,14 @@ def parent_sql(h: str, res: int) -> str:
 # --- layers ------------------------------------------------------------------
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A benchmark table."""
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+def table(spark: SparkSession, sf: str, name: str, deal_by: str | None = None) -> DataFrame:
+    """A benchmark table, dealt over the cores where the layer made from it takes long per row.
+
+    The files have one row group each, which no setting splits; datasets on storage have many, so no
+    operator does this.
+    """
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return df if deal_by is None else df.repartition(spark.sparkContext.defaultParallelism, deal_by)
 
 
 def _with_h0(df: DataFrame, h: str) -> DataFrame:
@@ -132,7 +137,7 @@ def land_hex(spark, sf) -> DataFrame:
 def land_grid(spark, sf) -> DataFrame:
     """Dense fine land grid; every fifth child is missing, as at a coast."""
     df = (
-        table(spark, sf, "part").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(48))).alias("j"))
+        table(spark, sf, "part", "p_partkey").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(48))).alias("j"))
         .where("j % 5 <> 4")
         .select(cell(F.col("p_partkey") * 49 + F.col("j"), 10).alias("h10"))
     )
@@ -142,7 +147,7 @@ def land_grid(spark, sf) -> DataFrame:
 
 def presence_hex(spark, sf) -> DataFrame:
     """Fine cells where something occurs; no fraction column."""
-    df = table(spark, sf, "lineitem").select(
+    df = table(spark, sf, "lineitem", "l_orderkey").select(
         cell(F.col("l_partkey") * 49 + F.col("l_quantity").cast("bigint") % 49, 10).alias("h10")
     )
     return _with_h0(df.distinct(), "h10")
@@ -157,7 +162,7 @@ def coarse_feature(spark, sf) -> DataFrame:
 
 def points(spark, sf) -> DataFrame:
     """Occurrences with coordinates."""
-    return table(spark, sf, "events").select(
+    return table(spark, sf, "events", "event_id").select(
         "event_id", (F.col("event_id") % 1600 / 10.0 - 80.0).alias("lat"),
         (F.col("user_id") * 37 % 3599 / 10.0 - 179.9).alias("lng"),
         F.col("user_id").alias("species"), F.col("event_type").alias("class"), "value",
@@ -187,7 +192,7 @@ def blocks_hex(spark, sf) -> DataFrame:
 def pixels(spark, sf) -> DataFrame:
     """Raster pixels in eight rasters; some hold the no-data value."""
     band = F.when(F.col("event_id") % 13 == 0, -9999.0).otherwise(F.col("value"))
-    return table(spark, sf, "events").select(
+    return table(spark, sf, "events", "event_id").select(
         (F.col("event_id") % 8).alias("raster"), F.col("event_id").alias("pixel_id"),
         (F.col("user_id") * 7 % 3000 / 10.0 - 150.03).alias("x"),
         (F.col("event_id") * 11 % 1400 / 10.0 - 70.07).alias("y"), band.alias("band_1"),
@@ -214,7 +219,7 @@ def polylines(spark, sf) -> DataFrame:
     line = F.array(
         vertex(x0, y0), vertex(x0 + 12, y0 + 9), vertex(x0 + 20, y0 - 6), vertex(x0 + 31, y0 + 3)
     )
-    return table(spark, sf, "part").select(
+    return table(spark, sf, "part", "p_partkey").select(
         k.alias("line_id"), F.col("p_size").cast("double").alias("length_km"),
         F.col("p_brand").alias("class"), line.alias("line"),
     )
@@ -230,7 +235,7 @@ def boxes(spark, sf) -> DataFrame:
         vertex(west, south), vertex(west + width, south), vertex(west + width, south + height),
         vertex(west, south + height), vertex(west, south),
     )
-    return table(spark, sf, "supplier").select(
+    return table(spark, sf, "supplier", "s_suppkey").select(
         k.alias("aoi_id"), ring.alias("ring"), F.col("s_name").alias("name")
     )
 
@@ -249,7 +254,7 @@ def aoi_cells(spark, sf) -> DataFrame:
 
 def centers(spark, sf) -> DataFrame:
     """A level of cells with given centres, one per event."""
-    return table(spark, sf, "events").select(
+    return table(spark, sf, "events", "event_id").select(
         cell("event_id", 8).alias("h"), cell_parent(cell("event_id", 8), 0).alias("h0"),
         (F.col("event_id") * 7 % 1700 / 10.0 - 85.0).alias("lat"),
         (F.col("event_id") * 13 % 3600 / 10.0 - 180.0).alias("lng"), "value",

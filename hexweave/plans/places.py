@@ -118,16 +118,27 @@ def area_by_group(spark, sf):
     return areas.select("status", "cells", _plausible("area", m.ACRES_PER_KM2))
 
 
-@query("class_area")
+@query("class_area", "fraction_hex", """
+    SELECT class, ROUND(SUM(frac), 6) AS cells, TRUE AS plausible FROM fraction_hex WHERE class <> 'N' GROUP BY class""")
 def class_area(spark, sf):
-    return m.class_area(t.fraction_hex(spark, sf), 8, "class", cell_area("h8"), "N")
+    areas = m.class_area(t.fraction_hex(spark, sf), 8, "class", cell_area("h8"), "N")
+    cells = m.class_area(t.fraction_hex(spark, sf), 8, "class", F.lit(1.0), "N").withColumnRenamed("area", "cells")
+    return areas.join(cells, "class").select("class", F.round("cells", 6).alias("cells"), _plausible("area"))
 
 
-@query("overlay_share_area")
+@query("overlay_share_area", "fraction_hex weights_hex land_hex", "SELECT DISTINCT class, TRUE AS bounded FROM fraction_hex SEMI JOIN land_hex USING (h8, h0)")
 def overlay_share_area(spark, sf):
-    return m.overlay_share(
-        t.fraction_hex(spark, sf), t.weights_hex(spark, sf), t.land_hex(spark, sf).select("h8", "h0"), 8,
-        F.col("w1") + F.col("w2"), cell_area("h8"), by="class", frac="frac",
+    """The share by area, which cannot differ from the share by cells more than the areas do from one another."""
+    def share(area, out):
+        return m.overlay_share(
+            t.fraction_hex(spark, sf), t.weights_hex(spark, sf), t.land_hex(spark, sf).select("h8", "h0"), 8,
+            F.col("w1") + F.col("w2"), area, by="class", frac="frac", out=out,
+        )
+
+    most = AREAS_KM2[1] / AREAS_KM2[0]
+    both = share(cell_area("h8"), "by_area").join(share(F.lit(1.0), "by_cells"), "class")
+    return both.select(
+        "class", F.col("by_area").between(F.col("by_cells") / most, F.col("by_cells") * most).alias("bounded")
     )
 
 
@@ -159,19 +170,31 @@ def _located(spark, sf):
     return pl.index_points(t.points(spark, sf), 5).select("event_id", "species", "class", "value", "h5", "h0")
 
 
-@query("value_at")
+@query("value_at", sql="SELECT TRUE AS found, TRUE AS same")
 def value_at(spark, sf):
     spots = t.boxes(spark, sf).select("aoi_id", F.col("ring")[0]["x"].alias("lng"), F.col("ring")[0]["y"].alias("lat"))
     layer = m.aggregate_cells(
         pl.index_points(t.points(spark, sf), 1), 1, F.avg("value").alias("mean_value"), count()
     )
-    return pl.value_at(layer, spots, 1).select("aoi_id", "h1", "mean_value", "n")
+    found = pl.value_at(layer, spots, 1)
+    # every point against every spot's cell, counted the other way round
+    pairs = pl.index_points(spots, 1).select("aoi_id", "h1").join(pl.index_points(t.points(spark, sf), 1).select("h1"), "h1")
+    return found.agg(F.sum("n").alias("n")).withColumn("m", pairs.agg(count()).scalar()).select(
+        (F.col("n") > 0).alias("found"), (F.col("n") == F.col("m")).alias("same")
+    )
 
 
-@query("scope_by_points")
+@query("scope_by_points", sql="SELECT TRUE AS fits, TRUE AS keeps")
 def scope_by_points(spark, sf):
     spots = t.boxes(spark, sf).select(F.col("ring")[0]["x"].alias("lng"), F.col("ring")[0]["y"].alias("lat"))
-    return pl.scope_by_points(_located(spark, sf), spots, F.col("class") == "click").groupBy("h0").agg(count())
+    clicks = F.col("class") == "click"
+    rows = _located(spark, sf)
+    found = pl.scope_by_points(rows, spots, clicks)
+    home = pl.index_points(spots, 0).select("h0").distinct()  # the spots' own base cells
+    lost = rows.where(clicks).join(home, "h0", "left_semi").join(found.select("event_id"), "event_id", "left_anti")
+    return found.agg(F.every(clicks).alias("fits")).withColumn("lost", lost.agg(count()).scalar()).select(
+        "fits", (F.col("lost") == 0).alias("keeps")
+    )
 
 
 @query("scope_by_name", sql="SELECT s_suppkey AS aoi_id, TRUE AS whole FROM supplier WHERE s_name = 'Supplier#000000007'")
@@ -185,11 +208,17 @@ def scope_by_name(spark, sf):
     )
 
 
-@query("cell_distance")
+@query("cell_distance", "coarse_feature value_hex", """
+    SELECT DISTINCT c.h6, m.h8, TRUE AS plausible FROM coarse_feature c
+    JOIN (SELECT h0, MIN(h8) AS h8 FROM value_hex GROUP BY h0) m ON m.h0 = c.h0""")
 def cell_distance(spark, sf):
     first = t.value_hex(spark, sf).groupBy("h0").agg(F.min("h8").alias("h8"))  # one row per base cell
     pairs = t.coarse_feature(spark, sf).select("h6", "h0").distinct().join(first, "h0")
-    return pl.cell_distance(pairs.select("h6", "h8"), "h6", "h8")
+    # cells of one base cell are at most twice its reach apart
+    far = 2 * REACH * tm.EDGE_KM[0]
+    return pl.cell_distance(pairs.select("h6", "h8"), "h6", "h8").select(
+        "h6", "h8", F.col("distance").between(0, far).alias("plausible")
+    )
 
 
 @query("nearest", "points boxes", """
@@ -235,14 +264,26 @@ def tile_cells_pruned(spark, sf):
     )
 
 
-@query("tile_features_cells")
+@query("tile_features_cells", sql="SELECT TRUE AS finite, TRUE AS closed, TRUE AS has_both_zooms")
 def tile_features_cells(spark, sf):
     level = with_centers(py.finest_level(_located(spark, sf), "COUNT", h="h5"), "h")
     tiles = tl.build_tiles(level.withColumn("outline", cell_boundary("h")), 5, [3, 5])
-    return tiles.select("z", "x", "y", "h", "count", tl.mercator_ring("outline", "lng").alias("ring"))
+    rings = tiles.select("z", "x", "y", "h", "count", tl.mercator_ring("outline", "lng").alias("ring"))
+    finite = F.forall("ring", lambda v: (F.abs(v["x"]) < 3 * tm.HALF_WORLD_M) & (F.abs(v["y"]) <= tm.HALF_WORLD_M + 1))
+    return rings.agg(
+        F.every(finite).alias("finite"), F.every(F.element_at("ring", 1) == F.element_at("ring", -1)).alias("closed"),
+        (F.count_distinct("z") == 2).alias("has_both_zooms"),
+    )
 
 
-@query("pyramid_richness")
+@query("pyramid_richness", sql="SELECT TRUE AS bounded, TRUE AS attained")
 def pyramid_richness(spark, sf):
-    level = py.finest_level(_located(spark, sf), "COUNT_DISTINCT", ["species"], "h5")
-    return py.parent_level(level, 3, "COUNT_DISTINCT", ["species"])
+    """A parent's number of species is its richest child's: a lower bound of its own."""
+    rows = _located(spark, sf)
+    level = py.parent_level(py.finest_level(rows, "COUNT_DISTINCT", ["species"], "h5"), 4, "COUNT_DISTINCT", ["species"])
+    own = rows.groupBy(cell_parent("h5", 4, 5).alias("h")).agg(F.count_distinct("species").alias("all"))
+    child = rows.groupBy("h5").agg(F.count_distinct("species").alias("n")).groupBy(cell_parent("h5", 4, 5).alias("h")).agg(F.max("n").alias("most"))
+    both = level.join(own, "h").join(child, "h")
+    return both.agg(
+        F.every(F.col("species") <= F.col("all")).alias("bounded"), F.every(F.col("species") == F.col("most")).alias("attained")
+    )

@@ -6,6 +6,9 @@ All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,34 +17,51 @@ from hexweave.llm.kneser_ney import classify
 from hexweave.llm.line_dedup import line_dedup
 from hexweave.llm.near_dedup import near_dedup
 from hexweave.llm.queries import tokenizer
-from hexweave.session import fresh_dir
+from hexweave.session import fresh_dir, ship
 
 # SQL cannot express the classifier, the sketches or the packing; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def stage(f: Stage) -> Stage:
+    """A stage whose executors have the package, however the session was started."""
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return f(ship(spark), docs, sf_dir)
+
+    return run_stage
+
+
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the Kneser-Ney classifier keeps."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return classify(docs, labels).where("kept").select(*docs.columns)
 
 
+@stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their site's boilerplate lines; all of them stay."""
     return counted(line_dedup(docs).select(*docs.columns))
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id."""
     dropped = near_dedup(docs).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
+@stage
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data and revealing terms generalised; all of them stay."""
     return counted(private_data.sanitise(docs))
 
 
+@stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens and their places in sequences."""
     return packing.pack(docs, tokenizer("word_bpe_49k.json"), ids=False).select(
@@ -70,8 +90,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; the packed pieces."""
     folder = fresh_dir(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        result = stage(spark, docs, sf_dir)
+    for name, apply in STAGES:
+        result = apply(spark, docs, sf_dir)
         result.write.parquet(f"{folder}/{name}")
         docs = spark.read.schema(result.schema).parquet(f"{folder}/{name}")
     return docs

@@ -379,3 +379,28 @@ def near_dedup(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
         "doc_id", "n_shingles", component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
+
+
+def near_dedup_sql(width: int = 2, percent: int = PERCENT) -> str:
+    """The same over ``documents`` for DuckDB, by counting shared shingles of all pairs: for small tables."""
+    shingle = " || ' ' || ".join(f"ws[i + {k}]" for k in range(width))
+    return f"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+    ), sets AS (
+        SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {width} THEN [array_to_string(ws, ' ')]
+            ELSE list_distinct([{shingle} for i in range(1, len(ws) - {width} + 2)]) END AS s FROM words
+    ), each AS (
+        SELECT doc_id, unnest(s) AS x FROM sets
+    ), pairs AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS k FROM each a JOIN each b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2
+    ), links AS (
+        SELECT a, b FROM pairs JOIN sets p ON p.doc_id = a JOIN sets q ON q.doc_id = b
+        WHERE 100 * k >= {percent} * (len(p.s) + len(q.s) - k)
+    ), reach(d, r) AS (
+        SELECT doc_id, doc_id FROM documents
+        UNION SELECT d, l.r FROM reach JOIN (SELECT a AS l, b AS r FROM links UNION ALL SELECT b, a FROM links) l ON reach.r = l.l
+    )
+    SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c AS component_id, doc_id = c AS kept
+    FROM sets JOIN (SELECT d, MIN(r) AS c FROM reach GROUP BY d) ON d = doc_id"""

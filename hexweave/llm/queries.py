@@ -11,7 +11,7 @@ from hexweave.llm import fingerprints, kneser_ney, packing, pieces, suffixes
 from hexweave.llm import private_data as pii
 from hexweave.llm.common import pick, table
 from hexweave.llm.line_dedup import line_dedup, line_dedup_sql
-from hexweave.llm.near_dedup import near_dedup
+from hexweave.llm.near_dedup import near_dedup, near_dedup_sql
 from hexweave.llm.quality_rules import quality_rules
 from hexweave.llm.url_filters import url_filters
 
@@ -57,6 +57,9 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), width=2)
 
 
+SQL["op4_near_dedup"] = near_dedup_sql(width=2)
+
+
 @query
 def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.suffix_dedup(table(spark, sf_dir, "documents"), with_text=False).drop("kept")

@@ -91,18 +91,16 @@ def count_grams(docs: DataFrame) -> DataFrame:
     classes = _classes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SYMBOLS**ORDER, np.int64)
         for batch in slices(batches, "text"):
             number, _ = grams(batch.column("text"), classes)
-            total += np.bincount(number, minlength=len(total))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["gram", "n"])
+            seen, times = np.unique(number, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(times, pa.int64())], ["gram", "n"])
 
     return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def shares(counts: DataFrame) -> DataFrame:
-    """kind ('gram' or 'context'), gram and value for one order's (gram, n).
+    """is_gram (else a context), gram and value for one order's (gram, n).
 
     A gram's value is its discounted share of its context, a context's the weight of the lower order. The
     discounts D1, D2, D3+ come from the numbers of grams counted once to four times.
@@ -122,33 +120,48 @@ def shares(counts: DataFrame) -> DataFrame:
     contexts = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("held"))
     joined = rows.join(contexts, "context")
     return joined.select(
-        F.lit("gram").alias("kind"), "gram", ((F.col("n") - F.col("cut")) / F.col("total")).alias("value")
+        F.lit(True).alias("is_gram"), "gram", ((F.col("n") - F.col("cut")) / F.col("total")).alias("value")
     ).unionByName(contexts.select(
-        F.lit("context").alias("kind"), F.col("context").alias("gram"), (F.col("held") / F.col("total")).alias("value")
+        F.lit(False).alias("is_gram"), F.col("context").alias("gram"), (F.col("held") / F.col("total")).alias("value")
     ))
 
 
 def model(trusted: DataFrame) -> np.ndarray:
-    """Log probability of every n-gram's last symbol after the others, as a table of ``SYMBOLS ** ORDER``."""
+    """Log probability of every n-gram's last symbol after the others, as a table of ``SYMBOLS ** ORDER``.
+
+    The joins leave a row for each n-gram and context seen; the driver spreads them over the table, the
+    largest thing it holds (two bytes an entry), a block of contexts at a time.
+    """
     folder = fresh_dir(trusted.sparkSession, "grams")
     spark = trusted.sparkSession
-    counts = count_grams(trusted)
-    table = np.full(SYMBOLS, 1 / SYMBOLS)
-    counts.write.parquet(f"{folder}/{ORDER}")
+    count_grams(trusted).write.parquet(f"{folder}/{ORDER}")
     for order in range(ORDER - 1, 0, -1):  # how many symbols a gram of this order continues
         longer = spark.read.schema("gram long, n long").parquet(f"{folder}/{order + 1}")
         longer.groupBy(F.pmod("gram", F.lit(SYMBOLS**order)).alias("gram")).agg(
             F.count(F.lit(1)).alias("n")
         ).write.parquet(f"{folder}/{order}")
+    table = np.full((1, SYMBOLS), 1 / SYMBOLS)
     for order in range(1, ORDER + 1):
-        rows = shares(spark.read.schema("gram long, n long").parquet(f"{folder}/{order}")).toPandas()
+        counts = spark.read.schema("gram long, n long").parquet(f"{folder}/{order}")
+        rows = shares(counts).orderBy("gram").toArrow()
+        seen, number, value = (rows.column(c).to_numpy() for c in ("is_gram", "gram", "value"))
         weight = np.ones(SYMBOLS ** (order - 1))
-        seen = rows["kind"] == "context"
-        weight[rows["gram"][seen].to_numpy(np.int64)] = rows["value"][seen].to_numpy(float)
-        lower = np.tile(table.reshape(-1, SYMBOLS), (len(weight) * SYMBOLS // table.size, 1)) if order > 1 else table[None]
-        table = (weight[:, None] * lower).ravel()
-        table[rows["gram"][~seen].to_numpy(np.int64)] += rows["value"][~seen].to_numpy(float)
-    return np.log(np.maximum(table, 1e-7)).astype(np.float16)
+        weight[number[~seen]] = value[~seen]
+        table = _spread(table, weight, number[seen], value[seen], order == ORDER)
+    return table
+
+
+def _spread(lower: np.ndarray, weight: np.ndarray, number: np.ndarray, value: np.ndarray, last: bool) -> np.ndarray:
+    """One order's table from the shorter one's; of the last order, its logarithms."""
+    step = SYMBOLS**2
+    out = np.empty((len(weight), SYMBOLS), np.float16 if last else float)
+    for start in range(0, len(weight), step):
+        stop = min(start + step, len(weight))
+        block = weight[start:stop, None] * lower[np.arange(start, stop) % len(lower)]
+        a, b = np.searchsorted(number, [start * SYMBOLS, stop * SYMBOLS])
+        block.ravel()[number[a:b] - start * SYMBOLS] += value[a:b]
+        out[start:stop] = np.log(np.maximum(block, 1e-7)) if last else block
+    return out.ravel() if last else out
 
 
 def entropy(text: Column, table: Broadcast) -> Column:

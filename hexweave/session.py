@@ -23,6 +23,8 @@ SETTINGS = {
     "spark.sql.optimizer.dynamicPartitionPruning.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows may be whole documents: batches are kept small on both sides.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.session.timeZone": "UTC",
 }
 

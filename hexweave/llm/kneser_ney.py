@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from hexweave.llm.common import whole_row, with_trust
 from hexweave.llm.subwords import raw, slices
-from hexweave.session import fresh_dir
+from hexweave.session import fresh_dir, materialize
 
 SYMBOLS = 64
 ORDER = 4
@@ -76,9 +76,9 @@ def grams(texts: pa.Array, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     first = np.concatenate([[0], np.cumsum((content & 0xC0) != 0x80)])  # a character's first byte
     offsets = first[at]
     pad = ORDER - 1
-    text = np.repeat(np.arange(len(texts)), np.diff(offsets))
     padded = np.full(len(symbols) + pad * len(texts), LINE, np.uint8)
-    where = np.arange(len(symbols)) + pad * (text + 1)
+    where = np.repeat(pad * np.arange(1, len(texts) + 1, dtype=np.int32), np.diff(offsets))
+    where += np.arange(len(symbols), dtype=np.int32)
     padded[where] = symbols
     number = np.zeros(len(symbols), np.int32)
     for back in range(pad, -1, -1):
@@ -182,7 +182,7 @@ def entropy(text: Column, table: Broadcast) -> Column:
             out.append(pa.array(-sums / np.maximum(sizes, 1), mask=~some))
         return pa.chunked_array(out, pa.float64()).combine_chunks() if out else pa.array([], pa.float64())
 
-    return F.round(score(text), 4)
+    return F.round(score(text), 3)
 
 
 def thresholds(scored: DataFrame, quantile: float, margin: float) -> DataFrame:
@@ -190,7 +190,9 @@ def thresholds(scored: DataFrame, quantile: float, margin: float) -> DataFrame:
 
     Entropies are rounded, so that the histogram per language is bounded and the quantile exact.
     """
-    bins = scored.where("entropy is not null").groupBy("lang", "entropy").agg(F.count(F.lit(1)).alias("n"))
+    bins = materialize(
+        scored.where("entropy is not null").groupBy("lang", "entropy").agg(F.count(F.lit(1)).alias("n")), "bins"
+    )
     both = bins.where("lang is not null").unionByName(
         bins.groupBy("entropy").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "entropy", "n")
     )

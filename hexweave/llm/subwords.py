@@ -15,8 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Bytes of text worked on at once, and distinct chunks kept per worker: bounds on memory, not on work.
-SLICE_BYTES = 4 << 20
-MEMO = 700_000
+SLICE_BYTES = 2 << 20
+MEMO = 300_000
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
@@ -31,6 +31,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
             stop = max(int(np.searchsorted(ends, done + SLICE_BYTES, "right")), start + 1)
             yield batch.slice(start, stop - start)
             start, done = stop, int(ends[stop - 1])
+    pa.default_memory_pool().release_unused()  # workers live on after their task
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -17,7 +17,7 @@ from hexweave.llm.kneser_ney import classify
 from hexweave.llm.line_dedup import line_dedup
 from hexweave.llm.near_dedup import near_dedup
 from hexweave.llm.queries import tokenizer
-from hexweave.session import fresh_dir, ship
+from hexweave.session import fresh_dir, ship, tune
 
 # SQL cannot express the classifier, the sketches or the packing; tests compare the stages with brute force.
 ORACLE_SQL = None
@@ -27,10 +27,10 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def stage(f: Stage) -> Stage:
-    """A stage whose executors have the package, however the session was started."""
+    """A stage with the session's settings, whose executors have the package, however it is started."""
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        return f(ship(spark), docs, sf_dir)
+        return f(ship(tune(spark)), docs, sf_dir)
 
     return run_stage
 

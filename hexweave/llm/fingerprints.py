@@ -20,6 +20,7 @@ All of it is DataFrame code; a fingerprint is made inside the row in time linear
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ STRATA = 8
 LANES = 16
 FULL = 0.75
 BUCKET_ROWS = 20_000
-MAX_BUCKETS = 4096
+CUTS = 256
 
 
 def _mask(x: Column, bits: int) -> Column:
@@ -156,36 +157,46 @@ def spelled(f: Column) -> Column:
     return F.lower(F.concat(digits(F.array(f["mass"]), 8), digits(f["whole"], 8), digits(f["parts"], 4)))
 
 
-def _with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Every row with ``next``, a struct of ``columns`` of the next document in descending doc_id.
+def _id_ranges(ids: DataFrame) -> Column:
+    """Number of a row's range of ids, in the ids' order, with about `BUCKET_ROWS` rows in a range.
 
-    Ids are cut into ranges of about equal numbers of rows, a range is one group of the window, and the
-    one row a range lacks, the last of the range below, is joined to it.
+    Up to `CUTS` ranges end at approximate quantiles; more are got by cutting each of those evenly.
+    NULL is in the lowest.
     """
-    ids = docs.select("doc_id")
-    n = ids.count()
-    wanted = max(1, min(MAX_BUCKETS, n // BUCKET_ROWS))
-    cuts = sorted(set(ids.approxQuantile("doc_id", [i / wanted for i in range(1, wanted)], 0.25 / wanted))) if wanted > 1 else []
-    bucket = F.lit(0)
-    if cuts:
-        bounds = F.array(*[F.lit(int(c)) for c in cuts])
-        bucket = F.coalesce(F.size(F.filter(bounds, lambda c: c < F.col("doc_id"))), F.lit(0))
-    docs = docs.withColumn("_b", bucket)
-    last_ids = docs.groupBy("_b").agg(F.max("doc_id").alias("_last"))
-    # One row per range: the list is as long as `cuts`.
-    last = docs.join(
-        F.broadcast(last_ids.withColumnRenamed("_b", "_lb")),
-        (F.col("_b") == F.col("_lb")) & F.col("doc_id").eqNullSafe(F.col("_last")),
-    ).groupBy("_b").agg(F.max(F.struct(*columns)).alias("_next"))
+    n, low, high = ids.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
+    wanted = n // BUCKET_ROWS
+    if wanted < 2 or low is None:
+        return F.lit(0).cast("long")
+    quantiles = min(wanted, CUTS)
+    each = -(-wanted // quantiles)
+    found = ids.approxQuantile("doc_id", [k / quantiles for k in range(1, quantiles)], 0.25 / quantiles)
+    ends = [*sorted({int(c) for c in found if low <= c < high}), int(high)]
+    starts = [int(low) - 1, *ends[:-1]]
+    end, start = (F.array(*[F.lit(v).cast("long") for v in x]) for x in (ends, starts))
+    at = F.size(F.filter(end, lambda c: c < F.col("doc_id")))
+    part = (F.col("doc_id") - F.get(start, at) - 1) / (F.get(end, at) - F.get(start, at))
+    return F.coalesce(at.cast("long") * each + F.floor(part * each), F.lit(0).cast("long"))
+
+
+def _with_next(docs: DataFrame, columns: list[str], made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``made(docs)`` with ``next``, a struct of ``columns`` of the next document in descending doc_id.
+
+    A range of ids is one group of the window, and the one row a range lacks, the last of the range below,
+    is joined to it. That list has an id for each range, some bytes for `BUCKET_ROWS` documents.
+    """
+    docs = docs.withColumn("_b", _id_ranges(docs.select("doc_id")))
+    last = docs.groupBy("_b").agg(F.max("doc_id").alias("_last"))
     order = Window.partitionBy(F.lit(0)).orderBy("_b")
     everyone = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    below = last.select(
-        F.col("_b").alias("_nb"),
-        F.coalesce(F.lag("_next").over(order), F.last("_next").over(everyone)).alias("_below"),
-    )
+    rank, top = F.row_number().over(order), F.last(F.struct("_b", "_last")).over(everyone)
+    before = F.when(rank == 1, top).otherwise(F.lag(F.struct("_b", "_last")).over(order))
+    below = last.select(F.col("_b").alias("_nb"), before.alias("_p")).select("_nb", "_p.*")
+    below = below.select("_nb", F.col("_b").alias("_pb"), F.col("_last").alias("_plast"))
+    edge = docs.join(F.broadcast(below), (F.col("_b") == F.col("_pb")) & F.col("doc_id").eqNullSafe(F.col("_plast")))
+    edge = made(edge).groupBy("_nb").agg(F.max(F.struct(*columns)).alias("_below"))
     inside = Window.partitionBy("_b").orderBy("doc_id", "text")
-    out = docs.withColumn("_in", F.lag(F.struct(*columns)).over(inside))
-    joined = out.join(below, F.col("_b") == F.col("_nb"), "left")
+    out = made(docs).withColumn("_in", F.lag(F.struct(*columns)).over(inside))
+    joined = out.join(edge, F.col("_b") == F.col("_nb"), "left")
     return joined.withColumn("next", F.coalesce("_in", "_below")).drop("_b", "_nb", "_in", "_below")
 
 
@@ -197,8 +208,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
     gives an empty result. Other columns of ``docs`` are ignored.
     """
     docs = pick(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    docs = docs.withColumn("print", fingerprint(F.col("text")))
-    rows = _with_next(docs, ["text", "print"])
+    rows = _with_next(docs, ["text", "print"], lambda df: df.withColumn("print", fingerprint(F.col("text"))))
     n = F.char_length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring(F.col("next.text"), F.lit(1), cut))

@@ -32,8 +32,10 @@ def test_edits_and_next(docs, rows, nothing):
     assert fp.with_edits(nothing).collect() == []
 
 
-def test_ranges_of_ids(spark, monkeypatch):
+@pytest.mark.parametrize("cuts", [256, 3])
+def test_ranges_of_ids(spark, monkeypatch, cuts):
     monkeypatch.setattr(fp, "BUCKET_ROWS", 4)
+    monkeypatch.setattr(fp, "CUTS", cuts)
     data = [(i * 7 - 30, f"text {i}\n" * (i % 3)) for i in range(41)]
     out = fp.with_edits(spark.createDataFrame(data, "doc_id long, text string")).collect()
     assert len(out) == 41

@@ -118,6 +118,29 @@ def test_model_against_the_recursion(spark):
     assert np.allclose(sums, 1, atol=0.01)
 
 
+def test_other_scripts_are_told_apart(spark):
+    rng = random.Random(12)
+    stems = ["".join(rng.choice("аеиокнрстлмвд") for _ in range(rng.randint(3, 8))) for _ in range(60)]
+    good = [" ".join(rng.choice(stems) for _ in range(60)) for _ in range(80)]
+
+    def scrambled(text):
+        return "".join(chr(rng.randrange(0x430, 0x450)) if c != " " else c for c in text)
+
+    data = [(i, t, "ru") for i, t in enumerate([*good, *map(scrambled, good)])]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    for broadcast in (kneser_ney.TRUSTED, 20):
+        kept = {r["doc_id"]: r["kept"] for r in kneser_ney.classify(df, labels, broadcast).collect()}
+        assert sum(kept[i] for i in range(80)) >= 76 and not any(kept[i] for i in range(80, 160))
+
+
+def test_trusted_text_has_no_bound(spark):
+    docs = spark.createDataFrame([(i, chr(0x4E00 + i) * 2, "zh") for i in range(300)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    good = kneser_ney.trusted_rows(docs, labels, 10)
+    assert good.count() == 300 and kneser_ney.count_grams(good).count() == 600
+
+
 def test_classify(docs, rows, labels, nothing):
     out = kneser_ney.classify(docs.drop("kept"), labels)
     got = {r["doc_id"]: r for r in out.collect()}

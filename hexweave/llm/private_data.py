@@ -1,15 +1,17 @@
 """PII: base patterns, and an information-theoretic rule for the terms around them.
 
 The base kinds (email, ip, card, phone) are found by patterns. The values found are the protected
-entities. For a term that stands next to an entity, the corpus tells how strongly the term reveals
-it: PMI(term, entity) = log(N n(t,e) / (n(t) n(e))) over documents, as a share of the entity's
-information content log(N / n(e)). A share of 1 means that the term occurs only where the entity does.
-Terms at or above ``disclosure``, seen with the entity in ``support`` different contexts, are spans of
-kind ``term`` in the documents that hold the entity.
+entities. For a term of a document that holds an entity, wherever it stands, the corpus tells how
+strongly the term reveals it: PMI(term, entity) = log(N n(t,e) / (n(t) n(e))) over documents, as a share
+of the entity's information content log(N / n(e)). A share of 1 means that the term occurs only where
+the entity does. Terms at or above ``disclosure``, found with the entity in ``support`` different texts,
+are spans of kind ``term`` at all their places in the documents that hold the entity.
 
 All of it is DataFrame code. Positions are found inside the row (gaps and matches of one pattern
-alternate, so their running lengths are the positions); only contexts of entities and counts of
-distinct hashed terms are shuffled, both combined in each task before.
+alternate, so their running lengths are the positions). An entity that fewer than ``support`` documents
+hold has no such term, so the terms of documents, as hashes, meet the other entities only; their counts
+are combined in each task before they are shuffled, so an entity of a third of all documents
+costs one row per task and term.
 """
 
 from __future__ import annotations
@@ -24,7 +26,6 @@ from hexweave.session import fresh_dir
 
 DISCLOSURE = 0.8
 SUPPORT = 3
-NEAR = 5
 CHUNK = 256
 
 # The base patterns. Possessive runs, and a start that is either the run's own or the end of the last
@@ -38,7 +39,7 @@ PATTERNS = {
 KINDS = [*PATTERNS, "term"]
 TERM = r"\p{L}{3,}"
 BYTE = r"^0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])$"
-SPAN = "array<struct<start:int,kind:int,end:int,value:string,near:array<string>>>"
+SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
 def _digits(value: Column) -> Column:
@@ -91,22 +92,10 @@ def running(steps: Column) -> Column:
     return let(totals, by_chunk)
 
 
-def found(text: Column, pattern: str, kind: int, check: Callable[[Column], Column], near: int = 0) -> Column:
-    """Spans of the matches that pass ``check``, with up to ``near`` terms on either side of each."""
+def found(text: Column, pattern: str, kind: int, check: Callable[[Column], Column]) -> Column:
+    """Spans of the matches that pass ``check``."""
     none = F.array().cast(SPAN)
 
-    def terms(x: Column) -> Column:
-        return F.transform(F.regexp_extract_all(x, F.lit(TERM), F.lit(0)), lambda t: F.lower(t))
-
-    def around(gaps: Column, i: Column) -> Column:
-        if not near:
-            return F.array().cast("array<string>")
-        reach = F.lit(24 * near)
-        left = terms(F.right(F.get(gaps, i), reach))
-        right = F.slice(terms(F.left(F.get(gaps, i + 1), reach)), 1, near)
-        tail = let(left, lambda x: F.slice(x, F.greatest(F.size(x) - near + 1, F.lit(1)), F.lit(near)))
-        return F.array_distinct(F.concat(tail, right))
-
     def spans(hits: Column) -> Column:
         def with_gaps(gaps: Column) -> Column:
             steps = F.transform(
@@ -118,14 +107,10 @@ def found(text: Column, pattern: str, kind: int, check: Callable[[Column], Colum
                 every = F.transform(
                     hits, lambda h, i: F.struct(
                         F.get(starts, i).alias("start"), F.lit(kind).alias("kind"),
-                        (F.get(starts, i) + F.char_length(h)).alias("end"), h.alias("value"), i.alias("i"),
+                        (F.get(starts, i) + F.char_length(h)).alias("end"), h.alias("value"),
                     ),
                 )
-                return F.transform(
-                    F.filter(every, lambda x: check(x["value"])), lambda x: F.struct(
-                        x["start"], x["kind"], x["end"], x["value"], around(gaps, x["i"]).alias("near")
-                    ),
-                ).cast(SPAN)
+                return F.filter(every, lambda x: check(x["value"])).cast(SPAN)
 
             return let(let(steps, running), build)
 
@@ -134,14 +119,14 @@ def found(text: Column, pattern: str, kind: int, check: Callable[[Column], Colum
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)
 
 
-def base_spans(text: Column, near: int = 0) -> Column:
+def base_spans(text: Column) -> Column:
     """All base spans of a text, sorted by start, then kind. Texts without ``@`` or digits are not searched."""
     text = F.coalesce(text, F.lit(""))
     each = [
         F.when(
             F.contains(text, F.lit("@")) if kind == "email" else F.contains(text, F.lit("+")) if kind == "phone"
             else text.rlike("[0-9]"),
-            found(text, pattern, k, CHECKS[kind], near),
+            found(text, pattern, k, CHECKS[kind]),
         ).otherwise(F.array().cast(SPAN))
         for k, (kind, pattern) in enumerate(PATTERNS.items())
     ]
@@ -152,37 +137,44 @@ def entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], F.lower(span["value"]))
 
 
-def revealing_terms(found_docs: DataFrame, docs: DataFrame, disclosure: float, support: int) -> DataFrame:
-    """(entity, term) pairs at or above the threshold, from ``found_docs`` (_key, spans) and all texts."""
-    near = found_docs.where(F.size("spans") > 0).select("_key", F.explode("spans").alias("s")).select(
-        "_key", entity(F.col("s")).alias("entity"), F.explode("s.near").alias("term"),
-        F.xxhash64("s.near").alias("context"),
-    )
-    pairs = near.groupBy("entity", "term", "_key").agg(F.min("context").alias("context")).groupBy("entity", "term").agg(
-        F.count(F.lit(1)).alias("n_both"), F.countDistinct("context").alias("contexts")
-    ).where(F.col("contexts") >= support)
-    holders = found_docs.where(F.size("spans") > 0).select(
-        "_key", F.explode(F.array_distinct(F.transform("spans", entity))).alias("entity")
-    ).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= support)
-    every = F.array_distinct(
-        F.transform(F.regexp_extract_all(F.col("text"), F.lit(TERM), F.lit(0)), lambda x: F.xxhash64(F.lower(x)))
-    )
-    everywhere = docs.select(F.explode(every).alias("_term")).groupBy("_term").agg(F.count(F.lit(1)).alias("n_term"))
-    n = found_docs.agg(F.count(F.lit(1)).cast("double").alias("n"))
-    scored = (
-        pairs.join(holders, "entity").withColumn("_term", F.xxhash64("term")).join(everywhere, "_term")
-        .withColumn("n", n.scalar())
-    )
+def hashed_terms(text: Column) -> Column:
+    """Hashes of the distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda x: F.xxhash64(F.lower(x))))
+
+
+def holders(found_docs: DataFrame, support: int) -> DataFrame:
+    """_key, held, own and terms of the documents with entities that ``support`` documents hold, once each.
+
+    ``held`` has the hash and the number of documents of each such entity; ``own`` is 1 for one of the documents
+    with the same text, else NULL.
+    """
+    each = found_docs.select(
+        "_key", F.explode(F.array_distinct(F.transform("spans", lambda x: F.xxhash64(entity(x))))).alias("entity")
+    ).distinct()
+    counts = each.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= support)
+    held = each.join(counts, "entity").groupBy("_key").agg(F.collect_list(F.struct("entity", "n_entity")).alias("held"))
+    own = found_docs.groupBy(F.xxhash64("_text")).agg(F.min("_key").alias("_key")).select("_key", F.lit(1).alias("own"))
+    texts = found_docs.select("_key", "_text").dropDuplicates(["_key"]).join(held, "_key").join(own, "_key", "left")
+    return texts.select("_key", "held", "own", hashed_terms(F.col("_text")).alias("terms"))
+
+
+def revealing_terms(held: DataFrame, docs: DataFrame, n: DataFrame, disclosure: float, support: int) -> DataFrame:
+    """(entity, term) hashes at or above the threshold, from the `holders`, all texts and their number."""
+    each = held.select(F.explode("held").alias("h"), "own", "terms").select("h.*", "own", F.explode("terms").alias("term"))
+    pairs = each.groupBy("entity", "term").agg(
+        F.max("n_entity").alias("n_entity"), F.count(F.lit(1)).alias("n_both"), F.count("own").alias("texts")
+    ).where(F.col("texts") >= support)
+    everywhere = docs.select(F.explode(hashed_terms(F.col("text"))).alias("term")).groupBy("term").agg(
+        F.count(F.lit(1)).alias("n_term")
+    ).where(F.col("n_term") >= support)
+    scored = pairs.join(everywhere, "term").withColumn("n", n.scalar())
     pmi = F.log(F.col("n") * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     content = F.nullif(F.log(F.col("n") / F.col("n_entity")), F.lit(0.0))
-    return scored.withColumn("share", F.round(pmi / content, 9)).where(F.col("share") >= disclosure).select(
-        "entity", "term", "share"
-    )
+    return scored.where(F.round(pmi / content, 9) >= disclosure).select("entity", "term")
 
 
 def find_private(
-    docs: DataFrame, carry: Sequence[str] = ("doc_id",), disclosure: float = DISCLOSURE,
-    support: int = SUPPORT, near: int = NEAR,
+    docs: DataFrame, carry: Sequence[str] = ("doc_id",), disclosure: float = DISCLOSURE, support: int = SUPPORT,
 ) -> DataFrame:
     """``carry`` columns, ``_text`` where a span was found (else NULL) and ``spans`` of every row of ``docs``.
 
@@ -191,31 +183,36 @@ def find_private(
     spans and count once as evidence. An empty table gives an empty result. Columns that are
     not carried are ignored, so their names cannot clash.
 
-    The base spans are written once to the shared folder, since three later steps read them; a text is
+    The base spans are written once to the shared folder, since later steps read them; a text is
     written only where it holds an entity, unless ``carry`` asks for it.
     """
-    out = _spans(docs, carry, disclosure, support, near)
+    out = _spans(docs, carry, disclosure, support)
     return out.select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(carry)], "_text", "spans")
 
 
-def _spans(docs: DataFrame, carry: Sequence[str], disclosure: float, support: int, near: int) -> DataFrame:
+def _spans(docs: DataFrame, carry: Sequence[str], disclosure: float, support: int) -> DataFrame:
     """``find_private`` with the carried columns as c_0, c_1, ..."""
     carried = [F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(carry)]
     base = docs.select(
-        F.xxhash64("doc_id", "text").alias("_key"), *carried, base_spans(F.col("text"), near).alias("spans"), "text"
+        F.xxhash64("doc_id", "text").alias("_key"), *carried, base_spans(F.col("text")).alias("spans"), "text"
     ).withColumn("_text", F.when(F.size("spans") > 0, F.col("text"))).drop("text")
     path = fresh_dir(docs.sparkSession, "private")
-    base.write.parquet(path)
-    base = docs.sparkSession.read.schema(base.schema).parquet(path)
-
-    terms = revealing_terms(base.select("_key", "spans"), docs.select("text"), disclosure, support)
-    holds = base.where(F.size("spans") > 0).select("_key", F.explode("spans").alias("s")).select(
-        "_key", entity(F.col("s")).alias("entity"), F.explode("s.near").alias("term")
-    )
-    revealed = holds.join(terms.select("entity", "term"), ["entity", "term"]).groupBy("_key").agg(
-        F.collect_set("term").alias("_terms")
-    )
-    added = found(F.col("_text"), TERM, KINDS.index("term"), lambda v: F.array_contains(F.col("_terms"), F.lower(v)))
+    base.write.parquet(f"{path}/spans")
+    base = docs.sparkSession.read.schema(base.schema).parquet(f"{path}/spans")
+
+    held = holders(base.where(F.size("spans") > 0), support)
+    held.write.parquet(f"{path}/held")
+    held = docs.sparkSession.read.schema(held.schema).parquet(f"{path}/held")
+    n = base.agg(F.count(F.lit(1)).cast("double").alias("n"))
+    revealing_terms(held, docs.select("text"), n, disclosure, support).write.parquet(f"{path}/terms")
+    terms = docs.sparkSession.read.schema("entity long, term long").parquet(f"{path}/terms")
+    each = held.select("_key", F.explode("held.entity").alias("entity"), "terms")
+    each = each.join(terms.select("entity").distinct(), "entity", "left_semi")
+    each = each.select("_key", "entity", F.explode("terms").alias("term"))
+    revealed = each.join(terms, ["entity", "term"]).groupBy("_key").agg(F.collect_set("term").alias("_terms"))
+    added = found(F.col("_text"), TERM, KINDS.index("term"), lambda v: F.array_contains(F.col("_terms"), F.xxhash64(F.lower(v))))
+    # The parts of an entity's own text go with it.
+    added = F.filter(added, lambda x: ~F.exists("spans", lambda s: (s["start"] <= x["start"]) & (x["end"] <= s["end"])))
     spans = F.when(F.col("_terms").isNotNull(), F.sort_array(F.concat("spans", added))).otherwise(F.col("spans"))
     with_entity = base.where(F.size("spans") > 0).join(revealed, "_key", "left").withColumn("spans", spans)
     return with_entity.select(*base.columns).unionByName(base.where(F.size("spans") == 0))
@@ -251,11 +248,9 @@ def _piece(text: Column, span: Column, before: Column) -> Column:
     return F.when(span["start"] >= before, F.concat(plain, mark)).otherwise(F.lit(""))
 
 
-def sanitise(
-    docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, near: int = NEAR
-) -> DataFrame:
+def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """``docs`` with the spans of ``find_private`` generalised in ``text``; all columns and rows stay."""
-    out = _spans(docs, docs.columns, disclosure, support, near)
+    out = _spans(docs, docs.columns, disclosure, support)
     clean = F.when(F.size("spans") > 0, sanitised(F.col("_text"), F.col("spans")))
     return out.select(*[
         (F.coalesce(clean, F.col(f"c_{i}")) if c == "text" else F.col(f"c_{i}")).alias(c)

@@ -321,6 +321,21 @@ def test_terms_that_reveal_an_entity(spark):
     assert clean[30] == dict(data)[30]
 
 
+def test_terms_far_from_the_entity(spark):
+    rng = np.random.default_rng(5)
+    filler = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+
+    def text(first, last):
+        return " ".join([first, *rng.choice(filler, 60), last])
+
+    data = [(i, text("Zacharias", "ann@mail.org")) for i in range(6)] + [(10 + i, text("Contact", "plain")) for i in range(60)]
+    data += [(100 + i, "Melchior copied " + "x " * 90 + "bob@mail.org") for i in range(9)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    found = {r["doc_id"]: [s["value"] for s in r["spans"] if s["kind"] == 4] for r in private_data.find_private(df).collect()}
+    assert all("Zacharias" in found[i] and "ann" not in found[i] for i in range(6))
+    assert all(found[i] == [] for i in [*range(10, 70), *range(100, 109)])  # copies of one text are no support
+
+
 # --- 10 ---
 
 

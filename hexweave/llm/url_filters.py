@@ -2,11 +2,13 @@
 
 Fixed rules come first; the URLs they cover are the labelled ones. For the rest, every host has a
 tree of path templates. Segments that look like ids become ``*`` at once; level by level, a segment
-whose parent has many different children, and that holds a small share of them, becomes ``*`` too, and
-sibling branches whose labelled share does not differ from their parent's by a two-sided test are
+whose parent has many different children, and that holds a small share of them, becomes ``*`` too unless
+its labels show another share of blocked pages than its parent's, and sibling branches whose labelled share does not differ from their parent's by a two-sided test are
 merged into ``*``. A template is rejected if its smoothed share of blocked labels exceeds a half: a
 host's template leans on the same template over all hosts, and that on the whole table.
 
+The tree goes as deep as the paths do.
+
 Counts are combined per (host, generalised path) in each task before anything shuffles, so a host with
 a third of all rows costs one row per task and path. No step gathers a host.
 """
@@ -14,6 +16,7 @@ a third of all rows costs one row per task and path. No step gathers a host.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +24,6 @@ from pyspark.sql import functions as F
 from hexweave.llm.common import pick
 from hexweave.session import fresh_dir
 
-DEPTH = 4
 MANY = 12
 SHARE = 0.05
 Z = 1.96
@@ -60,24 +62,26 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES
     return name, verdict
 
 
-def segments(path: Column, depth: int) -> Column:
-    """The first ``depth`` segments, id-like ones as ``*``; deeper ones together are ``**``."""
+def segments(path: Column) -> Column:
+    """All segments, id-like ones as ``*``."""
     parts = F.filter(F.split(path, "/", -1), lambda x: x != "")
-    head = F.transform(F.slice(parts, 1, depth), lambda x: F.when(x.rlike(ITEM), F.lit("*")).otherwise(x))
-    return F.when(F.size(parts) > depth, F.concat(head, F.array(F.lit("**")))).otherwise(head)
+    return F.transform(parts, lambda x: F.when(x.rlike(ITEM), F.lit("*")).otherwise(x))
 
 
 def templates(
-    paths: DataFrame, folder: str, depth: int = DEPTH, many: int = MANY, share: float = SHARE, z: float = Z,
-    prior: float = PRIOR,
+    paths: DataFrame, folder: str, many: int = MANY, share: float = SHARE, z: float = Z, prior: float = PRIOR,
 ) -> DataFrame:
     """Verdict of every (host, segments) row of ``paths``, which has the counts n, labelled, blocked.
 
     One level of the tree at a time: two aggregates over the pre-counted paths, written below
-    ``folder`` so that no level computes the ones above again.
+    ``folder`` so that no level computes the ones above again. Only paths that go on are in the next
+    level, and the longest path ends the loop.
+
+    A segment with fewer labels than ``prior`` has too few to tell its share from its parent's.
     """
+    longest = paths.agg(F.max(F.size("segments"))).first()[0] or 0
     tree = paths.withColumn("template", F.array().cast("array<string>"))
-    for level in range(depth + 1):
+    for level in range(longest + 1):
         here = F.get("segments", F.lit(level))
         tree = tree.withColumn("seg", F.coalesce(here, F.lit("")))
         sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
@@ -87,11 +91,12 @@ def templates(
         )
         rate = F.col("p_blocked") / F.nullif(F.col("p_labelled"), F.lit(0))
         spread = F.sqrt(rate * (1 - rate) / F.col("labelled"))
-        rare = (F.col("p_children") > many) & (F.col("n") < share * F.col("p_n"))
-        alike = (F.col("labelled") > 0) & (F.col("p_children") > 1) & (
-            F.abs(F.col("blocked") / F.col("labelled") - rate) < z * spread
+        apart = F.abs(F.col("blocked") / F.nullif(F.col("labelled"), F.lit(0)) - rate)
+        rare = (F.col("p_children") > many) & (F.col("n") < share * F.col("p_n")) & (
+            (F.col("labelled") < prior) | (apart <= z * spread)
         )
-        becomes = F.when(F.col("seg").isin("", "**"), F.col("seg")).when(
+        alike = (F.col("labelled") > 0) & (F.col("p_children") > 1) & (apart < z * spread)
+        becomes = F.when(F.col("seg") == "", F.col("seg")).when(
             rare | F.coalesce(alike, F.lit(False)), F.lit("*")
         ).otherwise(F.col("seg"))
         chosen = nodes.join(parents, ["host", "template"]).select("host", "template", "seg", becomes.alias("_to"))
@@ -99,8 +104,14 @@ def templates(
             "template", F.when(F.col("_to") == "", F.col("template")).otherwise(F.concat("template", F.array("_to")))
         ).drop("_to", "seg")
         tree.write.parquet(f"{folder}/level{level}")
-        tree = paths.sparkSession.read.schema(tree.schema).parquet(f"{folder}/level{level}")
-
+        written = paths.sparkSession.read.schema(tree.schema)
+        tree = written.parquet(f"{folder}/level{level}").where(F.size("segments") > level)
+
+    # A path has its template at the level where it ends.
+    each = [(level, written.parquet(f"{folder}/level{level}")) for level in range(longest + 1)]
+    tree = reduce(DataFrame.unionByName, [t.where(F.size("segments") == level) for level, t in each])
+    tree.write.parquet(f"{folder}/tree")
+    tree = written.parquet(f"{folder}/tree")
     own = tree.groupBy("host", "template").agg(F.sum("labelled").alias("t_labelled"), F.sum("blocked").alias("t_blocked"))
     shared = tree.groupBy("template").agg(F.sum("labelled").alias("g_labelled"), F.sum("blocked").alias("g_blocked"))
     whole = tree.agg(((F.sum("blocked") + 1) / (F.sum("labelled") + 2)).alias("base"))
@@ -114,7 +125,7 @@ def templates(
     )
 
 
-def url_filters(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, depth: int = DEPTH) -> DataFrame:
+def url_filters(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
     """host, path, rule, template, p_block and verdict of every row of ``pages`` (page_id, url).
 
     NULL urls and those without ``://`` have an empty host and path and the root template. Repeated
@@ -125,7 +136,7 @@ def url_filters(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, dept
     host, path = parse(F.col("url"))
     named = pick(pages, "page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    judged = named.withColumns({"rule": name, "_rule_verdict": verdict, "segments": segments(F.col("path"), depth)})
+    judged = named.withColumns({"rule": name, "_rule_verdict": verdict, "segments": segments(F.col("path"))})
     counts = judged.groupBy("host", "segments").agg(
         F.count(F.lit(1)).alias("n"), F.count("_rule_verdict").alias("labelled"),
         F.sum((F.coalesce("_rule_verdict", F.lit("")) == "block").cast("long")).alias("blocked"),
@@ -134,7 +145,7 @@ def url_filters(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, dept
     counts.write.parquet(f"{folder}/counts")
     schema = "host string, segments array<string>, n long, labelled long, blocked long"
     counted = pages.sparkSession.read.schema(schema).parquet(f"{folder}/counts")
-    templates(counted, folder, depth).write.parquet(f"{folder}/verdicts")
+    templates(counted, folder).write.parquet(f"{folder}/verdicts")
     # Read back, so that Spark knows the size: broadcast if small, else a join whose hot hosts AQE splits.
     known = pages.sparkSession.read.schema(
         "host string, segments array<string>, template string, p_block double"

@@ -387,6 +387,25 @@ def test_many_children_become_a_wildcard(spark):
     assert by_id[3] == "/shop/*/view" and by_id[70] == "/help/view"
 
 
+def test_blocked_branches_are_not_pooled_with_unlabelled_ones(spark):
+    urls = [f"https://a.com/de/{i}" for i in range(40)] + [f"https://a.com/fr/{i}" for i in range(300)]
+    urls += [f"https://a.com/{x}{y}/{i}" for x in "ghiklm" for y in "xyz" for i in range(36)]
+    out = url_filters(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    by_id = {r["page_id"]: r for r in out}
+    assert by_id[0]["template"] == "/de/*" and by_id[50]["template"] == "/fr/*"
+    assert {(by_id[i]["template"], by_id[i]["verdict"]) for i in range(340, len(urls))} == {("/*/*", "allow")}
+
+
+def test_deep_paths(spark):
+    start = "/a/b/c/d/e/f"
+    urls = [f"https://a.net{start}/{x}/g" for x in ("es", "en")] * 20 + ["https://b.net"]
+    rules = [("block", f"a.net{start}/es/"), ("allow", f"a.net{start}/en/")]
+    out = url_filters(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
+    by_id = {r["page_id"]: r for r in out}
+    assert by_id[0]["template"] == f"{start}/es/g" and by_id[1]["template"] == f"{start}/en/g"
+    assert by_id[0]["p_block"] > 0.5 > by_id[1]["p_block"] and by_id[40]["template"] == "/"
+
+
 def test_words_stay_in_the_plan_without_python(docs, labels):
     for df in (quality_rules(docs, labels), private_data.find_private(docs)):
         plan = df._jdf.queryExecution().toString()

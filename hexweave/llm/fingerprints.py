@@ -6,13 +6,14 @@ paragraphs can be put in or taken out by adding or subtracting vectors (`combine
 
 A vector has three parts:
 
-* ``mass``: the number of 8-word runs of the paragraph, modulo 2**32;
+* ``mass``: the number of runs of words of the paragraph, modulo 2**32. A run ends before a word whose
+  hash is 0 modulo 8, so it has eight words on average, and a word put in changes the runs at its place only;
 * ``whole``: 8 lanes modulo 2**32 hashed from the paragraph. Documents with the same paragraphs in any
   order have equal lanes, others differ but for a chance of about 2**-120;
-* ``parts``: 8 strata of 16 lanes modulo 2**16. Each run of eight words adds a hashed value to one lane
-  of one stratum; a stratum gets half as many runs as the one before. Subtracting two fingerprints
-  cancels the shared runs, so the lanes that do not cancel tell how many runs differ (linear counting on
-  the strata that are not full): likeness is 1 - differing / all runs.
+* ``parts``: 24 strata of 16 lanes modulo 2**8. Each run adds a hashed value to one lane of one stratum; a
+  stratum gets half as many runs as the one before, so the last gets one run in 8 million. Subtracting
+  two fingerprints cancels the shared runs, so the lanes that do not cancel tell how many runs differ
+  (linear counting on the strata that are not full): likeness is 1 - differing / all runs.
 
 All of it is DataFrame code; a fingerprint is made inside the row in time linear in the text.
 """
@@ -29,8 +30,9 @@ from hexweave.llm.common import let, pick
 
 RUN = 8
 WHOLE = 8
-STRATA = 8
+STRATA = 24
 LANES = 16
+LANE_BITS = 8
 FULL = 0.75
 BUCKET_ROWS = 20_000
 CUTS = 256
@@ -41,12 +43,17 @@ def _mask(x: Column, bits: int) -> Column:
 
 
 def _runs(paragraph: Column) -> Column:
-    """Hashes of the runs of eight words (cut at single spaces) of a paragraph."""
+    """Hashes of the runs of words (cut at single spaces) of a paragraph."""
     def cut(w: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.floor((F.size(w) - 1) / RUN).cast("int")),
-            lambda i: F.xxhash64(F.slice(w, i * RUN + 1, F.lit(RUN))),
-        )
+        every = F.sequence(F.lit(0), F.size(w) - 1)
+        starts = F.filter(every, lambda i: (i == 0) | (_mask(F.xxhash64(F.lit(RUN), F.get(w, i)), int(math.log2(RUN))) == 0))
+
+        def hashed(at: Column) -> Column:
+            return F.transform(
+                at, lambda start, k: F.xxhash64(F.slice(w, start + 1, F.coalesce(F.get(at, k + 1), F.size(w)) - start))
+            )
+
+        return let(starts, hashed)
 
     return let(F.split(paragraph, " ", -1), cut)
 
@@ -75,8 +82,8 @@ def fingerprint(text: Column) -> Column:
 
             keyed = F.transform(
                 runs, lambda h: F.struct(
-                    stratum(h).alias("s"), _mask(F.shiftrightunsigned(h, 16), int(math.log2(LANES))).cast("int").alias("l"),
-                    _mask(F.shiftrightunsigned(h, 32), 16).bitwiseOR(F.lit(1).cast("long")).alias("v"),
+                    stratum(h).alias("s"), _mask(F.shiftrightunsigned(h, STRATA), int(math.log2(LANES))).cast("int").alias("l"),
+                    _mask(F.shiftrightunsigned(h, 32), LANE_BITS).bitwiseOR(F.lit(1).cast("long")).alias("v"),
                 ),
             )
 
@@ -87,7 +94,7 @@ def fingerprint(text: Column) -> Column:
                     return F.aggregate(
                         mine, zero,
                         lambda acc, x: F.transform(acc, lambda a, i: F.when(i == x["l"], a + x["v"]).otherwise(a)),
-                        lambda acc: F.transform(acc, lambda a: _mask(a, 16)),
+                        lambda acc: F.transform(acc, lambda a: _mask(a, LANE_BITS)),
                     )
 
                 return F.struct(
@@ -114,7 +121,7 @@ def combine(a: Column, b: Column, remove: bool = False) -> Column:
     return F.struct(
         _mask(step(a["mass"], b["mass"]), 32).alias("mass"),
         F.zip_with(a["whole"], b["whole"], lambda x, y: _mask(step(x, y), 32)).alias("whole"),
-        F.zip_with(a["parts"], b["parts"], lambda x, y: _mask(step(x, y), 16)).alias("parts"),
+        F.zip_with(a["parts"], b["parts"], lambda x, y: _mask(step(x, y), LANE_BITS)).alias("parts"),
     )
 
 
@@ -150,11 +157,12 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def spelled(f: Column) -> Column:
-    """Hexadecimal text of a fingerprint: mass, whole, parts."""
+    """Text of a fingerprint: mass and whole in hexadecimal, parts in base 64."""
     def digits(lanes: Column, width: int) -> Column:
         return F.array_join(F.transform(lanes, lambda x: F.lpad(F.hex(x), width, "0")), "")
 
-    return F.lower(F.concat(digits(F.array(f["mass"]), 8), digits(f["whole"], 8), digits(f["parts"], 4)))
+    exact = F.lower(F.concat(digits(F.array(f["mass"]), 8), digits(f["whole"], 8)))
+    return F.concat(exact, F.translate(F.base64(F.unhex(digits(f["parts"], LANE_BITS // 4))), "\r\n", ""))
 
 
 def _id_ranges(ids: DataFrame) -> Column:

@@ -63,6 +63,16 @@ def test_multisets(spark):
     assert len(r["text"]) == 8 + 64 + 512
 
 
+def test_likeness_of_long_texts(spark):
+    rng = random.Random(6)
+    words = [f"w{rng.random()}" for _ in range(120_000)]
+    long, other = " ".join(words), " ".join(f"v{i}" for i in range(50))
+    df = spark.createDataFrame([(long, other, "new " + long)], "a string, b string, c string")
+    of = {c: fp.fingerprint(F.col(c)) for c in df.columns}
+    r = df.select(fp.likeness(of["a"], of["b"]).alias("apart"), fp.likeness(of["a"], of["c"]).alias("front")).first()
+    assert r["apart"] < 0.4 and r["front"] > 0.99
+
+
 def brute_kneser_ney(texts, order=kneser_ney.ORDER):
     """Probability function by the textbook recursion, from dictionaries."""
     classes = kneser_ney._classes()

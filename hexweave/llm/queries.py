@@ -13,6 +13,7 @@ from hexweave.llm.common import pick, table
 from hexweave.llm.line_dedup import line_dedup, line_dedup_sql
 from hexweave.llm.near_dedup import near_dedup, near_dedup_sql
 from hexweave.llm.quality_rules import quality_rules
+from hexweave.llm.spelling import spelling_sql, spelling_variants
 from hexweave.llm.url_filters import url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,3 +107,11 @@ def op9_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+SQL["op11_spelling"] = spelling_sql()

@@ -12,6 +12,7 @@ from hexweave.llm import private_data as pii
 from hexweave.llm.common import pick, table
 from hexweave.llm.line_dedup import line_dedup, line_dedup_sql
 from hexweave.llm.near_dedup import near_dedup, near_dedup_sql
+from hexweave.llm.prefix_trie import prefix_trie, prefix_trie_sql
 from hexweave.llm.quality_rules import quality_rules
 from hexweave.llm.spelling import spelling_sql, spelling_variants
 from hexweave.llm.url_filters import url_filters
@@ -115,3 +116,11 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op11_spelling"] = spelling_sql()
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+SQL["op12_prefix_trie"] = prefix_trie_sql()

@@ -15,6 +15,7 @@ from hexweave.llm.near_dedup import near_dedup, near_dedup_sql
 from hexweave.llm.prefix_trie import prefix_trie, prefix_trie_sql
 from hexweave.llm.quality_rules import quality_rules
 from hexweave.llm.spelling import spelling_sql, spelling_variants
+from hexweave.llm.toxicity import toxicity
 from hexweave.llm.url_filters import url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,3 +125,8 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op12_prefix_trie"] = prefix_trie_sql()
+
+
+@query
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hexweave.functions.cells import as_column
-from hexweave.functions.geometry import bounds, length_inside_rings, planar_length, point_in_rings, rings_of
+from hexweave.functions.geometry import over_segments, planar_length
+from hexweave.operators.edges import edge_index, lengths_inside, with_holders
 from hexweave.operators.joins import assign_features
-from hexweave.operators.sizing import small_side
 
 
 def clip_length(
@@ -23,82 +20,26 @@ def clip_length(
 
     Shared cells give the candidate pairs; each pair adds the line's own length
     times the clipped share of its planar length, so no unit conversion is needed.
-    Geometry joins last, by id, on the deduplicated pairs, and only pairs whose
-    boxes overlap are clipped. Regions may be rings, polygons with holes or multipolygons.
+    Geometry joins last, by id, on the deduplicated pairs. A segment meets only the region's edges in its own grid squares
+    (`edges`). Regions may be rings, polygons with holes or multipolygons.
     """
     pairs = assign_features(line_cells, region_cells, res, line_id, region_id)
-    lines = lines.select(line_id, length, line, bounds(line).alias("_a"), planar_length(line).alias("_whole"))
-    regions = regions.select(region_id, rings_of(regions, ring).alias(ring)).withColumn("_b", bounds(F.flatten(ring)))
-    shapes = pairs.join(lines, line_id).join(regions, region_id)
-    overlap = (
-        (F.col("_a.west") <= F.col("_b.east")) & (F.col("_b.west") <= F.col("_a.east"))
-        & (F.col("_a.south") <= F.col("_b.north")) & (F.col("_b.south") <= F.col("_a.north"))
-    )
-    inside = F.when(overlap, length_inside_rings(line, ring)).otherwise(F.lit(0.0))
-    share = F.try_divide(inside, F.col("_whole"))
-    return shapes.groupBy(region_id).agg(F.sum(F.col(length) * share).alias(out))
-
-
-MAX_LEVEL = 16
-
-
-def _span(level: Column) -> Column:
-    return F.lit(360.0) / F.pow(F.lit(2.0), level)
-
-
-def _bins(low, high, origin: float, level: Column) -> Column:
-    first = F.floor((low - origin) / _span(level))
-    last = F.floor((high - origin) / _span(level))
-    return F.explode(F.sequence(first, last))
-
-
-def polygon_bins(polygons: DataFrame, ring: str) -> DataFrame:
-    """One row per grid square a polygon's box touches, at the level of its size; ``ring`` becomes its rings.
-
-    The level is the finest whose squares are at least as wide as the box, so a
-    polygon of any size touches at most four squares.
-    """
-    polygons = polygons.withColumn(ring, rings_of(polygons, ring))
-    box = bounds(F.flatten(ring))
-    side = F.greatest(F.col("_box.east") - F.col("_box.west"), F.col("_box.north") - F.col("_box.south"))
-    level = F.floor(F.log2(F.lit(360.0) / F.greatest(side, F.lit(1e-9))))
-    level = F.least(F.lit(MAX_LEVEL), F.greatest(F.lit(0), level)).cast("int")
-    return (
-        polygons.withColumn("_box", box).withColumn("_level", level)
-        .withColumn("_bx", _bins(F.col("_box.west"), F.col("_box.east"), -180.0, F.col("_level")))
-        .withColumn("_by", _bins(F.col("_box.south"), F.col("_box.north"), -90.0, F.col("_level")))
-    )
-
-
-def _candidates(polygons: DataFrame, polygon_id: str, ring: str) -> tuple[DataFrame, list[int]]:
-    """Polygons by grid square, broadcast if few, and the levels that occur (17 at most)."""
-    binned = polygon_bins(polygons.select(polygon_id, ring), ring)
-    side = small_side(binned.select(polygon_id, ring, "_box", "_level", "_bx", "_by"))
-    return side, sorted(r["_level"] for r in side.select("_level").distinct().collect())
+    shapes = regions.select(region_id, ring).where(F.col(ring).isNotNull())
+    index = edge_index(shapes, region_id, ring)
+    whole = planar_length(line)
+    parts = lines.select(line_id, (F.col(length) / F.nullif(whole, F.lit(0.0))).alias("_per"), line)
+    met = pairs.join(parts, line_id).join(shapes.select(region_id).distinct(), region_id, "left_semi")
 
+    def segment(a: Column, b: Column) -> Column:
+        return F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by"))
 
-def _to_square(points: DataFrame, x: str, y: str) -> DataFrame:
-    return points.withColumn("_bx", F.floor((F.col(x) + 180.0) / _span(F.col("_level")))).withColumn(
-        "_by", F.floor((F.col(y) + 90.0) / _span(F.col("_level")))
+    segments = met.select(region_id, "_per", F.explode(over_segments(line, segment)).alias("s")).withColumn(
+        "_length", F.col("_per") * F.hypot(F.col("s.bx") - F.col("s.ax"), F.col("s.by") - F.col("s.ay"))
     )
-
-
-def _inside(x: Column, y: Column, side: str, ring: str) -> Column:
-    """The polygon's box first, then the exact even-odd test."""
-    box = f"{side}._box"
-    near = x.between(F.col(f"{box}.west"), F.col(f"{box}.east")) & y.between(F.col(f"{box}.south"), F.col(f"{box}.north"))
-    return near & point_in_rings(f"{side}.{ring}", x, y)
-
-
-def _on_square(points: str, side: str) -> Column:
-    return reduce(and_, [F.col(f"{points}.{c}") == F.col(f"{side}.{c}") for c in ("_level", "_bx", "_by")])
-
-
-def _hits(points, side, levels, polygon_id, ring, x, y) -> DataFrame:
-    every = F.explode(F.array(*[F.lit(v) for v in levels]).cast("array<int>"))
-    located = _to_square(points.withColumn("_level", every), x, y).alias("p")
-    met = located.join(side.alias("s"), _on_square("p", "s") & _inside(F.col(f"p.{x}"), F.col(f"p.{y}"), "s", ring))
-    return met.select(*[F.col(f"p.`{c}`") for c in points.columns], F.col(f"s.{polygon_id}"))
+    inside = lengths_inside(segments, index, "_length", out)
+    # Every region with a line of known length has a sum, be it 0.
+    none = met.groupBy(region_id).agg(F.max(F.when(F.col("_per").isNotNull(), F.lit(0.0))).alias(out))
+    return none.unionByName(inside).groupBy(region_id).agg(F.sum(out).alias(out))
 
 
 def points_in_polygons(
@@ -107,24 +48,11 @@ def points_in_polygons(
 ) -> DataFrame:
     """Join points to the polygons that contain them.
 
-    Candidates come from an equi-join on grid squares, then pass the polygon's box
-    and the exact even-odd test. A point in several polygons gives several rows. Polygons may
+    A point meets only the edges of its own grid squares (`edges`). A point in several polygons gives several rows. Polygons may
     be rings, polygons with holes or multipolygons.
     """
-    side, levels = _candidates(polygons, polygon_id, ring)
-    return _hits(points, side, levels, polygon_id, ring, x, y)
-
-
-def points_outside(
-    points: DataFrame, side: DataFrame, levels: list[int], ring: str, x: str, y: str
-) -> DataFrame:
-    """Points in none of the binned polygons: one anti-join per level of size."""
-    for level in levels:
-        located = _to_square(points.withColumn("_level", F.lit(level)), x, y).alias("p")
-        here = side.where(F.col("_level") == level).alias("s")
-        test = _on_square("p", "s") & _inside(F.col(f"p.{x}"), F.col(f"p.{y}"), "s", ring)
-        points = located.join(here, test, "left_anti").select(*points.columns)
-    return points
+    held = with_holders(points, edge_index(polygons.select(polygon_id, ring), polygon_id, ring), x, y, "_holders")
+    return held.select(*[F.col(f"`{c}`") for c in points.columns], F.explode("_holders").alias(polygon_id))
 
 
 def zonal_stats(
@@ -133,14 +61,11 @@ def zonal_stats(
 ) -> DataFrame:
     """Pixel count and mean per polygon; pixels outside all fall in a NULL group.
 
-    No-data pixels should be filtered before the call.
+    The pixels are read once. No-data pixels should be filtered before the call.
     """
-    side, levels = _candidates(polygons, polygon_id, ring)
-    pixels = pixels.select(x, y, band)
-    hits = _hits(pixels, side, levels, polygon_id, ring, x, y).select(polygon_id, band)
-    nowhere = F.lit(None).cast(side.schema[polygon_id].dataType).alias(polygon_id)
-    missed = points_outside(pixels, side, levels, ring, x, y).select(nowhere, band)
-    return hits.unionByName(missed).groupBy(polygon_id).agg(
+    index = edge_index(polygons.select(polygon_id, ring), polygon_id, ring)
+    held = with_holders(pixels.select(x, y, band), index, x, y, "_holders")
+    return held.select(F.explode_outer("_holders").alias(polygon_id), band).groupBy(polygon_id).agg(
         F.count(F.lit(1)).alias("n_pixels"), F.avg(band).alias("mean_value")
     )
 

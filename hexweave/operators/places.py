@@ -165,13 +165,25 @@ def tile_base_cells(spark: SparkSession, z: int, x: int, y: int, res: int) -> li
     return base_cells_of_boxes(spark.range(1).select(padded.alias("b")), "b")
 
 
-def _nodes(points: DataFrame, res: int, side: str) -> DataFrame:
-    """Occupied cells of one side with their centre and their farthest point."""
-    located = points.withColumn("_h", cell_parent("_cell", res)).withColumn("_c", cell_center("_h"))
+def _nodes(points: DataFrame, levels: Sequence[int]) -> DataFrame:
+    """Occupied cells of all levels (res, h, c, reach): their centre, and a bound on how far their points are from it.
+
+    The bound of the last level is measured, on the points themselves; those above take it from the cells of the last level, as the
+    distance of the two centres plus the lower bound. Centres are computed once per distinct cell.
+    """
+    last = points.select("_lat", "_lng", cell_parent("_cell", levels[-1]).alias("_h"))
+    centers = last.select("_h").distinct().withColumn("_c", cell_center("_h"))
     far = F.max(great_circle("_c.lat", "_c.lng", "_lat", "_lng"))
-    return located.groupBy("_h", "_c").agg(far.alias("_reach")).select(
-        F.col("_h").alias(f"{side}_h"), F.col("_c").alias(f"{side}_c"), F.col("_reach").alias(f"{side}_reach")
-    )
+    low = last.join(centers, "_h").groupBy("_h", "_c").agg(far.alias("_far"))
+    above = F.array(*[F.struct(F.lit(r).alias("res"), cell_parent("_h", r).alias("h")) for r in levels])
+    up = low.select("_c", "_far", F.explode(above).alias("_up")).select("_c", "_far", "_up.*")
+    own = up.select("h").distinct().withColumn("c", cell_center("h"))
+    reach = F.max(F.col("_far") + great_circle("_c.lat", "_c.lng", "c.lat", "c.lng"))
+    return materialize(up.join(own, "h").groupBy("res", "h", "c").agg(reach.alias("reach")), "cells")
+
+
+def _level(nodes: DataFrame, res: int, side: str) -> DataFrame:
+    return nodes.where(F.col("res") == res).select(*[F.col(c).alias(f"{side}_{c}") for c in ("h", "c", "reach")])
 
 
 def _finest_needed(points: DataFrame, levels: Sequence[int], few: int = 64) -> list[int]:
@@ -204,7 +216,7 @@ def nearest(
 
     Both sides are described by their occupied cells. Two cells' points are between
     ``d - r`` and ``d + r`` apart, ``d`` being the distance of the centres and ``r``
-    the sum of the cells' farthest points, measured on the data. Going down level
+    the sum of the cells' reaches, bounds that are rolled up from the finest cells. Going down level
     by level, a left cell keeps only the right cells whose lower bound does not
     exceed its smallest upper bound, so whole regions are settled at once. The few
     cells that remain bring in their points. Equal positions are searched once; the
@@ -218,9 +230,10 @@ def nearest(
     spots = left.select("_lat", "_lng").dropna().distinct()
     spots = materialize(spots.withColumn("_cell", latlng_to_cell("_lat", "_lng", levels[-1])))
     levels = _finest_needed(right, levels)
+    ours, theirs = _nodes(spots, levels), _nodes(right, levels)
 
     # the base cells of the right side, 122 at most, as a literal array
-    top = [r.asDict(True) for r in _nodes(right, 0, "b").collect()]
+    top = [r.asDict(True) for r in _level(theirs, 0, "b").collect()]
     if not top:
         nobody = F.lit(None).cast(right.schema[right_id].dataType)
         return left.select(left_id, nobody.alias(right_id), F.lit(None).cast("double").alias("distance_km"))
@@ -230,12 +243,12 @@ def nearest(
     ])
     between = great_circle("a_c.lat", "a_c.lng", "b_c.lat", "b_c.lng")
     both = F.col("a_reach") + F.col("b_reach")
-    pairs = _nodes(spots, 0, "a").withColumn("_o", F.explode(others)).select("*", "_o.*")
+    pairs = _level(ours, 0, "a").withColumn("_o", F.explode(others)).select("*", "_o.*")
     pairs = _closest(pairs, ["a_h"], between, both)
     for up, res in zip(levels, levels[1:]):
         pairs = pairs.select(F.col("a_h").alias("a_up"), F.col("b_h").alias("b_up"))
-        a = _nodes(spots, res, "a").withColumn("a_up", cell_parent("a_h", up))
-        b = _nodes(right, res, "b").withColumn("b_up", cell_parent("b_h", up))
+        a = _level(ours, res, "a").withColumn("a_up", cell_parent("a_h", up))
+        b = _level(theirs, res, "b").withColumn("b_up", cell_parent("b_h", up))
         pairs = _closest(pairs.join(a, "a_up").join(b, "b_up"), ["a_h"], between, both)
 
     last = levels[-1]

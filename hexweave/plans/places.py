@@ -222,13 +222,14 @@ def cell_distance(spark, sf):
 
 
 @query("nearest", "points boxes", """
-    SELECT event_id, ROUND(MIN(2 * 6371.007180918475 * asin(sqrt(least(1.0, pow(sin(radians(south - lat) / 2), 2)
-      + cos(radians(lat)) * cos(radians(south)) * pow(sin(radians(west - lng) / 2), 2))))), 5) AS distance_km
-    FROM points CROSS JOIN boxes GROUP BY 1""")
+    SELECT event_id, best.site AS aoi_id, ROUND(best.km, 5) AS distance_km FROM (
+      SELECT event_id, min({'km': 2 * 6371.007180918475 * asin(sqrt(least(1.0, pow(sin(radians(south - lat) / 2), 2)
+        + cos(radians(lat)) * cos(radians(south)) * pow(sin(radians(west - lng) / 2), 2)))), 'site': aoi_id}) AS best
+      FROM points CROSS JOIN boxes GROUP BY 1)""")
 def nearest(spark, sf):
     sites = t.boxes(spark, sf).select("aoi_id", F.col("ring")[0]["x"].alias("lng"), F.col("ring")[0]["y"].alias("lat"))
     found = pl.nearest(t.points(spark, sf), sites, "event_id", "aoi_id")
-    return found.select("event_id", F.round("distance_km", 5).alias("distance_km"))
+    return found.select("event_id", "aoi_id", F.round("distance_km", 5).alias("distance_km"))
 
 
 @query("polygon_cells", "boxes", "SELECT aoi_id, TRUE AS inside, TRUE AS fills FROM boxes")

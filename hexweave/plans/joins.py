@@ -12,6 +12,8 @@ from hexweave.operators.sizing import small_side
 from hexweave.plans import inputs as t
 from hexweave.plans.inputs import parent_sql
 from hexweave.plans.registry import query
+from hexweave.session import fresh_dir
+from hexweave.sources.layout import colocated_join, save_colocated
 
 
 def count():
@@ -52,6 +54,25 @@ def hex_join3(spark, sf):
     )
 
 
+@query("hex_join3_colocated", "value_hex mask_hex weights_hex land_hex", """
+    SELECT m.STUSPS, COUNT(*) AS n, ROUND(SUM(v.carbon * l.land_area_km2), 2) AS carbon,
+           ROUND(SUM(w.w1 + w.w2), 6) AS w
+    FROM mask_hex m JOIN land_hex l ON m.h8 = l.h8 AND m.h0 = l.h0 JOIN weights_hex w ON m.h8 = w.h8 AND m.h0 = w.h0
+    JOIN (SELECT h8, h0, SUM(carbon) AS carbon FROM value_hex GROUP BY 1, 2) v ON m.h8 = v.h8 AND m.h0 = v.h0 GROUP BY 1""")
+def hex_join3_colocated(spark, sf):
+    """The four-way join on tables bucketed by cell: no row of a layer moves."""
+    folder = fresh_dir(spark, "colocated")
+    layers = [
+        save_colocated(make(spark, sf), f"{folder}/{make.__name__}", 8)
+        for make in (t.mask_hex, t.land_hex, t.weights_hex, t.value_hex)
+    ]
+    layers[3] = layers[3].groupBy("h8").agg(F.sum("carbon").alias("carbon"))
+    joined = colocated_join(layers, 8)
+    return joined.groupBy("STUSPS").agg(
+        count(), money(F.col("carbon") * F.col("land_area_km2")), F.round(F.sum(F.col("w1") + F.col("w2")), 6).alias("w")
+    )
+
+
 _ROLLED = """
     SELECT c.feature_type, COUNT(*) AS n, ROUND(SUM(g.mean_carbon), 4) AS carbon FROM coarse_feature c JOIN (
       SELECT {h6} AS h6, h0, AVG(carbon) AS mean_carbon FROM value_hex GROUP BY 1, 2) g ON c.h6 = g.h6 AND c.h0 = g.h0 GROUP BY 1"""

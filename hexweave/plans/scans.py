@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from hexweave.functions.cells import cell_parent
 from hexweave.functions.text import preview, render_columns
 from hexweave.operators.filters import guard_pixels, slice_cube
 from hexweave.operators.pyramid import build_pyramid, finest_level, read_level, read_levels, write_level
@@ -10,6 +11,8 @@ from hexweave.plans.inputs import parent_sql
 from hexweave.plans.registry import query
 from hexweave.session import fresh_dir
 from hexweave.sources import hexio
+from hexweave.sources.hexio import read_hex
+from hexweave.sources.layout import within_cell, write_clustered
 
 
 @query("scan_file", sql="SELECT s_nationkey, COUNT(*) AS n, MIN(s_name) AS first_name FROM supplier GROUP BY 1")
@@ -176,3 +179,25 @@ def render(spark, sf):
         F.when(n != 3, F.col("l_partkey")).alias("part"), F.encode(F.lit("x"), "utf-8").alias("geom"),
     )
     return render_columns(df)
+
+
+@query("scan_clustered", "value_hex", f"""
+    SELECT h0, COUNT(*) AS n, ROUND(SUM(carbon), 2) AS carbon FROM value_hex
+    WHERE {parent_sql("h8", 3)} = (SELECT {parent_sql("MIN(h8)", 3)} FROM value_hex) GROUP BY 1""")
+def scan_clustered(spark, sf):
+    """Cells of one parent of resolution 3 from files sorted by cell: a range of ids, which prunes row groups."""
+    root = fresh_dir(spark, "clustered")
+    write_clustered(t.value_hex(spark, sf), root, "h8", partition_by=["h0"])
+    layer = read_hex(spark, root)
+    parent = layer.agg(cell_parent(F.min("h8"), 3, 8)).first()[0]
+    return layer.where(within_cell(8, parent)).groupBy("h0").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("carbon"), 2).alias("carbon")
+    )
+
+
+@query("text_exact_clustered", sql="SELECT p_partkey, p_name FROM part WHERE p_brand = 'Brand#13'")
+def text_exact_clustered(spark, sf):
+    """An exact key, from files sorted by it that carry its bloom filter."""
+    root = fresh_dir(spark, "clustered")
+    write_clustered(t.table(spark, sf, "part"), root, "p_brand", bloom=["p_brand"])
+    return spark.read.parquet(root).where(F.col("p_brand") == "Brand#13").select("p_partkey", "p_name")

@@ -6,6 +6,7 @@ on distinct cells where possible, and the bit functions of `cells` for the rest.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -14,8 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hexweave.functions import icosahedron as ico
-from hexweave.functions.cells import BASE_CELL_COUNT, PENTAGON_BASE_CELLS, as_column
-from hexweave.functions.tilemath import HALF_WORLD_M
+from hexweave.functions.cells import BASE_CELL_COUNT, PENTAGON_BASE_CELLS, as_column, res0_id
+from hexweave.functions.tilemath import EDGE_KM, HALF_WORLD_M, KM_PER_DEGREE
 
 AREA_UNITS = {
     "km^2": ico.EARTH_RADIUS_KM**2,
@@ -198,6 +199,54 @@ def register(spark: SparkSession) -> None:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
     for name, kind, f in _SQL_UDFS:
         spark.udf.register(name, F.arrow_udf(f, kind))
+    spark.udtf.register("h3_polygon_wkt_to_cells", F.udtf(PolygonCells, returnType="h BIGINT"))
+
+
+class PolygonCells:
+    """Table function: the cells of a resolution whose centres lie in a POLYGON or MULTIPOLYGON text, even-odd and planar.
+
+    For shapes of which a task holds the cells; `operators.places.polygons_to_cells` spreads one shape over tasks. Other
+    texts and NULL have no cells.
+    """
+
+    def eval(self, wkt: str, res: int):
+        if wkt is None or res is None or not re.match(r"(?i)\s*(multi)?polygon\b", wkt):
+            return
+        rings = [
+            np.array([[float(n) for n in v.split()[:2]] for v in ring.split(",")]) for ring in re.findall(r"\(([^()]+)\)", wkt)
+        ]
+        if not rings:
+            return
+        ends = np.vstack([np.hstack([r[:-1], r[1:]]) for r in rings])
+        (west, south), (east, north) = ends[:, :2].min(0), ends[:, :2].max(0)
+        cells = np.array([res0_id(b) for b in range(BASE_CELL_COUNT)], np.int64)
+        for r in range(res + 1):
+            if r:
+                cells = _children(cells, r)
+            lat, lng = ico.to_latlng(ico.center(cells))
+            # Descendants stay within some 1.5 edges of the centre; cells that are stretched most have 1.6.
+            reach = 1.6 * EDGE_KM[r] / KM_PER_DEGREE if r < res else 0.0
+            polar = np.minimum(90, np.maximum(np.abs(lat), max(abs(south), abs(north))) + reach)
+            spread = np.where(polar >= 89, 360.0, reach / np.cos(np.radians(np.minimum(polar, 89))))
+            near = np.zeros(len(cells), bool)
+            for turn in (-360, 0, 360) if reach else (0,):
+                near |= (lng + turn >= west - spread) & (lng + turn <= east + spread)
+            cells = cells[near & (lat >= south - reach) & (lat <= north + reach)]
+        lat, lng = ico.to_latlng(ico.center(cells))
+        inside = np.zeros(len(cells), bool)
+        for ax, ay, bx, by in ends:
+            spans = (ay > lat) != (by > lat)
+            inside[spans] ^= lng[spans] < ax + (lat[spans] - ay) * (bx - ax) / (by - ay)
+        for h in cells[inside].tolist():
+            yield (h,)
+
+
+def _children(cells: np.ndarray, res: int) -> np.ndarray:
+    """The children at ``res`` of cells one resolution coarser; a pentagon has none along its first axis."""
+    digits = np.arange(7)
+    every = cells[:, None] + (1 << 52) - ((7 - digits) << 3 * (15 - res))
+    pentagon = np.isin(cells >> 45 & 127, PENTAGON_BASE_CELLS) & (cells & (1 << 45) - 1 == (1 << 3 * (16 - res)) - 1)
+    return every[~(pentagon[:, None] & (digits == 1))]
 
 
 def _per_value(values: pa.Array, f: Callable[[np.ndarray, object], None]) -> None:

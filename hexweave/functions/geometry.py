@@ -205,3 +205,100 @@ def unwrap_dateline(ring, center_lng) -> Column:
         return vertex(x, v["y"])
 
     return F.transform(ring, shift)
+
+
+def parse_wkt(text) -> Column:
+    """Rings of a POLYGON or MULTIPOLYGON text, all parts and holes in one array: their even-odd rule is the shape's.
+
+    Further ordinates of a vertex are left out. NULL for any other text, an empty array for an EMPTY shape.
+    """
+    text = F.trim(as_column(text))
+    head = r"(?i)^(?:SRID\s*=\s*[0-9]+\s*;\s*)?(?:MULTI)?POLYGON\s*(?:ZM|Z|M)?\s*"
+    # Character classes only: a pattern with repeated groups would overflow the stack on long rings.
+    known = text.rlike(head + r"\([-+0-9.eE,()\s]+\)$")
+    empty = text.rlike(head + r"EMPTY$")
+
+    def at(v: Column, i: int) -> Column:
+        return F.get(F.split(F.trim(v), r"\s+"), i).try_cast("double")
+
+    rings = F.transform(
+        F.regexp_extract_all(text, F.lit(r"\(([^()]+)\)"), F.lit(1)),
+        lambda ring: F.transform(F.split(ring, ","), lambda v: vertex(at(v, 0), at(v, 1))),
+    )
+    broken = F.exists(F.flatten(rings), lambda v: v["x"].isNull() | v["y"].isNull()) | (F.size(rings) == 0)
+    none = F.array().cast("array<array<struct<x:double,y:double>>>")
+    return F.when(known & ~broken, rings).when(empty, none)
+
+
+# --- shapes over the antimeridian ----------------------------------------------------
+
+
+def _unwrapped(ring: Column) -> Column:
+    """A closed ring without jumps: every edge goes the short way round. A ring around a pole is closed over it."""
+    def jump(v: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.get(ring, i - 1)["x"]).otherwise(v["x"])
+        return F.struct(i.alias("i"), F.rint((before - v["x"]) / 360.0).alias("turns"))
+
+    # Few vertices follow a jump, so each adds up those before it.
+    jumps = F.filter(F.transform(ring, jump), lambda j: j["turns"] != 0)
+
+    def shifted(found: Column) -> Column:
+        def shift(v: Column, i: Column) -> Column:
+            turns = F.aggregate(found, F.lit(0.0), lambda a, j: a + F.when(j["i"] <= i, j["turns"]).otherwise(F.lit(0.0)))
+            return vertex(v["x"] + 360.0 * turns, v["y"])
+
+        moved = F.transform(ring, shift)
+        around = F.aggregate(found, F.lit(0.0), lambda a, j: a + j["turns"]) != 0
+        pole = F.when(array_sum(F.transform(ring, lambda v: v["y"])) < 0, F.lit(-90.0)).otherwise(F.lit(90.0))
+        first, last = F.element_at(moved, 1), F.element_at(moved, -1)
+        over = F.array(vertex(last["x"], pole), vertex(first["x"], pole), vertex(first["x"], first["y"]))
+        return F.when(around, F.concat(moved, over)).otherwise(moved)
+
+    return F.transform(F.array(jumps), shifted)[0]
+
+
+def _cut(ring: Column, bound: float, keep_above: bool) -> Column:
+    """The part of a closed ring on one side of a meridian, closed along it."""
+    def inside(v: Column) -> Column:
+        return v["x"] >= bound if keep_above else v["x"] <= bound
+
+    def edge(a: Column, b: Column) -> Column:
+        at = vertex(F.lit(bound), a["y"] + F.try_divide((F.lit(bound) - a["x"]) * (b["y"] - a["y"]), b["x"] - a["x"]))
+        own = vertex(b["x"], b["y"])
+        return (
+            F.when(inside(a) & inside(b), F.array(own)).when(inside(b), F.array(at, own)).when(inside(a), F.array(at))
+            .otherwise(F.array().cast("array<struct<x:double,y:double>>"))
+        )
+
+    cut = F.flatten(over_segments(ring, edge))
+    return F.when(F.size(cut) > 0, F.concat(cut, F.array(F.element_at(cut, 1)))).otherwise(cut)
+
+
+def dateline_parts(rings) -> Column:
+    """A shape as an array of shapes that do not cross the antimeridian: itself, or its halves east and west of Greenwich.
+
+    An edge of more than 180 degrees of longitude is taken the short way, over the antimeridian. A ring that winds around the
+    earth holds the pole of the hemisphere that its vertices are in on average.
+    """
+    rings = as_column(rings)
+    crosses = F.exists(rings, lambda ring: F.exists(over_segments(ring, lambda a, b: F.abs(b["x"] - a["x"]) > 180.0), lambda j: j))
+    copies = F.flatten(F.transform(
+        F.transform(rings, _unwrapped),
+        lambda ring: F.transform(
+            F.array(*[F.lit(360.0 * k) for k in (-2, -1, 0, 1, 2)]),
+            lambda by: F.transform(ring, lambda v: vertex(v["x"] + by, v["y"])),
+        ),
+    ))
+
+    def half(low: float, high: float) -> Column:
+        cut = F.transform(copies, lambda ring: F.transform(F.array(_cut(ring, low, True)), lambda r: _cut(r, high, False))[0])
+        return F.filter(cut, lambda ring: F.size(ring) > 3)
+
+    halves = F.filter(F.array(half(0.0, 180.0), half(-180.0, 0.0)), lambda part: F.size(part) > 0)
+    return F.when(crosses, halves).otherwise(F.array(rings))
+
+
+def across_dateline(df: DataFrame, shape: str) -> DataFrame:
+    """``df`` with a row for each of the `dateline_parts` of a shape; the parts of one shape do not overlap."""
+    kept = df.withColumn(shape, F.explode_outer(dateline_parts(rings_of(df, shape))))
+    return kept.select(*df.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hexweave.functions.cells import as_column
-from hexweave.functions.geometry import over_segments, planar_length
+from hexweave.functions.geometry import across_dateline, over_segments, planar_length
 from hexweave.operators.edges import edge_index, lengths_inside, with_holders
 from hexweave.operators.joins import assign_features
 
@@ -44,14 +44,17 @@ def clip_length(
 
 def points_in_polygons(
     points: DataFrame, polygons: DataFrame, polygon_id: str, ring: str = "ring",
-    x: str = "x", y: str = "y",
+    x: str = "x", y: str = "y", dateline: bool = False,
 ) -> DataFrame:
     """Join points to the polygons that contain them.
 
     A point meets only the edges of its own grid squares (`edges`). A point in several polygons gives several rows. Polygons may
-    be rings, polygons with holes or multipolygons.
+    be rings, polygons with holes or multipolygons. With ``dateline`` edges of more than 180 degrees go over the antimeridian, and
+    a ring around the earth holds its pole.
     """
-    held = with_holders(points, edge_index(polygons.select(polygon_id, ring), polygon_id, ring), x, y, "_holders")
+    shapes = polygons.select(polygon_id, ring)
+    index = edge_index(across_dateline(shapes, ring) if dateline else shapes, polygon_id, ring)
+    held = with_holders(points, index, x, y, "_holders")
     return held.select(*[F.col(f"`{c}`") for c in points.columns], F.explode("_holders").alias(polygon_id))
 
 

@@ -14,7 +14,7 @@ from hexweave.functions.cells import (
     BASE_CELL_COUNT, cell_parent, column_name, direct_children, great_circle, res0_id,
 )
 from hexweave.functions.geodesy import cell_area, cell_center, grid_disk, latlng_to_cell, with_centers
-from hexweave.functions.geometry import bounds, point_in_rings, rings_of
+from hexweave.functions.geometry import across_dateline, bounds, point_in_rings, rings_of
 from hexweave.operators.joins import keys, static_partitions, with_h0
 from hexweave.operators.measures import ACRES_PER_KM2
 from hexweave.operators.sizing import shuffle_width, small_side
@@ -109,7 +109,8 @@ def cell_distance(df: DataFrame, a: str, b: str, unit: str = "km", out: str = "d
 
 
 def polygons_to_cells(
-    polygons: DataFrame, polygon_id: str, res: int, ring: str = "ring", spread_at: Sequence[int] = (3, 6, 9)
+    polygons: DataFrame, polygon_id: str, res: int, ring: str = "ring", spread_at: Sequence[int] = (3, 6, 9),
+    dateline: bool = False,
 ) -> DataFrame:
     """Cells whose centre lies inside each polygon.
 
@@ -117,9 +118,15 @@ def polygons_to_cells(
     the polygon's box for a descendant to be inside, one level at a time. The last
     level takes the exact test. The open cells are spread over the tasks again at
     the ``spread_at`` levels, so a huge polygon does not stay in one. Rings are
-    planar in lon/lat and must not cross the antimeridian; holes and further parts count.
+    planar in lon/lat; holes and further parts count. With ``dateline`` edges of more than 180 degrees go over the
+    antimeridian, and a ring around the earth holds its pole.
     """
     polygons = polygons.select(polygon_id, rings_of(polygons, ring).alias(ring))
+    if dateline:
+        part = F.concat_ws(":", F.col(polygon_id).cast("string"), F.monotonically_increasing_id().cast("string"))
+        parts = small_side(across_dateline(polygons, ring).withColumn("_part", part))
+        covered = polygons_to_cells(parts.select("_part", ring), "_part", res, ring, spread_at)
+        return covered.join(parts.select("_part", polygon_id), "_part").select(polygon_id, column_name(res), "h0")
     boxes = polygons.select(polygon_id, bounds(F.flatten(ring)).alias("_box"))
     box = F.col("_box")
     start = F.filter(base_cell_centers(), lambda c: _near_box(c, box, _reach(0) if res else 0.0))

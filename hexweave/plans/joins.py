@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from hexweave.functions.cells import cell_parent, cell_to_string
-from hexweave.functions.geometry import vertex
+from hexweave.functions.geometry import parse_wkt, polygon_wkt, vertex
 from hexweave.operators import joins as j
 from hexweave.operators import lines as ln
 from hexweave.operators import measures as m
@@ -192,6 +192,28 @@ def points_in_polygons(spark, sf):
     return hits.groupBy("aoi_id").agg(count(), F.sum("pixel_id").alias("ids"))
 
 
+@query("points_in_polygons_dateline", "pixels boxes", f"""
+    SELECT aoi_id, COUNT(*) AS n, CAST(SUM(pixel_id) AS BIGINT) AS ids FROM pixels JOIN boxes ON {_INSIDE} GROUP BY 1""")
+def points_in_polygons_dateline(spark, sf):
+    """Points and boxes turned by 120 degrees, so that boxes cross the antimeridian: the counts stay."""
+    def turned(x):
+        return F.when(x + 120.0 >= 180.0, x - 240.0).otherwise(x + 120.0)
+
+    boxes = t.boxes(spark, sf).select("aoi_id", F.transform("ring", lambda v: vertex(turned(v["x"]), v["y"])).alias("ring"))
+    pixels = t.pixels(spark, sf).withColumn("x", turned(F.col("x")))
+    hits = ln.points_in_polygons(pixels, boxes, "aoi_id", dateline=True)
+    return hits.groupBy("aoi_id").agg(count(), F.sum("pixel_id").alias("ids"))
+
+
+@query("points_in_polygons_wkt", "pixels boxes", f"""
+    SELECT aoi_id, COUNT(*) AS n, CAST(SUM(pixel_id) AS BIGINT) AS ids FROM pixels JOIN boxes ON {_INSIDE} GROUP BY 1""")
+def points_in_polygons_wkt(spark, sf):
+    """Polygons that come as text."""
+    texts = t.boxes(spark, sf).select("aoi_id", polygon_wkt(F.array("ring")).alias("wkt"))
+    hits = ln.points_in_polygons(t.pixels(spark, sf), texts.select("aoi_id", parse_wkt("wkt").alias("ring")), "aoi_id")
+    return hits.groupBy("aoi_id").agg(count(), F.sum("pixel_id").alias("ids"))
+
+
 _HOLES = """(SELECT aoi_id, west, south, east, north, west + (east - west) / 4 AS w, south + (north - south) / 4 AS s,
     east - (east - west) / 4 AS e, north - (north - south) / 4 AS n FROM boxes)"""
 

@@ -13,6 +13,7 @@ from hexweave.functions.cells import cell_parent, cell_resolution, great_circle
 from hexweave.functions.geodesy import (
     cell_area, cell_boundary, cell_boundary_wkt, cell_center, grid_disk, latlng_to_cell, register, with_centers,
 )
+from hexweave.functions.geometry import polygon_wkt
 from hexweave.operators import measures as m
 from hexweave.operators import places as pl
 from hexweave.operators import pyramid as py
@@ -244,6 +245,14 @@ def polygon_cells(spark, sf):
     )
 
 
+@query("polygon_cells_wkt")
+def polygon_cells_wkt(spark, sf):
+    """Cells of polygons given as text, from SQL. No SQL elsewhere has the cells: tests compare them with `polygons_to_cells`."""
+    register(spark)
+    t.boxes(spark, sf).select("aoi_id", polygon_wkt(F.array("ring")).alias("wkt")).createOrReplaceTempView("hexweave_texts")
+    return spark.sql("SELECT aoi_id, h FROM hexweave_texts, LATERAL h3_polygon_wkt_to_cells(wkt, 3)")
+
+
 @query("pyramid_bounds", "points", "SELECT COUNT(*) AS n, TRUE AS holds_all, TRUE AS counts_cells FROM points")
 def pyramid_bounds(spark, sf):
     level = with_centers(py.finest_level(_located(spark, sf), "COUNT", h="h5"), "h")

@@ -6,6 +6,7 @@ repeats its first vertex at the end.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -302,3 +303,103 @@ def across_dateline(df: DataFrame, shape: str) -> DataFrame:
     """``df`` with a row for each of the `dateline_parts` of a shape; the parts of one shape do not overlap."""
     kept = df.withColumn(shape, F.explode_outer(dateline_parts(rings_of(df, shape))))
     return kept.select(*df.columns)
+
+
+# --- geodesics -----------------------------------------------------------------------
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _inverse(lat1: Column, lat2: Column, turn: Column) -> Column:
+    """Metres between two latitudes (degrees) whose longitudes differ by ``turn`` radians; NULL where the iteration fails.
+
+    Vincenty's inverse: the longitude on the auxiliary sphere is iterated until it stays.
+    """
+    f = WGS84_FLATTENING
+    short = WGS84_AXIS_M * (1 - f)
+
+    def reduced(lat: Column) -> Column:
+        return F.atan((1 - f) * F.tan(F.radians(lat)))
+
+    def from_latitudes(u: Column) -> Column:
+        def on_sphere(lam: Column) -> Column:
+            across = F.hypot(u["c2"] * F.sin(lam), u["c1"] * u["s2"] - u["s1"] * u["c2"] * F.cos(lam))
+            along = u["s1"] * u["s2"] + u["c1"] * u["c2"] * F.cos(lam)
+
+            def azimuth(p: Column) -> Column:
+                sin_a = F.coalesce(F.try_divide(u["c1"] * u["c2"] * F.sin(lam), p["ss"]), F.lit(0.0))
+                return _let(sin_a, lambda a: F.struct(
+                    p["ss"].alias("ss"), p["cs"].alias("cs"), F.atan2(p["ss"], p["cs"]).alias("s"), a.alias("a"), (1 - a * a).alias("c2a"),
+                    F.coalesce(p["cs"] - F.try_divide(2 * u["s1"] * u["s2"], F.when(1 - a * a > 1e-15, 1 - a * a)), F.lit(0.0)).alias("cm"),
+                ))
+
+            return _let(F.struct(across.alias("ss"), along.alias("cs")), azimuth)
+
+        def step(state: Column, _: Column) -> Column:
+            def moved(p: Column) -> Column:
+                c = f / 16 * p["c2a"] * (4 + f * (4 - 3 * p["c2a"]))
+                pull = p["s"] + c * p["ss"] * (p["cm"] + c * p["cs"] * (2 * p["cm"] * p["cm"] - 1))
+                return _let(turn + (1 - c) * f * p["a"] * pull, lambda lam: F.struct(lam.alias("lam"), F.abs(lam - state["lam"]).alias("gap")))
+
+            return F.when(state["gap"] < 1e-13, state).otherwise(_let(on_sphere(state["lam"]), moved))
+
+        def metres(state: Column) -> Column:
+            def length(p: Column) -> Column:
+                w = p["c2a"] * (1 / (1 - f) ** 2 - 1)
+                big = 1 + w / 16384 * (4096 + w * (-768 + w * (320 - 175 * w)))
+                b = w / 1024 * (256 + w * (-128 + w * (74 - 47 * w)))
+                m = p["cm"]
+                less = b * p["ss"] * (m + b / 4 * (p["cs"] * (2 * m * m - 1) - b / 6 * m * (4 * p["ss"] * p["ss"] - 3) * (4 * m * m - 3)))
+                return short * big * (p["s"] - less)
+
+            settled = (state["gap"] < 1e-11) & (F.abs(state["lam"]) <= math.pi)
+            return F.when(settled, _let(on_sphere(state["lam"]), length))
+
+        start = F.struct(turn.alias("lam"), F.lit(1.0).alias("gap"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, step, metres)
+
+    u1, u2 = reduced(lat1), reduced(lat2)
+    return _let(
+        F.struct(F.sin(u1).alias("s1"), F.cos(u1).alias("c1"), F.sin(u2).alias("s2"), F.cos(u2).alias("c2")), from_latitudes
+    )
+
+
+def geodesic_m(lat1, lng1, lat2, lng2) -> Column:
+    """Metres of the shortest line between two points on the ellipsoid, to about a millimetre.
+
+    Nearly antipodal points, for which the iteration does not settle, go through the meridian half way between them: the
+    shortest sum of both halves is searched along it, first on a grid and then by thirds.
+    """
+    lat1, lng1, lat2, lng2 = (as_column(v).cast("double") for v in (lat1, lng1, lat2, lng2))
+
+    def between(p: Column) -> Column:
+        def through(lat: Column) -> Column:
+            return _inverse(p["a"], lat, p["turn"] / 2) + _inverse(lat, p["b"], p["turn"] / 2)
+
+        def search(near: Column) -> Column:
+            def third(r: Column, _: Column) -> Column:
+                low, high = r["low"] + (r["high"] - r["low"]) / 3, r["high"] - (r["high"] - r["low"]) / 3
+                return F.when(through(low) < through(high), F.struct(r["low"].alias("low"), high.alias("high"))).otherwise(
+                    F.struct(low.alias("low"), r["high"].alias("high"))
+                )
+
+            first = F.struct(F.greatest(F.lit(-90.0), near - 5.0).alias("low"), F.least(F.lit(90.0), near + 5.0).alias("high"))
+            return F.aggregate(F.sequence(F.lit(1), F.lit(36)), first, third, lambda r: through((r["low"] + r["high"]) / 2))
+
+        def around() -> Column:
+            grid = F.transform(F.sequence(F.lit(-18), F.lit(18)), lambda k: F.struct(through(k * 5.0).alias("m"), (k * 5.0).alias("lat")))
+            return _let(F.array_min(F.filter(grid, lambda g: g["m"].isNotNull()))["lat"], search)
+
+        return _let(_inverse(p["a"], p["b"], p["turn"]), lambda m: F.when(m.isNotNull(), m).otherwise(around()))
+
+    turn = F.radians(F.pmod(lng2 - lng1 + 180.0, F.lit(360.0)) - 180.0)
+    known = lat1.isNotNull() & lat2.isNotNull() & turn.isNotNull()
+    return F.when(known, _let(F.struct(lat1.alias("a"), lat2.alias("b"), turn.alias("turn")), between))
+
+
+def line_length_geodesic_m(line) -> Column:
+    """Length in metres of a lon/lat line, each segment being a geodesic of the ellipsoid."""
+    return array_sum(over_segments(line, lambda a, b: geodesic_m(a["y"], a["x"], b["y"], b["x"])))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hexweave.functions.cells import as_column
+from hexweave.functions.crs import agree
 from hexweave.functions.geometry import across_dateline, over_segments, planar_length
 from hexweave.operators.edges import edge_index, lengths_inside, with_holders
 from hexweave.operators.joins import assign_features
@@ -21,8 +22,9 @@ def clip_length(
     Shared cells give the candidate pairs; each pair adds the line's own length
     times the clipped share of its planar length, so no unit conversion is needed.
     Geometry joins last, by id, on the deduplicated pairs. A segment meets only the region's edges in its own grid squares
-    (`edges`). Regions may be rings, polygons with holes or multipolygons.
+    (`edges`). Regions may be rings, polygons with holes or multipolygons. Tagged columns (`crs`) must agree.
     """
+    agree((lines, line), (regions, ring))
     pairs = assign_features(line_cells, region_cells, res, line_id, region_id)
     shapes = regions.select(region_id, ring).where(F.col(ring).isNotNull())
     index = edge_index(shapes, region_id, ring)
@@ -52,6 +54,7 @@ def points_in_polygons(
     be rings, polygons with holes or multipolygons. With ``dateline`` edges of more than 180 degrees go over the antimeridian, and
     a ring around the earth holds its pole.
     """
+    agree((points, x), (points, y), (polygons, ring))
     shapes = polygons.select(polygon_id, ring)
     index = edge_index(across_dateline(shapes, ring) if dateline else shapes, polygon_id, ring)
     held = with_holders(points, index, x, y, "_holders")
@@ -66,6 +69,7 @@ def zonal_stats(
 
     The pixels are read once. No-data pixels should be filtered before the call.
     """
+    agree((pixels, x), (pixels, y), (polygons, ring))
     index = edge_index(polygons.select(polygon_id, ring), polygon_id, ring)
     held = with_holders(pixels.select(x, y, band), index, x, y, "_holders")
     return held.select(F.explode_outer("_holders").alias(polygon_id), band).groupBy(polygon_id).agg(

@@ -13,6 +13,7 @@ from hexweave.functions import tilemath as tm
 from hexweave.functions.cells import (
     BASE_CELL_COUNT, cell_parent, column_name, direct_children, great_circle, res0_id,
 )
+from hexweave.functions.crs import require_lonlat
 from hexweave.functions.geodesy import cell_area, cell_center, grid_disk, latlng_to_cell, with_centers
 from hexweave.functions.geometry import across_dateline, bounds, point_in_rings, rings_of
 from hexweave.operators.joins import keys, static_partitions, with_h0
@@ -121,6 +122,7 @@ def polygons_to_cells(
     planar in lon/lat; holes and further parts count. With ``dateline`` edges of more than 180 degrees go over the
     antimeridian, and a ring around the earth holds its pole.
     """
+    require_lonlat((polygons, ring))
     polygons = polygons.select(polygon_id, rings_of(polygons, ring).alias(ring))
     if dateline:
         part = F.concat_ws(":", F.col(polygon_id).cast("string"), F.monotonically_increasing_id().cast("string"))

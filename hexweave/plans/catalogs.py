@@ -94,6 +94,44 @@ def catalog_lookup(spark, sf):
     return out
 
 
+@query("catalog_lookup_all", "kids", """
+    , ids AS (SELECT 'group-' || s_suppkey AS id FROM supplier UNION ALL SELECT id FROM kids WHERE NOT broken),
+    asked AS (SELECT DISTINCT unnest(['GROUP-' || s_suppkey, s_suppkey || '-SET', CAST(s_suppkey AS VARCHAR), 'no-' || s_suppkey]) AS key FROM supplier)
+    SELECT key, (SELECT id FROM ids WHERE id = key OR contains(lower(id), lower(key))
+      ORDER BY CASE WHEN id = key THEN 0 WHEN starts_with(lower(id), lower(key)) THEN 1 ELSE 2 END, id LIMIT 1) AS id
+    FROM asked WHERE EXISTS (SELECT 1 FROM ids WHERE contains(lower(id), lower(key)))""")
+def catalog_lookup_all(spark, sf):
+    """Four keys per supplier at once: a prefix, an inner part, a number, and one that names nothing."""
+    k = F.col("s_suppkey").cast("string")
+    asked = F.array(F.concat(F.lit("GROUP-"), k), F.concat(k, F.lit("-SET")), k, F.concat(F.lit("no-"), k))
+    keys = t.table(spark, sf, "supplier").select(F.explode(asked).alias("key"))
+    return c.lookup_all(c.collections(t.documents(spark, sf)), keys).select("key", "id")
+
+
+@query("catalog_reach", sql="""
+    WITH kids AS (SELECT s_suppkey, unnest(range(4)) AS j FROM supplier),
+    found AS (
+      SELECT 'reached' AS status, 0 AS depth
+      UNION ALL SELECT 'reached', 1 FROM supplier WHERE s_suppkey % 11 <> 0
+      UNION ALL SELECT CASE WHEN j < 3 THEN 'reached' ELSE 'missing' END, 2 FROM kids WHERE s_suppkey % 11 <> 0
+      UNION ALL SELECT 'orphan', NULL FROM supplier WHERE s_suppkey % 11 = 0
+      UNION ALL SELECT 'orphan', NULL FROM kids WHERE s_suppkey % 11 = 0 AND j < 3)
+    SELECT status, depth, COUNT(*) AS n FROM found GROUP BY 1, 2""")
+def catalog_reach(spark, sf):
+    """From a root that lists all suppliers but every eleventh."""
+    docs = t.documents(spark, sf)
+    listed = docs.where(F.col("path").endswith("/stac-collection.json")).where(
+        F.regexp_extract("path", r"catalog/(\d+)/", 1).cast("long") % 11 != 0
+    )
+    link = F.struct(F.lit("child").alias("rel"), F.col("path").alias("href"))
+    root = listed.agg(F.collect_list(link).alias("links")).select(
+        F.lit("https://data.example.org/catalog.json").alias("path"),
+        F.to_json(F.struct(F.lit("Catalog").alias("type"), F.lit("root").alias("id"), "links")).alias("value"),
+    )
+    found = c.reachability(docs.unionByName(root), "https://data.example.org/catalog.json")
+    return found.groupBy("status", "depth").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("queryable_assets", "kids", """
     SELECT asset_id, asset_id IN ('flat', 'hex') AS queryable, COUNT(*) AS n FROM kids
     CROSS JOIN (SELECT unnest(['flat', 'hex', 'map', 'cover']) AS asset_id) WHERE NOT broken GROUP BY 1, 2""")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from hexweave.functions.cells import cell_parent, cell_to_string
+from hexweave.functions.crs import crs_of, set_crs
 from hexweave.functions.geometry import parse_wkt, polygon_wkt, vertex
 from hexweave.operators import joins as j
 from hexweave.operators import lines as ln
@@ -214,6 +215,17 @@ def points_in_polygons_wkt(spark, sf):
     return hits.groupBy("aoi_id").agg(count(), F.sum("pixel_id").alias("ids"))
 
 
+@query("points_in_polygons_crs", "pixels boxes", f"""
+    SELECT aoi_id, COUNT(*) AS n, 'OGC:CRS84' AS crs FROM pixels JOIN boxes ON {_INSIDE} GROUP BY 1""")
+def points_in_polygons_crs(spark, sf):
+    """Pixels tagged EPSG:4326 hold lon/lat: re-tagged as the polygons are, they join, and keep the tag."""
+    pixels, boxes = t.pixels(spark, sf), set_crs(t.boxes(spark, sf), "ring", "OGC:CRS84")
+    for axis in ("x", "y"):
+        pixels = set_crs(set_crs(pixels, axis, "EPSG:4326"), axis, "OGC:CRS84")
+    hits = ln.points_in_polygons(pixels, boxes, "aoi_id")
+    return hits.groupBy("aoi_id").agg(count()).withColumn("crs", F.lit(crs_of(hits, "x")))
+
+
 _HOLES = """(SELECT aoi_id, west, south, east, north, west + (east - west) / 4 AS w, south + (north - south) / 4 AS s,
     east - (east - west) / 4 AS e, north - (north - south) / 4 AS n FROM boxes)"""
 

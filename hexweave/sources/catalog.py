@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hexweave.functions.cells import as_column
+from hexweave.session import fresh_dir, materialize
 from hexweave.sources.registry import rewrite, route_hint
 
 COLUMN_DDL = "array<struct<name:string,type:string,description:string,values:array<string>>>"
@@ -256,6 +257,102 @@ def lookup(collection_table: DataFrame, key: str) -> DataFrame:
     return hits.agg(F.min_by("id", best).alias("id"), F.min_by("title", best).alias("title")).where("id is not null")
 
 
+GRAM = 3
+
+
+def _grams(text: Column, size: int) -> Column:
+    """Distinct pieces of ``size`` characters."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(text) - size + 1))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))))
+
+
+def lookup_all(collection_table: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
+    """(key, id, title) for every distinct key that names a collection, by the rules of `lookup`.
+
+    An inverted index of the ids' pieces of `GRAM` characters gives the candidates: those of the key's rarest piece, which
+    are then compared with the whole key. A key no longer than a piece is a piece itself, and its answer is the least
+    id of that piece's list, found once for all keys. NULL keys name nothing.
+    """
+    named = collection_table.where("id is not null").select("id", "title", F.lower("id").alias("_low"))
+    asked = keys.select(F.col(key).alias("key")).where("key is not null").distinct().withColumn("_key", F.lower("key"))
+    exact = asked.join(named, F.col("key") == F.col("id")).select("key", F.lit(0).alias("_r"), "id", "title")
+
+    # Short keys: the best id of each piece of up to GRAM characters.
+    def ranked(text: Column, low: Column) -> Column:
+        return F.when(low.startswith(text), 1).otherwise(2)
+
+    sizes = F.array(*[F.lit(n) for n in range(GRAM + 1)])
+    pieces = F.flatten(F.transform(sizes, lambda n: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("_low") - n + 1)), lambda i: F.substring(F.col("_low"), i, n))))
+    best = named.select("id", "title", "_low", F.explode(F.array_distinct(pieces)).alias("_key")).groupBy("_key").agg(
+        F.min(F.struct(ranked(F.col("_key"), F.col("_low")).alias("_r"), "id", "title")).alias("b")
+    )
+    short = asked.where(F.char_length("_key") <= GRAM).join(best, "_key").select("key", "b.*")
+
+    # Longer keys: the candidates of their rarest piece.
+    postings = named.select("id", "title", "_low", F.explode(_grams(F.col("_low"), GRAM)).alias("_gram"))
+    counts = postings.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    long = asked.where(F.char_length("_key") > GRAM).withColumn("_size", F.size(_grams(F.col("_key"), GRAM)))
+    met = long.select("key", "_key", "_size", F.explode(_grams(F.col("_key"), GRAM)).alias("_gram")).join(counts, "_gram")
+    rarest = met.groupBy("key", "_key", "_size").agg(
+        F.min(F.struct("_n", "_gram")).alias("g"), F.count(F.lit(1)).alias("_found")
+    ).where(F.col("_found") == F.col("_size")).select("key", "_key", F.col("g._gram").alias("_gram"))
+    hits = rarest.join(postings, "_gram").where(F.col("_low").contains(F.col("_key")))
+    other = hits.select("key", ranked(F.col("_key"), F.col("_low")).alias("_r"), "id", "title")
+
+    every = exact.unionByName(short).unionByName(other)
+    return every.groupBy("key").agg(F.min(F.struct("_r", "id", "title")).alias("b")).select("key", "b.id", "b.title")
+
+
+def reachability(docs: DataFrame, root: str, sources: DataFrame | None = None) -> DataFrame:
+    """(address, status, depth): what child links lead to from the document at ``root``, and what they do not.
+
+    ``reached`` documents have the number of links on their shortest way; ``missing`` addresses are linked from a reached
+    document and have none; ``orphan`` documents are not led to; ``cycle`` rows repeat the reached documents that
+    lie on a cycle of links, or between two. One join per tier, each frontier written; documents met before are not met again.
+    """
+    spark, folder = docs.sparkSession, fresh_dir(docs.sparkSession, "reach")
+    parsed = parse(docs).where(F.col("doc.id").isNotNull()).withColumn("doc", F.col("doc").withField("id", address(F.col("path"))))
+    child_links(parsed, sources).select(F.col("parent_id").alias("a"), F.col("href").alias("b")).distinct().write.parquet(f"{folder}/links")
+    links = spark.read.schema("a string, b string").parquet(f"{folder}/links")
+    here = materialize(docs.select(address(F.col("path")).alias("address")).distinct(), "documents")
+
+    start = spark.range(1).select(address(F.lit(root)).alias("address"), F.lit(0).alias("depth"))
+    start.write.parquet(f"{folder}/tier=0")
+    depth = 0
+    while True:
+        read = spark.read.schema("address string, depth int").parquet
+        met, last = read(*[f"{folder}/tier={d}" for d in range(depth + 1)]), read(f"{folder}/tier={depth}")
+        if last.isEmpty():
+            break
+        depth += 1
+        further = links.join(last.select(F.col("address").alias("a")), "a", "left_semi").select(F.col("b").alias("address")).distinct()
+        further.join(met, "address", "left_anti").select("address", F.lit(depth).alias("depth")).write.parquet(f"{folder}/tier={depth}")
+    reached, missing = met.join(here, "address", "left_semi"), met.join(here, "address", "left_anti")
+    orphans = here.join(met, "address", "left_anti")
+
+    # Links from reached documents, without those that begin or end where no other link leads on.
+    core, turn = links.join(met.select(F.col("address").alias("a")), "a", "left_semi"), 0
+    core.write.parquet(f"{folder}/core0")
+    size = -1
+    while True:
+        core = spark.read.schema("a string, b string").parquet(f"{folder}/core{turn}")
+        now = core.count()
+        if now in (0, size):
+            break
+        size, turn = now, turn + 1
+        inner = core.join(core.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
+        inner.join(core.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a", "b").write.parquet(f"{folder}/core{turn}")
+    cyclic = core.select(F.col("a").alias("address")).distinct().join(reached, "address")
+
+    def with_status(df: DataFrame, status: str, known: bool = True) -> DataFrame:
+        return df.select("address", F.lit(status).alias("status"), F.col("depth") if known else F.lit(None).cast("int").alias("depth"))
+
+    return with_status(reached, "reached").unionByName(with_status(missing, "missing")).unionByName(
+        with_status(orphans, "orphan", False)
+    ).unionByName(with_status(cyclic, "cycle"))
+
+
 def parent_index(collection_table: DataFrame, paths: DataFrame) -> DataFrame:
     """Child collections of every parent with their asset paths, no columns."""
     children = collection_table.where("parent_id is not null").select("parent_id", F.col("id").alias("collection_id"))

@@ -1,13 +1,14 @@
 """URL filters: a path-template tree per host, judged by smoothed labelled purity.
 
 Fixed rules come first; the URLs they cover are the labelled ones. For the rest, every host has a
-tree of path templates. Segments that look like ids become ``*`` at once; level by level, a segment
+tree of path templates. Segments that look like ids become ``*`` at once; branching by branching, a segment
 whose parent has many different children, and that holds a small share of them, becomes ``*`` too unless
 its labels show another share of blocked pages than its parent's, and sibling branches whose labelled share does not differ from their parent's by a two-sided test are
 merged into ``*``. A template is rejected if its smoothed share of blocked labels exceeds a half: a
 host's template leans on the same template over all hosts, and that on the whole table.
 
-The tree goes as deep as the paths do.
+The tree goes as deep as the paths do. What all paths of a node have in common is one step, and so is the rest of a
+single path, so rounds follow how often paths branch and not how long they are.
 
 Counts are combined per (host, generalised path) in each task before anything shuffles, so a host with
 a third of all rows costs one row per task and path. No step gathers a host.
@@ -73,17 +74,24 @@ def templates(
 ) -> DataFrame:
     """Verdict of every (host, segments) row of ``paths``, which has the counts n, labelled, blocked.
 
-    One level of the tree at a time: two aggregates over the pre-counted paths, written below
-    ``folder`` so that no level computes the ones above again. Only paths that go on are in the next
-    level, and the longest path ends the loop.
+    One branching of the tree at a time: aggregates over the pre-counted paths, written below
+    ``folder`` so that no round computes the ones above again. Only paths that go on are in the next
+    round.
 
     A segment with fewer labels than ``prior`` has too few to tell its share from its parent's.
     """
-    longest = paths.agg(F.max(F.size("segments"))).first()[0] or 0
-    tree = paths.withColumn("template", F.array().cast("array<string>"))
-    for level in range(longest + 1):
-        here = F.get("segments", F.lit(level))
-        tree = tree.withColumn("seg", F.coalesce(here, F.lit("")))
+    spark = paths.sparkSession
+    open_, rounds = paths.withColumn("template", F.array().cast("array<string>")), []
+    while True:
+        # Where a node's paths part: the common beginning of the least and the greatest of what is left of them.
+        left = F.slice("segments", F.size("template") + 1, F.size("segments"))
+        tree = open_.withColumn("left", left)
+        ends = tree.groupBy("host", "template").agg(F.min("left").alias("low"), F.max("left").alias("high"))
+        longest = F.least(F.size("low"), F.size("high"))
+        same = F.filter(F.sequence(F.lit(0), longest), lambda i: (i == longest) | (F.get("low", i) != F.get("high", i)))
+        steps = ends.select("host", "template", F.element_at(same, 1).alias("step"))
+        tree = tree.join(steps, ["host", "template"]).withColumn("template", F.concat("template", F.slice("left", F.lit(1), F.col("step"))))
+        tree = tree.withColumn("seg", F.coalesce(F.get("left", F.col("step")), F.lit(""))).drop("left", "step")
         sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
         nodes = tree.groupBy("host", "template", "seg").agg(*sums)
         parents = nodes.groupBy("host", "template").agg(
@@ -95,23 +103,26 @@ def templates(
         rare = (F.col("p_children") > many) & (F.col("n") < share * F.col("p_n")) & (
             (F.col("labelled") < prior) | (apart <= z * spread)
         )
-        alike = (F.col("labelled") > 0) & (F.col("p_children") > 1) & (apart < z * spread)
+        # At a share of 0 or 1 there is no spread, and equal shares are alike.
+        alike = (F.col("labelled") > 0) & (F.col("p_children") > 1) & (apart <= z * spread)
         becomes = F.when(F.col("seg") == "", F.col("seg")).when(
             rare | F.coalesce(alike, F.lit(False)), F.lit("*")
         ).otherwise(F.col("seg"))
         chosen = nodes.join(parents, ["host", "template"]).select("host", "template", "seg", becomes.alias("_to"))
         tree = tree.join(chosen, ["host", "template", "seg"]).withColumn(
             "template", F.when(F.col("_to") == "", F.col("template")).otherwise(F.concat("template", F.array("_to")))
-        ).drop("_to", "seg")
-        tree.write.parquet(f"{folder}/level{level}")
-        written = paths.sparkSession.read.schema(tree.schema)
-        tree = written.parquet(f"{folder}/level{level}").where(F.size("segments") > level)
-
-    # A path has its template at the level where it ends.
-    each = [(level, written.parquet(f"{folder}/level{level}")) for level in range(longest + 1)]
-    tree = reduce(DataFrame.unionByName, [t.where(F.size("segments") == level) for level, t in each])
+        ).withColumn("done", F.col("_to") == "").drop("_to", "seg")
+        path = f"{folder}/round{len(rounds)}"
+        tree.write.parquet(path)
+        rounds.append(spark.read.schema(tree.schema).parquet(path))
+        open_ = rounds[-1].where("not done").select(*open_.columns)
+        if open_.isEmpty():
+            break
+
+    # A path has its template in the round in which it ends.
+    tree = reduce(DataFrame.unionByName, [t.where("done") for t in rounds])
     tree.write.parquet(f"{folder}/tree")
-    tree = written.parquet(f"{folder}/tree")
+    tree = spark.read.schema(tree.schema).parquet(f"{folder}/tree")
     own = tree.groupBy("host", "template").agg(F.sum("labelled").alias("t_labelled"), F.sum("blocked").alias("t_blocked"))
     shared = tree.groupBy("template").agg(F.sum("labelled").alias("g_labelled"), F.sum("blocked").alias("g_blocked"))
     whole = tree.agg(((F.sum("blocked") + 1) / (F.sum("labelled") + 2)).alias("base"))

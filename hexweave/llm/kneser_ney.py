@@ -20,6 +20,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,6 +103,14 @@ def _mixed(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _coded(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct numbers in the order they come, one place of each, and the number of each one's; by hash, without a sort."""
+    which, distinct = pd.factorize(numbers)
+    at = np.empty(len(distinct), np.int64)
+    at[which[::-1]] = np.arange(len(numbers) - 1, -1, -1)
+    return distinct, at, which
+
+
 def _distinct(texts: pa.Array, classes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Mixed number, context, symbol and count of the distinct n-grams of some texts."""
     symbols, offsets = _characters(texts)
@@ -109,8 +118,8 @@ def _distinct(texts: pa.Array, classes: np.ndarray | None) -> tuple[np.ndarray,
         symbols = classes[np.minimum(symbols, LIMIT)]
     bits, start = (BITS, START) if classes is None else (SYMBOLS.bit_length() - 1, LINE)
     context = _contexts(symbols, offsets, bits, start)
-    mixed, at, times = np.unique(_mixed(context, symbols), return_index=True, return_counts=True)
-    return mixed, context[at], symbols[at].astype(np.int32), times
+    mixed, at, which = _coded(_mixed(context, symbols))
+    return mixed, context[at], symbols[at].astype(np.int32), np.bincount(which, minlength=len(at))
 
 
 def count_grams(docs: DataFrame, classes: np.ndarray | None = None) -> DataFrame:
@@ -233,7 +242,7 @@ def entropies(docs: DataFrame, grams: list[DataFrame], contexts: list[DataFrame]
         for batch in slices(iter(rows.to_batches()), text):
             new = _distinct(batch.column(text), None)[:3]
             mixed, context, symbol = (np.concatenate([x, y]) for x, y in zip(known, new, strict=True))
-            mixed, at = np.unique(mixed, return_index=True)
+            mixed, at, _ = _coded(mixed)
             known = [mixed, context[at], symbol[at]]
         number = np.full(len(known[0]), rows.column("part")[0].as_py())
         return pa.table([pa.array(number, pa.int64()), pa.array(known[1]), pa.array(known[2])], names=["part", "context", "symbol"])
@@ -245,7 +254,7 @@ def entropies(docs: DataFrame, grams: list[DataFrame], contexts: list[DataFrame]
         out = []
         for batch in slices(iter(rows.to_batches()), text):
             symbols, offsets = _characters(batch.column(text))
-            own, which = np.unique(_mixed(_contexts(symbols, offsets, BITS, START), symbols), return_inverse=True)
+            own, _, which = _coded(_mixed(_contexts(symbols, offsets, BITS, START), symbols))
             sizes = np.diff(offsets)
             some = sizes > 0
             sums = np.zeros(len(sizes))

@@ -6,6 +6,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,15 +208,58 @@ def removed(rows):
     return out
 
 
-@pytest.mark.parametrize("part", [3000, 4 << 20])
-def test_suffix_dedup(docs, rows, nothing, monkeypatch, part):
+@pytest.mark.parametrize("part, hot", [(3000, 400), (3000, 1 << 20), (4 << 20, 400)])
+def test_suffix_dedup(docs, rows, nothing, monkeypatch, part, hot):
     for name in ("PART_BYTES", "SORT_SHARD_BYTES", "ANCHOR_SHARD_BYTES"):
         monkeypatch.setattr(suffixes, name, part)
+    monkeypatch.setattr(suffixes, "HOT_BYTES", hot)
     got = [(*r[:5], bytes(r[5])) for r in suffixes.suffix_dedup(docs).collect()]
     same(got, removed(rows))
     assert suffixes.suffix_dedup(nothing).collect() == []
 
 
+@pytest.mark.parametrize("phrase", [20, 40, 60])
+def test_a_frequent_phrase_is_spread(spark, monkeypatch, phrase):
+    """A phrase in every document between different words, NULL ids among them; no shard holds all of it."""
+    rng = np.random.default_rng(phrase)
+    letters = np.array([*"abcdefghijklmnopqrstuvwxyz    "])
+    common = "".join(rng.choice(letters, phrase))
+    rows = []
+    for i in range(1200):
+        a, b = ("".join(rng.choice(letters, rng.integers(60, 120))) for _ in range(2))
+        rows.append((None if i % 3 == 0 else i, f"{a}{common}{b}"))
+    rows += [(2000 + i, rows[i][1][20:150]) for i in range(0, 60)]
+    size = sum(len(r[1]) for r in rows)
+    monkeypatch.setattr(suffixes, "PART_BYTES", size // 40)
+    monkeypatch.setattr(suffixes, "ANCHOR_SHARD_BYTES", size // 10)
+    monkeypatch.setattr(suffixes, "SORT_SHARD_BYTES", size // 20)
+    monkeypatch.setattr(suffixes, "HOT_BYTES", size // 40)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    same([(*r[:5], bytes(r[5])) for r in suffixes.suffix_dedup(df).collect()], removed(rows))
+    parts = df.selectExpr(f"pmod(xxhash64(doc_id, text), {40}) part").groupBy("part").count().agg(F.max("count")).first()[0]
+    assert parts < 2 * len(rows) / 40
+
+    tables = []
+    for k in range(40):
+        mine = rows[k::40]
+        tables.append(pa.table({
+            "doc_id": pa.array([r[0] for r in mine], pa.int64()), "text": [r[1] for r in mine], "part": pa.array([k] * len(mine), pa.int64()),
+        }))
+    sent = pa.concat_tables([suffixes._send_anchors(t, 1) for t in tables])
+
+    def largest(hot):
+        """Bytes sent to the fullest of 20 shards, over their mean."""
+        bits, held = suffixes._return_bits(sent, hot), Counter()
+        for k, t in enumerate(tables):
+            out = suffixes._send_segments(t, bits.filter(pc.equal(bits.column("part"), k)), 1, 20)
+            for shard, cols in zip(out.column("key").to_pylist(), out.column("cols").to_pylist(), strict=True):
+                if len(cols) == 6:
+                    held[shard] += len(suffixes._loosen(cols[5], np.uint8))
+        return max(held.values()) / (sum(held.values()) / 20)
+
+    assert largest(size // 40) < 2 < largest(size)
+
+
 @pytest.mark.parametrize("letters", [b"a", b"ab", b"abcd", bytes(range(256))])
 def test_two_stage_order(letters):
     rng = np.random.default_rng(len(letters))
@@ -248,7 +293,6 @@ def test_pieces(docs, rows, nothing):
 def test_pieces_of_odd_texts():
     import random
 
-    import pyarrow as pa
     import sentencepiece
 
     path = tokenizer("piece_bpe_32k.model")

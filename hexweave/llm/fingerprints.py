@@ -10,10 +10,12 @@ A vector has three parts:
   hash is 0 modulo 8, so it has eight words on average, and a word put in changes the runs at its place only;
 * ``whole``: 8 lanes modulo 2**32 hashed from the paragraph. Documents with the same paragraphs in any
   order have equal lanes, others differ but for a chance of about 2**-120;
-* ``parts``: 24 strata of 16 lanes modulo 2**8. Each run adds a hashed value to one lane of one stratum; a
-  stratum gets half as many runs as the one before, so the last gets one run in 8 million. Subtracting
-  two fingerprints cancels the shared runs, so the lanes that do not cancel tell how many runs differ
-  (linear counting on the strata that are not full): likeness is 1 - differing / all runs.
+* ``parts``: 24 strata of 16 lanes modulo 2**32. Each run adds 1 to the low 24 bits and a hashed value above
+  them to one lane of one stratum; a stratum gets half as many runs as the one before, so the last gets
+  one run in 8 million. Subtracting two fingerprints cancels the shared runs, each as often as both have it.
+  The lanes that do not cancel tell how many different runs are left (linear counting on the strata that
+  are not full), and their low bits how often those are found: likeness is 1 - differing / all runs, both
+  counted with repeats, and never more than the difference in ``mass`` allows.
 
 All of it is DataFrame code; a fingerprint is made inside the row in time linear in the text.
 """
@@ -32,7 +34,8 @@ RUN = 8
 WHOLE = 8
 STRATA = 24
 LANES = 16
-LANE_BITS = 8
+LANE_BITS = 32
+COUNT_BITS = 24
 FULL = 0.75
 BUCKET_ROWS = 20_000
 CUTS = 256
@@ -83,7 +86,8 @@ def fingerprint(text: Column) -> Column:
             keyed = F.transform(
                 runs, lambda h: F.struct(
                     stratum(h).alias("s"), _mask(F.shiftrightunsigned(h, STRATA), int(math.log2(LANES))).cast("int").alias("l"),
-                    _mask(F.shiftrightunsigned(h, 32), LANE_BITS).bitwiseOR(F.lit(1).cast("long")).alias("v"),
+                    F.shiftleft(_mask(F.shiftrightunsigned(h, 32), LANE_BITS - COUNT_BITS), COUNT_BITS)
+                    .bitwiseOR(F.lit((1 << COUNT_BITS) + 1).cast("long")).alias("v"),
                 ),
             )
 
@@ -126,43 +130,88 @@ def combine(a: Column, b: Column, remove: bool = False) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of runs that two fingerprints have in common, 0 to 1; two empty ones are alike."""
+    """Share of runs, with their repeats, that two fingerprints have in common, 0 to 1; two empty ones are alike.
+
+    Where few runs differ each has a lane, and the counts are exact but for lanes in which runs of both sides meet:
+    such a lane counts the difference of the two, or two runs if that is 0.
+    """
+    half, around = 1 << COUNT_BITS - 1, 1 << COUNT_BITS
+
+    def times(x: Column) -> Column:
+        low = _mask(x, COUNT_BITS)
+        n = F.least(low, around - low)
+        return F.when(x == 0, F.lit(0)).when(low == half, F.lit(half)).otherwise(F.when(n == 0, F.lit(2)).otherwise(n)).cast("double")
+
     def from_difference(d: Column) -> Column:
-        apart = F.transform(
-            F.sequence(F.lit(0), F.lit(STRATA - 1)),
-            lambda s: F.size(F.filter(F.slice(d, s * LANES + 1, F.lit(LANES)), lambda x: x != 0)),
-        )
+        def of_stratum(s: Column) -> Column:
+            def counted(mine: Column) -> Column:
+                return F.struct(
+                    F.size(F.filter(mine, lambda x: x != 0)).alias("k"),
+                    F.aggregate(mine, F.lit(0.0), lambda t, x: t + times(x)).alias("w"),
+                )
 
-        def estimate(k: Column) -> Column:
+            return let(F.slice(d, s * LANES + 1, F.lit(LANES)), counted)
+
+        def estimate(strata: Column) -> Column:
             # From the first stratum that is not too full on, all strata are used.
             fullest = F.coalesce(
-                F.array_max(F.transform(k, lambda x, s: F.when((x > FULL * LANES), s).otherwise(F.lit(-1)))), F.lit(-1)
+                F.array_max(F.transform(strata, lambda x, s: F.when(x["k"] > FULL * LANES, s).otherwise(F.lit(-1)))), F.lit(-1)
             )
 
             def total(first: Column) -> Column:
-                counts = F.transform(
-                    k, lambda x, s: F.when(s >= first, -LANES * F.log(1 - F.least(x, F.lit(LANES - 1)) / LANES)).otherwise(0.0)
+                used = F.filter(strata, lambda x, s: s >= first)
+                different = F.aggregate(
+                    used, F.lit(0.0), lambda t, x: t - LANES * F.log(1 - F.least(x["k"], F.lit(LANES - 1)) / LANES)
                 )
-                return F.aggregate(counts, F.lit(0.0), lambda t, x: t + x) * F.pow(F.lit(2.0), first)
+                repeated = F.aggregate(used, F.lit(0.0), lambda t, x: t + x["w"])
+                return F.greatest(different, repeated) * F.pow(F.lit(2.0), first)
 
             return let(F.least(fullest + 1, F.lit(STRATA - 1)), total)
 
-        return let(apart, estimate)
+        return let(F.transform(F.sequence(F.lit(0), F.lit(STRATA - 1)), of_stratum), estimate)
 
-    differing = let(F.zip_with(a["parts"], b["parts"], lambda x, y: x - y), from_difference)
+    differing = let(F.zip_with(a["parts"], b["parts"], lambda x, y: _mask(x - y, LANE_BITS)), from_difference)
     both = a["mass"] + b["mass"]
+    differing = F.greatest(differing, F.abs(a["mass"] - b["mass"]).cast("double"))
     share = F.when(both > 0, 1 - differing / both).otherwise(1.0)
     same = (a["whole"] == b["whole"]) & (a["parts"] == b["parts"]) & (a["mass"] == b["mass"])
     return F.when(same, 1.0).otherwise(F.round(F.greatest(F.least(share, F.lit(1.0)), F.lit(0.0)), 6))
 
 
+def _trimmed(parts: Column) -> Column:
+    """Without the zeros at the end: short texts reach the first strata only."""
+    return F.slice(parts, F.lit(1), F.array_max(F.transform(parts, lambda x, i: F.when(x != 0, i + 1).otherwise(F.lit(0)))))
+
+
+def packed(f: Column) -> Column:
+    """A fingerprint with two lanes to a number, for the exchange; `unpacked` undoes it."""
+    def pairs(t: Column) -> Column:
+        def pair(i: Column) -> Column:
+            return F.get(t, 2 * i).bitwiseOR(F.shiftleft(F.coalesce(F.get(t, 2 * i + 1), F.lit(0).cast("long")), 32))
+
+        n = F.ceil(F.size(t) / 2).cast("int")
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), pair)).otherwise(F.array().cast("array<long>"))
+
+    return F.struct(f["mass"].alias("mass"), f["whole"].alias("whole"), let(_trimmed(f["parts"]), pairs).alias("pairs"))
+
+
+def unpacked(f: Column) -> Column:
+    def lane(i: Column) -> Column:
+        both = F.coalesce(F.get(f["pairs"], F.floor(i / 2).cast("int")), F.lit(0).cast("long"))
+        return _mask(F.when(i % 2 == 0, both).otherwise(F.shiftrightunsigned(both, 32)), 32)
+
+    parts = F.transform(F.sequence(F.lit(0), F.lit(STRATA * LANES - 1)), lane)
+    return F.struct(f["mass"].alias("mass"), f["whole"].alias("whole"), parts.alias("parts"))
+
+
 def spelled(f: Column) -> Column:
-    """Text of a fingerprint: mass and whole in hexadecimal, parts in base 64."""
+    """Text of a fingerprint: mass and whole in hexadecimal, the hashed sums of the parts, without their counts, in base 64."""
     def digits(lanes: Column, width: int) -> Column:
         return F.array_join(F.transform(lanes, lambda x: F.lpad(F.hex(x), width, "0")), "")
 
+    sums = F.transform(f["parts"], lambda x: F.shiftrightunsigned(x, COUNT_BITS))
     exact = F.lower(F.concat(digits(F.array(f["mass"]), 8), digits(f["whole"], 8)))
-    return F.concat(exact, F.translate(F.base64(F.unhex(digits(f["parts"], LANE_BITS // 4))), "\r\n", ""))
+    return F.concat(exact, F.translate(F.base64(F.unhex(digits(sums, (LANE_BITS - COUNT_BITS) // 4))), "\r\n", ""))
 
 
 def _id_ranges(ids: DataFrame) -> Column:
@@ -216,12 +265,14 @@ def with_edits(docs: DataFrame) -> DataFrame:
     gives an empty result. Other columns of ``docs`` are ignored.
     """
     docs = pick(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    rows = _with_next(docs, ["text", "print"], lambda df: df.withColumn("print", fingerprint(F.col("text"))))
+    rows = _with_next(docs, ["text", "print"], lambda df: df.withColumn("print", packed(fingerprint(F.col("text")))))
+    rows = rows.select("doc_id", "text", "next.text", "print", "next.print").toDF("doc_id", "text", "next_text", "print", "next_print")
+    rows = rows.withColumns({c: let(F.col(c), unpacked) for c in ("print", "next_print")})
     n = F.char_length("text")
     cut = F.floor(n / 3).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring(F.col("next.text"), F.lit(1), cut))
+    edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
     rows = rows.withColumn("edited", edited).withColumn("edited_print", fingerprint(F.col("edited")))
     return rows.select(
         "doc_id", "text", "edited", "print", "edited_print", likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
-        likeness(F.col("print"), F.col("next.print")).alias("near_next"),
+        likeness(F.col("print"), F.col("next_print")).alias("near_next"),
     )

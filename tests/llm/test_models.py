@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -73,6 +74,50 @@ def test_likeness_of_long_texts(spark):
     assert r["apart"] < 0.4 and r["front"] > 0.99
 
 
+def runs_of(spark, texts):
+    """Counter of the runs of each text."""
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    lines = df.select("i", F.explode(F.split("text", "\n", -1)).alias("line")).where("line <> ''")
+    found = [Counter() for _ in texts]
+    for i, runs in lines.select("i", fp._runs(F.col("line"))).collect():
+        found[i].update(runs)
+    return found
+
+
+def test_likeness_against_multisets(spark):
+    """Repeats count: against the shared share of the multisets of runs."""
+    rng = random.Random(31)
+
+    def line(n=12):
+        return " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(n))
+
+    a, b, c = line(), line(), line()
+    menu = [line(6) for _ in range(8)]
+    prose = [line(40) for _ in range(300)]
+    pairs = [
+        ("\n".join([a] * 256), ""), ("\n".join([a] * 1000), "\n".join([b] * 1000)), ("\n".join([a] * 10_000), "\n".join([b] * 10_000)),
+        ("\n".join([a] * 600 + [c] * 400), "\n".join([a] * 400 + [b] * 600)), ("\n".join(menu * 50 + prose[:20]), "\n".join(menu * 50 + prose[20:40])),
+        ("\n".join(menu * 50 + prose[:20]), "\n".join(menu * 10 + prose[:20])), ("\n".join(prose), "\n".join(prose[:200] + prose[:100])),
+        ("\n".join(prose[:150]), "\n".join(prose[150:])), ("\n".join([a] * 65_536), "\n".join([b] * 3)), (a, a), ("", ""),
+    ]
+    sets = runs_of(spark, [t for p in pairs for t in p])
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    got = df.select("i", fp.likeness(fp.fingerprint(F.col("a")), fp.fingerprint(F.col("b"))))
+    for i, like in got.collect():
+        x, y = sets[2 * i], sets[2 * i + 1]
+        total = x.total() + y.total()
+        want = 1 - ((x - y).total() + (y - x).total()) / total if total else 1.0
+        assert abs(like - want) <= 0.1, (i, like, want)
+        if i < 3:
+            assert like == 0
+
+
+def test_packed_fingerprints(spark, docs):
+    f = fp.fingerprint(F.col("text"))
+    df = docs.select(f.alias("f"), fp.packed(f).alias("p")).select("f", fp.unpacked(F.col("p")).alias("g"))
+    assert df.count() and df.where(~F.col("f").eqNullSafe(F.col("g"))).count() == 0
+
+
 def brute_kneser_ney(texts, order=kneser_ney.ORDER):
     """Probability function by the textbook recursion, from dictionaries."""
     classes = kneser_ney._classes()

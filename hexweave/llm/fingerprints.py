@@ -265,7 +265,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
     gives an empty result. Other columns of ``docs`` are ignored.
     """
     docs = pick(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    rows = _with_next(docs, ["text", "print"], lambda df: df.withColumn("print", packed(fingerprint(F.col("text")))))
+    rows = _with_next(docs, ["text", "print"], lambda df: df.withColumn("print", let(fingerprint(F.col("text")), packed)))
     rows = rows.select("doc_id", "text", "next.text", "print", "next.print").toDF("doc_id", "text", "next_text", "print", "next_print")
     rows = rows.withColumns({c: let(F.col(c), unpacked) for c in ("print", "next_print")})
     n = F.char_length("text")

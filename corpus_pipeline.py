@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hexweave.llm import packing, private_data
+from hexweave.llm.common import pick
 from hexweave.llm.kneser_ney import classify
 from hexweave.llm.line_dedup import line_dedup
 from hexweave.llm.near_dedup import near_dedup
@@ -39,20 +40,20 @@ def stage(f: Stage) -> Stage:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the Kneser-Ney classifier keeps."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return classify(docs, labels).where("kept").select(*docs.columns)
+    return pick(classify(docs, labels).where("kept"), *docs.columns)
 
 
 @stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their site's boilerplate lines; all of them stay."""
-    return counted(line_dedup(docs).select(*docs.columns))
+    return counted(pick(line_dedup(docs), *docs.columns))
 
 
 @stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id."""
     dropped = near_dedup(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return pick(docs.join(dropped, "doc_id", "left_anti"), *docs.columns)
 
 
 @stage
@@ -74,7 +75,7 @@ def counted(docs: DataFrame) -> DataFrame:
     if "n_chars" not in docs.columns:
         return docs
     n = F.char_length("text").cast("long")
-    return docs.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(n)).select(*docs.columns)
+    return pick(docs.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(n)), *docs.columns)
 
 
 STAGES = [

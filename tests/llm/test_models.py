@@ -234,6 +234,13 @@ def test_pipeline_stages(spark, sf):
     assert packed.select("doc_id").distinct().count() == n[4]
 
 
+def test_stages_with_a_dotted_column(spark):
+    docs = spark.createDataFrame([(i, f"text {i}\nof its own", "en", "a", 20, i) for i in range(3)], "doc_id long, text string, lang string, source string, n_chars long, `x.y` int")
+    for apply in (corpus_pipeline.lines, corpus_pipeline.near_duplicates):
+        out = apply(spark, docs, "")
+        assert out.columns == docs.columns and sorted(r["x.y"] for r in out.collect()) == [0, 1, 2]
+
+
 def test_pipeline_on_an_empty_table(spark, sf, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{sf}/{name}.parquet").where("false").write.parquet(str(tmp_path / f"{name}.parquet"))

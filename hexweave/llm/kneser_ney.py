@@ -16,7 +16,6 @@ trusted documents of that language, times a margin.
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +29,10 @@ from hexweave.llm.common import pick
 from hexweave.llm.subwords import raw, slices
 from hexweave.session import fresh_dir, materialize
 
-SYMBOLS = 64
 ORDER = 4
 TRUSTED = 1_000_000
 QUANTILE = 0.99
 MARGIN = 1.15
-LIMIT = 0x250
 BITS = 21  # of a character's code point
 PART_BYTES = 16 << 20
 START = ord("\n")
@@ -43,38 +40,6 @@ START = ord("\n")
 _rng = np.random.default_rng(20240307)
 ODD = _rng.integers(1, 2**62, 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-OTHER, BLANK, LINE, DIGIT, MARK = 0, 1, 2, 3, 4
-PUNCTUATION = ".,;:!?'"
-
-
-def _classes() -> np.ndarray:
-    """Symbol of every character below `LIMIT`, and of all others at `LIMIT`.
-
-    Letters without their accents, upper and lower case apart; digits, other marks and blanks are one
-    symbol each, some punctuation has its own.
-    """
-    out = np.full(LIMIT + 1, OTHER, np.uint8)
-    for i in range(LIMIT):
-        c = chr(i)
-        base = unicodedata.normalize("NFKD", c)[0]
-        if c == "ß":
-            base = "s"
-        if "a" <= base <= "z":
-            out[i] = 12 + ord(base) - ord("a")
-        elif "A" <= base <= "Z":
-            out[i] = 38 + ord(base) - ord("A")
-        elif c in PUNCTUATION:
-            out[i] = 5 + PUNCTUATION.index(c)
-        elif c.isdigit():
-            out[i] = DIGIT
-        elif c in "\n\r":
-            out[i] = LINE
-        elif c.isspace():
-            out[i] = BLANK
-        elif not c.isalpha():
-            out[i] = MARK
-    return out
-
 
 def _characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts one after the other, and the offsets of each."""
@@ -84,15 +49,15 @@ def _characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return points, first[at]
 
 
-def _contexts(symbols: np.ndarray, offsets: np.ndarray, bits: int, start: int) -> np.ndarray:
-    """The symbols before each one, as one number; texts start after ``start``."""
+def _contexts(symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The symbols before each one, as one number; texts start after `START`."""
     pad = ORDER - 1
-    padded = np.full(len(symbols) + pad * (len(offsets) - 1), start, np.int64)
+    padded = np.full(len(symbols) + pad * (len(offsets) - 1), START, np.int64)
     where = np.repeat(pad * np.arange(1, len(offsets)), np.diff(offsets)) + np.arange(len(symbols))
     padded[where] = symbols
     context = np.zeros(len(symbols), np.int64)
     for back in range(pad, 0, -1):
-        context = context << bits | padded[where - back]
+        context = context << BITS | padded[where - back]
     return context
 
 
@@ -111,22 +76,19 @@ def _coded(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return distinct, at, which
 
 
-def _distinct(texts: pa.Array, classes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _distinct(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Mixed number, context, symbol and count of the distinct n-grams of some texts."""
     symbols, offsets = _characters(texts)
-    if classes is not None:
-        symbols = classes[np.minimum(symbols, LIMIT)]
-    bits, start = (BITS, START) if classes is None else (SYMBOLS.bit_length() - 1, LINE)
-    context = _contexts(symbols, offsets, bits, start)
+    context = _contexts(symbols, offsets)
     mixed, at, which = _coded(_mixed(context, symbols))
     return mixed, context[at], symbols[at].astype(np.int32), np.bincount(which, minlength=len(at))
 
 
-def count_grams(docs: DataFrame, classes: np.ndarray | None = None) -> DataFrame:
-    """context, symbol and count over all texts, one row per n-gram; symbols are characters, or their classes."""
+def count_grams(docs: DataFrame) -> DataFrame:
+    """context, symbol and count over all texts, one row per n-gram."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            _, context, symbol, times = _distinct(batch.column("text"), classes)
+            _, context, symbol, times = _distinct(batch.column("text"))
             yield pa.RecordBatch.from_arrays([pa.array(context), pa.array(symbol), pa.array(times, pa.int64())], ["context", "symbol", "n"])
 
     rows = docs.select("text").mapInArrow(run, "context long, symbol int, n long")
@@ -144,8 +106,8 @@ def shares(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def discount(k: int) -> Column:
         d = k - (k + 1) * y * F.col(f"t{k + 1}") / F.nullif(F.col(f"t{k}"), F.lit(0.0))
-        # Small corpora can miss a count class; the classic absolute discount then stands in.
-        return F.when(d.between(0, k), d).otherwise(F.coalesce(y, F.lit(0.5)) * (1 if k == 1 else k / 2))
+        # Small corpora can miss a count class; the classic absolute discount then stands in. None is 0, so no weight is.
+        return F.when((d > 0) & (d <= k), d).otherwise(F.coalesce(F.nullif(y, F.lit(0.0)), F.lit(0.5)) * (1 if k == 1 else k / 2))
 
     d = times.select(F.struct(*[discount(k).alias(f"d{k}") for k in (1, 2, 3)]).alias("d"))
     rows = counts.withColumn("d", d.scalar())
@@ -157,27 +119,27 @@ def shares(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     ), contexts.select("context", (F.col("held") / F.col("total")).alias("weight"))
 
 
-def _low(order: int, bits: int) -> Column:
+def _low(order: int) -> Column:
     """The part of ``context`` that an order looks at."""
-    return F.col("context").bitwiseAND(F.lit((1 << bits * (order - 1)) - 1).cast("long"))
+    return F.col("context").bitwiseAND(F.lit((1 << BITS * (order - 1)) - 1).cast("long"))
 
 
-def levels(longest: DataFrame, bits: int, symbols: int | None = None) -> tuple[list[DataFrame], list[DataFrame], float]:
+def levels(longest: DataFrame) -> tuple[list[DataFrame], list[DataFrame], float]:
     """Of every order: its grams (context, symbol, p) and its contexts (context, weight); and what a symbol has below.
 
-    ``longest`` are the counts of `count_grams`. Each table is written once, sharded by gram. ``symbols`` is the
-    size of the alphabet, else the number of symbols seen and one for all others.
+    ``longest`` are the counts of `count_grams`. Each table is written once, sharded by gram. Below
+    the single symbols all are alike: the number of those seen, and one for all others.
     """
     spark, folder = longest.sparkSession, fresh_dir(longest.sparkSession, "grams")
     of_counts, of_grams, of_contexts = (f"context long, {x}" for x in ("symbol int, n long", "symbol int, p double", "weight double"))
     longest.write.parquet(f"{folder}/n{ORDER}")
     for order in range(ORDER - 1, 0, -1):  # how many symbols a gram of this order continues
         longer = spark.read.schema(of_counts).parquet(f"{folder}/n{order + 1}")
-        longer.groupBy(_low(order, bits).alias("context"), "symbol").agg(
+        longer.groupBy(_low(order).alias("context"), "symbol").agg(
             F.count(F.lit(1)).alias("n")
         ).write.parquet(f"{folder}/n{order}")
     grams, contexts = [], []
-    floor = 1 / (symbols or spark.read.schema(of_counts).parquet(f"{folder}/n1").count() + 1)
+    floor = 1 / (spark.read.schema(of_counts).parquet(f"{folder}/n1").count() + 1)
     for order in range(1, ORDER + 1):
         value, weight = shares(spark.read.schema(of_counts).parquet(f"{folder}/n{order}"))
         weight.write.parquet(f"{folder}/w{order}")
@@ -187,7 +149,7 @@ def levels(longest: DataFrame, bits: int, symbols: int | None = None) -> tuple[l
             below = F.lit(floor)
         else:
             shorter = grams[-1].select(F.col("context").alias("_low"), "symbol", F.col("p").alias("_p"))
-            rows, below = rows.withColumn("_low", _low(order - 1, bits)).join(shorter, ["_low", "symbol"]), F.col("_p")
+            rows, below = rows.withColumn("_low", _low(order - 1)).join(shorter, ["_low", "symbol"]), F.col("_p")
         rows.select("context", "symbol", (F.col("value") + F.col("weight") * below).alias("p")).write.parquet(f"{folder}/p{order}")
         grams.append(spark.read.schema(of_grams).parquet(f"{folder}/p{order}"))
     return grams, contexts, floor
@@ -200,7 +162,7 @@ def probabilities(wanted: DataFrame, grams: list[DataFrame], contexts: list[Data
     """
     p = F.lit(floor)
     for order, (gram, context) in enumerate(zip(grams, contexts, strict=True), 1):
-        wanted = wanted.withColumn("_low", _low(order, BITS))
+        wanted = wanted.withColumn("_low", _low(order))
         gram = gram.select(F.col("context").alias("_low"), "symbol", F.col("p").alias(f"_p{order}"))
         context = context.select(F.col("context").alias("_low"), F.col("weight").alias(f"_w{order}"))
         wanted = wanted.join(F.broadcast(gram) if order == 1 else gram, ["_low", "symbol"], "left")
@@ -209,22 +171,6 @@ def probabilities(wanted: DataFrame, grams: list[DataFrame], contexts: list[Data
     return wanted.select("context", "symbol", p.alias("p"))
 
 
-def model(trusted: DataFrame) -> np.ndarray:
-    """The model over the `SYMBOLS` classes as one array: log probability of every n-gram's last symbol.
-
-    It shows what the joins give, n-grams that were not seen included; no document is scored with it.
-    """
-    grams, contexts, _ = levels(count_grams(trusted, _classes()), SYMBOLS.bit_length() - 1, SYMBOLS)
-    table = np.full((1, SYMBOLS), 1 / SYMBOLS)
-    for order in range(1, ORDER + 1):
-        known, back = grams[order - 1].toArrow(), contexts[order - 1].toArrow()
-        weight = np.ones(SYMBOLS ** (order - 1))
-        weight[back.column("context").to_numpy()] = back.column("weight").to_numpy()
-        table = weight[:, None] * table[np.arange(len(weight)) % len(table)]
-        table[known.column("context").to_numpy(), known.column("symbol").to_numpy()] = known.column("p").to_numpy()
-    return np.log(np.maximum(table, 1e-7)).ravel()
-
-
 def entropies(docs: DataFrame, grams: list[DataFrame], contexts: list[DataFrame], floor: float) -> DataFrame:
     """``docs`` with columns c_0, c_1, ... and ``entropy``: the mean negative log probability of a text's characters.
 
@@ -240,7 +186,7 @@ def entropies(docs: DataFrame, grams: list[DataFrame], contexts: list[DataFrame]
     def ask(rows: pa.Table) -> pa.Table:
         known = [np.zeros(0, k) for k in (np.uint64, np.int64, np.int32)]
         for batch in slices(iter(rows.to_batches()), text):
-            new = _distinct(batch.column(text), None)[:3]
+            new = _distinct(batch.column(text))[:3]
             mixed, context, symbol = (np.concatenate([x, y]) for x, y in zip(known, new, strict=True))
             mixed, at, _ = _coded(mixed)
             known = [mixed, context[at], symbol[at]]
@@ -250,11 +196,11 @@ def entropies(docs: DataFrame, grams: list[DataFrame], contexts: list[DataFrame]
     def score(rows: pa.Table, values: pa.Table) -> pa.Table:
         mixed = _mixed(values.column("context").to_numpy(), values.column("symbol").to_numpy())
         order = np.argsort(mixed)
-        mixed, logs = mixed[order], np.log(np.maximum(values.column("p").to_numpy(), 1e-7))[order]
+        mixed, logs = mixed[order], np.log(values.column("p").to_numpy())[order]
         out = []
         for batch in slices(iter(rows.to_batches()), text):
             symbols, offsets = _characters(batch.column(text))
-            own, _, which = _coded(_mixed(_contexts(symbols, offsets, BITS, START), symbols))
+            own, _, which = _coded(_mixed(_contexts(symbols, offsets), symbols))
             sizes = np.diff(offsets)
             some = sizes > 0
             sums = np.zeros(len(sizes))
@@ -314,7 +260,7 @@ def classify(
     spark = docs.sparkSession
     docs = docs.drop("perplexity", "threshold", "kept")
     good = trusted_rows(docs, labels, trusted)
-    tables = levels(count_grams(good), BITS)
+    tables = levels(count_grams(good))
     folder = fresh_dir(spark, "thresholds")
     scored = entropies(good, *tables).select(F.col("c_2").alias("lang"), "entropy")
     thresholds(scored, quantile, margin).write.parquet(folder)

@@ -119,12 +119,8 @@ def test_packed_fingerprints(spark, docs):
 
 
 def brute_kneser_ney(texts, order=kneser_ney.ORDER):
-    """Probability function by the textbook recursion, from dictionaries."""
-    classes = kneser_ney._classes()
-    runs = []
-    for t in texts:
-        s = [int(classes[min(ord(c), kneser_ney.LIMIT)]) for c in t]
-        runs.append([kneser_ney.LINE] * (order - 1) + s)
+    """Probability function over code points by the textbook recursion, from dictionaries."""
+    runs = [[kneser_ney.START] * (order - 1) + [ord(c) for c in t] for t in texts]
     counts = {order: {}}
     for r in runs:
         for i in range(order - 1, len(r)):
@@ -141,36 +137,57 @@ def brute_kneser_ney(texts, order=kneser_ney.ORDER):
         d = []
         for k in (1, 2, 3):
             v = k - (k + 1) * y * t[k + 1] / t[k] if t[k] else None
-            d.append(v if v is not None and 0 <= v <= k else y * (1 if k == 1 else k / 2))
+            d.append(v if v is not None and 0 < v <= k else (y or 0.5) * (1 if k == 1 else k / 2))
         discounts[n] = d
         for g, v in c.items():
             total, held = contexts.get(g[:-1], (0, 0.0))
             contexts[g[:-1]] = (total + v, held + min(d[min(v, 3) - 1], v))
 
     def p(g):
-        lower = p(g[1:]) if len(g) > 1 else 1 / kneser_ney.SYMBOLS
+        lower = p(g[1:]) if len(g) > 1 else 1 / (len(counts[1]) + 1)
         if g[:-1] not in contexts:
             return lower
         total, held = contexts[g[:-1]]
         v = counts[len(g)].get(g, 0)
         return (v - min(discounts[len(g)][min(v, 3) - 1], v) if v else 0) / total + held / total * lower
 
-    return p, classes
+    return p
 
 
-def test_model_against_the_recursion(spark):
+LETTERS = {"few": "abca e.\nÉñ1", "many": "abc déя中文👍🏽\u0301 \n", "one": "a"}
+
+
+@pytest.mark.parametrize("letters", LETTERS)
+def test_entropies_against_the_recursion(spark, monkeypatch, letters):
+    """Probabilities from the joins, those of n-grams and characters never seen included, in one part and in many."""
     rng = random.Random(8)
-    texts = ["".join(rng.choice("abca e.\nÉñ1") for _ in range(rng.randint(1, 60))) for _ in range(40)]
-    table = kneser_ney.model(spark.createDataFrame([(t,) for t in texts], "text string"))
-    p, classes = brute_kneser_ney(texts)
-    for _ in range(300):
-        g = [int(classes[ord(rng.choice("abcxE e.\nÉñ1"))]) for _ in range(kneser_ney.ORDER)]
-        number = 0
-        for x in g:
-            number = number * kneser_ney.SYMBOLS + x
-        assert abs(float(table[number]) - np.log(max(p(tuple(g)), 1e-7))) < 0.01
-    sums = np.exp(table.astype(float)).reshape(-1, kneser_ney.SYMBOLS).sum(1)
-    assert np.allclose(sums, 1, atol=0.01)
+
+    def text(extra=""):
+        return "".join(rng.choice(LETTERS[letters] + extra) for _ in range(rng.randint(1, 60)))
+
+    trained = [text() for _ in range(40)] + ["", None]
+    p = brute_kneser_ney([t for t in trained if t])
+    tables = kneser_ney.levels(kneser_ney.count_grams(spark.createDataFrame([(t,) for t in trained], "text string")))
+    asked = [text("xя😀") for _ in range(60)] + trained + ["\n", "𝛼" * 30]
+    df = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+    for size in (kneser_ney.PART_BYTES, 200):
+        monkeypatch.setattr(kneser_ney, "PART_BYTES", size)
+        got = {r["c_0"]: r["entropy"] for r in kneser_ney.entropies(df, *tables).collect()}
+        assert len(got) == len(asked)
+        for i, t in enumerate(asked):
+            run = [kneser_ney.START] * (kneser_ney.ORDER - 1) + [ord(c) for c in t or ""]
+            logs = [np.log(p(tuple(run[k : k + kneser_ney.ORDER]))) for k in range(len(t or ""))]
+            assert got[i] is None if not t else abs(got[i] + np.mean(logs)) < 0.000501
+
+
+def test_probabilities_sum_to_one(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcd é") for _ in range(rng.randint(1, 80))) for _ in range(30)]
+    grams, contexts, floor = kneser_ney.levels(kneser_ney.count_grams(spark.createDataFrame([(t,) for t in texts], "text string")))
+    symbols = grams[0].select("symbol").unionByName(spark.createDataFrame([(ord("?"),)], "symbol int"))  # and one not seen
+    wanted = contexts[-1].select("context").join(F.broadcast(symbols))
+    sums = kneser_ney.probabilities(wanted, grams, contexts, floor).groupBy("context").agg(F.sum("p").alias("p")).collect()
+    assert len(sums) > 50 and all(abs(r["p"] - 1) < 1e-9 for r in sums)
 
 
 def test_other_scripts_are_told_apart(spark):

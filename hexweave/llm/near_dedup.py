@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,8 @@ PERCENT = 80
 ROWS = 5
 BANDS = 32
 T = ROWS * BANDS
-BLOCK = 2000
+BLOCK = 2000  # sets compared at once, at most about that many,
+BLOCK_SHINGLES = 4_000_000  # and about that many shingles in them
 MAX = np.iinfo(np.uint64).max
 
 _ODD = np.random.default_rng(7).integers(1, 2**62, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -262,7 +264,7 @@ def components(links: DataFrame, folder: str) -> DataFrame:
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "0"
     )
     state = None
-    for turn in range(1, 100):
+    for turn in count(1):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -284,8 +286,9 @@ def _write(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _blocks(n: str) -> Column:
-    return F.ceil(F.col(n) / BLOCK).cast("int")
+def _blocks(n: Column, shingles: Column) -> Column:
+    """How many blocks so many sets take, by their number and their sizes."""
+    return F.ceil(F.greatest(n / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
 
 
 def near_dedup(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -309,20 +312,20 @@ def near_dedup(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     # One row per class and band; buckets of one set are dropped.
     standing = some.join(classes, (some["doc_id"] == classes["id"]) & (some["digest"] == classes["digest"]), "left_semi")
     standing = standing.dropDuplicates(["doc_id"]) if repeated else standing
-    bands = standing.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
+    bands = standing.select(F.col("doc_id").alias("id"), "n_shingles", F.explode("bands").alias("bucket"))
     hubs = bands.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = _write(bands.join(hubs, "bucket"), f"{folder}/members")
 
     # 1. Every set against the smallest id of each of its buckets.
-    pairs = members.where("id <> hub").select("hub", "id").distinct()
-    counts = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
+    pairs = members.where("id <> hub").select("hub", "id", "n_shingles").distinct()
+    counts = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
     everyone = members.select("id").distinct()
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(everyone, "id")
     sets = packed_sets(texts, width)
     if repeated:
         sets = sets.where(F.length("set") > 0).groupBy("id").agg(F.min(F.struct("digest", "set")).alias("s")).select("id", "s.*")
     sets = _write(sets.select("id", "set"), f"{folder}/sets")
-    blocks = counts.select("hub", _blocks("n").alias("blocks"))
+    blocks = counts.select("hub", _blocks(F.col("n"), F.col("shingles")).alias("blocks"))
     asked = pairs.join(blocks, "hub").select(
         "hub", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")
     ).unionByName(blocks.select(
@@ -338,14 +341,16 @@ def near_dedup(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     labels = components(first, f"{folder}/components1")
 
     # 2. Buckets that still hold several components.
-    labelled = members.select("bucket", "id").join(labels, "id", "left").select(
-        "bucket", "id", F.coalesce("label", "id").alias("label")
+    labelled = members.select("bucket", "id", "n_shingles").join(labels, "id", "left").select(
+        "bucket", "id", F.coalesce("label", "id").alias("label"), "n_shingles"
     )
-    sizes = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(
-        F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("labels")
+    each = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"))
+    sizes = each.groupBy("bucket").agg(
+        F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "label", "size")).alias("most"),
+        F.count(F.lit(1)).alias("labels"),
     ).where("labels > 1").select(
-        "bucket", F.col("most.label").alias("main"), _blocks("n").alias("yb"),
-        F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("xb"),
+        "bucket", F.col("most.label").alias("main"), _blocks(F.col("n"), F.col("size")).alias("yb"),
+        _blocks(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("xb"),
     )
     open_ = labelled.join(sizes, "bucket")
     place = F.xxhash64("id")

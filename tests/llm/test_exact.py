@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -57,7 +58,11 @@ def test_quality_rules(docs, rows, labels, nothing):
 # --- 2 ---
 
 
-def test_line_dedup(docs, rows, nothing):
+@pytest.mark.parametrize(("spare", "at_least"), [(False, 2), (True, 2), (False, 5)])
+def test_line_dedup(docs, rows, nothing, spare, at_least):
+    bare = [(900 + i, "Home | About\n\nAll rights", "en", "a", 24) for i in range(3)]
+    docs = docs.unionByName(docs.sparkSession.createDataFrame(bare, "doc_id long, text string, lang string, source string, n_chars long"), True)
+    rows = [*rows, *bare]
     pages, total = Counter(), Counter()
     for r in rows:
         total[r[3] or ""] += 1
@@ -67,18 +72,30 @@ def test_line_dedup(docs, rows, nothing):
         lines = (r[1] or "").split("\n")
         host = r[3] or ""
         worded = [x for x in lines if re.search(WORD, x)]
-        gone = {x for x in worded if pages[host, x] >= 5 and pages[host, x] > 0.05 * total[host]}
+        gone = {x for x in worded if pages[host, x] >= at_least and pages[host, x] > 0.05 * total[host]}
         kept = [x for x in lines if x not in gone]
         left = [x for x in kept if re.search(WORD, x)]
-        spare = not left or len(left) == len(worded)
-        want.append((r[0], len(worded), 0 if spare else len(worded) - len(left), r[1] if spare else "\n".join(kept)))
-    out = line_dedup(docs)
+        same_text = len(left) == len(worded) or (spare and not left)
+        want.append((r[0], len(worded), 0 if same_text else len(worded) - len(left), r[1] if same_text else "\n".join(kept)))
+    out = line_dedup(docs, min_pages=at_least, spare=spare)
     assert out.columns == [*docs.columns, "n_lines", "n_dropped"]
     same([tuple(r) for r in out.select("doc_id", "n_lines", "n_dropped", "text").collect()], want)
     assert sum(w[2] for w in want) > 50
+    assert [w[3] for w in want if w[0] == 901] == ["Home | About\n\nAll rights" if spare else ""]
     assert line_dedup(nothing).collect() == []
 
 
+def test_line_dedup_of_a_long_page(spark):
+    """Distinct lines and hits are found by hash: 200,000 lines take seconds."""
+    long = "\n".join(f"line {i}" for i in range(200_000))
+    data = [(i, t, "h") for i, t in enumerate([long, "top\nline 7\nend", "line 7\nown", "top"])]
+    start = time.monotonic()
+    out = {r["doc_id"]: r for r in line_dedup(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()}
+    assert time.monotonic() - start < 60
+    assert out[0]["n_lines"] == 200_000 and out[0]["n_dropped"] == 1 and "line 7\n" not in out[0]["text"]
+    assert [out[i]["text"] for i in (1, 2, 3)] == ["end", "own", ""]
+
+
 # --- 3 ---
 
 
@@ -160,9 +177,10 @@ def near_groups(rows, width):
     ]
 
 
-@pytest.mark.parametrize(("width", "block"), [(2, 2000), (2, 3), (5, 2000)])
-def test_near_dedup(docs, rows, nothing, monkeypatch, width, block):
+@pytest.mark.parametrize(("width", "block", "shingles"), [(2, 2000, 10**6), (2, 3, 10**6), (2, 2000, 150), (5, 2000, 10**6)])
+def test_near_dedup(docs, rows, nothing, monkeypatch, width, block, shingles):
     monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "BLOCK_SHINGLES", shingles)
     want = near_groups(rows, width)
     same([tuple(r) for r in near.near_dedup(docs, width=width).collect()], want)
     assert sum(not w[3] for w in want) > 5

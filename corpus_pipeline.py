@@ -45,8 +45,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their site's boilerplate lines; all of them stay."""
-    return counted(pick(line_dedup(docs), *docs.columns))
+    """Documents without their site's boilerplate lines; all stay, and whole copies are left to the next stage."""
+    return counted(pick(line_dedup(docs, spare=True), *docs.columns))
 
 
 @stage

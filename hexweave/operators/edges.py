@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from hexweave.functions.cells import as_column
 from hexweave.functions.geometry import bounds, over_segments, point_in_rings, rings_of
 from hexweave.operators.sizing import shuffle_width
-from hexweave.session import fresh_dir
+from hexweave.session import fresh_dir, materialize
 
 MOST = 24
+FEW = 32  # points of a square that are tested one by one
 MAX_LEVEL = 24
 ROUNDS = 3  # between two writes
 # Where a square's reference stands in it: no vertex shares its meridian or parallel, but for chance.
@@ -109,15 +110,20 @@ def _square(level: Column, bx: Column, by: Column, parity, edges: Column) -> Col
     )
 
 
-def _quarters(s: Column) -> Column:
-    """The four squares of a square that holds too much, or the square itself."""
+def _children(s: Column) -> Column:
+    """The four squares of a square."""
     def child(i: int, j: int) -> Column:
         return _square(
             s["level"] + 1, s["bx"] * 2 + i, s["by"] * 2 + j,
             lambda cx, cy: s["inside"] != parted(s["edges"], s["cx"], s["cy"], cx, cy), s["edges"],
         )
 
-    return F.when(_open(s), F.array(*[child(i, j) for i in (0, 1) for j in (0, 1)])).otherwise(F.array(s))
+    return F.array(*[child(i, j) for i in (0, 1) for j in (0, 1)])
+
+
+def _quarters(s: Column) -> Column:
+    """The four squares of a square that holds too much, or the square itself."""
+    return F.when(_open(s), _children(s)).otherwise(F.array(s))
 
 
 def _open(s: Column) -> Column:
@@ -185,6 +191,97 @@ def with_holders(points: DataFrame, index: EdgeIndex, x: str, y: str, out: str)
     return points
 
 
+# --- totals --------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Met:
+    """Shapes' squares met with the points of each level: by level, rows of (key, s, n, sums, closed)."""
+
+    levels: dict[int, DataFrame]
+    points: DataFrame
+    key: str
+    x: str
+    y: str
+    sums: list[str]
+
+    def located(self, points: DataFrame, level: int) -> DataFrame:
+        """Points with the square of a level they are in."""
+        return points.withColumn("_bx", column_of(F.col(self.x), F.lit(level))).withColumn("_by", row_of(F.col(self.y), F.lit(level)))
+
+    def within(self, level: int) -> DataFrame:
+        """Squares wholly inside their shape: its share of the points is their sums."""
+        return self.levels[level].where(F.size("s.edges") == 0)
+
+    def tested(self, level: int) -> DataFrame:
+        """Squares with edges and few points, which are tested one by one."""
+        rows = self.levels[level].where((F.size("s.edges") > 0) & F.col("closed")).select(self.key, "s")
+        # The rows are few bytes and much arithmetic, as in `lengths_inside`.
+        return rows.repartition(shuffle_width(rows.sparkSession), "s.bx", "s.by")
+
+
+def meet(points: DataFrame, index: EdgeIndex, x: str, y: str, sums: dict[str, Column | str]) -> Met:
+    """Go down from the squares of ``index`` until each is without edges, without points, or holds `FEW` of them at most.
+
+    So a shape costs the squares along its outline, however many points it holds, and points and shapes that overlap never
+    meet in pairs. One join per level with the points' count and sums by square; each level is written.
+    """
+    spark, folder, key = points.sparkSession, fresh_dir(points.sparkSession, "met"), index.key
+    names = list(sums)
+    points = materialize(points.select(x, y, *[as_column(c).alias(name) for name, c in sums.items()]), "points")
+    met, rest = Met({}, points, key, x, y, names), None
+    last = max(index.levels, default=-1)
+    for level in range(min(index.levels, default=0), MAX_LEVEL + 1):
+        rows = rest
+        if level in index.levels:
+            own = index.squares.where(F.col("level") == level).select(key, F.struct(*[c for c in index.squares.columns if c != key]).alias("s"))
+            rows = own if rest is None else rest.unionByName(own)
+        if rows is None:
+            continue
+        here = met.located(points, level).groupBy("_bx", "_by").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in names])
+        here = materialize(here.dropna(subset=["_bx", "_by"]), "counts")
+        closed = (F.col("n") <= FEW) | F.lit(level == MAX_LEVEL)
+        found = rows.join(here, (F.col("s.bx") == F.col("_bx")) & (F.col("s.by") == F.col("_by"))).select(
+            key, "s", "n", *names, closed.alias("closed")
+        )
+        found.write.parquet(f"{folder}/level{level}")
+        met.levels[level] = spark.read.schema(found.schema).parquet(f"{folder}/level{level}")
+        far = met.levels[level].where((F.size("s.edges") > 0) & ~F.col("closed"))
+        rest = None
+        if not far.isEmpty():
+            far = far.repartition(shuffle_width(spark), key, "s.bx", "s.by").select(key, F.explode(_children(F.col("s"))).alias("s"))
+            rest = far.where(F.col("s.inside") | (F.size("s.edges") > 0))
+        elif level >= last:
+            break
+    return met
+
+
+def totals(met: Met) -> DataFrame:
+    """Per shape that holds a point: n, the number of its points, and their sums."""
+    out = None
+    for level in met.levels:
+        own = met.located(met.points, level)
+        inside = (F.col("s.bx") == F.col("_bx")) & (F.col("s.by") == F.col("_by")) & inside_square(F.col("s"), F.col(met.x), F.col(met.y))
+        single = met.tested(level).join(own, inside).select(met.key, F.lit(1).cast("bigint").alias("n"), *met.sums)
+        both = met.within(level).select(met.key, "n", *met.sums).unionByName(single)
+        out = both if out is None else out.unionByName(both)
+    return out.groupBy(met.key).agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in met.sums])
+
+
+def outside_all(met: Met) -> DataFrame:
+    """Points that lie in no shape, those without coordinates among them."""
+    rest, columns = met.points, met.points.columns
+    at = ["_bx", "_by"]
+    for level in met.levels:
+        covered = met.within(level).select(F.col("s.bx").alias("_bx"), F.col("s.by").alias("_by")).distinct()
+        rest = met.located(rest, level).join(covered, at, "left_anti").select(*columns)
+    rest = materialize(rest, "rest")
+    for level in met.levels:
+        inside = (F.col("s.bx") == F.col("_bx")) & (F.col("s.by") == F.col("_by")) & inside_square(F.col("s"), F.col(met.x), F.col(met.y))
+        rest = met.located(rest, level).join(met.tested(level).select("s"), inside, "left_anti").select(*columns)
+    return rest
+
+
 # --- segments ------------------------------------------------------------------------
 
 

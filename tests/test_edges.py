@@ -94,3 +94,26 @@ def test_a_region_of_a_hundred_thousand_vertices(spark):
         if (x < at).sum() % 2:
             want.add(i)
     assert got == want
+
+
+def test_totals_make_no_pairs(spark):
+    """Counts and sums equal those of the pairs, though points inside a shape are counted by square and few are tested."""
+    rng = random.Random(7)
+    rows = [(i, rng.uniform(-60, 60), rng.uniform(-40, 40)) for i in range(12000)] + [(-1, None, 3.0), (-2, 10.0, 10.0), (-2, 10.0, 10.0)]
+    points = spark.createDataFrame(rows, "pid long, x double, y double").repartition(4)
+    shapes = []
+    for i in range(120):
+        w, s, d = rng.uniform(-60, 20), rng.uniform(-40, 10), rng.uniform(5, 30)
+        shapes.append((None if i == 5 else i % 119, [(w, s), (w + d, s), (w + d, s + d), (w, s + d), (w, s)]))
+    polygons = spark.createDataFrame(shapes, "id int, ring array<struct<x double, y double>>")
+    pairs = ln.points_in_polygons(points, polygons, "id")
+    want = {r.id: (r.n, r.ids) for r in pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("pid").alias("ids")).collect()}
+    got = ln.points_in_polygons(points, polygons, "id", sums={"ids": "pid"}).collect()
+    assert len(got) == len(want) and {r.id: (r.n, r.ids) for r in got} == want
+    met = ed.meet(points, ed.edge_index(polygons, "id"), "x", "y", {"ids": "pid"})
+    tested = sum(met.tested(level).join(met.located(met.points, level), (F.col("s.bx") == F.col("_bx")) & (F.col("s.by") == F.col("_by"))).count() for level in met.levels)
+    assert tested < sum(n for n, _ in want.values())
+    held = {r.pid for r in pairs.select("pid").collect()}
+    assert sorted(r.ids for r in ed.outside_all(met).collect()) == sorted(p for p, _, _ in rows if p not in held)
+    stats = {r.id: r.n_pixels for r in ln.zonal_stats(points, polygons, "id", "y").collect()}
+    assert stats == {k: n for k, (n, _) in want.items() if k is not None} | {None: want.get(None, (0, 0))[0] + sum(p not in held for p, _, _ in rows)}

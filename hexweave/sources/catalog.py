@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hexweave.functions.cells import as_column
+from hexweave.operators.sizing import shuffled
 from hexweave.session import fresh_dir, materialize
 from hexweave.sources.registry import rewrite, route_hint
 
@@ -81,7 +82,8 @@ def child_links(parsed: DataFrame, sources: DataFrame | None = None) -> DataFram
     """
     links = (
         parsed.where(F.col("doc.id").isNotNull())
-        .select("path", F.col("doc.id").alias("parent_id"), _is_root().alias("from_root"), F.explode("doc.links").alias("l"))
+        .select("path", F.col("doc.id").alias("parent_id"), _is_root().alias("from_root"), F.col("doc.links").alias("_links"))
+        .select("path", "parent_id", "from_root", F.explode("_links").alias("l"))  # links do not carry their document
         .where("l.rel = 'child'")
         .select("parent_id", resolve(F.col("path"), F.col("l.href")).alias("href"), F.col("l.title").alias("title"), "from_root")
     )
@@ -310,6 +312,7 @@ def reachability(docs: DataFrame, root: str, sources: DataFrame | None = None) -
     ``reached`` documents have the number of links on their shortest way; ``missing`` addresses are linked from a reached
     document and have none; ``orphan`` documents are not led to; ``cycle`` rows repeat the reached documents that
     lie on a cycle of links, or between two. One join per tier, each frontier written; documents met before are not met again.
+    Addresses are many and compress well, so no join broadcasts them.
     """
     spark, folder = docs.sparkSession, fresh_dir(docs.sparkSession, "reach")
     parsed = parse(docs).where(F.col("doc.id").isNotNull()).withColumn("doc", F.col("doc").withField("id", address(F.col("path"))))
@@ -326,13 +329,13 @@ def reachability(docs: DataFrame, root: str, sources: DataFrame | None = None) -
         if last.isEmpty():
             break
         depth += 1
-        further = links.join(last.select(F.col("address").alias("a")), "a", "left_semi").select(F.col("b").alias("address")).distinct()
-        further.join(met, "address", "left_anti").select("address", F.lit(depth).alias("depth")).write.parquet(f"{folder}/tier={depth}")
-    reached, missing = met.join(here, "address", "left_semi"), met.join(here, "address", "left_anti")
-    orphans = here.join(met, "address", "left_anti")
+        further = links.join(shuffled(last.select(F.col("address").alias("a"))), "a", "left_semi").select(F.col("b").alias("address")).distinct()
+        further.join(shuffled(met), "address", "left_anti").select("address", F.lit(depth).alias("depth")).write.parquet(f"{folder}/tier={depth}")
+    reached, missing = met.join(shuffled(here), "address", "left_semi"), met.join(shuffled(here), "address", "left_anti")
+    orphans = here.join(shuffled(met), "address", "left_anti")
 
     # Links from reached documents, without those that begin or end where no other link leads on.
-    core, turn = links.join(met.select(F.col("address").alias("a")), "a", "left_semi"), 0
+    core, turn = links.join(shuffled(met.select(F.col("address").alias("a"))), "a", "left_semi"), 0
     core.write.parquet(f"{folder}/core0")
     size = -1
     while True:
@@ -341,9 +344,9 @@ def reachability(docs: DataFrame, root: str, sources: DataFrame | None = None) -
         if now in (0, size):
             break
         size, turn = now, turn + 1
-        inner = core.join(core.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
-        inner.join(core.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a", "b").write.parquet(f"{folder}/core{turn}")
-    cyclic = core.select(F.col("a").alias("address")).distinct().join(reached, "address")
+        inner = core.join(shuffled(core.select(F.col("a").alias("b")).distinct()), "b", "left_semi")
+        inner.join(shuffled(core.select(F.col("b").alias("a")).distinct()), "a", "left_semi").select("a", "b").write.parquet(f"{folder}/core{turn}")
+    cyclic = core.select(F.col("a").alias("address")).distinct().join(shuffled(reached), "address")
 
     def with_status(df: DataFrame, status: str, known: bool = True) -> DataFrame:
         return df.select("address", F.lit(status).alias("status"), F.col("depth") if known else F.lit(None).cast("int").alias("depth"))

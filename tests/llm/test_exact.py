@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from hexweave.llm import near_dedup as near
 from hexweave.llm import packing, pieces, private_data, suffixes
+from hexweave.llm.common import with_trust
 from hexweave.llm.line_dedup import line_dedup
 from hexweave.llm.quality_rules import quality_rules
 from hexweave.llm.queries import tokenizer
@@ -473,3 +474,13 @@ def test_words_stay_in_the_plan_without_python(docs, labels):
         plan = df._jdf.queryExecution().toString()
         assert not re.search("Python|Pandas|Arrow(?!ToRow)", plan)
     assert docs.select(F.lit(1)).first()
+
+
+def test_all_trusted_documents_count(spark):
+    """Trust has no bound, however its ids meet the documents."""
+    ids = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("a word").alias("text"))
+    labels = ids.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).unionByName(ids.select(F.lit(None).cast("long").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic")).limit(2))
+    docs = ids.unionByName(ids.limit(3)).unionByName(ids.select(F.lit(None).cast("long").alias("doc_id"), "text").limit(1))
+    for broadcast in (0, 10, 1000):
+        out = with_trust(docs, labels, ["doc_id", "text"], broadcast)
+        assert (out.count(), out.where("_trusted").count()) == (504, 503)

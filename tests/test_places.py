@@ -124,3 +124,19 @@ def test_pyramids_and_tiles(spark, sf, run):
     assert {r.z for r in tiles.select("z").distinct().collect()} == {3, 5}
     for r in tiles.limit(500).collect():
         assert r.ring[0] == r.ring[-1] and all(abs(v.x) < 3 * tm.HALF_WORLD_M and abs(v.y) <= tm.HALF_WORLD_M + 1 for v in r.ring)
+
+
+def test_checks_stand_beside_the_values(spark, sf, run):
+    """Seven queries whose checks were left out when they came to return values."""
+    assert all(r.mutual and r.full for r in run("grid_disk").select("mutual", "full").distinct().collect())
+    cells = t.feature_hex(spark, sf).select("status", "h8").distinct()
+    exact = run("area_exact").first()
+    assert exact.plausible and exact.cells == cells.select("h8").distinct().count()
+    groups = {r.status: r["count"] for r in cells.groupBy("status").count().collect()}
+    assert {r.status: (r.cells, r.plausible) for r in run("area_by_group").collect()} == {k: (n, True) for k, n in groups.items()}
+    sums = {r["class"]: r.f for r in t.fraction_hex(spark, sf).where("class <> 'N'").groupBy("class").agg(F.round(F.sum("frac"), 6).alias("f")).collect()}
+    assert {r["class"]: (r.cells, r.plausible) for r in run("class_area").collect()} == {k: (f, True) for k, f in sums.items()}
+    assert all(r.bounded and 0 <= r.by_cells <= 100 for r in run("overlay_share_area").collect())
+    assert all(r.inside and r.fills for r in run("polygon_cells").select("inside", "fills").distinct().collect())
+    b = run("pyramid_bounds").first()
+    assert b.n == t.points(spark, sf).count() and b.holds_all and b.counts_cells

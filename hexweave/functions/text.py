@@ -15,13 +15,16 @@ def _drop_zeros(text: Column) -> Column:
     return F.rtrim(F.regexp_replace(text, r"(\.[0-9]*?)0*$", "$1"), F.lit("."))
 
 
-def general_double(c: Column | str) -> Column:
-    """A double at ten significant digits, trailing zeros dropped, C ``%.10g`` style."""
+def _scientific(c: Column | str) -> Column:
+    return F.format_string(f"%.{SIGNIFICANT_DIGITS - 1}e", F.abs(as_column(c).cast("double")))
+
+
+def _parts(sci: Column) -> tuple[Column, Column]:
+    return F.split_part(sci, F.lit("e"), F.lit(1)), F.split_part(sci, F.lit("e"), F.lit(2)).try_cast("int")
+
+
+def _general(c: Column | str, mantissa: Column, exponent: Column, digits: Column) -> Column:
     v = as_column(c).cast("double")
-    sci = F.format_string(f"%.{SIGNIFICANT_DIGITS - 1}e", F.abs(v))
-    mantissa = F.split_part(sci, F.lit("e"), F.lit(1))
-    exponent = F.split_part(sci, F.lit("e"), F.lit(2)).try_cast("int")
-    digits = F.replace(mantissa, F.lit("."), F.lit(""))
     split = F.concat(
         F.substring(digits, F.lit(1), exponent + 1), F.lit("."),
         F.substring(digits, exponent + 2, F.lit(SIGNIFICANT_DIGITS)),
@@ -42,6 +45,24 @@ def general_double(c: Column | str) -> Column:
     )
 
 
+def general_double(c: Column | str) -> Column:
+    """A double at ten significant digits, trailing zeros dropped, C ``%.10g`` style."""
+    mantissa, exponent = _parts(_scientific(c))
+    return _general(c, mantissa, exponent, F.replace(mantissa, F.lit("."), F.lit("")))
+
+
+def _with_doubles(df: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """``df`` with helper columns, and the text of each of its doubles from them.
+
+    Every step is a projection of its own, so that a number is formatted once and not for each place its digits are used at.
+    """
+    at = {name: f"_double{i}" for i, name in enumerate(names)}
+    df = df.select("*", *[_scientific(f"`{name}`").alias(x) for name, x in at.items()])
+    df = df.select("*", *[c.alias(f"{x}_{k}") for x in at.values() for k, c in zip("me", _parts(F.col(x)))])
+    df = df.select("*", *[F.replace(F.col(f"{x}_m"), F.lit("."), F.lit("")).alias(f"{x}_d") for x in at.values()])
+    return df, {name: _general(f"`{name}`", *[F.col(f"{x}_{k}") for k in "med"]) for name, x in at.items()}
+
+
 def _is_vertices(t: T.DataType) -> bool:
     return (
         isinstance(t, T.ArrayType)
@@ -70,8 +91,9 @@ def render_columns(df: DataFrame) -> DataFrame:
     and decimals keep all their digits.
     """
     out = []
-    hidden = set(geometry_columns(df))
-    for f in df.schema.fields:
+    hidden, fields = set(geometry_columns(df)), df.schema.fields
+    df, doubles = _with_doubles(df, [f.name for f in fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))])
+    for f in fields:
         if f.name in hidden:
             continue
         c, t = F.col(f"`{f.name}`"), f.dataType
@@ -80,7 +102,7 @@ def render_columns(df: DataFrame) -> DataFrame:
         elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
             shown = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
         elif isinstance(t, (T.DoubleType, T.FloatType)):
-            shown = general_double(c)
+            shown = doubles[f.name]
         elif isinstance(t, (T.LongType, T.DecimalType)):
             shown = c.cast("string")
         else:

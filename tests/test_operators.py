@@ -317,3 +317,12 @@ def test_spheroid_length(spark):
     for a, b, c_, d, want, off in cases:
         got = spark.range(1).select(spheroid_distance_m(F.lit(a), F.lit(b), F.lit(c_), F.lit(d))).first()[0]
         assert abs(got - want) < off
+
+
+def test_a_double_is_formatted_once(spark):
+    from hexweave.functions.text import render_columns
+
+    df = spark.range(3).select((F.col("id") * 1.5).alias("a.b"), (F.col("id") / 7e9).alias("c"))
+    out = render_columns(df)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("format_string") == 2
+    assert [tuple(r) for r in out.orderBy("c").collect()] == [("0", "0"), ("1.5", "1.428571429e-10"), ("3", "2.857142857e-10")]

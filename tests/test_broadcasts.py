@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from hexweave.functions.cells import cell_parent
+from hexweave.operators import joins as j
 from hexweave.operators import measures as m
 from hexweave.plans.inputs import cell
 from hexweave.sources import catalog as c
@@ -37,3 +38,13 @@ def test_reachability_shuffles(spark):
         ("root.json", "reached", 0), ("a.json", "reached", 1), ("b.json", "reached", 1), ("gone.json", "missing", 2),
         ("alone.json", "orphan", None), ("a.json", "cycle", 1), ("b.json", "cycle", 1),
     }
+
+
+def test_assigned_features_shuffle(spark):
+    features = spark.range(60).select((F.col("id") % 20).alias("fid"), cell("id", 8).alias("h8"))
+    regions = spark.range(40).select((F.col("id") % 3).cast("string").alias("region"), cell("id", 8).alias("h8"))
+    flat = spark.range(20).select(F.col("id").alias("fid"), (F.col("id") * 1.0).alias("x"))
+    out = j.assign_then_sum(features, regions, flat, 8, "fid", "region", "x")
+    assert "Broadcast" not in plan(out)
+    want = {r: float(sum({i % 20 for i in range(40) if i % 3 == int(r)})) for r in "012"}
+    assert {r.region: r.x for r in out.collect()} == want

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hexweave.functions.cells import as_column
-from hexweave.operators.sizing import shuffled
+from hexweave.operators.sizing import shuffle_width, shuffled
 from hexweave.session import fresh_dir, materialize
 from hexweave.sources.registry import rewrite, route_hint
 
@@ -97,7 +97,7 @@ def collections(docs: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """Every collection with its parent. The root catalogue is no collection, and what it lists has no parent."""
     parsed = parse(docs).where(F.col("doc.id").isNotNull()).withColumn("address", address(F.col("path")))
     links = child_links(parsed, sources).where(~F.col("from_root")).select("parent_id", F.col("href").alias("address"))
-    return parsed.where(~_is_root()).join(links, "address", "left").select(
+    return parsed.where(~_is_root()).join(shuffled(links), "address", "left").select(
         F.col("doc.id").alias("id"),
         F.coalesce("doc.title", "doc.id").alias("title"),
         F.col("doc.description").alias("description"),
@@ -273,11 +273,14 @@ def lookup_all(collection_table: DataFrame, keys: DataFrame, key: str = "key") -
 
     An inverted index of the ids' pieces of `GRAM` characters gives the candidates: those of the key's rarest piece, which
     are then compared with the whole key. A key no longer than a piece is a piece itself, and its answer is the least
-    id of that piece's list, found once for all keys. NULL keys name nothing.
+    id of that piece's list, found once for all keys. NULL keys name nothing. No join broadcasts ids or keys, as their bytes tell
+    little of their size.
     """
     named = collection_table.where("id is not null").select("id", "title", F.lower("id").alias("_low"))
+    # An id's row becomes a row per piece: AQE would leave them all to few tasks.
+    named = named.repartition(shuffle_width(named.sparkSession), "id")
     asked = keys.select(F.col(key).alias("key")).where("key is not null").distinct().withColumn("_key", F.lower("key"))
-    exact = asked.join(named, F.col("key") == F.col("id")).select("key", F.lit(0).alias("_r"), "id", "title")
+    exact = asked.join(shuffled(named), F.col("key") == F.col("id")).select("key", F.lit(0).alias("_r"), "id", "title")
 
     # Short keys: the best id of each piece of up to GRAM characters.
     def ranked(text: Column, low: Column) -> Column:
@@ -289,17 +292,17 @@ def lookup_all(collection_table: DataFrame, keys: DataFrame, key: str = "key") -
     best = named.select("id", "title", "_low", F.explode(F.array_distinct(pieces)).alias("_key")).groupBy("_key").agg(
         F.min(F.struct(ranked(F.col("_key"), F.col("_low")).alias("_r"), "id", "title")).alias("b")
     )
-    short = asked.where(F.char_length("_key") <= GRAM).join(best, "_key").select("key", "b.*")
+    short = asked.where(F.char_length("_key") <= GRAM).join(shuffled(best), "_key").select("key", "b.*")
 
     # Longer keys: the candidates of their rarest piece.
     postings = named.select("id", "title", "_low", F.explode(_grams(F.col("_low"), GRAM)).alias("_gram"))
     counts = postings.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
     long = asked.where(F.char_length("_key") > GRAM).withColumn("_size", F.size(_grams(F.col("_key"), GRAM)))
-    met = long.select("key", "_key", "_size", F.explode(_grams(F.col("_key"), GRAM)).alias("_gram")).join(counts, "_gram")
+    met = long.select("key", "_key", "_size", F.explode(_grams(F.col("_key"), GRAM)).alias("_gram")).join(shuffled(counts), "_gram")
     rarest = met.groupBy("key", "_key", "_size").agg(
         F.min(F.struct("_n", "_gram")).alias("g"), F.count(F.lit(1)).alias("_found")
     ).where(F.col("_found") == F.col("_size")).select("key", "_key", F.col("g._gram").alias("_gram"))
-    hits = rarest.join(postings, "_gram").where(F.col("_low").contains(F.col("_key")))
+    hits = rarest.join(shuffled(postings), "_gram").where(F.col("_low").contains(F.col("_key")))
     other = hits.select("key", ranked(F.col("_key"), F.col("_low")).alias("_r"), "id", "title")
 
     every = exact.unionByName(short).unionByName(other)

@@ -48,3 +48,11 @@ def test_assigned_features_shuffle(spark):
     assert "Broadcast" not in plan(out)
     want = {r: float(sum({i % 20 for i in range(40) if i % 3 == int(r)})) for r in "012"}
     assert {r.region: r.x for r in out.collect()} == want
+
+
+def test_lookup_of_many_keys_shuffles(spark):
+    table = spark.createDataFrame([("group-1", "a"), ("group-12", "b"), (None, "c")], "id string, title string")
+    keys = spark.createDataFrame([("GROUP-1",), ("12",), ("group-12",), ("none",), (None,)], "key string")
+    out = c.lookup_all(table, keys)
+    assert "Broadcast" not in plan(out)
+    assert {r.key: r.id for r in out.collect()} == {"GROUP-1": "group-1", "12": "group-12", "group-12": "group-12"}

@@ -285,28 +285,27 @@ def outside_all(met: Met) -> DataFrame:
 # --- segments ------------------------------------------------------------------------
 
 
-def _touched() -> Column:
-    """Squares of a level and its range (low, high) that a segment ax, ay, bx, by runs through, column after column."""
-    ax, ay, bx, by, level = (F.col(c) for c in ("ax", "ay", "bx", "by", "level"))
+def _touched(rows: DataFrame) -> DataFrame:
+    """``rows`` with bx, by: the squares of a level and its range (low, high) that a segment s runs through, column after column."""
+    ax, ay, bx, by, level = (F.col(c) for c in ("s.ax", "s.ay", "s.bx", "s.by", "level"))
     side = span(level)
-    west, east = F.least(ax, bx), F.greatest(ax, bx)
 
     def steps(first: Column, last: Column) -> Column:
-        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
-
-    def rows(c: Column) -> Column:
-        x0, x1 = F.greatest(west, c * side - 180.0), F.least(east, (c + 1) * side - 180.0)
+        return F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>")))
 
-        def height(x: Column, end: Column) -> Column:
-            return F.coalesce(ay + F.try_divide((x - ax) * (by - ay), bx - ax), end)
+    west, east = F.least(ax, bx), F.greatest(ax, bx)
+    first, last = F.greatest(column_of(west, level), F.col("low.bx")), F.least(column_of(east, level), F.col("high.bx"))
+    at = F.col("bx")
 
-        y0, y1 = height(x0, ay), height(x1, by)
-        low = F.greatest(row_of(F.least(y0, y1), level), F.col("low.by"))
-        high = F.least(row_of(F.greatest(y0, y1), level), F.col("high.by"))
-        return F.transform(steps(low, high), lambda r: F.struct(c.alias("bx"), r.alias("by")))
+    def height(x: Column, end: Column) -> Column:
+        return F.coalesce(ay + F.try_divide((x - ax) * (by - ay), bx - ax), end)
 
-    first, last = F.greatest(column_of(west, level), F.col("low.bx")), F.least(column_of(east, level), F.col("high.bx"))
-    return F.flatten(F.transform(steps(first, last), rows))
+    y0 = height(F.greatest(west, at * side - 180.0), ay)
+    y1 = height(F.least(east, (at + 1) * side - 180.0), by)
+    low = F.greatest(row_of(F.least(F.col("_y0"), F.col("_y1")), level), F.col("low.by"))
+    high = F.least(row_of(F.greatest(F.col("_y0"), F.col("_y1")), level), F.col("high.by"))
+    # Two rows made of one each: a list of lists would be worked out by the element, in the slow way.
+    return rows.withColumn("bx", steps(first, last)).withColumn("_y0", y0).withColumn("_y1", y1).withColumn("by", steps(low, high))
 
 
 def _share_inside() -> Column:
@@ -322,22 +321,40 @@ def _share_inside() -> Column:
     (x0, x1), (y0, y1) = enter_leave(q["bx"] * side - 180.0, s["ax"], dx), enter_leave(q["by"] * side - 90.0, s["ay"], dy)
     t0, t1 = F.greatest(F.lit(0.0), x0, y0), F.least(F.lit(1.0), x1, y1)
 
-    def cut(e: Column) -> Column:
-        ex, ey = e["bx"] - e["ax"], e["by"] - e["ay"]
-        return F.try_divide((e["ax"] - s["ax"]) * ey - (e["ay"] - s["ay"]) * ex, dx * ey - dy * ex)
-
     def cuts(t: Column) -> Column:
-        met = F.filter(F.transform(q["edges"], cut), lambda c: (c > t["t0"]) & (c < t["t1"]))
+        def cut(e: Column) -> Column:
+            ex, ey = e["bx"] - e["ax"], e["by"] - e["ay"]
+            return F.try_divide((e["ax"] - t["ax"]) * ey - (e["ay"] - t["ay"]) * ex, t["dx"] * ey - t["dy"] * ex)
+
+        def side_of(x: Column, y: Column) -> Column:
+            return t["dx"] * (y - t["ay"]) - t["dy"] * (x - t["ax"])
+
+        def ends_apart(e: Column) -> Column:
+            """Does the edge reach the segment's line; one that ends a hair off does."""
+            a, b = side_of(e["ax"], e["ay"]), side_of(e["bx"], e["by"])
+            return ((a <= t["hair"]) | (b <= t["hair"])) & ((a >= -t["hair"]) | (b >= -t["hair"]))
+
+        met = F.filter(F.transform(F.filter(q["edges"], ends_apart), cut), lambda c: (c > t["t0"]) & (c < t["t1"]))
         stops = F.array_sort(F.concat(F.array(t["t0"]), met, F.array(t["t1"])))
-        n = F.size(stops) - 1
 
         def piece(a: Column, b: Column) -> Column:
             mid = (a + b) / 2
-            return F.when(inside_square(q, s["ax"] + mid * dx, s["ay"] + mid * dy), b - a).otherwise(F.lit(0.0))
+            return F.struct((t["ax"] + mid * t["dx"]).alias("x"), (t["ay"] + mid * t["dy"]).alias("y"), (b - a).alias("long"))
 
-        return F.aggregate(F.zip_with(F.slice(stops, F.lit(1), n), F.slice(stops, F.lit(2), n), piece), F.lit(0.0), lambda a, v: a + v)
+        def pieces(stops: Column) -> Column:
+            n = F.size(stops) - 1
+            return F.zip_with(F.slice(stops, F.lit(1), n), F.slice(stops, F.lit(2), n), piece)
 
-    ends = F.struct(t0.alias("t0"), t1.alias("t1"))
+        def add(total: Column, p: Column) -> Column:
+            return total + F.when(inside_square(q, p["x"], p["y"]), p["long"]).otherwise(F.lit(0.0))
+
+        return F.aggregate(F.transform(F.array(stops), pieces)[0], F.lit(0.0), add)
+
+    # Lambda variables are computed once per row, columns at each place they are used at.
+    ends = F.struct(
+        t0.alias("t0"), t1.alias("t1"), s["ax"].alias("ax"), s["ay"].alias("ay"), dx.alias("dx"), dy.alias("dy"),
+        ((F.abs(dx) + F.abs(dy)) * 1e-9).alias("hair"),
+    )
     partly = F.transform(F.array(ends), cuts)[0]
     whole = F.when(q["inside"], t1 - t0).otherwise(F.lit(0.0))
     return F.when(t1 > t0, F.when(F.size(q["edges"]) == 0, whole).otherwise(partly)).otherwise(F.lit(0.0))
@@ -351,8 +368,7 @@ def lengths_inside(segments: DataFrame, index: EdgeIndex, measure: str, out: str
     key = index.key
     low, high = (F.struct(f("bx").alias("bx"), f("by").alias("by")) for f in (F.min, F.max))
     used = index.squares.groupBy(key, "level").agg(low.alias("low"), high.alias("high"))
-    rows = segments.join(used, key).select(key, measure, "s", "level", "s.*", "low", "high")
-    rows = rows.select(key, measure, "s", "level", F.explode(_touched()).alias("_at")).select(key, measure, "s", "level", "_at.*")
+    rows = _touched(segments.join(used, key)).select(key, measure, "s", "level", "bx", "by")
     squares = index.squares.select(key, "level", "bx", "by", F.struct("level", "bx", "by", "cx", "cy", "inside", "edges").alias("q"))
     # The rows are few bytes and much arithmetic: AQE would put them into few tasks.
     rows = rows.repartition(shuffle_width(segments.sparkSession), key, "level", "bx", "by")

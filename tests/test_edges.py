@@ -117,3 +117,42 @@ def test_totals_make_no_pairs(spark):
     assert sorted(r.ids for r in ed.outside_all(met).collect()) == sorted(p for p, _, _ in rows if p not in held)
     stats = {r.id: r.n_pixels for r in ln.zonal_stats(points, polygons, "id", "y").collect()}
     assert stats == {k: n for k, (n, _) in want.items() if k is not None} | {None: want.get(None, (0, 0))[0] + sum(p not in held for p, _, _ in rows)}
+
+
+def test_segments_meet_the_edges_that_reach_them(spark):
+    """Lines through corners, along edges, past edges whose own line they cross, and out of the squares."""
+    from pyspark.sql import functions as F
+
+    from hexweave.functions.geometry import length_inside_rings, planar_length
+    from hexweave.operators.edges import edge_index, lengths_inside
+
+    box = [(0.0, 0.0), (10.0, 0.0), (10.0, 8.0), (0.0, 8.0), (0.0, 0.0)]
+    hole = [(3.0, 2.0), (7.0, 2.0), (7.0, 6.0), (3.0, 6.0), (3.0, 2.0)]
+    lines = [
+        [(-1.0, -1.0), (11.0, 11.0)], [(0.0, 0.0), (10.0, 8.0)], [(3.0, -5.0), (3.0, 20.0)], [(-4.0, 4.0), (30.0, 4.0)],
+        [(1.0, 1.0), (2.0, 1.5)], [(20.0, 1.0), (21.0, 9.0)], [(5.0, 4.0), (5.0, 4.0)], [(9.5, -0.5), (10.5, 0.5)], [(2.9, 9.0), (7.3, -1.0)],
+    ]
+    schema = "id bigint, ring array<array<struct<x:double,y:double>>>"
+    regions = spark.createDataFrame([(1, [box, hole]), (2, [box]), (3, [hole, box])], schema)
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "line_id bigint, line array<struct<x:double,y:double>>")
+    for i, line in enumerate(lines):
+        one = rows.where(F.col("line_id") == i).crossJoin(regions)
+        want = {r.id: r.v for r in one.select("id", length_inside_rings("line", "ring").alias("v")).collect()}
+        (ax, ay), (bx, by) = line
+        s = F.struct(F.lit(ax).alias("ax"), F.lit(ay).alias("ay"), F.lit(bx).alias("bx"), F.lit(by).alias("by"))
+        segments = regions.select("id", s.alias("s"), F.lit(((bx - ax) ** 2 + (by - ay) ** 2) ** 0.5).alias("m"))
+        got = {r.id: r.v for r in lengths_inside(segments, edge_index(regions, "id"), "m", "v").collect()}
+        assert all(abs(got.get(k, 0.0) - (v or 0.0)) < 1e-9 for k, v in want.items()), (i, got, want)
+
+
+def test_squares_of_a_segment_are_no_list_of_lists(spark):
+    """They were flattened element by element, which took most of the time of a segment."""
+    from pyspark.sql import functions as F
+
+    from hexweave.operators.edges import edge_index, lengths_inside
+
+    box = [(0.0, 0.0), (10.0, 0.0), (10.0, 8.0), (0.0, 8.0), (0.0, 0.0)]
+    regions = spark.createDataFrame([(1, [box])], "id bigint, ring array<array<struct<x:double,y:double>>>")
+    s = F.struct(*[F.lit(float(v)).alias(c) for c, v in (("ax", 1), ("ay", 1), ("bx", 9), ("by", 7))])
+    found = lengths_inside(regions.select("id", s.alias("s"), F.lit(10.0).alias("m")), edge_index(regions, "id"), "m", "v")
+    assert "flatten" not in found._jdf.queryExecution().optimizedPlan().toString() and abs(found.first().v - 10.0) < 1e-9

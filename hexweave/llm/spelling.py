@@ -15,6 +15,8 @@ at the node of its word's first half, below which the trie is thin.
 
 An edit in a run of equal characters has one place, the run's end. Nothing is a list of a node's words: a slot
 holds the distinct characters found there, which the alphabet bounds, and a node that many words pass is split by AQE.
+
+No join broadcasts: words and keys are few written bytes, and several times that in a driver that gathers them.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 
 from hexweave.llm.common import pick
 from hexweave.llm.subwords import slices
+from hexweave.operators.sizing import shuffled
 from hexweave.session import fresh_dir
 
 # What a run is, which characters are lower-cased, and the rule that edits some of the runs.
@@ -228,13 +231,13 @@ def neighbours(words: DataFrame, folder: str) -> DataFrame:
 
     met = slots(words)
     letters = met.groupBy("key").agg(F.sort_array(F.collect_set("letter")).alias("letters")).where(F.size("letters") > 1)
-    replaced = met.join(letters, "key").select(
+    replaced = met.join(shuffled(letters), "key").select(
         "name", "place", "back", "ends", F.explode(F.filter("letters", lambda c: c > F.col("letter"))).alias("other")
-    ).join(words.select("name", "word"), "name").select(
+    ).join(shuffled(words.select("name", "word")), "name").select(
         "word", F.concat(before, F.char("other"), after).alias("target"), "back",
         (F.col("place") + 1 + AHEAD).alias("place"), "ends",
     )
-    skipped = deletions(words).join(edges(words, STEP), "key", "left_semi").join(words.select("name", "word"), "name").select(
+    skipped = deletions(words).join(shuffled(edges(words, STEP)), "key", "left_semi").join(shuffled(words.select("name", "word")), "name").select(
         "word", F.concat(before, after).alias("target"), "back", (F.col("place") + STEP).alias("place"), "ends"
     )
     states = kept(replaced.unionByName(skipped), "states")
@@ -242,7 +245,7 @@ def neighbours(words: DataFrame, folder: str) -> DataFrame:
     states = states.where("not ends")
     while not states.isEmpty():
         turn, step = turn + 1, step * STEP
-        met = kept(asked(states, step).join(edges(words, step), "key", "left_semi").drop("key"), f"states{turn}")
+        met = kept(asked(states, step).join(shuffled(edges(words, step)), "key", "left_semi").drop("key"), f"states{turn}")
         found.append(met.where("ends"))
         states = met.where("not ends")
     reached = found[0].select("word", "target")
@@ -251,8 +254,8 @@ def neighbours(words: DataFrame, folder: str) -> DataFrame:
     # The words themselves confirm what the hashes say.
     pairs = kept(
         reached.distinct()
-        .join(words.select(F.col("word").alias("target"), F.col("n").alias("n_b")), "target")
-        .join(words.select("word", F.col("n").alias("n_a")), "word")
+        .join(shuffled(words.select(F.col("word").alias("target"), F.col("n").alias("n_b"))), "target")
+        .join(shuffled(words.select("word", F.col("n").alias("n_a"))), "word")
         .select(F.col("word").alias("a"), "n_a", F.col("target").alias("b"), "n_b"), "pairs",
     )
     return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("n_b").alias("n_a"), F.col("a").alias("b"), F.col("n_a").alias("n_b")))
@@ -270,10 +273,10 @@ def roots(forms: DataFrame, folder: str) -> DataFrame:
     while True:
         now = spark.read.schema("word string, root string").parquet(f"{folder}/roots{turn}")
         further = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        if now.join(further, "root", "left_semi").isEmpty():
+        if now.join(shuffled(further), "root", "left_semi").isEmpty():
             return now
         turn += 1
-        now.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root")).write.parquet(f"{folder}/roots{turn}")
+        now.join(shuffled(further), "root", "left").select("word", F.coalesce("next", "root").alias("root")).write.parquet(f"{folder}/roots{turn}")
 
 
 def spelling_variants(docs: DataFrame, letters: int = LETTERS, times: int = TIMES) -> DataFrame:
@@ -292,7 +295,7 @@ def spelling_variants(docs: DataFrame, letters: int = LETTERS, times: int = TIME
     near = neighbours(words, folder).groupBy(F.col("a").alias("word")).agg(
         F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("n_b")).alias("n"), F.col("b").alias("form"))).alias("best")
     )
-    out = words.select("word", "n").join(near, "word", "left").withColumn("form_n", -F.col("best.n"))
+    out = words.select("word", "n").join(shuffled(near), "word", "left").withColumn("form_n", -F.col("best.n"))
     has = F.col("form_n") >= 2 * F.col("n")
     out.select(
         "word", "n", F.when(has, F.col("best.form")).alias("form"), F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
@@ -300,7 +303,7 @@ def spelling_variants(docs: DataFrame, letters: int = LETTERS, times: int = TIME
     ).write.parquet(f"{folder}/forms")
     made = spark.read.schema("word string, n long, form string, n_near long, form_n long").parquet(f"{folder}/forms")
     ends = roots(made.where("form is not null"), folder)
-    return made.join(ends, "word", "left").select(
+    return made.join(shuffled(ends), "word", "left").select(
         "word", "n", "form", F.coalesce("root", "word").alias("root"), "n_near", "form_n"
     )
 

@@ -99,6 +99,25 @@ def test_long_words_and_hot_nodes(spark):
     assert {w: r for w, _, _, r, _, _ in want}["chainnnn"] == "chain"
 
 
+def test_no_join_broadcasts(spark, monkeypatch):
+    """Words take many times their written bytes in a driver that gathers them."""
+    from pyspark.sql.classic.dataframe import DataFrame
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    plans, write, is_empty = [], DataFrameWriter.parquet, DataFrame.isEmpty
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (noted(self._df), write(self, *a, **k))[1])
+    monkeypatch.setattr(DataFrame, "isEmpty", lambda self: (noted(self), is_empty(self))[1])
+    data = [(1, "chain " * 40 + "chainn " * 15 + "chainnn " * 5 + "CHAINnnn " * 2 + "abcdefghijklmnop " * 3 + "abcdefghijklnnop " * 7)]
+    out = spelling_variants(spark.createDataFrame(data, "doc_id long, text string"), 5, 2)
+    noted(out)
+    assert got(out) == brute(data, 5, 2)
+    assert sum("Join" in p for p in plans) >= 6 and not any("Broadcast" in p for p in plans)
+
+
 def test_query(spark, sf):
     import duckdb
 

@@ -110,6 +110,25 @@ def test_column_functions(spark):
     assert len(disk) == 19 and disk == sorted(disk)
 
 
+def test_disks_on_the_plane_are_those_of_the_walk():
+    """Anywhere, on face edges and around corners, where the plane misses a sixth; odd ids take the walk."""
+    rng = np.random.default_rng(7)
+    corners = ico.to_vector(np.repeat(np.arange(20), 3), np.tile(ico._CORNERS, 20))
+    ends = np.tile(ico._CORNERS, 20), np.tile(ico._CORNERS[[1, 2, 0]], 20)
+    for res in (0, 1, 2, 3, 5, 8, 11):
+        edge = ico.to_vector(np.repeat(np.arange(20), 3), ends[0] + (ends[1] - ends[0]) * rng.random(60))
+        near = corners + rng.normal(size=(60, 3)) / 7 ** (res / 2)
+        v = np.concatenate([rng.normal(size=(80, 3)), edge, near, corners])
+        h = np.append(np.unique(ico.index(v / np.linalg.norm(v, axis=1, keepdims=True), res)), [0, 7])
+        for k in (0, 1, 2, 3):
+            want = [[] for _ in h]
+            for row, cell in gd._walked(h, k).tolist():
+                want[row].append(cell)
+            assert gd._disk(gd.pa.array(h), k).to_pylist() == want
+        # Few cells are walked where a disk is small beside a face.
+        assert res < 8 or ico.disk(h, 2)[1].sum() >= 100
+
+
 def test_sql_functions(spark):
     gd.register(spark)
     row = spark.sql("""

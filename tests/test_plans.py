@@ -29,3 +29,11 @@ def test_geometry_runs_on_distinct_cells(spark, sf):
     plan = QUERIES["area_by_group"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("ArrowEvalPython") < plan.index("HashAggregate", plan.index("ArrowEvalPython"))
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_disks_are_found_once_per_cell(spark, sf):
+    """Of the distinct cells and of their distinct neighbours: never of a raster's rows, nor of pairs."""
+    plan = QUERIES["grid_disk"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    tree = [line for line in plan.splitlines() if "ArrowEvalPython" in line or "Aggregate" in line]
+    kinds = ["disk" if "ArrowEvalPython" in line else "aggregate" for line in tree]
+    assert kinds == ["disk", "aggregate", "aggregate", "disk", "aggregate", "aggregate"]

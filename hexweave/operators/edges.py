@@ -75,12 +75,14 @@ def parted(edges: Column, x0, y0, x1, y1) -> Column:
     """Do the edges leave the two points on different sides."""
     x0, y0, x1, y1 = (as_column(v) for v in (x0, y0, x1, y1))
 
-    def step(odd: Column, e: Column) -> Column:
-        row = F.coalesce(_along_row(e, y0, x0, x1), F.lit(False))
-        column = F.coalesce(_along_column(e, x1, y0, y1), F.lit(False))
-        return odd != (row != column)
+    return F.aggregate(edges, F.lit(False), lambda odd, e: odd != parts(e, x0, y0, x1, y1))
 
-    return F.aggregate(edges, F.lit(False), step)
+
+def parts(e: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Does one edge leave the two points on different sides."""
+    row = F.coalesce(_along_row(e, y0, x0, x1), F.lit(False))
+    column = F.coalesce(_along_column(e, x1, y0, y1), F.lit(False))
+    return row != column
 
 
 def inside_square(square: Column, x, y) -> Column:
@@ -88,6 +90,11 @@ def inside_square(square: Column, x, y) -> Column:
     return square["inside"] != parted(square["edges"], x, y, square["cx"], square["cy"])
 
 
+def inside_cut_square(square: Column, x: Column, y: Column) -> Column:
+    """`inside_square` of a square with one edge."""
+    return square["inside"] != parts(F.get(square["edges"], F.lit(0)), x, y, square["cx"], square["cy"])
+
+
 def _meets(e: Column, west: Column, south: Column, side: Column) -> Column:
     """Edges that touch a square; the bounds are a little wide, since an edge too many does no harm."""
     half, wide = side / 2, side * (0.5 + 1e-9) + 1e-12
@@ -121,6 +128,33 @@ def _children(s: Column) -> Column:
     return F.array(*[child(i, j) for i in (0, 1) for j in (0, 1)])
 
 
+def _cut_children(rows: DataFrame, key: str, level: int) -> DataFrame:
+    """(key, s), the four squares of each square of ``rows``, all of one level and with one edge.
+
+    What `_children` works out by walking lists, in steps that are compiled: each step's columns are used more than once, so
+    that Spark does not write them out at each place, and the last explode keeps later filters from repeating it.
+    """
+    s, k, side = F.col("s"), F.col("_k"), F.lit(360.0 / 2.0 ** (level + 1))
+    own = F.get(s["edges"], F.lit(0))
+    flat = rows.select(
+        F.col(key), s["bx"].alias("_px"), s["by"].alias("_py"), s["cx"].alias("_cx"), s["cy"].alias("_cy"), s["inside"].alias("_in"), s["edges"].alias("_edges"),
+        *[own[c].alias(f"_e{c}") for c in ("ax", "ay", "bx", "by")], F.explode(F.array(*[F.lit(n) for n in range(4)])).alias("_k"),
+    )
+    at = flat.withColumns({"_bx": F.col("_px") * 2 + F.shiftright(k, 1), "_by": F.col("_py") * 2 + k.bitwiseAND(F.lit(1))})
+    at = at.withColumns({"_west": F.col("_bx") * side - 180.0, "_south": F.col("_by") * side - 90.0})
+    at = at.withColumns({"_x": F.col("_west") + side * AT_X, "_y": F.col("_south") + side * AT_Y})
+    e = {c: F.col(f"_e{c}") for c in ("ax", "ay", "bx", "by")}
+    at = at.withColumns({
+        "_inside": F.col("_in") != parts(e, F.col("_cx"), F.col("_cy"), F.col("_x"), F.col("_y")),
+        "_meets": F.coalesce(_meets(e, F.col("_west"), F.col("_south"), side), F.lit(False)),
+    })
+    child = F.struct(
+        F.lit(level + 1).alias("level"), F.col("_bx").alias("bx"), F.col("_by").alias("by"), F.col("_x").alias("cx"), F.col("_y").alias("cy"),
+        F.col("_inside").alias("inside"), F.when(F.col("_meets"), F.col("_edges")).otherwise(F.slice("_edges", 1, 0)).alias("edges"),
+    )
+    return at.select(F.col(key), F.explode(F.array(child)).alias("s"))
+
+
 def _quarters(s: Column) -> Column:
     """The four squares of a square that holds too much, or the square itself."""
     return F.when(_open(s), _children(s)).otherwise(F.array(s))
@@ -249,8 +283,11 @@ def meet(points: DataFrame, index: EdgeIndex, x: str, y: str, sums: dict[str, Co
         far = met.levels[level].where((F.size("s.edges") > 0) & ~F.col("closed"))
         rest = None
         if not far.isEmpty():
-            far = far.repartition(shuffle_width(spark), key, "s.bx", "s.by").select(key, F.explode(_children(F.col("s"))).alias("s"))
-            rest = far.where(F.col("s.inside") | (F.size("s.edges") > 0))
+            far = far.select(key, "s").repartition(shuffle_width(spark), key, "s.bx", "s.by")
+            # Below the first levels nearly all squares have one edge.
+            listed = far.where(F.size("s.edges") > 1).select(key, F.explode(_children(F.col("s"))).alias("s"))
+            rest = _cut_children(far.where(F.size("s.edges") == 1), key, level).unionByName(listed)
+            rest = rest.where(F.col("s.inside") | (F.size("s.edges") > 0))
         elif level >= last:
             break
     return met
@@ -260,10 +297,11 @@ def totals(met: Met) -> DataFrame:
     """Per shape that holds a point: n, the number of its points, and their sums."""
     out = None
     for level in met.levels:
-        own = met.located(met.points, level)
-        inside = (F.col("s.bx") == F.col("_bx")) & (F.col("s.by") == F.col("_by")) & inside_square(F.col("s"), F.col(met.x), F.col(met.y))
-        single = met.tested(level).join(own, inside).select(met.key, F.lit(1).cast("bigint").alias("n"), *met.sums)
-        both = met.within(level).select(met.key, "n", *met.sums).unionByName(single)
+        own, here = met.located(met.points, level), (F.col("s.bx") == F.col("_bx")) & (F.col("s.by") == F.col("_by"))
+        both, one = met.within(level).select(met.key, "n", *met.sums), F.size("s.edges") == 1
+        for which, test in ((one, inside_cut_square), (~one, inside_square)):
+            held = met.tested(level).where(which).join(own, here & test(F.col("s"), F.col(met.x), F.col(met.y)))
+            both = both.unionByName(held.select(met.key, F.lit(1).cast("bigint").alias("n"), *met.sums))
         out = both if out is None else out.unionByName(both)
     return out.groupBy(met.key).agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in met.sums])
 

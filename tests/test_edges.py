@@ -156,3 +156,23 @@ def test_squares_of_a_segment_are_no_list_of_lists(spark):
     s = F.struct(*[F.lit(float(v)).alias(c) for c, v in (("ax", 1), ("ay", 1), ("bx", 9), ("by", 7))])
     found = lengths_inside(regions.select("id", s.alias("s"), F.lit(10.0).alias("m")), edge_index(regions, "id"), "m", "v")
     assert "flatten" not in found._jdf.queryExecution().optimizedPlan().toString() and abs(found.first().v - 10.0) < 1e-9
+
+
+def test_squares_with_one_edge_are_cut_by_compiled_code(spark):
+    """As by the lists that were walked for each of them, which took most of the time of many polygons."""
+    rng = random.Random(4)
+    ends = [(rng.uniform(-30, 30), rng.uniform(-30, 30), rng.uniform(-30, 30), rng.uniform(-30, 30)) for _ in range(40)]
+    ends += [(0.0, -9.0, 0.0, 9.0), (-22.5, 5.0, 22.5, 5.0), (5.0, 5.0, 5.0, 5.0), (None, 1.0, 2.0, 3.0), (float("nan"), 1.0, 2.0, 3.0)]
+    rows = [
+        (None if i == 3 else i, (4, bx, by, bx * 22.5 - 180 + 22.5 * ed.AT_X, by * 22.5 - 90 + 22.5 * ed.AT_Y, i % 2 == 0, [e]))
+        for i, e in enumerate(ends) for bx in (7, 8) for by in (3, 4)
+    ]
+    struct = "struct<level int, bx long, by long, cx double, cy double, inside boolean, edges array<struct<ax double, ay double, bx double, by double>>>"
+    squares = spark.createDataFrame(rows, f"id long, s {struct}")
+    cut = ed._cut_children(squares, "id", 4)
+    walked = squares.select("id", F.explode(ed._children(F.col("s"))).alias("s"))
+    assert cut.schema["s"].dataType.simpleString() == walked.schema["s"].dataType.simpleString()
+    assert sorted(map(repr, cut.collect())) == sorted(map(repr, walked.collect())) and "lambda" not in cut._jdf.queryExecution().optimizedPlan().toString()
+    x, y = F.lit(1.3), F.lit(-2.1)
+    both = squares.select(ed.inside_cut_square(F.col("s"), x, y).alias("a"), ed.inside_square(F.col("s"), x, y).alias("b"))
+    assert both.where("not a <=> b").isEmpty()

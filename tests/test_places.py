@@ -140,3 +140,20 @@ def test_checks_stand_beside_the_values(spark, sf, run):
     assert all(r.inside and r.fills for r in run("polygon_cells").select("inside", "fills").distinct().collect())
     b = run("pyramid_bounds").first()
     assert b.n == t.points(spark, sf).count() and b.holds_all and b.counts_cells
+
+
+def test_the_seven_with_checks_have_sql(spark, sf, run):
+    """SQL works their geometry out; `test_queries` compares every row. Here: its own areas and centres, pentagons included."""
+    import duckdb
+
+    from hexweave.plans import geometry_sql as g
+
+    seven = {"grid_disk", "area_exact", "area_by_group", "class_area", "overlay_share_area", "polygon_cells", "pyramid_bounds"}
+    assert seven <= set(entry_point.oracle_sql())
+    cells = f"every AS ({g.all_cells(2)}), {g.area_ctes('every', 'h', 2)}"
+    rows = duckdb.execute(f"WITH {cells} SELECT h, lat, lng, km2 FROM areas JOIN ({g.centers('every', 'h', 2)}) USING (h) ORDER BY h").fetchall()
+    h = np.array([r[0] for r in rows])
+    assert len(h) == 5882 and abs(sum(r[3] for r in rows) / ico.EARTH_RADIUS_KM**2 - 4 * math.pi) < 1e-9
+    assert np.allclose([r[3] for r in rows], ico.area_rads2(h) * ico.EARTH_RADIUS_KM**2, rtol=1e-9)
+    lat, lng = ico.to_latlng(ico.center(h))
+    assert np.allclose([r[1] for r in rows], lat) and np.allclose([r[2] for r in rows], lng)
